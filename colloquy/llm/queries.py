@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import exact_dedup, mixing
+from colloquy.llm import exact_dedup, mixing, token_counts, web_archive
 from colloquy.llm.common import read_table
 
 
@@ -14,12 +14,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(read_table(spark, sf_dir, "documents"), keep="most")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_archive.archive_pages(read_table(spark, sf_dir, "pages")).drop("record_id", "date")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op8_mixing)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_token_counts, op6_warc, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -28,4 +36,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+        "op6_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+                 q AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+                              max(page_id) OVER (PARTITION BY body) AS last_id FROM p)
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+            FROM q""",
     }
