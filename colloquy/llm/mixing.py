@@ -126,7 +126,8 @@ def pack(docs: DataFrame, seed: int = 7, text_col: str = "text", id_col: str = "
 def slots(sources: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """One row per slot of the mix: shard, place, source_no, block, words (of the block, from its start)."""
     chunks = sources.filter("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))))
-    chunks = chunks.repartition("source_no", "chunk")
+    parts = sources.agg(F.ceil(F.coalesce(F.sum("slots"), F.lit(0)) / (8 * CHUNK)).cast("int")).first()[0]
+    chunks = chunks.repartition(max(1, parts), "source_no", "chunk")
     first = F.col("chunk") * CHUNK
     out = chunks.withColumn("i", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("slots")) - 1)))
     turn, at = F.floor(F.col("i") / F.col("blocks")).cast("long"), F.col("i") % F.col("blocks")
@@ -150,7 +151,7 @@ def pieces(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def mixed_blocks(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, **more) -> DataFrame:
     """The mix itself: one row per piece of a document in a slot, with shard, place, piece_from and piece_to."""
     sources, placed = pack(docs, seed, block_words=block_words, **more)
-    joined = pieces(placed, block_words).join(slots(sources, seed, block_words), ["source_no", "block"])
+    joined = pieces(placed, block_words).join(materialise(slots(sources, seed, block_words), "mix-slots").hint("merge"), ["source_no", "block"])
     return joined.withColumn("piece_to", F.least("piece_to", "words")).filter("piece_to > piece_from").select("shard", "place", "source", "doc_id", "block", "piece_from", "piece_to")
 
 
@@ -161,10 +162,11 @@ def taken_words(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS,
     """
     sources, placed = pack(docs, seed, block_words=block_words, **more)
     placed = materialise(placed, "mix-placed")
-    used = slots(sources, seed, block_words).groupBy("source_no", "block", "words").agg(F.count(F.lit(1)).alias("times"))
+    used = materialise(slots(sources, seed, block_words).select("source_no", "block", "words"), "mix-slots").groupBy("source_no", "block", "words").agg(F.count(F.lit(1)).alias("times"))
     used = used.groupBy("source_no", "block").agg(F.collect_list(F.struct("words", "times")).alias("uses"))  # a full and a cut length at most
+    # both sides of these joins grow with the input, which Spark can't tell from an explode: no broadcast
     here = F.aggregate("uses", F.lit(0).cast("long"), lambda acc, u: acc + u["times"] * F.greatest(F.least(F.col("piece_to"), u["words"]) - F.col("piece_from"), F.lit(0).cast("long")))
-    taken = pieces(placed, block_words).join(used, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(here).alias("taken"))
-    some = placed.filter("size > 0").join(taken, ["source_no", "start"], "left")
+    taken = pieces(placed, block_words).join(used.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(here).alias("taken"))
+    some = placed.filter("size > 0").join(taken.hint("merge"), ["source_no", "start"], "left")
     none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return some.unionByName(none).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
