@@ -28,9 +28,11 @@ from colloquy.llm.common import materialise
 
 HEAD_ROWS = 1 << 19
 #: Distinct pre-tokens that a task holds before it hands their counts on.
-HELD = 400_000
+HELD = 120_000
+#: Texts that are Python strings at once.
+SLICE = 256
 #: Characters that are processed at once; a longer text is cut after a line end or a space that stands between two other characters.
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _FAR = 0, 1, 2, 3, 4
 _POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -206,8 +208,8 @@ def _distinct(path: str):
         def flush():
             yield pa.RecordBatch.from_pydict({"piece": [p for p, _ in held.values()], "n": [n for _, n in held.values()]}, pa.schema([("piece", pa.string()), ("n", pa.int64())]))
 
-        for batch in batches:
-            for _, hashes, piece in find.of(batch.column("text").to_pylist()):
+        for part in (batch.slice(a, SLICE) for batch in batches for a in range(0, batch.num_rows, SLICE)):
+            for _, hashes, piece in find.of(part.column("text").to_pylist()):
                 some, at, n = np.unique(hashes, return_index=True, return_counts=True)
                 for h, i, k in zip(some.tolist(), at.tolist(), n.tolist()):
                     if h == 0:  # not hashed: far characters
@@ -218,9 +220,9 @@ def _distinct(path: str):
                         held[h] = (held[h][0], held[h][1] + k)
                     else:
                         held[h] = (piece(i), k)
-            if len(held) > HELD:
-                yield from flush()
-                held = {}
+                if len(held) > HELD:
+                    yield from flush()
+                    held = {}
         if held:
             yield from flush()
 
@@ -267,8 +269,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, id_
         find = PreTokens(path)
         keys, pieces = shared.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, SLICE):
+                part = batch.slice(a, SLICE)
                 known, rest = np.zeros(part.num_rows, np.int64), {}
                 for rows, hashes, piece in find.of(part.column("text").to_pylist()):
                     if len(keys):
