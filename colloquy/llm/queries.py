@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import exact_dedup, mixing, token_counts, web_archive
+from colloquy.llm import decontaminate, exact_dedup, mixing, near_dedup, token_counts, web_archive
 from colloquy.llm.common import read_table
 
 
@@ -26,8 +26,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_token_counts, op6_warc, op8_mixing)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_token_counts, op6_warc, op8_mixing, op9_decontamination, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

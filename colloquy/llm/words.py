@@ -145,9 +145,6 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nda
     out = np.zeros(len(at), np.uint64)
     for k in range(width):
         there = at + k < last
-        if there.all():
-            out += (hashes[at + k] | np.uint64(1)) * factors[k] + (hashes[at + k] >> np.uint64(1))
-        else:
-            word = hashes[np.minimum(at + k, last - 1)]
-            out += np.where(there, (word | np.uint64(1)) * factors[k] + (word >> np.uint64(1)), factors[k])
-    return mixed(out), new
+        word = hashes[np.minimum(at + k, last - 1)]
+        out += np.where(there, (word | np.uint64(1)) * factors[k] + (word >> np.uint64(1)), np.uint64(0))
+    return mixed(out + np.minimum(last - at, width).astype(np.uint64)), new
