@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import decontaminate, exact_dedup, mixing, near_dedup, token_counts, web_archive
+from colloquy.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, token_counts, web_archive
 from colloquy.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(read_table(spark, sf_dir, "documents"), keep="most")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_token_counts, op6_warc, op8_mixing, op9_decontamination, op10_minhash)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_quality, op4_token_counts, op6_warc, op8_mixing, op9_decontamination, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

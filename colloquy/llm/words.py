@@ -115,8 +115,12 @@ def chunks(array: pa.Array, inside: np.ndarray = NOT_BLANK, fold: np.ndarray = L
 
 
 def _long(data: np.ndarray, inside: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The words of one long text, hashed in pieces that end between words; a word longer than a piece is hashed by its parts."""
     starts, ends = boundaries(data, inside, np.array([0, len(data)]))
+    return starts, ends, hash_spans(data, starts, ends, fold)
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
+    """Hashes of ordered byte ranges of data of any length, made in pieces that end between ranges; a range longer than a piece is hashed by its parts."""
     hashes = np.zeros(len(starts), np.uint64)
     a = 0
     while a < len(starts):
@@ -131,7 +135,7 @@ def _long(data: np.ndarray, inside: np.ndarray, fold: np.ndarray) -> tuple[np.nd
                 h = mixed(h + spans(running(data[x:y], fold), np.array([0]), np.array([y - x]))[0] + np.uint64(1))
             hashes[a] = h
         a = b
-    return starts, ends, hashes
+    return hashes
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
