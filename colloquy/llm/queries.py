@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, token_counts, web_archive
+from colloquy.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, token_counts, web_archive
 from colloquy.llm.common import read_table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(read_table(spark, sf_dir, "documents"), keep="most")
 
@@ -39,7 +43,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_quality, op4_token_counts, op6_warc, op8_mixing, op9_decontamination, op10_minhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_quality, op4_token_counts, op6_warc, op8_mixing, op9_decontamination, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
