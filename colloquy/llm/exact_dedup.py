@@ -75,11 +75,12 @@ def filter_words(digests: DataFrame) -> DataFrame:
     return digests.select(F.floor(slot / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
-def passes_filter(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows whose digest may be in the filter. The words have a fixed bound, so they are broadcast."""
+def passes_filter(rows: DataFrame, words: DataFrame, inverse: bool = False) -> DataFrame:
+    """Rows whose digest may be in the filter; inverse: those whose digest is surely not. The words have a fixed bound, so they are broadcast."""
     slot = _slot(F.col("digest"))
-    hit = rows.withColumn("__word", F.floor(slot / 64)).join(F.broadcast(words), F.col("__word") == F.col("word"))
-    return hit.filter(F.call_function("shiftrightunsigned", F.col("bits"), (_slot(F.col("digest")) % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1).drop("__word", "word", "bits")
+    hit = rows.withColumn("__word", F.floor(slot / 64)).join(F.broadcast(words), F.col("__word") == F.col("word"), "left")
+    bit = F.call_function("shiftrightunsigned", F.coalesce("bits", F.lit(0)).cast("long"), (_slot(F.col("digest")) % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    return hit.filter(bit == (0 if inverse else 1)).drop("__word", "word", "bits")
 
 
 def equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=text_digest, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
