@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, token_counts, web_archive
+from colloquy.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, pseudonyms, quality, substring_dedup, token_counts, web_archive
 from colloquy.llm.common import read_table
 
 
@@ -26,10 +26,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web_archive.archive_pages(read_table(spark, sf_dir, "pages")).drop("record_id", "date")
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read_table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_quality, op4_token_counts, op6_warc, op8_mixing, op9_decontamination, op10_minhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_quality, op4_token_counts, op5_substring_dedup, op6_warc, op7_pseudonyms, op8_mixing, op9_decontamination, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
