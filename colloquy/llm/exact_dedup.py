@@ -115,9 +115,9 @@ def with_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "least", **more) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept and text_sha256."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = with_group(narrow, keep=keep, **more)
-    return out.select("doc_id", F.col("__keep_id").alias("keep_id"), F.col("__group_size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("__keep_id")).alias("kept"), text_digest(F.col("text")).alias("text_sha256"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_digest(F.col(text_col)).alias("text_sha256"))
+    out = with_group(narrow, keep=keep, **more)  # without collisions, texts are not needed behind this and not shuffled
+    return out.select("doc_id", F.col("__keep_id").alias("keep_id"), F.col("__group_size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("__keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "least", **more) -> DataFrame:
