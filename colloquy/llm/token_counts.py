@@ -17,6 +17,7 @@ give empty results. Columns besides id and text are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,11 @@ from colloquy.llm.common import materialise
 
 HEAD_ROWS = 1 << 19
 #: Distinct pre-tokens that a task holds before it hands their counts on.
-HELD = 120_000
+HELD = 50_000
 #: Texts that are Python strings at once.
-SLICE = 256
+SLICE = 128
 #: Characters that are processed at once; a longer text is cut after a line end or a space that stands between two other characters.
-CHUNK_CHARS = 1 << 18
+CHUNK_CHARS = 1 << 17
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _FAR = 0, 1, 2, 3, 4
 _POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -46,6 +47,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already, and threads hold memory
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -236,7 +238,7 @@ def distinct_pieces(docs: DataFrame, path: str) -> DataFrame:
         find = PreTokens(path)
         for batch in batches:
             texts = batch.column("piece").to_pylist()
-            counts = find.counts(texts)
+            counts = [n for a in range(0, len(texts), 1000) for n in find.counts(texts[a : a + 1000])]
             yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("n"), pa.array(find.hash_of(texts).view(np.int64)), pa.array(counts, pa.int32())], ["piece", "n", "hash", "pieces"])
 
     met = docs.select("text").mapInArrow(_distinct(path), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
