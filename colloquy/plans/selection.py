@@ -220,10 +220,9 @@ _flip = lambda kind: f"CASE WHEN {h(f"'rec|{kind}|' || method || '|' || fold ||
 _PREDICTIONS = f"predictions AS (SELECT source_index, target_label AS true_label, fold, method, seed, {_flip('text')} AS text_label, {_flip('audio')} AS text_audio_label FROM records, (SELECT unnest(['fusion', 'lexical']) AS method), (SELECT unnest([11, 12]) AS seed))"
 _OUTCOMES = f"""{_SCORES}, {_PREDICTIONS}, picked AS (SELECT method, fold, seed, source_index, sample_id, episode_id, target_label, condition, arg_max(is_gold, (z, -candidate_pos))::INT AS correct FROM scores GROUP BY ALL),
 both2 AS (SELECT method, fold, seed, source_index, sample_id, episode_id, target_label, max(correct) FILTER (condition = 'text') AS a, max(correct) FILTER (condition = 'text_audio') AS b FROM picked GROUP BY ALL),
-outcomes AS (SELECT b.*, p.true_label AS y, p.text_label AS p, p.text_audio_label AS q,
-    CASE WHEN p <> y AND q = y THEN 'corrected' WHEN p = y AND q <> y THEN 'broken' WHEN p = y THEN 'both_correct' ELSE 'both_wrong' END AS recognition_group,
-    CASE WHEN a = 0 AND b = 1 THEN 'helpful' WHEN a = 1 AND b = 0 THEN 'harmful' WHEN a = 1 THEN 'both_correct' ELSE 'both_wrong' END AS response_transition
-    FROM both2 b JOIN predictions p USING (method, fold, seed, source_index))"""
+joined AS (SELECT u.*, v.true_label AS y, v.text_label AS p, v.text_audio_label AS q FROM both2 u JOIN predictions v USING (method, fold, seed, source_index)),
+outcomes AS (SELECT *, CASE WHEN p <> y AND q = y THEN 'corrected' WHEN p = y AND q <> y THEN 'broken' WHEN p = y THEN 'both_correct' ELSE 'both_wrong' END AS recognition_group,
+    CASE WHEN a = 0 AND b = 1 THEN 'helpful' WHEN a = 1 AND b = 0 THEN 'harmful' WHEN a = 1 THEN 'both_correct' ELSE 'both_wrong' END AS response_transition FROM joined)"""
 _STATS = f"""{_OUTCOMES}, seen AS (SELECT method, episode_id, count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives, count(*) FILTER (y = 1 AND p = 1) AS text_tp, count(*) FILTER (y = 0 AND p = 0) AS text_tn,
     count(*) FILTER (y = 1 AND q = 1) AS audio_tp, count(*) FILTER (y = 0 AND q = 0) AS audio_tn, count(*) AS observations, count(*) FILTER (recognition_group = 'corrected') AS corrected,
     sum(b - a)::BIGINT AS net, coalesce(sum(b - a) FILTER (recognition_group = 'corrected'), 0)::BIGINT AS corrected_net FROM outcomes GROUP BY ALL),
