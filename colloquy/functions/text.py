@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Quotes that count as an ASCII apostrophe or quotation mark.
 CURLY = "’‘`´“”"
@@ -15,9 +16,12 @@ STRAIGHT = "''''\"\""
 CONDITIONS = ("text_only", "multimodal", "self_multimodal", "oracle")
 
 
-@F.pandas_udf("string")
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
+def _nfkc(text: Column) -> Column:
+    @F.pandas_udf(StringType())  # made when it is used: it takes a session
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
+
+    return run(text)
 
 
 def folded(text: Column) -> Column:

@@ -41,7 +41,7 @@ def token_block(targets: DataFrame, corpus: DataFrame, least: float = REASONABLE
     own class and each target in the neighbouring ones, too; a frequent token is split by speakers and lengths.
     """
     base = 1 / (least / (2 - least)) if least < 1 else 1.5
-    band = lambda t: F.floor(F.log(F.lit(base), F.greatest(F.length(t), F.lit(1)))).cast("int")
+    band = lambda t: F.floor(F.log(base, F.greatest(F.length(t), F.lit(1)))).cast("int")
     words = lambda t: F.array_distinct(F.filter(F.split(t, " "), lambda w: w != ""))
     left = targets.select("target_id", "speaker", "target_norm", F.explode(words(F.col("target_norm"))).alias("token"), band(F.col("target_norm")).alias("__b"))
     left = left.withColumn("band", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1)))
@@ -57,8 +57,8 @@ def fallback_block(targets: DataFrame, corpus: DataFrame, least: float = REASONA
     """All rows of the speaker (or all rows) whose length allows a match, for short targets."""
     short = targets.filter((F.length("target_norm") <= SHORT) & (F.col("target_norm") != ""))
     rows = corpus.select("utterance_id", F.col("speaker").alias("corpus_speaker"), "text_norm", F.length("text_norm").alias("n"))
-    lengths = short.withColumn("n", F.explode(F.sequence(F.ceil(F.length("target_norm") * least / (2 - least)).cast("int"), F.floor(F.length("target_norm") * (2 - least) / least).cast("int"))))
-    met = lengths.join(rows, "n").filter(F.col("speaker").isNull() | (F.col("speaker") == F.col("corpus_speaker")))
+    lengths = short.withColumn("n", F.explode(F.sequence(F.floor(F.length("target_norm") * least / (2 - least)).cast("int"), F.ceil(F.length("target_norm") * (2 - least) / least).cast("int"))))
+    met = lengths.join(rows, "n").filter(length_allows(F.col("target_norm"), F.col("text_norm"), least)).filter(F.col("speaker").isNull() | (F.col("speaker") == F.col("corpus_speaker")))
     return met.select("target_id", "utterance_id")
 
 
@@ -89,9 +89,12 @@ def best_before(pairs: DataFrame, line: str, speaker: str, before: Column | None
     if before is not None:
         rows = rows.filter(F.col("at") < F.col("__before"))
     rows = rows.withColumn("said", normalise(F.col("row.text")))
-    texts = rows.select(line, "said").distinct().withColumn("sim", similarity_column(F.col(line), F.col("said")))
-    found = rows.join(texts, [line, "said"]).groupBy("target_id", "utterance_id").agg(F.max(F.struct("sim", "at")).alias("best"))
-    return pairs.join(found, ["target_id", "utterance_id"], "left")
+    # an equal row is the best there can be: only pairs without one are compared
+    equal = rows.filter((F.col("said") == F.col(line)) & (F.col("said") != "")).groupBy("target_id", "utterance_id").agg(F.max(F.struct(F.lit(1.0).alias("sim"), "at")).alias("best"))
+    rest = rows.join(equal.select("target_id", "utterance_id"), ["target_id", "utterance_id"], "left_anti")
+    texts = rest.select(line, "said").distinct().withColumn("sim", similarity_column(F.col(line), F.col("said")))
+    found = rest.join(texts, [line, "said"]).groupBy("target_id", "utterance_id").agg(F.max(F.struct("sim", "at")).alias("best"))
+    return pairs.join(equal.unionByName(found), ["target_id", "utterance_id"], "left")
 
 
 def with_context(scored: DataFrame, targets: DataFrame, corpus: DataFrame) -> DataFrame:

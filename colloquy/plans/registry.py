@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.plans import selection
+from colloquy.plans import alignment, corpora, selection
 
-PLANS = (selection,)
+PLANS = (selection, alignment, corpora)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
