@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,9 @@ def similarity_column(a: Column, b: Column, least: float = 0.0) -> Column:
 
 def length_allows(a: Column, b: Column, least: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
+
+
+def scored_texts(texts: DataFrame, a: str, b: str, out: str, least: float = 0.0) -> DataFrame:
+    """Distinct (a, b) text pairs with their similarity. Pairs are few bytes but much work, so they keep all partitions."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.repartition(parts, a, b).withColumn(out, similarity_column(F.col(a), F.col(b), least))

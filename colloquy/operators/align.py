@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.similarity import length_allows, similarity_column
+from colloquy.functions.similarity import length_allows, scored_texts
 from colloquy.functions.text import normalise, tags
 from colloquy.operators.turns import context_before, scene_positions
 
@@ -74,7 +74,7 @@ def scored_pairs(targets: DataFrame, corpus: DataFrame) -> DataFrame:
     pairs = pairs.unionByName(fallback_block(empty, corpus)).distinct()
     pairs = pairs.join(targets.select("target_id", "target_norm"), "target_id").join(corpus.select("utterance_id", "text_norm"), "utterance_id")
     texts = pairs.select("target_norm", "text_norm").distinct()
-    scored = texts.withColumn("target_sim", similarity_column(F.col("target_norm"), F.col("text_norm"), REASONABLE)).filter(F.col("target_sim") >= REASONABLE)
+    scored = scored_texts(texts, "target_norm", "text_norm", "target_sim", REASONABLE).filter(F.col("target_sim") >= REASONABLE)
     fuzzy = pairs.join(scored, ["target_norm", "text_norm"]).select("target_id", "utterance_id", F.lit(False).alias("exact"), "target_sim")
     return exact.select("target_id", "utterance_id", F.lit(True).alias("exact"), F.lit(1.0).alias("target_sim")).unionByName(fuzzy)
 
@@ -92,7 +92,7 @@ def best_before(pairs: DataFrame, line: str, speaker: str, before: Column | None
     # an equal row is the best there can be: only pairs without one are compared
     equal = rows.filter((F.col("said") == F.col(line)) & (F.col("said") != "")).groupBy("target_id", "utterance_id").agg(F.max(F.struct(F.lit(1.0).alias("sim"), "at")).alias("best"))
     rest = rows.join(equal.select("target_id", "utterance_id"), ["target_id", "utterance_id"], "left_anti")
-    texts = rest.select(line, "said").distinct().withColumn("sim", similarity_column(F.col(line), F.col("said")))
+    texts = scored_texts(rest.select(line, "said").distinct(), line, "said", "sim")
     found = rest.join(texts, [line, "said"]).groupBy("target_id", "utterance_id").agg(F.max(F.struct("sim", "at")).alias("best"))
     return pairs.join(equal.unionByName(found), ["target_id", "utterance_id"], "left")
 

@@ -167,7 +167,6 @@ ORACLES = {
     "vocabulary": f"WITH {_VOCAB} SELECT token, n, id FROM vocab",
     "encoded_turns": f"WITH {_VOCAB}, k AS (SELECT source_index, place, coalesce(id, 1) AS id FROM words LEFT JOIN vocab USING (token)) SELECT t.source_index, count(DISTINCT place)::INT AS lines, count(place) AS tokens, coalesce(sum(id), 0)::BIGINT AS id_sum, count(*) FILTER (id = 1)::INT AS unknown FROM turns t LEFT JOIN k USING (source_index) WHERE t.text IS NOT NULL GROUP BY 1",
     "audio_scaler": f"WITH {_AUDIO} SELECT dim::INT AS dim, round(mean, 6) AS mean, round(scale, 6) AS scale FROM fitted",
-    "scaled_audio": f"WITH {_AUDIO} SELECT source_index, round(sum(((x - mean) / scale) ** 2), 6) AS square_norm, count(*)::INT AS dims FROM heard h JOIN fitted f ON h.dim + 0 = f.dim + 0 GROUP BY 1",
     "audio_validity": f"WITH {SQL['turns']}, {SQL['audio']} SELECT count(*) AS n, count(*) FILTER (len(target_audio) = 64 AND len(list_filter(target_audio, lambda x: NOT isfinite(x))) = 0) AS valid FROM audio",
     "pooled_audio": f"WITH {SQL['turns']}, {SQL['audio']}, d AS (SELECT dialogue_id, generate_subscripts(target_audio, 1) - 1 AS dim, unnest(target_audio)::DOUBLE AS x FROM turns JOIN audio USING (source_index)), m AS (SELECT dialogue_id, dim, avg(x) AS x FROM d GROUP BY ALL), n AS (SELECT dialogue_id, sqrt(sum(x * x)) AS s FROM m GROUP BY 1) SELECT dialogue_id, round(max(x / s) FILTER (dim = 0), 6) AS first_value, round(max(x / s), 6) AS largest FROM m JOIN n USING (dialogue_id) GROUP BY 1",
     "text_weights": f"WITH {_GRAMS}, n AS (SELECT source_index, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1) SELECT source_index, count(*) AS grams, round(sum(w / norm), 6) AS total, round(sum((w / norm) ** 2), 6) AS square FROM w JOIN n USING (source_index) GROUP BY 1",
@@ -185,4 +184,4 @@ ORACLES = {
     "media_locations": f"WITH {SQL['turns']}, k AS (SELECT ({h(chr(39) + 'media|' + chr(39) + ' || source_index')} % 4)::INT AS k FROM turns) SELECT k, count(*) FILTER (k IN (1, 2)) AS found, count(*) FILTER (k = 2) AS preferred, count(*) FILTER (k = 0) AS none, count(*) FILTER (k = 3) AS several FROM k GROUP BY 1",
 }
 
-QUERIES = {n: globals()[n] for n in (*ORACLES, "membership", "detector", "forest", "selector")}
+QUERIES = {n: globals()[n] for n in (*ORACLES, "scaled_audio", "membership", "detector", "forest", "selector")}
