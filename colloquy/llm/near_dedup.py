@@ -42,7 +42,7 @@ THRESHOLD = 75
 #: 32 bands of 4 coordinates: a pair at similarity 0.75 shares no band in 5 of a million cases.
 BANDS, ROWS = 32, 4
 #: Members and shingles of a bucket that one task compares with as many others.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 16
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 18
 #: Shingles that are permuted at once; they stay in the processor's cache.
 _BLOCK = 1 << 15
 
