@@ -146,7 +146,7 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 3):
         share = float(y.mean()) if len(y) else 0.5
-        self.constant = None if 0 < share < 1 else share
+        self.constant = None if len(y) and 0 < share < 1 else share
         if self.constant is not None:
             return
         rng = np.random.default_rng(seed)
