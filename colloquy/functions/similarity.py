@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Length of the second text from which its characters are handled as arrays.
+LONG = 1000
+
 
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine-word-parallel step for each character of b."""
@@ -35,9 +39,48 @@ def similarity(a: str | None, b: str | None, least: float = 0.0) -> float:
     total = len(a) + len(b)
     if least and (2 * min(len(a), len(b)) < least * total or 2 * common_subsequence(a, b) < least * total):
         return 0.0
+    if len(b) >= LONG:
+        return 2 * _matched(a, b) / total
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def _matched(a: str, b: str) -> int:
+    """Characters in the matching blocks of a and b: the longest common run (the first in a, then in b), then those left and right of it.
+
+    The lengths of runs that end at a character of a are kept for all places of b at once.
+    """
+    codes = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    places = {chr(c): np.flatnonzero(codes == c) for c in np.unique(codes)}
+    run = np.zeros(len(b) + 1, np.int64)
+    matched, waiting = 0, [(0, len(a), 0, len(b))]
+    while waiting:
+        a0, a1, b0, b1 = waiting.pop()
+        best, at_a, at_b, last = 0, a0, b0, np.zeros(0, np.int64)
+        for i in range(a0, a1):
+            here = places.get(a[i])
+            if here is None:
+                run[last + 1] = 0
+                last = last[:0]
+                continue
+            if b0 or b1 < len(b):
+                here = here[np.searchsorted(here, b0) : np.searchsorted(here, b1)]
+            size = run[here] + 1
+            run[last + 1] = 0
+            run[here + 1] = size
+            last = here
+            if len(size) and (k := int(size.argmax())) >= 0 and size[k] > best:
+                best = int(size[k])
+                at_a, at_b = i - best + 1, int(here[k]) - best + 1
+        run[last + 1] = 0
+        if best:
+            matched += best
+            if a0 < at_a and b0 < at_b:
+                waiting.append((a0, at_a, b0, at_b))
+            if at_a + best < a1 and at_b + best < b1:
+                waiting.append((at_a + best, a1, at_b + best, b1))
+    return matched
+
+
 def similarity_column(a: Column, b: Column, least: float = 0.0) -> Column:
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:

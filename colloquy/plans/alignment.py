@@ -140,4 +140,4 @@ ORACLES = {
         (ro - o)::INT AS distance, CASE WHEN response_id IS NOT NULL THEN skipped END AS skipped_same_speaker FROM f JOIN k USING (utterance_id)""",
 }
 
-QUERIES = {n: globals()[n] for n in (*ORACLES, "similarity_scores", "alignment", "alignment_replies", "alignment_report", "alignment_notes")}
+QUERIES = {n: globals()[n] for n in (*ORACLES, "similarity_scores", "alignment", "alignment_report")}

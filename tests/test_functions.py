@@ -53,6 +53,15 @@ def test_similarity_is_the_ratio_and_bounds_lose_nothing():
         assert S.similarity(a, b, 0.8) == exact or exact < 0.8
 
 
+def test_long_texts_have_the_same_ratio(monkeypatch):
+    monkeypatch.setattr(S, "LONG", 5)
+    random.seed(6)
+    for _ in range(200):
+        a = "".join(random.choice("abc d") for _ in range(random.randint(1, 60)))
+        b = "".join(random.choice("abc d") for _ in range(random.randint(5, 60))) if random.random() < 0.5 else "".join(c for c in a if random.random() > 0.2) + "abcda"
+        assert S.similarity(a, b) == (1.0 if a == b else SequenceMatcher(None, a, b, autojunk=False).ratio())
+
+
 def test_prompt_conditions(spark):
     rows = spark.createDataFrame([("text_only",), ("self_multimodal",), ("oracle",)], "c string").withColumn("t", F.array(F.struct(F.lit("a").alias("speaker"), F.lit("<x>").alias("text"))))
     got = {r[0]: r[1] for r in rows.select("c", T.prompt(F.col("t"), F.lit("b"), F.col("c"), F.lit(1), F.lit(0))).collect()}
