@@ -17,7 +17,8 @@ from colloquy.operators.turns import context_before, scene_positions
 # Thresholds of a match, of high evidence, and of short targets; positions of context.
 REASONABLE, TARGET_HIGH, CONTEXT1_HIGH, CONTEXT2_HIGH = 0.80, 0.95, 0.90, 0.80
 SHORT, WINDOW = 12, 8
-LEVELS = {"exact": "LEVEL_A_UNIQUE_EXACT", "high": "LEVEL_B_HIGH_CONFIDENCE", "ambiguous": "LEVEL_C_AMBIGUOUS", "none": "NO_MATCH"}
+# Names of the levels of a match.
+LEVELS = {"exact": "LEVEL_A_EXACT", "high": "LEVEL_B_HIGH_CONFIDENCE", "ambiguous": "LEVEL_C_AMBIGUOUS", "none": "NO_MATCH"}
 
 
 def prepared_corpus(corpus: DataFrame, exact: bool = True) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from colloquy.functions.hashing import stable_int
 
 GROUP = ("method", "fold", "seed", "sample_id")
+# Names of the recognition groups and response transitions.
+RECOGNITION = ("corrected", "corrupted", "stable-correct", "stable-wrong")
+RESPONSE = ("helpful", "harmful", "stable-correct", "stable-wrong")
 
 
 def decisions(scores: DataFrame, *keys: str, ties: str = "position") -> DataFrame:
@@ -36,9 +39,9 @@ def outcomes(scores: DataFrame, predictions: DataFrame) -> DataFrame:
     )
     out = both.join(predictions.select("method", "fold", "seed", "source_index", "true_label", "text_label", "text_audio_label"), ["method", "fold", "seed", "source_index"])
     before, after = F.col("text_label") == F.col("true_label"), F.col("text_audio_label") == F.col("true_label")
-    group = F.when(~before & after, "corrected").when(before & ~after, "broken").when(before, "both_correct").otherwise("both_wrong")
+    group = F.when(~before & after, "corrected").when(before & ~after, "corrupted").when(before, "stable-correct").otherwise("stable-wrong")
     a, b = F.col("response_text_correct") == 1, F.col("response_text_audio_correct") == 1
-    move = F.when(~a & b, "helpful").when(a & ~b, "harmful").when(a, "both_correct").otherwise("both_wrong")
+    move = F.when(~a & b, "helpful").when(a & ~b, "harmful").when(a, "stable-correct").otherwise("stable-wrong")
     return out.withColumns({"recognition_group": group, "response_transition": move})
 
 
@@ -93,8 +96,7 @@ def by_seed_and_pooled(rows: DataFrame) -> DataFrame:
 
 def transitions(rows: DataFrame) -> DataFrame:
     """The 4 x 4 table of recognition groups and response transitions per method, zeros included."""
-    groups, moves = ("corrected", "broken", "both_correct", "both_wrong"), ("helpful", "harmful", "both_correct", "both_wrong")
-    grid = rows.select("method").distinct().withColumn("recognition_group", F.explode(F.array(*map(F.lit, groups)))).withColumn("response_transition", F.explode(F.array(*map(F.lit, moves))))
+    grid = rows.select("method").distinct().withColumn("recognition_group", F.explode(F.array(*map(F.lit, RECOGNITION)))).withColumn("response_transition", F.explode(F.array(*map(F.lit, RESPONSE))))
     seen = rows.groupBy("method", "recognition_group", "response_transition").agg(F.count(F.lit(1)).alias("n"))
     return grid.join(seen, ["method", "recognition_group", "response_transition"], "left").fillna(0, ["n"])
 

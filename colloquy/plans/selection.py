@@ -187,7 +187,7 @@ def outcome_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per method, seed: scored targets against expected ones, and recognition net against group counts."""
     o = _outcomes(spark, sf_dir)
     right = (F.col("text_audio_label") == F.col("true_label")).cast("int") - (F.col("text_label") == F.col("true_label")).cast("int")
-    groups = F.count_if(F.col("recognition_group") == "corrected") - F.count_if(F.col("recognition_group") == "broken")
+    groups = F.count_if(F.col("recognition_group") == "corrected") - F.count_if(F.col("recognition_group") == "corrupted")
     expected = C.candidate_sets(records(spark, sf_dir)).agg(F.count_distinct("source_index").alias("expected"))
     return o.groupBy("method", "seed").agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("net"), groups.alias("group_net")).join(expected)
 
@@ -221,8 +221,8 @@ _PREDICTIONS = f"predictions AS (SELECT source_index, target_label AS true_label
 _OUTCOMES = f"""{_SCORES}, {_PREDICTIONS}, picked AS (SELECT method, fold, seed, source_index, sample_id, episode_id, target_label, condition, arg_max(is_gold, (z, -candidate_pos))::INT AS correct FROM scores GROUP BY ALL),
 both2 AS (SELECT method, fold, seed, source_index, sample_id, episode_id, target_label, max(correct) FILTER (condition = 'text') AS a, max(correct) FILTER (condition = 'text_audio') AS b FROM picked GROUP BY ALL),
 joined AS (SELECT u.*, v.true_label AS y, v.text_label AS p, v.text_audio_label AS q FROM both2 u JOIN predictions v USING (method, fold, seed, source_index)),
-outcomes AS (SELECT *, CASE WHEN p <> y AND q = y THEN 'corrected' WHEN p = y AND q <> y THEN 'broken' WHEN p = y THEN 'both_correct' ELSE 'both_wrong' END AS recognition_group,
-    CASE WHEN a = 0 AND b = 1 THEN 'helpful' WHEN a = 1 AND b = 0 THEN 'harmful' WHEN a = 1 THEN 'both_correct' ELSE 'both_wrong' END AS response_transition FROM joined)"""
+outcomes AS (SELECT *, CASE WHEN p <> y AND q = y THEN 'corrected' WHEN p = y AND q <> y THEN 'corrupted' WHEN p = y THEN 'stable-correct' ELSE 'stable-wrong' END AS recognition_group,
+    CASE WHEN a = 0 AND b = 1 THEN 'helpful' WHEN a = 1 AND b = 0 THEN 'harmful' WHEN a = 1 THEN 'stable-correct' ELSE 'stable-wrong' END AS response_transition FROM joined)"""
 _STATS = f"""{_OUTCOMES}, seen AS (SELECT method, episode_id, count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives, count(*) FILTER (y = 1 AND p = 1) AS text_tp, count(*) FILTER (y = 0 AND p = 0) AS text_tn,
     count(*) FILTER (y = 1 AND q = 1) AS audio_tp, count(*) FILTER (y = 0 AND q = 0) AS audio_tn, count(*) AS observations, count(*) FILTER (recognition_group = 'corrected') AS corrected,
     sum(b - a)::BIGINT AS net, coalesce(sum(b - a) FILTER (recognition_group = 'corrected'), 0)::BIGINT AS corrected_net FROM outcomes GROUP BY ALL),
@@ -284,7 +284,7 @@ ORACLES = {
     "response_outcomes": f"WITH {_OUTCOMES} SELECT method, fold, seed, sample_id, target_label, a AS response_text_correct, b AS response_text_audio_correct, recognition_group, response_transition FROM outcomes",
     "paired_metrics": f"WITH {_OUTCOMES}, m AS ({_metrics('method, seed')} UNION ALL BY NAME {_metrics('method, NULL::INT AS seed')}) SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _DOUBLES)}) FROM m",
     "recognition_metrics": f"WITH {_RECORDS}, {_PREDICTIONS}, c AS (SELECT method, fold, seed, count(*) FILTER (true_label = 1 AND text_audio_label = 1) AS tp, count(*) FILTER (true_label = 0 AND text_audio_label = 1) AS fp, count(*) FILTER (true_label = 1 AND text_audio_label = 0) AS fn, count(*) FILTER (true_label = 0 AND text_audio_label = 0) AS tn FROM predictions GROUP BY ALL) SELECT *, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) AS balanced_accuracy, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c",
-    "transition_table": f"WITH {_OUTCOMES}, g AS (SELECT DISTINCT method, rg AS recognition_group, rt AS response_transition FROM outcomes, (SELECT unnest(['corrected', 'broken', 'both_correct', 'both_wrong']) AS rg), (SELECT unnest(['helpful', 'harmful', 'both_correct', 'both_wrong']) AS rt)) SELECT g.*, count(o.method) AS n FROM g LEFT JOIN outcomes o USING (method, recognition_group, response_transition) GROUP BY ALL",
+    "transition_table": f"WITH {_OUTCOMES}, g AS (SELECT DISTINCT method, rg AS recognition_group, rt AS response_transition FROM outcomes, (SELECT unnest(['corrected', 'corrupted', 'stable-correct', 'stable-wrong']) AS rg), (SELECT unnest(['helpful', 'harmful', 'stable-correct', 'stable-wrong']) AS rt)) SELECT g.*, count(o.method) AS n FROM g LEFT JOIN outcomes o USING (method, recognition_group, response_transition) GROUP BY ALL",
     "episode_statistics": f"WITH {_STATS} SELECT * FROM stats",
     "bootstrap_intervals": f"""WITH {_STATS}, e AS (SELECT episode_id, row_number() OVER (ORDER BY episode_id) - 1 AS number, count(*) OVER () AS k FROM (SELECT DISTINCT episode_id FROM stats)),
         d AS (SELECT r AS replicate, {h("'bootstrap|' || r || '|' || j")} % (SELECT max(k) FROM e)::UBIGINT AS number FROM range(500) t(r), range((SELECT max(k) FROM e)) u(j)),
@@ -292,7 +292,7 @@ ORACLES = {
         v AS (SELECT method, unnest(['delta_recognition', 'delta_response', 'delta_corrected']) AS metric, unnest([((audio_tp - text_tp) / nullif(positives, 0) + (audio_tn - text_tn) / nullif(negatives, 0)) / 2, net / nullif(observations, 0), corrected_net / nullif(corrected, 0)]) AS value FROM s)
         SELECT method, metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) FILTER (value IS NULL) AS undefined FROM v GROUP BY ALL""",
     "selector_loss": f"WITH {_SCORES}, x AS (SELECT *, z * 8 - 4 AS l FROM scores) SELECT method, condition, round(avg(CASE WHEN is_gold THEN 3 * (ln(1 + exp(-abs(l))) + greatest(-l, 0)) ELSE ln(1 + exp(-abs(l))) + greatest(l, 0) END), 6) AS loss FROM x GROUP BY ALL",
-    "outcome_consistency": f"WITH {_OUTCOMES} SELECT method, seed, count(*) AS n, sum((q = y)::INT - (p = y)::INT)::BIGINT AS net, count(*) FILTER (recognition_group = 'corrected') - count(*) FILTER (recognition_group = 'broken') AS group_net, (SELECT count(DISTINCT source_index) FROM sets) AS expected FROM outcomes GROUP BY ALL",
+    "outcome_consistency": f"WITH {_OUTCOMES} SELECT method, seed, count(*) AS n, sum((q = y)::INT - (p = y)::INT)::BIGINT AS net, count(*) FILTER (recognition_group = 'corrected') - count(*) FILTER (recognition_group = 'corrupted') AS group_net, (SELECT count(DISTINCT source_index) FROM sets) AS expected FROM outcomes GROUP BY ALL",
 }
 
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -62,13 +62,13 @@ def outcome_rows(spark, rows):
 
 
 def test_undefined_metrics_are_null(spark):
-    one = M.paired_metrics(outcome_rows(spark, [(1, 1, 1, 0, 1, "both_correct"), (1, 0, 0, 1, 1, "both_wrong")]), "method").first()
+    one = M.paired_metrics(outcome_rows(spark, [(1, 1, 1, 0, 1, "stable-correct"), (1, 0, 0, 1, 1, "stable-wrong")]), "method").first()
     assert one.recognition_text_ba is None and one.delta_corrected is None and one.help_harm_ratio is None and one.delta_literal is None and one.delta_sarcastic == 0.5
     assert M.transitions(outcome_rows(spark, [(1, 1, 1, 0, 1, "corrected")])).count() == 16
 
 
 def test_bootstrap(spark):
-    rows = outcome_rows(spark, [(1, 1, 1, 0, 1, "both_correct"), (0, 0, 0, 1, 1, "both_correct")])
+    rows = outcome_rows(spark, [(1, 1, 1, 0, 1, "stable-correct"), (0, 0, 0, 1, 1, "stable-correct")])
     stats = M.episode_statistics(rows, rows)
     got = {r.metric: r for r in M.bootstrap(stats, 50).collect()}
     assert got["delta_corrected"].low is None and got["delta_corrected"].undefined == 50
