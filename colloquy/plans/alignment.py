@@ -65,7 +65,9 @@ def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line against the next line of its conversation: ratio, with its bounds checked in the tests."""
     from pyspark.sql import Window
 
-    c = _corpus(spark, sf_dir).withColumn("after", F.lead("text_norm").over(Window.partitionBy("conversation_id").orderBy("order"))).filter("after is not null and length(text_norm) < 400 and length(after) < 400")
+    c = _corpus(spark, sf_dir).withColumn("after", F.lead("text_norm").over(Window.partitionBy("conversation_id").orderBy("order"))).filter("after is not null")
+    # few bytes but much work: dealt over all partitions, whatever the lengths of the conversations
+    c = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "utterance_id")
     return c.select("utterance_id", F.round(similarity_column(F.col("text_norm"), F.col("after"), 0.4), 6).alias("ratio"))
 
 

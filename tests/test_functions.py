@@ -97,3 +97,17 @@ def test_wav_header():
     assert D.wav_header(made(1, 10)) == {"channels": 1, "rate": 16000, "bits": 16, "frames": 10, "failure": None}
     assert D.wav_header(made(2, 10))["channels"] == 2 and D.wav_header(made(1, 0))["frames"] == 0
     assert D.wav_header(made(1, 10)[:-4])["failure"] == "TRUNCATED" and D.wav_header(b"RIFF")["failure"] == "NOT_WAV"
+
+
+def test_neighbouring_lines_of_all_lengths_are_scored(spark, tmp_path):
+    from colloquy.plans import alignment as P
+
+    random.seed(3)
+    line = lambda n: " ".join("".join(random.choices("abcde", k=4)) for _ in range(n // 5)).strip()
+    a, b = line(600), line(1500)
+    lines = ["short one", "short two", a, a + " more", b, b[:1199] + " end", "short one"]
+    spark.createDataFrame([(7, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.utterance_id: r.ratio for r in P.similarity_scores(spark, str(tmp_path)).collect()}
+    assert set(got) == {f"7|{i}" for i in range(6)}  # all neighbours, also those of 400 characters and more
+    for i in (2, 4):
+        assert got[f"7|{i}"] == round(SequenceMatcher(None, lines[i], lines[i + 1], autojunk=False).ratio(), 6)
