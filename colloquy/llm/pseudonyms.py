@@ -7,7 +7,7 @@ date another date in the same notation, an address another address of the same s
 pseudonyms in all documents, and who holds the key can turn them back.
 
 Defined cases: a null text stays null, an empty text empty, both with nothing found. Values that fail their validation
-stay. Of overlapping values the one of the earlier kind in KINDS is taken. Texts are processed whole, row by row, so
+stay; of a card or phone number that fails, the longest valid run of its first groups is taken. Of overlapping values the one of the earlier kind in KINDS is taken. Texts are processed whole, row by row, so
 rows that repeat are treated alike. An empty table gives an empty result.
 """
 
@@ -206,35 +206,80 @@ KINDS: dict[str, tuple[re.Pattern, Callable[[str], bool], Callable[[str, bytes,
     "iban": (re.compile(r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"), _iban_ok, _iban),
     "card": (re.compile(r"(?<![\d.-])(\d(?:[ -]?\d){12,18})(?![\d-])"), _card_ok, _card),
     "ssn": (re.compile(r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])"), _ssn_ok, lambda t, k, b: permute_text(t, k, "ssn", "d", _ssn_ok, b)),
-    "phone": (re.compile(r"(?<![\d.])((?:\+\d{1,2}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}|\+\d{8,15})(?![\d.-]*\d)"), _phone_ok, _phone),
+    "phone": (re.compile(r"(?<![\d.])((?:\+\d{1,2}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}|\+\d+(?:[ .-]?\(\d+\)\d*|[ .-]\d+){0,7})(?![\d.-]*\d)"), _phone_ok, _phone),
     "date": (re.compile(r"(?<![\d./-])(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d|[./-]\d)"), lambda t: _date_of(t) is not None, _date),
     "ip": (re.compile(r"(?<![\d.])(\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)"), _ip_ok, _ip),
 }
 _NEEDS = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|api_?key)")
 
 
+#: Kinds of which a match that fails its validation is tried again at its shorter ends, and what surrounds their values.
+_GROUPED = {"card", "phone"}
+_DIGITS, _AROUND = re.compile(r"\d+"), frozenset("0123456789 +().-")
+
+
+def _spans(text: str, kind: str) -> list[tuple[int, int]]:
+    """The validated values of a kind, in order. Of a grouped kind, a match is cut to the longest valid run of its groups; without one, the search goes on after its first group."""
+    pattern, valid, _ = KINDS[kind]
+    out, at = [], 0
+    while m := pattern.search(text, at):
+        a, b = m.span(m.lastindex)
+        at = m.end()
+        if kind in _GROUPED:
+            groups = [g.end() for g in _DIGITS.finditer(text, a, b)]
+            b = next((e for e in (b, *groups[-2::-1]) if valid(text[a:e])), None)
+            at = b or groups[0]
+        elif not valid(text[a:b]):
+            continue
+        if b:
+            out.append((a, b))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(from, to, kind) of the validated values in a text, in order, without overlaps."""
     if not _NEEDS.search(text):
         return []
     found, digit = [], any(c in text for c in "0123456789")
-    for kind, (pattern, valid, _) in KINDS.items():
+    for kind in KINDS:
         if (kind == "email" and "@" not in text) or (kind not in ("email", "password") and not digit):
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span(m.lastindex)
-            if valid(text[a:b]) and not any(a < y and x < b for x, y, _ in found):
+        for a, b in _spans(text, kind):
+            if not any(a < y and x < b for x, y, _ in found):
                 found.append((a, b, kind))
     return sorted(found)
 
 
+def _beside(pieces) -> str:
+    """The pieces (nearest first, each a string read away from the value) up to the first character that can't be in a number, and that character."""
+    out = []
+    for piece in pieces:
+        n = next((i for i, c in enumerate(piece) if c not in _AROUND), None)
+        if n is not None:
+            return "".join([*out, piece[: n + 1]])
+        out.append(piece)
+    return "".join(out)
+
+
 def replace(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
-    """(text with its values replaced, the values found)."""
-    found, out, last = find(text), [], 0
-    for a, b, kind in found:
-        out += [text[last:a], KINDS[kind][2](text[a:b], key, back)]
-        last = b
-    return "".join([*out, text[last:]]), found
+    """(text with its values replaced, the values found).
+
+    A card or phone number is moved on until the same values are found around it, so that it turns back; turned back
+    from the last value to the first, each has the surroundings it was moved in.
+    """
+    found = find(text)
+    cuts = [0, *(x for a, b, _ in found for x in (a, b)), len(text)]
+    pieces = [text[x:y] for x, y in zip(cuts, cuts[1:])]  # the odd ones are values
+    for i in range(len(pieces) - 2, 0, -2) if back else range(1, len(pieces), 2):
+        kind, value = found[i // 2][2], pieces[i]
+        new = KINDS[kind][2](value, key, back)
+        if kind in _GROUPED:
+            left, right = _beside(pieces[j][::-1] for j in range(i - 1, -1, -1))[::-1], _beside(pieces[j] for j in range(i + 1, len(pieces)))
+            same = find(left + value + right)
+            while find(left + new + right) != same:  # ends, as in permute
+                new = KINDS[kind][2](new, key, back)
+        pieces[i] = new
+    return "".join(pieces), found
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
