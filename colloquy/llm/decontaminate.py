@@ -4,16 +4,18 @@ Texts become templates: numbers (digits or number words), names (capitalised wor
 replaced by typed placeholders; other words are lower-cased without punctuation. Windows of eight template words of a
 document are joined on their hash with those of the benchmark. Where windows line up with an item (same distance
 between their places), the values behind the placeholders must agree: within an alignment, one value of the item may
-stand for one value of the document only. So a question that was re-parameterised throughout is found, and a text
+stand for one value of the document only; windows that hold a value against this are not covered, unless all their
+values are the item's own. So a question that was re-parameterised throughout is found, and a text
 that shares only a pattern of numbers is not. A document is contaminated by an item if consistent alignments cover at
-least half of the item's windows.
+least half of the item's windows, or half of its template windows.
+
+Windows with fewer than MIN_WORDS plain words say nothing as templates; they are joined on their exact words.
 
 A bitmap of fixed size over the benchmark's windows goes to all tasks; document windows that miss it are never
 emitted. Texts are scanned whole.
 
-Defined cases: null and empty texts are clean. An item with fewer than eight words is one window of all its words, if
-at least MIN_WORDS of these are no placeholders; items and windows with fewer are not searched for, since they say
-nothing about the item. Rows that repeat an id add up to one document. An empty benchmark leaves all documents clean.
+Defined cases: null and empty texts are clean. An item with fewer than eight words is one window of all its words; one
+with fewer than MIN_WORDS words in all is not searched for. Rows that repeat an id add up to one document. An empty benchmark leaves all documents clean.
 Columns besides id and text are ignored.
 """
 
@@ -46,7 +48,7 @@ UNITS = """mm cm m km kg g mg lb lbs oz l ml km/h mph inch inches foot feet yard
 kilometers kilometre kilometres gram grams kilogram kilograms pound pounds liter liters litre litres second seconds minute minutes
 hour hours day days week weeks month months year years dollar dollars euro euros cents percent degree degrees % $ €""".split()
 
-_NUM, _NAME, _UNIT = (np.uint64(x) for x in (0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547))
+_NUM, _NAME, _UNIT, _EXACT = (np.uint64(x) for x in (0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547, 0x9C15F73E62A76AE2))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _UPPER = np.zeros(256, bool)
@@ -89,8 +91,12 @@ def templates(c: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.choose(slots, [c.hashes, _NUM, _NAME, _UNIT]).astype(np.uint64), slots
 
 
-def windows(c: words.Chunk, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, first words, lengths, texts) of the template windows of a chunk that have enough plain words; and the words' slots."""
+def windows(c: words.Chunk, width: int = WIDTH, known: bool = False) -> tuple[np.ndarray, ...]:
+    """(hashes, first words, lengths, texts, exact) of the windows of a chunk; and the words' slots.
+
+    A window with enough plain words is hashed as a template. One with fewer is hashed by its exact words if known (the
+    benchmark); a document's windows are all hashed by their exact words too, since what is a name depends on the place.
+    """
     hashes, slots = templates(c)
     found, bounds = words.shingles(hashes, c.bounds, width)
     rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -98,35 +104,41 @@ def windows(c: words.Chunk, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray,
     size = np.minimum(c.bounds[rows + 1] - at, width)
     plain = np.cumsum(np.concatenate([[0], slots == 0]))
     good = plain[at + size] - plain[at] >= MIN_WORDS
-    return found[good], at[good], size[good], rows[good], slots
+    plainly = size >= MIN_WORDS
+    if known:
+        plainly &= ~good
+    literal = words.mixed(words.shingles(c.hashes, c.bounds, width)[0] ^ _EXACT)
+    both = lambda x: np.concatenate([x[good], x[plainly]])
+    exact = np.repeat([False, True], [good.sum(), plainly.sum()])
+    return np.concatenate([found[good], literal[plainly]]), both(at), both(size), both(rows), exact, slots
 
 
 def _slot_values(c: words.Chunk, slots: np.ndarray, at: int, size: int) -> list[str]:
     return [f"{slots[i]}{bytes(c.data[c.starts[i] : c.ends[i]]).decode('utf-8', 'replace').lower()}" for i in range(at, at + size) if slots[i]]
 
 
-def _rows(c: words.Chunk, ids: list, keep: np.ndarray, found, at, size, rows, slots) -> pa.RecordBatch:
+def _rows(c: words.Chunk, ids: list, keep: np.ndarray, found, at, size, rows, exact, slots) -> pa.RecordBatch:
     keep = np.flatnonzero(keep)
-    lists = [_slot_values(c, slots, int(at[i]), int(size[i])) for i in keep]
+    lists = [[] if exact[i] else _slot_values(c, slots, int(at[i]), int(size[i])) for i in keep]
     places = at[keep] - c.bounds[rows[keep]]
-    return pa.RecordBatch.from_arrays([pa.array([ids[c.first + r] for r in rows[keep].tolist()], pa.int64()), pa.array(places), pa.array(found[keep].view(np.int64)), pa.array(lists, pa.list_(pa.string()))], ["id", "place", "hash", "slots"])
+    return pa.RecordBatch.from_arrays([pa.array([ids[c.first + r] for r in rows[keep].tolist()], pa.int64()), pa.array(places), pa.array(found[keep].view(np.int64)), pa.array(lists, pa.list_(pa.string())), pa.array(exact[keep])], ["id", "place", "hash", "slots", "exact"])
 
 
-SCHEMA = "id long, place long, hash long, slots array<string>"
+SCHEMA = "id long, place long, hash long, slots array<string>, exact boolean"
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, place, hash, slots, item_windows of (id, text) rows."""
+    """item_id, place, hash, slots, exact, item_windows and item_templates (those that are not exact) of (id, text) rows."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("id").to_pylist()
             for c in words.chunks(batch.column("text"), _INSIDE, words.LOWER):
-                w = windows(c)
+                w = windows(c, known=True)
                 yield _rows(c, ids, np.ones(len(w[0]), bool), *w)
 
     made = materialise(items.mapInArrow(run, SCHEMA), "benchmark-windows")
-    sizes = made.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("item_windows"))
+    sizes = made.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("item_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("place"))).alias("item_templates"))
     return made.withColumnRenamed("id", "item_id").join(sizes, "item_id")
 
 
@@ -165,16 +177,21 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     lengths = items.select(F.regexp_count("text", F.lit(r"[^\s!\"'(),\-.:;?\[\]`{}*_]+")).alias("n")).filter(f"n < {WIDTH}").distinct()
     short = sorted(r["n"] for r in lengths.collect() if r["n"] >= MIN_WORDS)  # WIDTH values at most
     found = matched_windows(docs, known.select("hash"), short).withColumnRenamed("id", "doc_id")
-    found = materialise(found, "window-hits")
-    met = found.join(maybe_broadcast(known.select("hash", "item_id", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "item_windows")), "hash")
+    found = materialise(found.drop("exact"), "window-hits")
+    met = found.join(maybe_broadcast(known.select("hash", "item_id", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "exact", "item_windows", "item_templates")), "hash")
     met = met.filter(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("place") - F.col("item_place"))
     met = materialise(met, "aligned")
     pairs = met.filter(F.size("slots") > 0).select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
     values = pairs.groupBy("doc_id", "item_id", "shift", "z.item_slots").agg(F.min("z.slots").alias("lo"), F.max("z.slots").alias("hi"))
-    judged = values.groupBy("doc_id", "item_id", "shift").agg(F.max(F.col("lo") != F.col("hi")).alias("clash"), F.sum((F.col("lo") != F.col("item_slots")).cast("long")).alias("changed"))
-    held = met.join(judged, ["doc_id", "item_id", "shift"], "left").filter(~F.coalesce("clash", F.lit(False)))
-    out = held.groupBy("doc_id", "item_id").agg(F.countDistinct("item_place").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.max(F.coalesce("changed", F.lit(0))).alias("changed_slots"))
-    return out.withColumn("coverage", F.col("matched_windows") / F.col("item_windows")).filter(F.col("coverage") >= covered)
+    clash = F.col("lo") != F.col("hi")
+    judged = values.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.when(clash, F.col("item_slots"))).alias("clashing"), F.sum((~clash & (F.col("lo") != F.col("item_slots"))).cast("long")).alias("changed"))
+    # a clash takes the windows that hold its slot, but those whose values are all the item's own
+    held = met.join(judged, ["doc_id", "item_id", "shift"], "left").filter((F.col("slots") == F.col("item_slots")) | ~F.coalesce(F.arrays_overlap("item_slots", "clashing"), F.lit(False)))
+    share = lambda n, of: F.coalesce(F.try_divide(n, of), F.lit(0.0))
+    out = held.groupBy("doc_id", "item_id").agg(F.countDistinct("item_place").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.max(F.coalesce("changed", F.lit(0))).alias("changed_slots"), F.countDistinct(F.when(~F.col("exact"), F.col("item_place"))).alias("templates"), F.max("item_templates").alias("item_templates"))
+    # exact windows don't count against an item that was re-parameterised
+    coverage = F.greatest(share(F.col("matched_windows"), F.col("item_windows")), share(F.col("templates"), F.col("item_templates")))
+    return out.withColumn("coverage", coverage).filter(F.col("coverage") >= covered).drop("templates", "item_templates")
 
 
 def report(docs: DataFrame, items: DataFrame, **more) -> DataFrame:

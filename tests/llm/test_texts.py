@@ -85,6 +85,14 @@ def test_templates_and_slots(spark):
     assert sorted(r.doc_id for r in D.clean(docs, items).collect()) == [2, 3, 5] and D.report(docs, items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_copies_with_many_numbers_or_one_other_value_are_found(spark):
+    long = "the farmer sold 12 old carts at a market near his own house and then went home to count what was left of them before he bought another 12 new carts from the same old trader"
+    items = spark.createDataFrame([(1, "Compute 12 + 7 * 3 - 45 / 9."), (2, long), (3, "Add 4 5 6 7.")], "item_id long, text string")
+    rows = [(1, "Now: Compute 12 + 7 * 3 - 45 / 9. Good."), (2, "Now: Compute 13 + 7 * 3 - 45 / 9. Good."), (3, long.replace("another 12", "another 15")), (4, "so add 4 5 6 7 up"), (5, "so add 4 5 6 8 up"), (6, "we Compute 12 + 7 * 3 - 45 / 9 now")]
+    got = {r.doc_id: list(r["items"]) for r in D.report(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {1: [1], 2: [], 3: [2], 4: [3], 5: [], 6: [1]}
+
+
 def test_whole_items_in_text_are_found(spark):
     random.seed(2)
     word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
