@@ -276,7 +276,7 @@ def held_out():
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    # a bounded sample, the same at each run, with as many of each language as there are
+    # a bounded sample, the same at each run: a uniform share of the rows of the 200 most frequent languages, so rare ones may have no row
     langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
     ids = known.select("doc_id", "lang")
     share = rows / max(1, ids.count())
