@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (ids, counts, short keys) may be broadcast.
@@ -16,13 +16,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made where no shared one is named and all executors are threads of the driver.
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master (tests) gets a folder of its own; a cluster gets an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="colloquy-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="colloquy-"))
+    return _LOCAL[0]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -39,3 +46,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a narrow, materialised table if it has few enough rows; beyond that Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Rows of one key from which a join deals them over several tasks, and keys at most that are dealt so (rows / HOT_KEYS is the other bound).
+HOT_ROWS, HOT_KEYS = 500, 4096
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[Column | str], how: str = "inner", total: int | None = None) -> DataFrame:
+    """rows joined with a table of one row per key, whose column ``__n`` says how many rows have the key.
+
+    Keys with many rows are dealt over salts by a hash of the spread columns, and the table's row of such a key is
+    repeated once a salt. At most HOT_KEYS keys are that frequent, so their list is broadcast. total: rows in all, if known.
+    """
+    total = table.agg(F.sum("__n")).first()[0] or 0 if total is None else total
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    names = [f"__k{i}" for i in range(len(keys))]
+    hot = F.broadcast(table.filter(F.col("__n") > most).select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.ceil(F.col("__n") / most).cast("long").alias("__salts")))
+
+    def with_hot(df: DataFrame) -> DataFrame:
+        on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+        return df.join(hot, on, "left").drop(*names)
+
+    dealt = with_hot(rows).withColumn("__salt", F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.col("__salts")))).drop("__salts")
+    each = with_hot(table.filter(F.col("__n") > most)).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1))).drop("__salts")
+    each = each.unionByName(table.filter(F.col("__n") <= most).withColumn("__salt", F.lit(0).cast("long")))
+    return dealt.join(each.drop("__n"), [*keys, "__salt"], how).drop("__salt")

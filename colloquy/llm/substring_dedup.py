@@ -1,39 +1,50 @@
 """Removal of repeated byte strings by bucket-pointer refinement.
 
 A byte is removed if a string of LENGTH bytes that covers it starts at two places or more of the corpus. Suffixes are
-not sorted whole: they are put into buckets by what they begin with, and buckets are refined by the identifiers of
-buckets at later offsets, until strings of LENGTH bytes are told apart; a suffix that is alone in its bucket is done.
-
-0. Of the Q-grams in each LENGTH bytes, the one with the smallest hash (the leftmost of equals) stands for them: equal
-   strings have equal representatives at equal offsets, so about one place in 75 is put into the initial buckets.
-1. A representative stands for strings that start up to REACH bytes before it. If the bucket of all bytes of these
-   strings, around the representative, has two members or more, they all repeat; most of a long copy ends here.
-2. Else the starts are split into groups of GROUP neighbours. A group's bucket holds the bytes that its strings have
-   in common; alone in it, none of them repeats. The bucket of all bytes of the group's strings settles it if shared.
-3. What is left, the strings around the ends of copies, gets a bucket per string.
-
-A bucket's identifier is that of the bucket before and a 64-bit hash of the bytes, so each round tests 128 bits and
-only its own bytes. Buckets are counted by Spark with map-side sums: a passage that a third of all documents hold is
-a few counters. Documents meet their places again by a join on a key of id and text.
+not sorted whole: places are put into buckets by the Q bytes they begin with (their q-gram), and a bucket is refined by
+the identifiers of the buckets that hold the places at later offsets, until strings of LENGTH bytes are told apart. A
+place that is alone in its bucket is done. A refined bucket's identifier is the smallest (text, place) of its members;
+later rounds refine by it again.
+
+0. Texts that occur in two rows or more repeat as a whole: one row of each text goes on, so work does not grow with
+   the number of its copies.
+1. Of the q-grams in each LENGTH bytes, the one with the smallest hash (the leftmost of equals) stands for them: equal
+   strings have equal representatives at equal offsets, so about one place in 75 is put into the initial buckets. A
+   place carries the identifier of the bytes up to the end of the next place's q-gram.
+2. Places in shared buckets are refined by the identifiers at the next places of their text, doubled: those of two
+   places make one of the pair, which serves the place before as well. If the identifiers before and behind a place
+   cover all strings that it stands for, and another place has the same, all these strings repeat.
+3. The starts of other places are split into groups of GROUP neighbours. The bytes that a group's strings have in
+   common are refined from the bucket of their representative by the q-grams at later offsets, in two rounds, and then
+   by the q-grams at both ends of the group; if shared up to there, all strings of the group repeat.
+4. What is left are single strings around the ends of copies: the group's bucket is refined by the q-grams at which the
+   string begins and ends.
+
+Two strings count as equal if the identifiers of all their q-grams are: each is a 64-bit hash of Q bytes, and at least
+five of them cover a string. Buckets are counted with map-side sums; members of frequent buckets meet their counts by
+a salted join, so a passage that a third of all documents hold is dealt over many tasks. Texts meet their places again
+by the unique number of their row in the written table of distinct texts.
 
 Defined cases: null and empty texts have no bytes and nothing is removed. Texts under LENGTH bytes are left whole.
-Rows that repeat an id and text are two documents, which repeat each other. Empty tables give empty results. Columns
-besides id and text are ignored.
+Rows that repeat an id and text are two documents, which repeat each other. Null ids are kept. Empty tables give empty
+results. Columns besides id and text are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm import words
-from colloquy.llm.common import materialise
+from colloquy.llm.common import materialise, salted_join
 from colloquy.llm.exact_dedup import filter_words, passes_filter
 
 LENGTH, Q, GROUP = 200, 50, 16
 REACH = LENGTH - Q
+#: Doublings of the identifiers of next places: runs of up to eight places.
+LEVELS = 4
 #: Bytes that are processed at once, and how far around them is looked.
 PIECE, MARGIN = 1 << 19, 2 * LENGTH
 
@@ -85,25 +96,37 @@ def _pieces(array: pa.Array):
         row = stop
 
 
-def initial_buckets(docs: DataFrame) -> DataFrame:
-    """key, place, least, most (starts of the strings that the place stands for), b0 (Q bytes), b1 (all bytes of strings in reach; null at the ends of a text)."""
-    schema = pa.schema([("key", pa.int64()), ("place", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64())])
+PLACES = pa.schema([("key", pa.int64()), ("place", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("b0", pa.int64()), ("size", pa.int64()), ("id0", pa.int64())])
+
+
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} long" for f in schema)
 
-    def batch_of(keys, place, least, most, b0, b1, whole):
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(place), pa.array(least), pa.array(most), pa.array(b0.view(np.int64)), pa.array(b1.view(np.int64), mask=~whole)], schema=schema)
+
+def initial_buckets(texts: DataFrame) -> DataFrame:
+    """key, place, least, most (starts of the strings that the place stands for), b0 (its q-gram), size and id0 (the bytes from the place to the end of the next place's q-gram; null behind the last place)."""
+
+    def batch_of(keys, place, least, most, b0, size, id0):
+        last = size == 0
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(place), pa.array(least), pa.array(most), pa.array(b0.view(np.int64)), pa.array(size, mask=last), pa.array(id0.view(np.int64), mask=last)], schema=PLACES)
 
     def run(batches):
         for batch in batches:
             keys = batch.column("key").to_numpy()
             held, of = [], None
             for row, stop, bounds, data, base, first, last in _pieces(batch.column("text")):
-                place, least, most, b0, total = representatives(data, bounds[1:], first, last)
+                # a little further than the piece, so that its last place knows the next one
+                place, least, most, b0, total = representatives(data, bounds[1:], first, last + REACH + 1)
                 owner = np.searchsorted(bounds, place, "right") - 1
-                whole = (place - REACH >= bounds[owner]) & (place + LENGTH <= bounds[owner + 1])
-                b1 = words.spans(total, np.where(whole, place - REACH, 0), np.where(whole, place + LENGTH, 0))
+                near = np.zeros(len(place), bool)
+                near[:-1] = owner[1:] == owner[:-1]
+                follow = np.append(place[1:], 0)
+                size = np.where(near, follow + Q - place, 0)
+                id0 = words.spans(total, np.where(near, place, 0), np.where(near, follow + Q, 0))
                 shift = base - bounds[owner]
-                part = (keys[row + owner], place + shift, least + shift, most + shift, b0, b1, whole)
-                if stop - row == 1:  # perhaps one of several parts, whose margins may name a place twice
+                mine = least < last
+                part = tuple(x[mine] for x in (keys[row + owner], place + shift, least + shift, np.minimum(most, last - 1) + shift, b0, size, id0))
+                if stop - row == 1:  # perhaps one of several parts, which may both name a place at their border
                     if of is not None and of != row:
                         yield batch_of(*_joined(held))
                         held = []
@@ -113,45 +136,79 @@ def initial_buckets(docs: DataFrame) -> DataFrame:
             if held:
                 yield batch_of(*_joined(held))
 
-    return docs.mapInArrow(run, "key long, place long, least long, most long, b0 long, b1 long")
+    return texts.select("key", "text").mapInArrow(run, ddl(PLACES))
 
 
 def _joined(parts: list[tuple]) -> tuple:
-    """The parts of one text as one, each run of starts once."""
-    key, place, least, most, b0, b1, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """The parts of one text as one, each place once."""
+    key, place, least, most, b0, size, id0 = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((least, place))
-    key, place, least, most, b0, b1, whole = (x[order] for x in (key, place, least, most, b0, b1, whole))
+    key, place, least, most, b0, size, id0 = (x[order] for x in (key, place, least, most, b0, size, id0))
     new = np.ones(len(place), bool)
-    new[1:] = (place[1:] != place[:-1])
+    new[1:] = place[1:] != place[:-1]
     head = np.flatnonzero(new)
     if not len(head):
-        return key, place, least, most, b0, b1, whole
-    seen = np.maximum.reduceat(whole.astype(np.int8), head) > 0
-    best = np.maximum.reduceat(np.where(whole, np.arange(len(place)), -1), head)
-    return key[head], place[head], least[head], np.maximum.reduceat(most, head), b0[head], b1[np.maximum(best, 0)], seen
+        return key, place, least, most, b0, size, id0
+    return key[head], place[head], least[head], np.maximum.reduceat(most, head), b0[head], size[head], id0[head]
+
+
+def refined(rows: DataFrame, bucket: list[str], later: list[str], into: tuple[str, str] | None) -> DataFrame:
+    """The members of buckets that still hold two or more after a refinement by the identifiers in the later columns.
+
+    into: names of the columns of the new bucket's identifier, its smallest (key, place). Identifiers that are used up
+    go; a group or an offset among the bucket's columns stays, since a place stands in one bucket for each of these.
+    """
+    keys = [*bucket, *later]
+    member = F.min(F.struct("key", "place")).alias("__m")
+    counts = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *([member] if into else [])).filter("__n > 1"), "bucket-sizes")
+    found = salted_join(rows, counts, keys, ["key", "place"])
+    if into:
+        found = found.select(*(c for c in rows.columns if c == "grp" or c not in keys), F.col("__m.key").alias(into[0]), F.col("__m.place").alias(into[1]))
+    return found
+
+
+def marked(rows: DataFrame, bucket: list[str], later: list[str]) -> DataFrame:
+    """rows with the boolean column all: whether the row's bucket is still shared after a refinement by later. A null identifier shares nothing."""
+    keys = [*bucket, *later]
+    counts = rows.filter(" and ".join(f"{c} is not null" for c in keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").withColumn("all", F.lit(True))
+    return salted_join(rows, materialise(counts, "bucket-sizes"), keys, ["key", "place"], "left").withColumn("all", F.coalesce("all", F.lit(False)))
+
+
+def by_next_places(rows: DataFrame) -> DataFrame:
+    """Places with before and behind: identifiers of runs of places that end and begin at them and cover the strings they stand for; null where no run of 2 ** (LEVELS - 1) places or fewer does.
 
+    A run's identifier is made from those of its halves: its own and the one at the place where the second half begins.
+    """
+    w = Window.partitionBy("key").orderBy("place")
+    out = rows.withColumn("size0", F.col("size"))
+    for level in range(1, LEVELS):
+        step, size, name = 1 << (level - 1), F.col(f"size{level - 1}"), f"id{level - 1}"
+        joins = F.lead("place", step).over(w) == F.col("place") + size - Q  # no place between is missing
+        out = out.withColumns({f"id{level}": F.when(joins, F.xxhash64(name, F.lead(name, step).over(w))), f"size{level}": F.when(joins, size - Q + F.lead(f"size{level - 1}", step).over(w))})
+        out = out.withColumn(f"id{level}", F.when(F.col(f"size{level}").isNotNull(), F.col(f"id{level}")))
 
-def shared(rows: DataFrame, *bucket: str) -> DataFrame:
-    """The buckets with two members or more."""
-    return rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+    def ahead(level: int) -> Column:
+        return F.when(F.col(f"size{level}") >= F.col("most") + LENGTH - F.col("place"), F.col(f"id{level}"))
 
+    def back(level: int) -> Column:
+        size = F.lag(f"size{level}", 1 << level).over(w)
+        meets = F.lag("place", 1 << level).over(w) + size - Q == F.col("place")
+        return F.when(meets & (size - Q >= F.col("place") - F.col("least")), F.lag(f"id{level}", 1 << level).over(w))
 
-def _marked(rows: DataFrame, name: str, *bucket: str) -> DataFrame:
-    """rows with a boolean column: whether the row's bucket is shared."""
-    known = shared(rows.filter(" and ".join(f"{b} is not null" for b in bucket)), *bucket).select(*(F.col(b).alias(f"__{b}") for b in bucket), F.lit(True).alias(name))
-    on = [F.col(b) == F.col(f"__{b}") for b in bucket]
-    return rows.join(known, on, "left").drop(*(f"__{b}" for b in bucket)).withColumn(name, F.coalesce(name, F.lit(False)))
+    none = F.when(F.col("place") == F.col("least"), F.lit(0).cast("long"))
+    return out.withColumns({"before": F.coalesce(none, *map(back, range(LEVELS))), "behind": F.coalesce(*map(ahead, range(LEVELS)))}).select("key", "place", "least", "most", "b0", "before", "behind")
 
 
-def _with_texts(docs: DataFrame, places: DataFrame, struct: str) -> DataFrame:
-    """(text, places) of the documents that have rows in places: key and a struct column. A filter of fixed size spares most other texts the shuffle."""
+def _with_texts(texts: DataFrame, places: DataFrame, struct: str) -> DataFrame:
+    """(text, places) of the texts that have rows in places: key and a struct column. A filter of fixed size spares most other texts the shuffle."""
     lists = materialise(places.groupBy("key").agg(F.collect_list(struct).alias("places")), "places")  # bounded by the length of a text
-    some = passes_filter(docs.withColumn("digest", F.col("key").cast("string")), filter_words(lists.select(F.col("key").cast("string").alias("digest"))))
+    some = passes_filter(texts.select("key", "text").withColumn("digest", F.col("key").cast("string")), filter_words(lists.select(F.col("key").cast("string").alias("digest"))))
     return some.select("key", "text").join(lists, "key")
 
 
-GROUPED = pa.schema([("key", pa.int64()), ("place", pa.int64()), ("b0", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("grp", pa.int64()), ("b2", pa.int64()), ("b3", pa.int64())])
-SINGLE = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("b0", pa.int64()), ("off", pa.int64()), ("b4", pa.int64())])
+_LONG = pa.int64()
+GROUPED = pa.schema([(n, _LONG) for n in ("key", "place", "b0", "least", "most", "grp", "p0", "p1", "p2", "p3", "e0", "e1")])
+SINGLE = pa.schema([(n, _LONG) for n in ("key", "start", "bk", "bp", "off", "f0", "f1")])
 
 
 def _each_text(make, schema: pa.Schema):
@@ -182,8 +239,12 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.data, mask=np.ma.getmaskarray(c)) if isinstance(c, np.ma.MaskedArray) else pa.array(c) for c in columns], schema=schema)
 
 
+#: Offsets of the q-grams that cover the LENGTH - GROUP + 1 bytes which the strings of a group have in common.
+CORE = (0, Q, LENGTH - GROUP + 1 - 2 * Q, LENGTH - GROUP + 1 - Q)
+
+
 def _groups(text: np.ndarray, f: dict) -> tuple:
-    """The groups of starts of each place, with their buckets."""
+    """The groups of starts of each place, with the q-grams of what their strings have in common, and of the group's ends."""
     low, high = (f["place"] - f["most"]) // GROUP, (f["place"] - f["least"]) // GROUP
     many = high - low + 1
     of = np.repeat(np.arange(len(many)), many)
@@ -191,18 +252,18 @@ def _groups(text: np.ndarray, f: dict) -> tuple:
     core = f["place"][of] - GROUP * group
     front = core - (GROUP - 1)
     whole = (front >= 0) & (core + LENGTH <= len(text))
-    b2 = _hash_each(text, core, core + LENGTH - (GROUP - 1)).view(np.int64)
-    b3 = _hash_each(text, np.where(whole, front, 0), np.where(whole, core + LENGTH, 0)).view(np.int64)
-    return f["place"][of], f["b0"][of], f["least"][of], f["most"][of], group, b2, np.ma.array(b3, mask=~whole)
+    grams = [_hash_each(text, core + o, core + o + Q).view(np.int64) for o in CORE]
+    ends = [np.ma.array(_hash_each(text, np.where(whole, x, 0), np.where(whole, x + Q, Q)).view(np.int64), mask=~whole) for x in (front, core + LENGTH - Q)]
+    return f["place"][of], f["b0"][of], f["least"][of], f["most"][of], group, *grams, *ends
 
 
 def _strings(text: np.ndarray, f: dict) -> tuple:
-    """The single strings of each group, with their buckets."""
+    """The single strings of each group, with the q-grams at which they begin and end."""
     offset = (GROUP * f["grp"])[:, None] + np.arange(GROUP)[None, :]
     start = f["place"][:, None] - offset
     row, column = np.nonzero((start >= f["least"][:, None]) & (start <= f["most"][:, None]))
     s = start[row, column]
-    return s, f["b0"][row], offset[row, column], _hash_each(text, s, s + LENGTH).view(np.int64)
+    return s, f["bk"][row], f["bp"][row], offset[row, column], _hash_each(text, s, s + Q).view(np.int64), _hash_each(text, s + LENGTH - Q, s + LENGTH).view(np.int64)
 
 
 def _hash_each(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -218,48 +279,57 @@ def _hash_each(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def _witnesses(rows: DataFrame, settled: str, *bucket: str) -> DataFrame:
+def _witnesses(rows: DataFrame, *bucket: str) -> DataFrame:
     """One row of each bucket of settled rows. Its strings stand for those of the whole bucket when others are compared with them."""
     columns = [c for c in rows.columns if c not in bucket]
-    one = rows.filter(settled).groupBy(*bucket).agg(F.min(F.struct(*columns)).alias("__w"))
+    one = rows.filter("all").groupBy(*bucket).agg(F.min(F.struct(*columns)).alias("__w"))
     return one.select(*bucket, "__w.*").select(rows.columns)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """key, from, to: byte ranges of documents (key, text) that strings which repeat cover. Ranges may overlap."""
-    first = materialise(initial_buckets(docs), "buckets-0")
-    met = first.join(shared(first, "b0"), "b0", "left_semi")
-    met = materialise(_marked(met, "all", "b0", "b1"), "buckets-1")
-    spans = met.filter("all").select("key", (F.col("place") - REACH).alias("from"), (F.col("place") + LENGTH).alias("to"))
+def _unsettled(rows: DataFrame, bucket: list[str], later: list[str]) -> DataFrame:
+    """The rows that are not settled, and witnesses for the settled ones in their buckets."""
+    left = rows.filter("not all")
+    seen = _witnesses(rows, *bucket, *later)
+    return left.unionByName(seen.join(left.select(*bucket).distinct(), bucket, "left_semi").select(rows.columns))
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """key, from, to: byte ranges of distinct texts (key, text) that strings which repeat cover. Ranges may overlap."""
+    places = materialise(initial_buckets(texts), "places-0")
+    met = refined(places, ["b0"], [], None)
+    met = materialise(marked(by_next_places(met), ["b0"], ["before", "behind"]), "places-1")
+    spans = met.filter("all").select("key", F.col("least").alias("from"), (F.col("most") + LENGTH).alias("to"))
 
-    left = met.filter("not all")
-    seen = _witnesses(met, "all", "b0", "b1").join(left.select("b0").distinct(), "b0", "left_semi").select(met.columns)
-    places = left.unionByName(seen).select("key", F.struct("place", "b0", "least", "most").alias("p"))
-    groups = materialise(_with_texts(docs, places, "p").mapInArrow(_each_text(_groups, GROUPED), GROUPED_DDL), "buckets-2")
-    groups = groups.join(shared(groups, "b0", "grp", "b2"), ["b0", "grp", "b2"], "left_semi")
-    groups = materialise(_marked(groups, "all", "b0", "grp", "b2", "b3"), "buckets-3")
+    left = _unsettled(met, ["b0"], ["before", "behind"]).select("key", F.struct("place", "b0", "least", "most").alias("p"))
+    groups = materialise(_with_texts(texts, left, "p").mapInArrow(_each_text(_groups, GROUPED), ddl(GROUPED)), "groups-0")
+    groups = materialise(refined(groups, ["b0", "grp"], ["p0", "p1"], ("ck", "cp")), "groups-1")
+    groups = refined(groups, ["ck", "cp", "grp"], ["p2", "p3"], ("bk", "bp"))
+    groups = materialise(marked(groups, ["bk", "bp", "grp"], ["e0", "e1"]), "groups-2")
     core = F.col("place") - GROUP * F.col("grp")
     spans = spans.unionByName(groups.filter("all").select("key", (core - (GROUP - 1)).alias("from"), (core + LENGTH).alias("to")))
 
-    left = groups.filter("not all")
-    seen = _witnesses(groups, "all", "b0", "grp", "b2", "b3").join(left.select("b0", "grp", "b2").distinct(), ["b0", "grp", "b2"], "left_semi").select(groups.columns)
-    places = left.unionByName(seen).select("key", F.struct("place", "b0", "grp", "least", "most").alias("p"))
-    strings = materialise(_with_texts(docs, places, "p").mapInArrow(_each_text(_strings, SINGLE), SINGLE_DDL), "buckets-4")
-    again = strings.join(shared(strings, "b0", "off", "b4"), ["b0", "off", "b4"], "left_semi")
+    left = _unsettled(groups, ["bk", "bp", "grp"], ["e0", "e1"]).select("key", F.struct("place", "bk", "bp", "grp", "least", "most").alias("p"))
+    strings = materialise(_with_texts(texts, left, "p").mapInArrow(_each_text(_strings, SINGLE), ddl(SINGLE)), "strings")
+    again = refined(strings.withColumn("place", F.col("start")), ["bk", "bp", "off"], ["f0", "f1"], None)
     return spans.unionByName(again.select("key", F.col("start").alias("from"), (F.col("start") + LENGTH).alias("to")))
 
 
-GROUPED_DDL = ", ".join(f"{f.name} long" for f in GROUPED)
-SINGLE_DDL = ", ".join(f"{f.name} long" for f in SINGLE)
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """key, digest, n (rows), text of the distinct texts of LENGTH bytes or more, each once. docs: digest, text.
 
-
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    A filter of fixed size lets texts that surely occur once stay where they are.
+    """
+    some = docs.filter(F.octet_length("text") >= LENGTH)
+    again = materialise(some.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copied-texts")
+    words_ = filter_words(again.select("digest"))
+    once = passes_filter(some, words_, inverse=True).select("digest", F.lit(1).cast("long").alias("n"), "text")
+    more = passes_filter(some, words_).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+    # the number is written with the text, so it is the same whenever it is read
+    return materialise(once.unionByName(more).withColumn("key", F.monotonically_increasing_id()), "texts")
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:
-    """key, froms, tos: the maximal runs of each document, in order."""
+    """key, froms, tos: the maximal runs of each text, in order."""
 
     def run(batches):
         for batch in batches:
@@ -278,20 +348,18 @@ def merged_spans(spans: DataFrame) -> DataFrame:
                 tos.append(y[np.append(head[1:], len(x)) - 1])
             yield pa.RecordBatch.from_arrays([keys, pa.array(froms, pa.list_(pa.int64())), pa.array(tos, pa.list_(pa.int64()))], ["key", "froms", "tos"])
 
-    # a document's ranges are bounded by its length
+    # a text's ranges are bounded by its length
     return spans.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans")).mapInArrow(run, "key long, froms array<long>, tos array<long>")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), froms, tos."""
-    docs = keyed(docs, id_col, text_col)
-    runs = materialise(merged_spans(repeated_spans(docs)), "removed")
+def changed_texts(docs: DataFrame) -> DataFrame:
+    """digest, __n (rows), n_removed, n_spans, kept (the remaining bytes) of the texts that lose bytes. docs: digest, text."""
+    texts = distinct_texts(docs)
+    runs = materialise(merged_spans(repeated_spans(texts)), "removed")
     size = F.octet_length("text").cast("long")
-    # documents that surely have no removed range stay where they are
+    whole = texts.filter("n > 1").select("digest", F.col("n").alias("__n"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
     words_ = filter_words(runs.select(F.col("key").cast("string").alias("digest")))
-    marked = docs.withColumn("digest", F.col("key").cast("string"))
-    some = passes_filter(marked, words_).drop("digest").join(runs, "key", "left")
-    none = passes_filter(marked, words_, inverse=True).select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    some = passes_filter(texts.filter("n = 1").select("key", F.col("digest").alias("text_digest"), "text").withColumn("digest", F.col("key").cast("string")), words_).drop("digest").join(runs, "key")
 
     def cut(batches):
         for batch in batches:
@@ -299,15 +367,32 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out = []
             for r, (froms, tos) in enumerate(zip(batch.column("froms").to_pylist(), batch.column("tos").to_pylist(), strict=True)):
                 text = data[at[r] : at[r + 1]].tobytes()
-                kept = b"".join(text[a:b] for a, b in zip([0, *(tos or [])], [*(froms or []), len(text)], strict=True))
-                out.append({"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(froms or []), "kept": kept})
-            made = pa.RecordBatch.from_pylist(out, pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made.columns], ["doc_id", *made.schema.names])
+                kept = b"".join(text[a:b] for a, b in zip([0, *tos], [*froms, len(text)], strict=True))
+                out.append({"__n": 1, "n_removed": len(text) - len(kept), "n_spans": len(froms), "kept": kept})
+            made = pa.RecordBatch.from_pylist(out, pa.schema([("__n", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([batch.column("text_digest"), *made.columns], ["digest", *made.schema.names])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return some.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").unionByName(none)
+    return some.mapInArrow(cut, "digest string, __n long, n_removed long, n_spans long, kept binary").unionByName(whole)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+    docs = _keyed(docs, id_col, text_col)
+    changed = materialise(changed_texts(docs.select("digest", "text")), "changed-texts")
+    out = salted_join(docs, changed, ["digest"], ["doc_id"], "left")
+    none = F.lit(0).cast("long")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", F.col("text").cast("binary")).alias("kept"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return removals(docs, id_col, text_col).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256. A text that loses nothing keeps its digest, so no text is joined."""
+    docs = _keyed(docs, id_col, text_col)
+    changed = changed_texts(docs.select("digest", "text")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    out = salted_join(docs.drop("text"), materialise(changed, "changed-texts"), ["digest"], ["doc_id"], "left")
+    none = F.lit(0).cast("long")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"))

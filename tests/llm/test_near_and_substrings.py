@@ -105,7 +105,6 @@ def test_removed_bytes_match_brute_force(spark, monkeypatch):
     assert S.report(docs(spark, [])).count() == 0
     for piece in (700, 1 << 19):  # long texts in parts give the same buckets
         monkeypatch.setattr(S, "PIECE", piece)
-        keyed = S.keyed(docs(spark, rows[:7]))
         import pyarrow as pa
 
         texts = pa.array([(t or "") for _, t in rows[:7]])
@@ -115,4 +114,31 @@ def test_removed_bytes_match_brute_force(spark, monkeypatch):
             owner = np.searchsorted(bounds, place, "right") - 1
             places |= {(int(row + o), int(p + low - bounds[o])) for p, o in zip(place, owner)}
         monkeypatch.setattr(S, f"_seen_{piece}", places, raising=False)
-    assert getattr(S, "_seen_700") == getattr(S, f"_seen_{1 << 19}") and keyed.count() == 7
+    assert getattr(S, "_seen_700") == getattr(S, f"_seen_{1 << 19}")
+
+
+def test_removed_bytes_of_cut_and_joined_copies_match_brute_force(spark):
+    random.seed(7)
+    letters = lambda n, some="abcdefgh ": "".join(random.choice(some) for _ in range(n))
+    bases = [letters(2500), letters(900, "ab"), "abcab" * 200, letters(700)]
+    rows = []
+    for _ in range(60):
+        parts = []
+        for _ in range(random.randint(1, 4)):
+            base = random.choice(bases)
+            a = random.randint(0, len(base) - 50)
+            parts += [base[a : a + random.choice([150, 199, 200, 201, 230, 260, 420, 800])], letters(random.choice([0, 1, 40, 300]))]
+        rows.append((len(rows) % 50, "".join(parts)))
+    rows += [(90, bases[3][:300])] * 40 + [(None, bases[3][100:400]), (91, "y" * 199), (91, "y" * 200), (92, "z" * 201)]
+    want = sorted(brute_removal([(-1 if i is None else i, t.encode()) for i, t in rows]))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.report(docs(spark, rows)).collect())
+    assert got == want
+    kept = S.removals(docs(spark, rows)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in kept) == want
+    extra = docs(spark, rows[:3]).withColumnRenamed("label", "digest").withColumnRenamed("bucket", "key")
+    assert S.report(extra).count() == 3
+
+
+def test_equal_rows_are_one_text(spark):
+    texts = S.distinct_texts(S._keyed(docs(spark, [(1, "x" * 420)] * 30 + [(2, "y" * 100)]), "doc_id", "text").select("digest", "text")).collect()
+    assert [(t.n, len(t.text)) for t in texts] == [(30, 420)]
