@@ -7,10 +7,11 @@
 3. Slots: a source with target t reads all its blocks floor(t / size) times, and then blocks until t is reached; the
    last slot takes only the words that are still due. Slot i of a pass reads block P(i), P a keyed permutation of the
    source's full blocks (its short last block comes last in each pass).
-4. Shards: a keyed permutation deals all slots over output shards. The counts of sources in a shard are then a
-   multinomial draw at the target weights, conditioned on the totals over all shards being the targets; so shards vary
-   as draws do, yet each source comes out at its target.
-5. Blocks join slots on (source, block).
+4. Shards: every slot of an output shard draws its source at the target weights, with replacement, so a shard's counts
+   are a multinomial draw. Where a source has drawn more slots than its target in all, it gives up those in the last
+   shards, and sources that have drawn too few get them: shards vary as draws do, yet each source meets its target.
+   Within a shard, a permutation of its places mixes the sources.
+5. Blocks join slots on (source, block). The words taken of a document are those of its pieces in the mix.
 
 Permutations are keyed Feistel networks over mixed-radix numbers with cycle walking, written as columns: no index
 table is sorted or stored, so the largest source costs no more per row than the others.
@@ -27,14 +28,16 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import materialise, maybe_broadcast
 
 BLOCK_WORDS = 64
-SHARD_SLOTS = 4096
+SHARD_SLOTS = 1 << 14
 MAX_REPEAT = 3
 #: Steps of a cycle walk. Out of range are fewer than sqrt(n) of n numbers, so a walk of 32 steps happens in n ** -16 cases; it then fails, rather than lose a slot.
 WALK_STEPS = 32
 #: Slots that one row expands into.
 CHUNK = 4096
-#: Documents in a bucket of the running sums, on average.
-BUCKET_DOCS = 1000
+#: Documents in a bucket of the running sums, on average, and shards in a group of theirs.
+BUCKET_DOCS, SHARD_GROUP = 1000, 1024
+#: Cells of the table in which a draw finds its source.
+CELLS = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -123,21 +126,58 @@ def pack(docs: DataFrame, seed: int = 7, text_col: str = "text", id_col: str = "
     return sources, placed.withColumn("start", F.col("bucket_start") + F.col("__at")).drop("__s", "__b", "__at", "bucket_start", "bucket")
 
 
+def running(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """rows (shard, source_no, …) with the sum of value over the source's earlier shards. Sums go over groups of shards, then within them, so no task holds all shards of a source."""
+    rows = rows.withColumn("__g", F.floor(F.col("shard") / SHARD_GROUP))
+    sums = rows.groupBy("source_no", "__g").agg(F.sum(value).alias("__v"))
+    start = F.coalesce(F.sum("__v").over(Window.partitionBy("source_no").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("source_no", "__g", start.alias("__start"))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("source_no", "__g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__w", within).join(sums, ["source_no", "__g"]).withColumn(out, F.col("__start") + F.col("__w")).drop("__g", "__w", "__start")
+
+
+def shard_counts(sources: DataFrame, seed: int = 7, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """shard, source_no, n: multinomial draws of the sources of each shard's slots, corrected in the last shards to the sources' slots."""
+    spark = sources.sparkSession
+    total = sources.agg(F.sum("slots")).first()[0] or 0  # one number
+    width = max(1, -(-total // CELLS))
+    last = F.col("first_slot") + F.col("slots") - 1
+    cells = sources.filter("slots > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("first_slot") / width), F.floor(last / width)))).select("cell", "source_no", F.col("first_slot").alias("from"), last.alias("to"))
+    chunks = spark.range(0, -(-total // CHUNK), 1, max(1, total // (8 * CHUNK))).withColumn("x", F.explode(F.sequence(F.col("id") * CHUNK, F.least((F.col("id") + 1) * CHUNK, F.lit(total)) - 1)))
+    draws = chunks.select(F.floor(F.col("x") / shard_slots).alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 2), "x"), F.lit(max(total, 1))).alias("u")).withColumn("cell", F.floor(F.col("u") / width))
+    drawn = draws.join(maybe_broadcast(materialise(cells, "mix-cells")), "cell").filter("u between from and to").groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("n"))
+    drawn = running(materialise(drawn, "mix-draws"), "n", "before").join(maybe_broadcast(sources.select("source_no", "slots")), "source_no")
+    # a source keeps its draws up to its slots; the others are open
+    kept = F.least(F.col("before") + F.col("n"), "slots") - F.least("before", "slots")
+    drawn = materialise(drawn.select("shard", "source_no", "n", kept.alias("kept")), "mix-kept")
+    # as many open slots as sources lack: a share of about 1 / sqrt(total)
+    order = Window.orderBy("shard", "source_no").rowsBetween(Window.unboundedPreceding, -1)
+    free = drawn.filter("n > kept").withColumn("k", F.col("n") - F.col("kept")).withColumn("at", F.coalesce(F.sum("k").over(order), F.lit(0)))
+    free = free.select("shard", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1)).alias("q"))
+    lack = sources.select("source_no", "slots").join(drawn.groupBy("source_no").agg(F.sum("kept").alias("kept")), "source_no", "left").withColumn("k", F.col("slots") - F.coalesce("kept", F.lit(0))).filter("k > 0")
+    lack = lack.withColumn("at", F.coalesce(F.sum("k").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    lack = lack.select("source_no", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1)).alias("q"))
+    given = free.join(lack, "q").groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("n"))
+    out = drawn.select("shard", "source_no", F.col("kept").alias("n")).unionByName(given)
+    return materialise(out.groupBy("shard", "source_no").agg(F.sum("n").alias("n")).filter("n > 0"), "mix-shards")
+
+
 def slots(sources: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """One row per slot of the mix: shard, place, source_no, block, words (of the block, from its start)."""
-    chunks = sources.filter("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))))
+    counts = running(shard_counts(sources, seed, shard_slots), "n", "first")
+    ahead = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"offset": F.coalesce(F.sum("n").over(ahead), F.lit(0)), "held": F.sum("n").over(Window.partitionBy("shard"))})
     parts = sources.agg(F.ceil(F.coalesce(F.sum("slots"), F.lit(0)) / (8 * CHUNK)).cast("int")).first()[0]
-    chunks = chunks.repartition(max(1, parts), "source_no", "chunk")
-    first = F.col("chunk") * CHUNK
-    out = chunks.withColumn("i", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("slots")) - 1)))
+    rows = counts.join(maybe_broadcast(sources.select("source_no", "size", "blocks", "passes", "rest")), "source_no").repartition(max(1, parts), "shard", "source_no")
+    out = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("i", F.col("first") + F.col("j"))
     turn, at = F.floor(F.col("i") / F.col("blocks")).cast("long"), F.col("i") % F.col("blocks")
     full = F.col("blocks") - 1
     out = out.withColumns({"turn": turn, "at": at})
     block = F.when(F.col("at") == full, full).otherwise(permuted(F.col("at"), F.greatest(full, F.lit(1).cast("long")), F.lit(seed), F.col("source_no"), F.col("turn")))
     length = F.when(F.col("at") == full, F.col("size") - full * block_words).otherwise(F.lit(block_words).cast("long"))
     left = F.when(F.col("turn") < F.col("passes"), length).otherwise(F.least(length, F.col("rest") - F.col("at") * block_words))
-    place = permuted(F.col("first_slot") + F.col("i"), F.col("all_slots"), F.lit(seed + 1))
-    return out.select(F.floor(place / shard_slots).alias("shard"), (place % shard_slots).alias("place"), "source_no", block.alias("block"), left.alias("words"))
+    place = permuted(F.col("offset") + F.col("j"), F.col("held"), F.lit(seed + 1), F.col("shard"))
+    return out.select("shard", place.alias("place"), "source_no", block.alias("block"), left.alias("words"))
 
 
 def pieces(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -148,25 +188,26 @@ def pieces(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return cut.withColumns({"piece_from": F.greatest(F.col("start") - base, F.lit(0)), "piece_to": F.least(end - base, F.lit(block_words).cast("long"))})
 
 
-def mixed_blocks(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, **more) -> DataFrame:
+def mix(sources: DataFrame, placed: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """One row per piece of a document in a slot: shard, place, source_no, start (of the document), doc_id, source, block, piece_from, piece_to."""
+    # both sides grow with the input, which Spark can't tell from an explode: no broadcast
+    written = materialise(slots(sources, seed, block_words, shard_slots), "mix-slots")
+    joined = pieces(placed, block_words).join(written.hint("merge"), ["source_no", "block"])
+    return joined.withColumn("piece_to", F.least("piece_to", "words")).filter("piece_to > piece_from").select("shard", "place", "source_no", "start", "source", "doc_id", "block", "piece_from", "piece_to")
+
+
+def mixed_blocks(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, **more) -> DataFrame:
     """The mix itself: one row per piece of a document in a slot, with shard, place, piece_from and piece_to."""
     sources, placed = pack(docs, seed, block_words=block_words, **more)
-    joined = pieces(placed, block_words).join(materialise(slots(sources, seed, block_words), "mix-slots").hint("merge"), ["source_no", "block"])
-    return joined.withColumn("piece_to", F.least("piece_to", "words")).filter("piece_to > piece_from").select("shard", "place", "source", "doc_id", "block", "piece_from", "piece_to")
-
+    return mix(sources, placed, seed, block_words, shard_slots).drop("source_no", "start")
 
-def taken_words(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, **more) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and taken, the words of it in the mix, repeats counted.
 
-    Slots are first counted per block and length, so a block is joined once and not once for each time it is read.
-    """
+def taken_words(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, **more) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target and taken, the words of it in the mix, repeats counted."""
     sources, placed = pack(docs, seed, block_words=block_words, **more)
     placed = materialise(placed, "mix-placed")
-    used = materialise(slots(sources, seed, block_words).select("source_no", "block", "words"), "mix-slots").groupBy("source_no", "block", "words").agg(F.count(F.lit(1)).alias("times"))
-    used = used.groupBy("source_no", "block").agg(F.collect_list(F.struct("words", "times")).alias("uses"))  # a full and a cut length at most
-    # both sides of these joins grow with the input, which Spark can't tell from an explode: no broadcast
-    here = F.aggregate("uses", F.lit(0).cast("long"), lambda acc, u: acc + u["times"] * F.greatest(F.least(F.col("piece_to"), u["words"]) - F.col("piece_from"), F.lit(0).cast("long")))
-    taken = pieces(placed, block_words).join(used.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(here).alias("taken"))
+    mixed = mix(sources, placed, seed, block_words, shard_slots)
+    taken = mixed.groupBy("source_no", "start").agg(F.sum(F.col("piece_to") - F.col("piece_from")).alias("taken"))
     some = placed.filter("size > 0").join(taken.hint("merge"), ["source_no", "start"], "left")
     none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return some.unionByName(none).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")

@@ -73,6 +73,24 @@ def test_mixed_blocks_hold_what_is_taken(spark):
     assert blocks.select("shard", "place").distinct().count() >= blocks.select("source", "block").distinct().count()
 
 
+def test_shards_are_draws_that_meet_the_totals(spark):
+    rows = [(i, " ".join(["w"] * 40), "aabc"[i % 4]) for i in range(800)]
+    sources, _ = M.pack(docs(spark, rows), block_words=8)
+    slots = {r.source_no: r.slots for r in sources.collect()}
+    counts = M.shard_counts(sources, shard_slots=256).collect()
+    total, shards = sum(slots.values()), {}
+    for r in counts:
+        shards.setdefault(r.shard, {})[r.source_no] = r.n
+    assert {s: sum(c.get(s, 0) for c in shards.values()) for s in slots} == slots
+    assert [sum(shards[k].values()) for k in sorted(shards)] == [256] * (total // 256) + ([total % 256] if total % 256 else [])
+    spread = [c.get(0, 0) for k, c in sorted(shards.items()) if k < total // 256 - 2]
+    p = slots[0] / total
+    assert abs(sum(spread) / len(spread) - 256 * p) < 4 * (256 * p * (1 - p) / len(spread)) ** 0.5  # as binomial draws are
+    assert 0.2 < sum((x - 256 * p) ** 2 for x in spread) / len(spread) / (256 * p * (1 - p)) < 4
+    placed = M.mixed_blocks(docs(spark, rows), block_words=8, shard_slots=256).select("shard", "place").distinct().count()
+    assert placed == total
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 64, 1000):
         got = [r[0] for r in spark.range(n).select(M.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3))).collect()]
