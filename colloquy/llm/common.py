@@ -36,6 +36,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def whole_ids(df: DataFrame, id_col: str) -> Column:
+    """The id column as long. Ids of another kind than whole numbers raise an error, since a cast would make them null."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"ids are whole numbers; {id_col} is {kind}")
+    return F.col(id_col).cast("long")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.llm import exact_dedup as E
@@ -37,6 +38,27 @@ def test_drop_copies_keeps_columns_and_one_of_repeated_rows(spark):
     assert E.drop_copies(docs(spark, [])).count() == 0
 
 
+def test_runs_are_probed_before_they_are_merged(spark):
+    rows = [(i, f"t{i % 60}" if i % 3 else f"u{i}", "x") for i in range(400)] + [(7, "t1", "x")] * 5
+    table = docs(spark, rows).withColumnRenamed("source", "digest").repartition(5, "doc_id")
+    best, n = {}, {}
+    for i, t, _ in rows:
+        best[t], n[t] = max(best.get(t, i), i), n.get(t, 0) + 1
+    keyed = table.select(E.text_digest(F.col("text")).alias("digest"), F.pmod(F.xxhash64("text"), F.lit(97)).alias("slot"), F.col("doc_id").alias("id"))
+    runs, filters = E.flush_runs(keyed, 16)
+    assert runs.count() == runs.select("run", "digest").distinct().count() and filters.count() == runs.select("run").distinct().count() > 20
+    assert {(r.most_id, r.n) for r in E.compact(runs, filters).collect()} == {(best[t], n[t]) for t in n if n[t] > 1}
+    got = {(r.doc_id, r.keep_id, r.group_size) for r in E.report(table, keep="most", memtable_rows=16).collect()}
+    assert got == {(i, best[t], n[t]) for i, t, _ in rows}
+    kept = E.drop_copies(table, keep="most", memtable_rows=16)
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == sorted(best.values())
+
+
+def test_ids_that_are_no_numbers_raise(spark):
+    with pytest.raises(TypeError, match="whole numbers"):
+        E.report(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def water_fill(sizes, weights, total):
     target, held = {}, set()
     while True:
