@@ -169,7 +169,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumn("__digest", digest(F.col(text_col)))
     known = filter_words(classes.select("digest"))
     named = lambda df, key: df.withColumnsRenamed({c: f"__c{i}" for i, c in enumerate(names)}).withColumn("digest", key)
-    back = lambda df: df.withColumnsRenamed({f"__c{i}": c for i, c in enumerate(names)}).drop("digest")
+    back = lambda df: df.drop("digest").withColumnsRenamed({f"__c{i}": c for i, c in enumerate(names)})
     id_at, text_at = f"__c{names.index(id_col)}", f"__c{names.index(text_col)}"
     alone = back(passes_filter(named(rows, F.col("__digest")), known, inverse=True))
     candidates = passes_filter(named(rows, F.col("__digest")), known).drop("digest")

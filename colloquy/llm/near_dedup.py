@@ -17,10 +17,15 @@ bucket, not all pairs are formed:
 
 So a group of n near copies costs about n comparisons if its original is there; where it isn't, pairs are counted
 within tasks but never emitted, and two components of a bucket stay apart only if all their pairs there were compared.
+Members of large buckets, copies of one set and partners of one leader meet their counterparts by salted joins.
+
+Shingles are compared by 64-bit hashes of their words, sets by 128-bit digests.
 
 Defined cases: null and empty texts, and those without words, have an empty set, are linked with nothing and kept.
-Fewer than five words make one shingle. Rows that repeat are copies; those that repeat an id too are all reported with
-the same component. Empty tables give empty results. Columns besides id and text are ignored.
+Fewer than five words make one shingle. Rows that repeat are copies. Rows that repeat an id are one document, whatever
+their texts: what is linked with one of them is linked with all, and all with words are reported with the same component. Null ids
+are linked with nothing. Ids are whole numbers; others raise an error. Empty tables give empty results. Columns besides
+id and text are ignored; ``keep_one`` keeps them.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import words
-from colloquy.llm.common import materialise
+from colloquy.llm.common import materialise, salted_join, whole_ids
 from colloquy.llm.components import components
 from colloquy.llm.exact_dedup import filter_words, passes_filter
 
@@ -94,6 +99,11 @@ def band_keys(sets: np.ndarray, bounds: np.ndarray, bands: int = BANDS, rows: in
     return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64)))
 
 
+def set_keys(sets: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Digests of the sets; null for empty ones."""
+    return pa.array([hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).hexdigest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+
+
 def summarise(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (digest of the set; null if empty), bands (array of bucket keys)."""
 
@@ -101,72 +111,67 @@ def summarise(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for first, sets, bounds in distinct_sets(batch.column("text")):
                 size = np.diff(bounds)
-                keys = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).hexdigest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(size)), pa.array(size), pa.array(keys, pa.string()), band_keys(sets, bounds)], ["doc_id", "n_shingles", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(size)), pa.array(size), set_keys(sets, bounds), band_keys(sets, bounds)], ["doc_id", "n_shingles", "set_key", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key string, bands array<long>")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, doc_id) of the buckets with two documents or more. rows: doc_id, bands."""
-    rows = rows.select(F.explode("bands").alias("bucket"), "doc_id")
-    full = rows.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("bucket")
-    return materialise(rows.join(full, "bucket", "left_semi"), "buckets")
+    """bucket, node and the bucket's lo and hi (first and last node) of the buckets with two nodes or more. rows: node, bands."""
+    rows = rows.select(F.explode("bands").alias("bucket"), "node")
+    full = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("__n")).filter("lo < hi")
+    return materialise(salted_join(rows, materialise(full, "bucket-sizes"), ["bucket"], ["node"]), "buckets")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles (sorted)."""
+    """set_key, shingles (sorted) of texts."""
 
     def run(batches):
         for batch in batches:
-            for first, sets, bounds in distinct_sets(batch.column("text")):
+            for _, sets, bounds in distinct_sets(batch.column("text")):
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(bounds) - 1), lists], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([set_keys(sets, bounds), lists], ["set_key", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "set_key string, shingles array<long>")
 
 
 def leader_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b) pairs of the first and the last member of each bucket with all its members. buckets: bucket, doc_id."""
-    ends = buckets.groupBy("bucket").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
-    met = buckets.join(ends.select("bucket", F.explode(F.array("x", "y")).alias("leader")), "bucket").filter(F.col("doc_id") != F.col("leader"))
-    return met.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+    """(a, b) pairs of the first and the last node of each bucket with all its nodes."""
+    met = buckets.select("node", F.explode(F.array("lo", "hi")).alias("leader")).filter("node <> leader")
+    return met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def shared_sizes(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """doc_id, n, shared of the members of buckets: the size of the set, and the shingles of it that another member has."""
-    members = materialise(sets.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), "members")
-    owned = members.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("doc_id")).filter("k = 1")
-    own = owned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-    return members.select("doc_id", "n").join(own, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
-
-
-def linkable(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Rows of buckets (bucket, doc_id, label) without the members that the bound shows to have no link, with n and shared."""
-    return materialise(buckets.join(shared_sizes(buckets, sets).filter(100 * F.col("shared") >= threshold * F.col("n")), "doc_id"), "linkable")
+def open_sets(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, n and shingles of the nodes of buckets: the size of the set, and the shingles of it that another node has."""
+    members = materialise(sets.join(buckets.select("node").distinct(), "node", "left_semi"), "members")
+    held = members.select("node", F.explode("shingles").alias("s"))
+    owned = held.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1")
+    own = owned.groupBy("node").agg(F.collect_list("s").alias("own"))  # bounded by the length of a text
+    shared = F.when(F.col("own").isNull(), F.col("shingles")).otherwise(F.array_except("shingles", "own"))
+    return materialise(members.join(own, "node", "left").select("node", "n", shared.alias("shingles")), "open-sets")
 
 
 def several(buckets: DataFrame) -> DataFrame:
     """The rows of buckets that hold members of several components."""
-    spread = buckets.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    return materialise(buckets.join(spread, "bucket", "left_semi"), "open")
+    spread = buckets.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("__n")).filter("least < most").select("bucket", "__n")
+    return materialise(salted_join(buckets, materialise(spread, "bucket-sizes"), ["bucket"], ["node"]), "open")
 
 
 def block_links(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) links between members of different components of each bucket, as many as join them. buckets: bucket, doc_id, label, n."""
+    """(a, b) links between members of different components of each bucket, as many as join them. buckets: bucket, node, label, n. sets: node, n, shingles (those that others have)."""
     many = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    blocks = buckets.groupBy("bucket").agg(many.alias("blocks"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = buckets.join(blocks, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "label").join(sets.select("doc_id", "shingles"), "doc_id")
+    blocks = buckets.groupBy("bucket").agg(many.alias("blocks"), F.count(F.lit(1)).alias("__n"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = salted_join(buckets, materialise(blocks, "bucket-sizes"), ["bucket"], ["node"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label").join(sets, "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, labels = table.column("doc_id").to_numpy(), table.column("label").to_numpy()
+        ids, labels, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
         lists = table.column("shingles").combine_chunks()
-        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        held = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         values = lists.flatten().to_numpy(zero_copy_only=False)
         _, at, k = np.unique(values, return_inverse=True, return_counts=True)
-        rows, shared = np.repeat(np.arange(len(ids)), n), k[at] > 1
+        rows, shared = np.repeat(np.arange(len(ids)), held), k[at] > 1
         rows, at = rows[shared], np.unique(at[shared], return_inverse=True)[1]
         common = np.zeros((len(ids), len(ids)), np.float32)
         for x in range(0, int(at.max()) + 1 if len(at) else 0, 4096):
@@ -195,52 +200,72 @@ def block_links(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFram
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """pairs (a, b) whose sets have 100 * intersection >= threshold * union. sets: doc_id, shingles, n."""
-    sized = sets.select("doc_id", "n")
-    near = pairs.join(sized.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.filter(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = near.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    """pairs (a, b) whose sets have 100 * intersection >= threshold * union. sets: node, shingles, n. A node with many pairs has its set sent to several tasks."""
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        uses = rows.groupBy(name).agg(F.count(F.lit(1)).alias("__n"))
+        return uses.join(sets.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("shingles").alias(f"s{name}")), name)
+
+    total = pairs.count()
+    near = salted_join(pairs, side(pairs, "a").drop("sa"), ["a"], ["b"], total=total)
+    near = salted_join(near, side(pairs, "b").drop("sb"), ["b"], ["a"], total=total)
+    near = materialise(near.filter(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")), "pairs")
+    both = salted_join(near, side(near, "a").drop("na"), ["a"], ["b"], total=total)
+    both = salted_join(both, side(near, "b").drop("nb"), ["b"], ["a"], total=total)
+    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
     return both.filter(100 * F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def links_and_labels(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(summary, classes, labels): rows of summarise(); set_key to representative; representative to its component."""
+def links_and_labels(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(summary, named): rows of summarise(); set_key, __n (rows) and component (smallest doc_id) of each distinct set."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     summary = materialise(summarise(docs), "minhash")
     some = summary.filter("set_key is not null and doc_id is not null")
-    classes = some.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("r")).select("set_key", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"))
-    classes = materialise(classes, "classes")
-    buckets = shared_buckets(classes.select(F.col("rep").alias("doc_id"), "bands"))
+    classes = some.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("r"), F.count(F.lit(1)).alias("__n"))
+    # the number of a class is written with it, so it is the same whenever it is read
+    classes = materialise(classes.select("set_key", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"), "__n", F.monotonically_increasing_id().alias("node")), "classes")
+    buckets = shared_buckets(classes.select("node", "bands"))
     # the texts of those that met someone: a filter of fixed size thins them out, the join decides
-    ids = materialise(buckets.select("doc_id").distinct(), "met").withColumn("digest", F.col("doc_id").cast("string"))
-    texts = passes_filter(docs.withColumn("digest", F.col("doc_id").cast("string")), filter_words(ids)).join(ids.select("doc_id"), "doc_id", "left_semi")
-    sets = materialise(shingle_sets(texts.select("doc_id", "text")).groupBy("doc_id").agg(F.first("shingles").alias("shingles")).withColumn("n", F.size("shingles").cast("long")), "shingles")
+    met = materialise(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "set_key", "rep"), "met")
+    texts = passes_filter(docs.withColumn("digest", F.col("doc_id").cast("string")), filter_words(met.select(F.col("rep").cast("string").alias("digest"))))
+    texts = texts.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = shingle_sets(texts).join(met.select("set_key", "node"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = materialise(sets.withColumn("n", F.size("shingles").cast("long")), "shingles")
 
     links = materialise(confirmed(materialise(leader_pairs(buckets), "pairs"), sets, threshold), "links")
+    # rows that repeat an id are one document
+    split = some.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo < hi").select("doc_id")
+    split = materialise(some.join(split, "doc_id", "left_semi").select("doc_id", "set_key").distinct(), "split-ids")
+    if split.limit(1).count():
+        nodes = materialise(split.join(classes.select("set_key", "node"), "set_key").select("doc_id", "node"), "split-nodes")
+        links = links.unionByName(nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b"))
     labels = components(links)
-
-    def labelled() -> DataFrame:
-        return buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-
-    rest = several(linkable(several(labelled()), sets, threshold))
-    more = materialise(block_links(rest, sets, threshold), "links")
+    labelled = buckets.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = several(labelled)
+    shared = open_sets(rest, sets)
+    able = shared.filter(100 * F.size("shingles").cast("long") >= threshold * F.col("n"))
+    rest = several(rest.join(able.select("node", "n"), "node"))
+    more = materialise(block_links(rest, able, threshold), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
-    return summary, classes.select("set_key", "rep"), labels.select(F.col("node").alias("doc_id"), "label")
+    named = classes.select("set_key", "rep", "__n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = materialise(named, "named")
+    least = named.groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("__k"))
+    named = salted_join(named.withColumnRenamed("__n", "rows"), least.withColumnRenamed("__k", "__n"), ["label"], ["node"])
+    return summary, materialise(named.select("set_key", F.col("rows").alias("__n"), "component"), "components")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    summary, classes, labels = links_and_labels(docs, threshold)
-    named = classes.join(labels.select(F.col("doc_id").alias("rep"), "label"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
-    out = summary.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    docs = docs.select(whole_ids(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    summary, named = links_and_labels(docs, threshold)
+    known = F.when(F.col("doc_id").isNotNull(), F.col("set_key"))
+    out = salted_join(summary.select("doc_id", "n_shingles", known.alias("set_key")), named, ["set_key"], ["doc_id"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; rows that repeat it go, too."""
+    """docs with one document of each component, the one with the smallest id; all rows of the others go."""
     gone = report(docs, id_col, text_col).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")

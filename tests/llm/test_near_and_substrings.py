@@ -71,6 +71,15 @@ def test_near_copies_without_their_original_and_repeats(spark):
     assert N.report(docs(spark, [])).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    base = [" ".join(f"{c}{i}" for i in range(40)) for c in "wxyz"]
+    rows = [(1, base[0]), (2, base[0] + " z"), (1, base[1]), (3, base[1] + " z"), (4, base[2]), (5, base[3]), (None, base[3]), (5, None)]
+    got = {(r.doc_id, r.component_id) for r in N.report(docs(spark, rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (None, None)}
+    clash = docs(spark, rows[:4]).withColumnRenamed("label", "set_key").withColumnRenamed("bucket", "node")
+    assert {r.doc_id for r in N.keep_one(clash).collect()} == {1}
+
+
 def test_circulant_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     common, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (600, 200, 200))
