@@ -10,8 +10,12 @@ and payloads by their declared lengths; it never searches payloads for markers.
 - WARC-Type: ``response``, or ``revisit`` for a record whose payload another record of the same conversion holds;
 - WARC-Payload-Digest: SHA-1 in base 32, of the bytes after the HTTP header; WARC-Block-Digest of the whole block.
 
-Archives are written with Spark's text writer (gzip), one record per row and the WARC record separator between rows,
-so that they land wherever Spark can write; they are read back with ``binaryFile``. MAX_FILE_RECORDS bounds a file.
+Archives hold one gzip member a record, a warcinfo record first, and at most FILE_BYTES of compressed bytes (a larger
+record has a file of its own). They are written with Spark's text writer, one archive a row, so that they land wherever
+Spark can write, and read back with ``binaryFile``, member by member.
+
+Payloads are equal if their SHA-256 digests are. A record that surely has no copy is written where it is; of the others,
+only headers are joined, and payloads of those that stay responses are moved.
 
 Defined cases: a null or empty payload is a response of 0 bytes. Payloads under ``min_bytes`` are never revisits.
 Of equal payloads, the row with the largest id stays a response. Rows that repeat an id and payload all become
@@ -22,7 +26,9 @@ table gives an empty result. Other columns than id, url and html are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import new_path
+from colloquy.llm.common import materialise, new_path, salted_join, whole_ids
+from colloquy.llm.exact_dedup import filter_words, passes_filter
 
 # Fixed by the ARC format: field names of the URL lines of its two versions.
 ARC_FIELDS = {
@@ -39,11 +46,14 @@ ARC_FIELDS = {
     "2": ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 # Fixed by the WARC format.
-SEPARATOR = "\r\n\r\n"
+SEPARATOR = b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MIN_REVISIT_BYTES = 1000
-MAX_FILE_RECORDS = 4000
+#: Compressed bytes of an archive.
+FILE_BYTES = 8 << 20
+#: Rows that are Python objects at once.
+SLICE = 512
 #: Name space of the record ids.
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -86,15 +96,27 @@ def _line(content: bytes, at: int) -> tuple[bytes, int]:
     return content[at:end].rstrip(b"\r"), end + 1
 
 
-def inflated(content: bytes) -> bytes:
+def inflated_parts(content: bytes) -> Iterator[bytes]:
+    """The bytes of gzip members, or of plain content, in parts of about a megabyte."""
+    size = 1 << 20
     if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content:
+        yield from (content[a : a + size] for a in range(0, len(content), size))
+        return
+    at, end = 0, len(content.rstrip(b"\0")) if content.endswith(b"\0" * 9) else len(content)
+    while at < end:
         member = zlib.decompressobj(31)
-        out.append(member.decompress(content) + member.flush())
-        content = member.unused_data.lstrip(b"\0")
-    return b"".join(out)
+        while not member.eof and at < end:
+            piece = content[at : at + 65536]
+            out = member.decompress(piece)
+            at += len(piece) - len(member.unused_data)
+            if out:
+                yield out
+        if not member.eof:
+            raise ValueError("a gzip member is cut short")
+
+
+def inflated(content: bytes) -> bytes:
+    return b"".join(inflated_parts(content))
 
 
 def read_arc(archives: DataFrame, column: str = "content") -> DataFrame:
@@ -137,7 +159,7 @@ def pages_as_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
             files = []
             for page, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 payload = (html or "").encode("utf-8", "surrogatepass")
@@ -147,7 +169,7 @@ def pages_as_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 files.append(arc_file(f"page-{page}.arc", "1" if (page or 0) % 2 else "2", [(url or "-", "0.0.0.0", date, "text/html", head + payload)]))
             yield pa.RecordBatch.from_arrays([pa.array(files, pa.binary())], ["content"])
 
-    return pages.select(F.col(id_col).cast("long"), F.col(url_col), F.col(html_col)).mapInArrow(run, "content binary")
+    return pages.select(whole_ids(pages, id_col), F.col(url_col), F.col(html_col)).mapInArrow(run, "content binary")
 
 
 def split_block(block: bytes) -> tuple[bytes, bytes]:
@@ -160,22 +182,22 @@ def split_block(block: bytes) -> tuple[bytes, bytes]:
 
 
 def described(records: DataFrame) -> DataFrame:
-    """ARC records with what WARC headers need: page_id, http, payload, payload_digest (hex SHA-1), payload_bytes, record_id."""
-    columns = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string()), ("http", pa.binary()), ("payload", pa.binary())]
+    """ARC records with what WARC headers need: page_id, http, payload, payload_digest (hex SHA-1), payload_key (SHA-256), payload_bytes, record_id."""
+    columns = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload_key", pa.string()), ("record_id", pa.string()), ("http", pa.binary()), ("payload", pa.binary())]
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
             rows = batch.to_pylist()
             new = []
             for r in rows:
                 http, payload = split_block(r["block"])
                 digest = hashlib.sha1(payload).hexdigest()
                 page = next((int(x[10:]) for x in http.split(b"\r\n") if x[:10].lower() == b"x-page-id:"), None)
-                new.append({"page_id": page, "payload_bytes": len(payload), "payload_digest": digest, "record_id": record_id(r["url"], r["date"], page, digest), "http": http, "payload": payload})
+                new.append({"page_id": page, "payload_bytes": len(payload), "payload_digest": digest, "payload_key": hashlib.sha256(payload).hexdigest(), "record_id": record_id(r["url"], r["date"], page, digest), "http": http, "payload": payload})
             made = pa.RecordBatch.from_pylist(new, pa.schema(columns))
             yield pa.RecordBatch.from_arrays([*made.columns, *(batch.column(c) for c in ("url", "ip", "date", "content_type"))], [*(c for c, _ in columns), "url", "ip", "date", "content_type"])
 
-    return records.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_id string, http binary, payload binary, url string, ip string, date string, content_type string")
+    return records.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, payload_key string, record_id string, http binary, payload binary, url string, ip string, date string, content_type string")
 
 
 def record_id(url: str, date: str, page, digest: str) -> str:
@@ -214,40 +236,91 @@ def convert(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame
 
     Of equal payloads of min_bytes or more, the record with the largest page_id keeps its payload.
     """
-    full = described(records)
-    kept = full.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("keep"), F.max_by("record_id", "page_id").alias("refers_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    known = kept.select(F.col("payload_digest").alias("__d"), F.col("payload_bytes").alias("__b"), "keep", "refers_id")
-    joined = full.join(known, (F.col("payload_digest") == F.col("__d")) & (F.col("payload_bytes") == F.col("__b")), "left")
-    joined = joined.withColumn("refers_to", F.when(~F.col("keep").eqNullSafe(F.col("page_id")), F.col("keep")))
+    full = materialise(described(records), "arc-records")
+    kept = full.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_key").agg(F.max("page_id").alias("keep"), F.max_by("record_id", "page_id").alias("refers_id"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    kept = materialise(kept, "kept-payloads")
+    known = filter_words(kept.select(F.col("payload_key").alias("digest")))
+    none = {"refers_to": F.lit(None).cast("long"), "refers_id": F.lit(None).cast("string")}
+    alone = passes_filter(full.withColumn("digest", F.col("payload_key")), known, inverse=True).drop("digest").withColumns(none)
+    some = passes_filter(full.withColumn("digest", F.col("payload_key")), known).drop("digest")
+    heads = materialise(salted_join(some.drop("payload"), kept, ["payload_key"], ["record_id"], "left"), "record-heads")
+    revisit = F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(F.col("page_id"))
+    revisits = heads.filter(revisit).withColumn("refers_to", F.col("keep")).withColumn("payload", F.lit(None).cast("binary")).drop("keep")
+    stay = heads.filter(~revisit).select("record_id").distinct()
+    bodies = passes_filter(some.withColumn("digest", F.col("record_id")), filter_words(stay.select(F.col("record_id").alias("digest")))).drop("digest").join(stay, "record_id", "left_semi").withColumns(none)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
             yield pa.RecordBatch.from_arrays([pa.array([warc_record(r) for r in batch.to_pylist()], pa.binary())], ["record"])
 
-    return joined.drop("__d", "__b", "keep").mapInArrow(run, "record binary")
+    return alone.unionByName(revisits).unionByName(bodies).mapInArrow(run, "record binary")
+
+
+def warc_info(number: str) -> bytes:
+    """The record that opens an archive. Its id and date follow from what the archive holds, so that writing again gives the same bytes."""
+    block = b"software: colloquy\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, f'warcinfo {number}')}>", "WARC-Date: 1996-01-01T00:00:00Z", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block
+
+
+def packed(records: Iterator[bytes], file_bytes: int = FILE_BYTES) -> Iterator[bytes]:
+    """Archives of WARC records: gzip members, a warcinfo record first.
+
+    The last byte of an archive is the highest one of its last member's length, 0 for a member under 16 MB; an empty
+    member follows a larger one.
+    """
+
+    def member(record: bytes) -> bytes:
+        return gzip.compress(record + SEPARATOR, mtime=0)
+
+    held, size, last = [], 0, 0
 
+    def archive() -> bytes:
+        first = member(warc_info(hashlib.sha1(held[0]).hexdigest()))
+        return b"".join([first, *held, *([gzip.compress(b"", mtime=0)] if last >= 1 << 24 else [])])
 
-def write_warc(records: DataFrame, path: str, max_file_records: int = MAX_FILE_RECORDS) -> None:
-    """Write WARC records as gzip archives: each record, then its separator."""
-    # the bytes pass through a string column unchanged: neither the cast nor the writer looks at them
-    writer = records.select(F.col("record").cast("string").alias("value")).write
-    writer.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", max_file_records).text(path)
+    for record in records:
+        held.append(member(record))
+        size, last = size + len(held[-1]), len(record) + len(SEPARATOR)
+        if size >= file_bytes:
+            yield archive()
+            held, size = [], 0
+    if held:
+        yield archive()
+
+
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write WARC records as archives of one gzip member a record."""
+
+    def run(batches):
+        for archive in packed((r.as_py() for batch in batches for r in batch.column(0)), file_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([archive[:-1]], pa.binary())], ["archive"])
+
+    # the bytes pass through a string column unchanged: neither the cast nor the writer looks at them; the end of line is the byte that was taken off
+    writer = records.mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value")).write
+    writer.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record of a WARC file's bytes."""
-    content, at = inflated(content), 0
-    while at < len(content):
-        if not content.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        end = content.index(b"\r\n\r\n", at)
-        pairs = (line.partition(":") for line in content[at:end].decode("utf-8", "replace").split("\r\n")[1:])
-        fields = {name.lower(): value.strip() for name, _, value in pairs}
-        size = int(fields["content-length"])
-        if content[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"WARC record {fields.get('warc-record-id')} is not {size} bytes long")
-        yield fields, content[end + 4 : end + 4 + size]
-        at = end + 8 + size
+    """(header fields in lower case, block) of each record of a WARC file's bytes, which are inflated as far as needed."""
+    held, at = bytearray(), 0
+    for part in inflated_parts(content):
+        held += part
+        while (end := held.find(b"\r\n\r\n")) >= 0:
+            if not held.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record at byte {at}")
+            pairs = (line.partition(":") for line in held[:end].decode("utf-8", "replace").split("\r\n")[1:])
+            fields = {name.lower(): value.strip() for name, _, value in pairs}
+            size = int(fields["content-length"])
+            if len(held) < end + 8 + size:
+                break
+            if held[end + 4 + size : end + 8 + size] != SEPARATOR:
+                raise ValueError(f"WARC record {fields.get('warc-record-id')} is not {size} bytes long")
+            yield fields, bytes(held[end + 4 : end + 4 + size])
+            del held[: end + 8 + size]
+            at += end + 8 + size
+    if held:
+        raise ValueError(f"a WARC record at byte {at} is cut short")
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -272,9 +345,11 @@ def read_warc(spark, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                yield pa.RecordBatch.from_pylist([row(*r) for r in parse_warc(content.as_py())], schema)
+                rows = (row(*r) for r in parse_warc(content.as_py()) if r[0].get("warc-type") in ("response", "revisit"))
+                while some := list(itertools.islice(rows, SLICE)):
+                    yield pa.RecordBatch.from_pylist(some, schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0").select("content")
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, date string")
 
 

@@ -137,6 +137,26 @@ def test_archives_round_trip(spark):
     assert A.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_archives_hold_one_member_a_record_and_bounded_bytes():
+    import gzip
+    import zlib
+
+    random.seed(1)
+    records = [f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {n}\r\n\r\n".encode() + random.randbytes(n) for n in (0, 10, 5000, 70000, 3)]
+    archives = list(A.packed(iter(records), 6000))
+    assert len(archives) == 2 and all(a.endswith(b"\0") for a in archives)
+    found = [r for a in archives for r in A.parse_warc(a)]
+    assert [int(f["content-length"]) for f, _ in found if f["warc-type"] == "response"] == [0, 10, 5000, 70000, 3] and sum(f["warc-type"] == "warcinfo" for f, _ in found) == 2
+    member = zlib.decompressobj(31)
+    assert member.decompress(archives[0]).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and member.eof and member.unused_data
+    large = list(A.packed(iter([b"WARC/1.1\r\nContent-Length: 16777216\r\n\r\n" + b"x" * 16777216])))
+    assert large[0].endswith(b"\0") and [len(b) for _, b in A.parse_warc(large[0])][1] == 16777216
+    assert len(list(A.parse_warc(gzip.decompress(archives[0])))) == 5  # plain, and as one member
+    assert len(list(A.parse_warc(gzip.compress(gzip.decompress(archives[0]))))) == 5
+    with pytest.raises(ValueError, match="cut short"):
+        list(A.parse_warc(archives[0][:-30]))
+
+
 def test_both_arc_versions_and_damage():
     import gzip
 
