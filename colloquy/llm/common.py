@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow table (ids, counts, short keys) may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (written as JSON) up to which a table may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +49,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(back)] = (weakref.ref(back, lambda _, key=id(back): _WRITTEN.pop(key, None)), path)
+    return back
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a narrow, materialised table if it has few enough rows; beyond that Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Folders of materialised tables that are still referred to.
+_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of materialised tables whose readers have been written themselves."""
+    for df in tables:
+        known = _WRITTEN.pop(id(df), None)
+        if known and known[0]() is df:
+            spark = df.sparkSession.sparkContext
+            path = spark._jvm.org.apache.hadoop.fs.Path(known[1])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a materialised table if it has few enough rows and bytes; beyond that Spark shuffles both sides."""
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
 #: Rows of one key from which a join deals them over several tasks, and keys at most that are dealt so (rows / HOT_KEYS is the other bound).

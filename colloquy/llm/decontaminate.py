@@ -9,14 +9,15 @@ values are the item's own. So a question that was re-parameterised throughout is
 that shares only a pattern of numbers is not. A document is contaminated by an item if consistent alignments cover at
 least half of the item's windows, or half of its template windows.
 
-Windows with fewer than MIN_WORDS plain words say nothing as templates; they are joined on their exact words.
+Windows with fewer than MIN_WORDS plain words say nothing as templates; they are joined on their exact words. An item
+with fewer than MIN_WORDS words in all is found where it is a whole line, since its words may stand in any text.
 
 A bitmap of fixed size over the benchmark's windows goes to all tasks; document windows that miss it are never
 emitted. Texts are scanned whole.
 
-Defined cases: null and empty texts are clean. An item with fewer than eight words is one window of all its words; one
-with fewer than MIN_WORDS words in all is not searched for. Rows that repeat an id add up to one document. An empty benchmark leaves all documents clean.
-Columns besides id and text are ignored.
+Defined cases: null and empty texts are clean. An item with fewer than eight words is one window of all its words.
+Rows that repeat an id are judged one by one, and all are contaminated if one is. Ids are whole numbers; others raise
+an error. An empty benchmark leaves all documents clean. Columns besides id and text are ignored; ``clean`` keeps them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import words
-from colloquy.llm.common import materialise, maybe_broadcast
+from colloquy.llm.common import materialise, maybe_broadcast, whole_ids
 
 WIDTH = 8
 #: Words of a window that are no placeholders.
@@ -48,7 +49,7 @@ UNITS = """mm cm m km kg g mg lb lbs oz l ml km/h mph inch inches foot feet yard
 kilometers kilometre kilometres gram grams kilogram kilograms pound pounds liter liters litre litres second seconds minute minutes
 hour hours day days week weeks month months year years dollar dollars euro euros cents percent degree degrees % $ €""".split()
 
-_NUM, _NAME, _UNIT, _EXACT = (np.uint64(x) for x in (0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547, 0x9C15F73E62A76AE2))
+_NUM, _NAME, _UNIT, _EXACT, _LINE = (np.uint64(x) for x in (0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547, 0x9C15F73E62A76AE2, 0xB5297A4D3C6EF372))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _UPPER = np.zeros(256, bool)
@@ -107,37 +108,68 @@ def windows(c: words.Chunk, width: int = WIDTH, known: bool = False) -> tuple[np
     plainly = size >= MIN_WORDS
     if known:
         plainly &= ~good
-    literal = words.mixed(words.shingles(c.hashes, c.bounds, width)[0] ^ _EXACT)
+    brief = (size < MIN_WORDS) & (size > 0)
+    if not known:
+        brief &= _whole_lines(c, at, size)
+    literal = words.mixed(words.shingles(c.hashes, c.bounds, width)[0] ^ np.where(brief, _LINE, _EXACT))
+    plainly |= brief
     both = lambda x: np.concatenate([x[good], x[plainly]])
     exact = np.repeat([False, True], [good.sum(), plainly.sum()])
     return np.concatenate([found[good], literal[plainly]]), both(at), both(size), both(rows), exact, slots
 
 
+def _whole_lines(c: words.Chunk, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size words from at are all words of a line."""
+    if not len(at):
+        return np.zeros(0, bool)
+    lines = np.cumsum(np.concatenate([[0], c.data == 10]))
+    begins = np.ones(len(c.starts) + 1, bool)
+    begins[1:-1] = lines[c.starts[1:]] > lines[c.ends[:-1]]
+    begins[c.bounds] = True
+    inner = np.cumsum(np.concatenate([[0], begins]))
+    return begins[at] & begins[at + size] & (inner[at + size] - inner[at] == 1)
+
+
 def _slot_values(c: words.Chunk, slots: np.ndarray, at: int, size: int) -> list[str]:
     return [f"{slots[i]}{bytes(c.data[c.starts[i] : c.ends[i]]).decode('utf-8', 'replace').lower()}" for i in range(at, at + size) if slots[i]]
 
 
-def _rows(c: words.Chunk, ids: list, keep: np.ndarray, found, at, size, rows, exact, slots) -> pa.RecordBatch:
+def _rows(c: words.Chunk, ids: list, numbers: np.ndarray, keep: np.ndarray, found, at, size, rows, exact, slots) -> pa.RecordBatch:
     keep = np.flatnonzero(keep)
     lists = [[] if exact[i] else _slot_values(c, slots, int(at[i]), int(size[i])) for i in keep]
     places = at[keep] - c.bounds[rows[keep]]
-    return pa.RecordBatch.from_arrays([pa.array([ids[c.first + r] for r in rows[keep].tolist()], pa.int64()), pa.array(places), pa.array(found[keep].view(np.int64)), pa.array(lists, pa.list_(pa.string())), pa.array(exact[keep])], ["id", "place", "hash", "slots", "exact"])
+    return pa.RecordBatch.from_arrays([pa.array([ids[c.first + r] for r in rows[keep].tolist()], pa.int64()), pa.array(numbers[c.first + rows[keep]]), pa.array(places), pa.array(found[keep].view(np.int64)), pa.array(lists, pa.list_(pa.string())), pa.array(exact[keep])], ["id", "row", "place", "hash", "slots", "exact"])
+
+
+def _numbers():
+    """A function that numbers the rows of batches; numbers of different tasks differ."""
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId() << 40
+
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        nonlocal at
+        at += batch.num_rows
+        return np.arange(at - batch.num_rows, at)
+
+    return of
 
 
-SCHEMA = "id long, place long, hash long, slots array<string>, exact boolean"
+SCHEMA = "id long, row long, place long, hash long, slots array<string>, exact boolean"
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """item_id, place, hash, slots, exact, item_windows and item_templates (those that are not exact) of (id, text) rows."""
 
     def run(batches):
+        number = _numbers()
         for batch in batches:
-            ids = batch.column("id").to_pylist()
+            ids, numbers = batch.column("id").to_pylist(), number(batch)
             for c in words.chunks(batch.column("text"), _INSIDE, words.LOWER):
                 w = windows(c, known=True)
-                yield _rows(c, ids, np.ones(len(w[0]), bool), *w)
+                yield _rows(c, ids, numbers, np.ones(len(w[0]), bool), *w)
 
-    made = materialise(items.mapInArrow(run, SCHEMA), "benchmark-windows")
+    made = materialise(items.mapInArrow(run, SCHEMA).drop("row"), "benchmark-windows")
     sizes = made.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("item_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("place"))).alias("item_templates"))
     return made.withColumnRenamed("id", "item_id").join(sizes, "item_id")
 
@@ -152,9 +184,9 @@ def matched_windows(docs: DataFrame, hashes: DataFrame, short: list[int]) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
-        bitmap = shared.value
+        bitmap, number = shared.value, _numbers()
         for batch in batches:
-            ids = batch.column("id").to_pylist()
+            ids, numbers = batch.column("id").to_pylist(), number(batch)
             for c in words.chunks(batch.column("text"), _INSIDE, words.LOWER):
                 for width in (WIDTH, *short):
                     w = windows(c, width)
@@ -163,35 +195,35 @@ def matched_windows(docs: DataFrame, hashes: DataFrame, short: list[int]) -> Dat
                     if width != WIDTH:
                         hit &= w[2] == width
                     if hit.any():
-                        yield _rows(c, ids, hit, *w)
+                        yield _rows(c, ids, numbers, hit, *w)
 
     return docs.mapInArrow(run, SCHEMA)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", covered: float = COVERED) -> DataFrame:
-    """One row per document and item that covers enough of it: doc_id, item_id, matched_windows, item_windows, coverage, changed_slots."""
-    items = items.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).filter("id is not null")
+    """One row per document (each row of it) and item that covers enough of it: doc_id, item_id, matched_windows, item_windows, coverage, changed_slots."""
+    items = items.select(whole_ids(items, item_col).alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).filter("id is not null")
     known = materialise(benchmark_windows(items), "benchmark")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.select(whole_ids(docs, id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # windows shorter than WIDTH exist for short items only
     lengths = items.select(F.regexp_count("text", F.lit(r"[^\s!\"'(),\-.:;?\[\]`{}*_]+")).alias("n")).filter(f"n < {WIDTH}").distinct()
-    short = sorted(r["n"] for r in lengths.collect() if r["n"] >= MIN_WORDS)  # WIDTH values at most
+    short = sorted(r["n"] for r in lengths.collect() if r["n"])  # WIDTH values at most
     found = matched_windows(docs, known.select("hash"), short).withColumnRenamed("id", "doc_id")
     found = materialise(found.drop("exact"), "window-hits")
     met = found.join(maybe_broadcast(known.select("hash", "item_id", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "exact", "item_windows", "item_templates")), "hash")
     met = met.filter(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("place") - F.col("item_place"))
     met = materialise(met, "aligned")
-    pairs = met.filter(F.size("slots") > 0).select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
-    values = pairs.groupBy("doc_id", "item_id", "shift", "z.item_slots").agg(F.min("z.slots").alias("lo"), F.max("z.slots").alias("hi"))
+    pairs = met.filter(F.size("slots") > 0).select("doc_id", "row", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
+    values = pairs.groupBy("doc_id", "row", "item_id", "shift", "z.item_slots").agg(F.min("z.slots").alias("lo"), F.max("z.slots").alias("hi"))
     clash = F.col("lo") != F.col("hi")
-    judged = values.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.when(clash, F.col("item_slots"))).alias("clashing"), F.sum((~clash & (F.col("lo") != F.col("item_slots"))).cast("long")).alias("changed"))
+    judged = values.groupBy("doc_id", "row", "item_id", "shift").agg(F.collect_set(F.when(clash, F.col("item_slots"))).alias("clashing"), F.sum((~clash & (F.col("lo") != F.col("item_slots"))).cast("long")).alias("changed"))
     # a clash takes the windows that hold its slot, but those whose values are all the item's own
-    held = met.join(judged, ["doc_id", "item_id", "shift"], "left").filter((F.col("slots") == F.col("item_slots")) | ~F.coalesce(F.arrays_overlap("item_slots", "clashing"), F.lit(False)))
+    held = met.join(judged, ["doc_id", "row", "item_id", "shift"], "left").filter((F.col("slots") == F.col("item_slots")) | ~F.coalesce(F.arrays_overlap("item_slots", "clashing"), F.lit(False)))
     share = lambda n, of: F.coalesce(F.try_divide(n, of), F.lit(0.0))
-    out = held.groupBy("doc_id", "item_id").agg(F.countDistinct("item_place").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.max(F.coalesce("changed", F.lit(0))).alias("changed_slots"), F.countDistinct(F.when(~F.col("exact"), F.col("item_place"))).alias("templates"), F.max("item_templates").alias("item_templates"))
+    out = held.groupBy("doc_id", "row", "item_id").agg(F.countDistinct("item_place").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.max(F.coalesce("changed", F.lit(0))).alias("changed_slots"), F.countDistinct(F.when(~F.col("exact"), F.col("item_place"))).alias("templates"), F.max("item_templates").alias("item_templates"))
     # exact windows don't count against an item that was re-parameterised
     coverage = F.greatest(share(F.col("matched_windows"), F.col("item_windows")), share(F.col("templates"), F.col("item_templates")))
-    return out.withColumn("coverage", coverage).filter(F.col("coverage") >= covered).drop("templates", "item_templates")
+    return out.withColumn("coverage", coverage).filter(F.col("coverage") >= covered).drop("row", "templates", "item_templates")
 
 
 def report(docs: DataFrame, items: DataFrame, **more) -> DataFrame:

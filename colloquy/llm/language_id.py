@@ -5,7 +5,8 @@ and the lexicons (one per language) that list it. Transitions between the langua
 with the feature weights, so that a text may switch its language. Words are labelled by forward-backward; a document
 gets the language with the largest expected number of words, and its share as the score.
 
-Training: at most TRAIN_ROWS labelled documents (the bound on what the driver holds). A first pass estimates weights
+Training: at most TRAIN_ROWS labelled documents (the bound on what the driver holds), the same number of each language,
+or all of a rarer one; with more languages than that, one document of each. A first pass estimates weights
 from counts, each word taking its document's language. A line of which another language explains the words better
 takes that one; the field is then trained on the labels of lines by gradient ascent on its likelihood.
 
@@ -15,7 +16,8 @@ recursion, for texts of any length.
 
 Defined cases: a null text or one without a letter gives ``und`` with score 0. Letters are Unicode letters. Documents
 with a null language are not learned from. If nothing can be learned, all texts are ``und``. Rows that repeat are
-labelled alike. An empty table gives an empty result. Only the text is an input of a prediction.
+labelled alike, and once in the sample. Of languages that tie, the first in the order of their names is predicted. An
+empty table gives an empty result. Only the text is an input of a prediction. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm import words
@@ -274,14 +276,21 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
+def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, text, lang of the labelled documents that are learned from."""
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    # a bounded sample, the same at each run: a uniform share of the rows of the 200 most frequent languages, so rare ones may have no row
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
-    ids = known.select("doc_id", "lang")
-    share = rows / max(1, ids.count())
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    sample = known.filter(F.col("lang").isin(langs) & (place <= share)).limit(rows + rows // 4).toPandas().sort_values(["doc_id", "lang", "text"])
+    place = F.xxhash64("doc_id", "text")
+    ids = known.select("doc_id", "lang", place.alias("place")).distinct()
+    # a quota of each language in hash order, the same at each run; Spark takes the first of each partition before it moves them
+    langs = max(1, known.agg(F.count_distinct("lang")).first()[0])
+    first = ids.withColumn("__rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).filter(F.col("__rank") <= max(1, rows // langs))
+    first = first.select("doc_id", "lang", "place")  # rows, or one a language
+    sample = known.withColumn("place", place).join(F.broadcast(first), ["doc_id", "lang", "place"], "left_semi").dropDuplicates(["doc_id", "lang", "place"])
+    return sample.select("doc_id", "text", "lang")
+
+
+def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
+    sample = training_sample(docs, rows).toPandas().sort_values(["doc_id", "lang", "text"])
     return learn(sample["text"].tolist(), sample["lang"].tolist())
 
 

@@ -7,12 +7,15 @@ date another date in the same notation, an address another address of the same s
 pseudonyms in all documents, and who holds the key can turn them back.
 
 Defined cases: a null text stays null, an empty text empty, both with nothing found. Values that fail their validation
-stay; of a card or phone number that fails, the longest valid run of its first groups is taken. Of overlapping values the one of the earlier kind in KINDS is taken. Texts are processed whole, row by row, so
-rows that repeat are treated alike. An empty table gives an empty result.
+stay; of a card or phone number that fails, the longest valid run of its first groups is taken. Of overlapping values
+the one of the earlier kind in KINDS is taken. Texts are processed whole, row by row, so rows that repeat are treated
+alike. An empty table gives an empty result. All columns are kept; one that has the name of the column of findings
+raises an error, and so does an empty key.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -22,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = b"colloquy pseudonyms"
 ROUNDS = 8
 #: Days that dates are permuted among: 1900-01-01 to 2099-12-31.
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -244,10 +246,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
     for kind in KINDS:
         if (kind == "email" and "@" not in text) or (kind not in ("email", "password") and not digit):
             continue
-        for a, b in _spans(text, kind):
-            if not any(a < y and x < b for x, y, _ in found):
-                found.append((a, b, kind))
-    return sorted(found)
+        for value in _spans(text, kind):
+            at = bisect.bisect(found, (*value, kind))  # found is in order and without overlaps
+            if (at == 0 or found[at - 1][1] <= value[0]) and (at == len(found) or value[1] <= found[at][0]):
+                found.insert(at, (*value, kind))
+    return found
 
 
 def _beside(pieces) -> str:
@@ -261,7 +264,7 @@ def _beside(pieces) -> str:
     return "".join(out)
 
 
-def replace(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
+def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
     """(text with its values replaced, the values found).
 
     A card or phone number is moved on until the same values are found around it, so that it turns back; turned back
@@ -282,10 +285,12 @@ def replace(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[
     return "".join(pieces), found
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """docs with pseudonyms in the text column, and pii: array of (kind, start, length), in characters."""
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", out_col: str = "pii") -> DataFrame:
+    """docs with pseudonyms in the text column, and out_col: array of (kind, start, length), in characters. key: secret bytes, 64 at most."""
+    if not key or out_col in docs.columns:
+        raise ValueError("a key is needed" if not key else f"there is a column {out_col} already: name another out_col")
     at = docs.columns.index(text_col)
-    names = [*docs.columns, "pii"]
+    names = [f"c{i}" for i in range(len(docs.columns))]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 
     def run(batches):
@@ -299,12 +304,12 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> D
                     spans.append([{"kind": k, "start": a, "length": b - a} for a, b, k in found])
                 columns = list(part.columns)
                 columns[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], [*names, "found"])
 
-    ddl = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{ddl}, pii array<struct<kind: string, start: int, length: int>>")
+    ddl = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True))
+    return docs.toDF(*names).mapInArrow(run, f"{ddl}, found array<struct<kind: string, start: int, length: int>>").toDF(*docs.columns, out_col)
 
 
-def report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def report(docs: DataFrame, key: bytes) -> DataFrame:
     """One row per document: doc_id, text with pseudonyms, n_pii, pii."""
-    return pseudonymise(docs.select("doc_id", "text"), key=key).select("doc_id", "text", F.size("pii").alias("n_pii"), "pii")
+    return pseudonymise(docs.select("doc_id", "text"), key).select("doc_id", "text", F.size("pii").alias("n_pii"), "pii")

@@ -12,7 +12,8 @@ holds), a fifth of which set the temperature that divides its logits. Only texts
 Defined cases: null and empty texts have all-zero features and the score that the network gives these. Labels other
 than 0 and 1 and null labels or ids are not learned from. Without labels of both kinds, every score is the share of
 label 1 (0.5 without any). Rows that repeat are scored alike. An empty table gives an empty result. Extra columns are
-ignored, or kept by ``accepted``.
+ignored by ``report`` and kept by ``scored`` and ``accepted``, whatever their names; ``scored`` raises an error if there
+is a ``score`` or ``predicted`` already.
 """
 
 from __future__ import annotations
@@ -209,22 +210,29 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     return vectors, Network(x.astype(np.float64), found["y"].to_numpy(np.float64))
 
 
-def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with score and predicted; all columns of docs stay."""
+def _scored(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """docs with columns c0, c1, … instead of their names, and score."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
+    names, text_at = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index("text")
 
     def run(batches):
         vectors, network = model.value
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                text = pc.fill_null(part.column("text"), "")
+                text = pc.fill_null(part.column(text_at), "")
                 score = pa.array(network.scores(features(text, vectors)))
                 yield pa.RecordBatch.from_arrays([*part.columns, score], [*names, "score"])
 
-    names = docs.columns
-    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
-    return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    named = docs.toDF(*names)
+    return named.mapInArrow(run, T.StructType([*named.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """docs with score and predicted; all columns of docs stay."""
+    if taken := {"score", "predicted"} & set(docs.columns):
+        raise ValueError(f"there are columns {sorted(taken)} already")
+    return _scored(docs, labels, rows).toDF(*docs.columns, "score").withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def report(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -234,5 +242,4 @@ def report(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
 
 def accepted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """docs that are predicted to be of quality 1."""
-    names = docs.columns
-    return scored(docs, labels, rows).filter("predicted = 1").select(*names)
+    return _scored(docs, labels, rows).filter(F.col("score") >= CUT).drop("score").toDF(*docs.columns)

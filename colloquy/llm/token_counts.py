@@ -11,6 +11,8 @@ Pre-tokens are found with array operations over code points for texts in the com
 other character go through the tokenizer's own pre-tokenizer. Special strings inside texts count as one token, as is
 the library's default.
 
+Pre-tokens are told apart by 64-bit hashes of their characters (by themselves where they have others than Latin ones).
+
 Defined cases: null and empty texts have 0 bytes and 0 tokens. Rows that repeat are counted row by row. Empty tables
 give empty results. Columns besides id and text are ignored.
 """
@@ -154,9 +156,10 @@ class PreTokens:
         for k, piece in enumerate(text.split(_SPECIAL) if _SPECIAL in text else [text]):
             if k:
                 yield [_SPECIAL]
-            while piece:
-                cut = len(piece) if len(piece) <= CHUNK_CHARS else _cut(piece)
-                head, piece = (piece, "") if cut == 0 else (piece[:cut], piece[cut:])
+            at = 0
+            while at < len(piece):
+                cut = len(piece) if len(piece) - at <= CHUNK_CHARS else _cut(piece, at) or len(piece)
+                head, at = piece[at:cut], cut
                 if self.near(head) and len(head) <= CHUNK_CHARS:
                     yield head
                 else:
@@ -191,14 +194,14 @@ def _groups(size: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def _cut(piece: str) -> int:
-    """A place within the first CHUNK_CHARS characters where a pre-token surely starts: a space between two characters that are no white space; 0 if there is none."""
-    at = CHUNK_CHARS
-    while at > 1:
-        at = piece.rfind(" ", 0, at)
-        if at < 1:
+def _cut(text: str, start: int) -> int:
+    """A place within the CHUNK_CHARS characters behind start where a pre-token surely starts: a space between two characters that are no white space; 0 if there is none."""
+    at = start + CHUNK_CHARS
+    while at > start + 1:
+        at = text.rfind(" ", start, at)
+        if at <= start:
             return 0
-        if not piece[at - 1].isspace() and not piece[at + 1].isspace():
+        if not text[at - 1].isspace() and not text[at + 1].isspace():
             return at
     return 0
 
@@ -289,8 +292,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, id_
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     sized = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    met = materialise(sized.mapInArrow(look_up, f"doc_id {kind}, n_bytes long, known long, tail array<struct<piece: string, k: long>>"), "token-tails")
-    met = met.withColumn("row", F.monotonically_increasing_id())  # of a written table, so the same each time it is read
+    looked_up = sized.mapInArrow(look_up, f"doc_id {kind}, n_bytes long, known long, tail array<struct<piece: string, k: long>>")
+    met = materialise(looked_up.withColumn("row", F.monotonically_increasing_id()), "token-tails")  # the number is written with the row, so it is the same whenever it is read
     tail = met.filter(F.size("tail") > 0).select("row", F.explode("tail").alias("t")).select("row", "t.piece", "t.k")
     summed = tail.join(table.filter(f"n < {least} or hash = 0").select("piece", "pieces"), "piece").groupBy("row").agg(F.sum(F.col("k") * F.col("pieces")).alias("more"))
     out = met.select("row", "doc_id", "n_bytes", "known").join(summed, "row", "left")
