@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm import words
-from colloquy.llm.common import materialise, salted_join
+from colloquy.llm.common import discard, materialise, salted_join
 from colloquy.llm.exact_dedup import filter_words, passes_filter
 
 LENGTH, Q, GROUP = 200, 50, 16
@@ -152,8 +152,8 @@ def _joined(parts: list[tuple]) -> tuple:
     return key[head], place[head], least[head], np.maximum.reduceat(most, head), b0[head], size[head], id0[head]
 
 
-def refined(rows: DataFrame, bucket: list[str], later: list[str], into: tuple[str, str] | None) -> DataFrame:
-    """The members of buckets that still hold two or more after a refinement by the identifiers in the later columns.
+def refined(rows: DataFrame, bucket: list[str], later: list[str], into: tuple[str, str] | None, then=lambda df: df) -> DataFrame:
+    """The members of buckets that still hold two or more after a refinement by the identifiers in the later columns, written.
 
     into: names of the columns of the new bucket's identifier, its smallest (key, place). Identifiers that are used up
     go; a group or an offset among the bucket's columns stays, since a place stands in one bucket for each of these.
@@ -164,14 +164,19 @@ def refined(rows: DataFrame, bucket: list[str], later: list[str], into: tuple[st
     found = salted_join(rows, counts, keys, ["key", "place"])
     if into:
         found = found.select(*(c for c in rows.columns if c == "grp" or c not in keys), F.col("__m.key").alias(into[0]), F.col("__m.place").alias(into[1]))
-    return found
+    out = materialise(then(found), "bucket-members")
+    discard(counts, rows)
+    return out
 
 
 def marked(rows: DataFrame, bucket: list[str], later: list[str]) -> DataFrame:
-    """rows with the boolean column all: whether the row's bucket is still shared after a refinement by later. A null identifier shares nothing."""
+    """rows with the boolean column all: whether the row's bucket is still shared after a refinement by later, written. A null identifier shares nothing."""
     keys = [*bucket, *later]
     counts = rows.filter(" and ".join(f"{c} is not null" for c in keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").withColumn("all", F.lit(True))
-    return salted_join(rows, materialise(counts, "bucket-sizes"), keys, ["key", "place"], "left").withColumn("all", F.coalesce("all", F.lit(False)))
+    counts = materialise(counts, "bucket-sizes")
+    out = materialise(salted_join(rows, counts, keys, ["key", "place"], "left").withColumn("all", F.coalesce("all", F.lit(False))), "bucket-marks")
+    discard(counts, rows)
+    return out
 
 
 def by_next_places(rows: DataFrame) -> DataFrame:
@@ -201,7 +206,7 @@ def by_next_places(rows: DataFrame) -> DataFrame:
 
 def _with_texts(texts: DataFrame, places: DataFrame, struct: str) -> DataFrame:
     """(text, places) of the texts that have rows in places: key and a struct column. A filter of fixed size spares most other texts the shuffle."""
-    lists = materialise(places.groupBy("key").agg(F.collect_list(struct).alias("places")), "places")  # bounded by the length of a text
+    lists = materialise(places.groupBy("key").agg(F.collect_list(struct).alias("places")), "place-lists")  # bounded by the length of a text
     some = passes_filter(texts.select("key", "text").withColumn("digest", F.col("key").cast("string")), filter_words(lists.select(F.col("key").cast("string").alias("digest"))))
     return some.select("key", "text").join(lists, "key")
 
@@ -295,23 +300,24 @@ def _unsettled(rows: DataFrame, bucket: list[str], later: list[str]) -> DataFram
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """key, from, to: byte ranges of distinct texts (key, text) that strings which repeat cover. Ranges may overlap."""
-    places = materialise(initial_buckets(texts), "places-0")
-    met = refined(places, ["b0"], [], None)
-    met = materialise(marked(by_next_places(met), ["b0"], ["before", "behind"]), "places-1")
+    met = marked(refined(materialise(initial_buckets(texts), "places"), ["b0"], [], None, by_next_places), ["b0"], ["before", "behind"])
     spans = met.filter("all").select("key", F.col("least").alias("from"), (F.col("most") + LENGTH).alias("to"))
 
     left = _unsettled(met, ["b0"], ["before", "behind"]).select("key", F.struct("place", "b0", "least", "most").alias("p"))
-    groups = materialise(_with_texts(texts, left, "p").mapInArrow(_each_text(_groups, GROUPED), ddl(GROUPED)), "groups-0")
-    groups = materialise(refined(groups, ["b0", "grp"], ["p0", "p1"], ("ck", "cp")), "groups-1")
+    groups = materialise(_with_texts(texts, left, "p").mapInArrow(_each_text(_groups, GROUPED), ddl(GROUPED)), "groups")
+    groups = refined(groups, ["b0", "grp"], ["p0", "p1"], ("ck", "cp"))
     groups = refined(groups, ["ck", "cp", "grp"], ["p2", "p3"], ("bk", "bp"))
-    groups = materialise(marked(groups, ["bk", "bp", "grp"], ["e0", "e1"]), "groups-2")
+    groups = marked(groups, ["bk", "bp", "grp"], ["e0", "e1"])
     core = F.col("place") - GROUP * F.col("grp")
     spans = spans.unionByName(groups.filter("all").select("key", (core - (GROUP - 1)).alias("from"), (core + LENGTH).alias("to")))
 
     left = _unsettled(groups, ["bk", "bp", "grp"], ["e0", "e1"]).select("key", F.struct("place", "bk", "bp", "grp", "least", "most").alias("p"))
     strings = materialise(_with_texts(texts, left, "p").mapInArrow(_each_text(_strings, SINGLE), ddl(SINGLE)), "strings")
-    again = refined(strings.withColumn("place", F.col("start")), ["bk", "bp", "off"], ["f0", "f1"], None)
-    return spans.unionByName(again.select("key", F.col("start").alias("from"), (F.col("start") + LENGTH).alias("to")))
+    # the start stands in for the place
+    again = refined(strings.withColumnRenamed("start", "place"), ["bk", "bp", "off"], ["f0", "f1"], None, lambda df: df.select("key", F.col("place").alias("from"), (F.col("place") + LENGTH).alias("to")))
+    spans = materialise(spans.unionByName(again), "spans")
+    discard(met, groups, strings, again)
+    return spans
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -352,10 +358,12 @@ def merged_spans(spans: DataFrame) -> DataFrame:
     return spans.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans")).mapInArrow(run, "key long, froms array<long>, tos array<long>")
 
 
-def changed_texts(docs: DataFrame) -> DataFrame:
-    """digest, __n (rows), n_removed, n_spans, kept (the remaining bytes) of the texts that lose bytes. docs: digest, text."""
+def changed_texts(docs: DataFrame, then=lambda df: df) -> DataFrame:
+    """digest, __n (rows), n_removed, n_spans, kept (the remaining bytes) of the texts that lose bytes, written. docs: digest, text. then: what is made of them before."""
     texts = distinct_texts(docs)
-    runs = materialise(merged_spans(repeated_spans(texts)), "removed")
+    spans = repeated_spans(texts)
+    runs = materialise(merged_spans(spans), "removed")
+    discard(spans)
     size = F.octet_length("text").cast("long")
     whole = texts.filter("n > 1").select("digest", F.col("n").alias("__n"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
     words_ = filter_words(runs.select(F.col("key").cast("string").alias("digest")))
@@ -372,7 +380,10 @@ def changed_texts(docs: DataFrame) -> DataFrame:
             made = pa.RecordBatch.from_pylist(out, pa.schema([("__n", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
             yield pa.RecordBatch.from_arrays([batch.column("text_digest"), *made.columns], ["digest", *made.schema.names])
 
-    return some.mapInArrow(cut, "digest string, __n long, n_removed long, n_spans long, kept binary").unionByName(whole)
+    changed = some.mapInArrow(cut, "digest string, __n long, n_removed long, n_spans long, kept binary").unionByName(whole)
+    out = materialise(then(changed), "changed-texts")
+    discard(texts, runs)
+    return out
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -383,7 +394,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     docs = _keyed(docs, id_col, text_col)
-    changed = materialise(changed_texts(docs.select("digest", "text")), "changed-texts")
+    changed = changed_texts(docs.select("digest", "text"))
     out = salted_join(docs, changed, ["digest"], ["doc_id"], "left")
     none = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", F.col("text").cast("binary")).alias("kept"))
@@ -392,7 +403,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256. A text that loses nothing keeps its digest, so no text is joined."""
     docs = _keyed(docs, id_col, text_col)
-    changed = changed_texts(docs.select("digest", "text")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
-    out = salted_join(docs.drop("text"), materialise(changed, "changed-texts"), ["digest"], ["doc_id"], "left")
+    changed = changed_texts(docs.select("digest", "text"), lambda df: df.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept"))
+    out = salted_join(docs.drop("text"), changed, ["digest"], ["doc_id"], "left")
     none = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"))
