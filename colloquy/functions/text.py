@@ -78,6 +78,16 @@ def lines_of(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(t["speaker"], F.lit(": "), t["text"])), "\n")
 
 
+def next_line_text(turns: Column, next_speaker: Column) -> Column:
+    """lines_of with a last line that names the recorded next speaker."""
+    return F.concat_ws("\n", lines_of(turns), F.concat(F.lit("Recorded next speaker: "), next_speaker))
+
+
+def last_cell(cells: Column, place: int, unknown: str = "UNKNOWN") -> Column:
+    """The cell at the given place from the end of an array; unknown if there is none."""
+    return F.coalesce(F.try_element_at(cells, F.lit(-place)), F.lit(unknown))
+
+
 def prompt(turns: Column, next_speaker: Column, condition: Column, predicted: Column, true: Column) -> Column:
     """The dialogue, a status line for conditions that have one, and the speaker who is to answer."""
     lines = F.array_join(F.transform(turns, lambda t: F.concat(quote(t["speaker"]), F.lit(": "), quote(t["text"]))), "\n")

@@ -2,21 +2,28 @@
 
 Blocks: rows with the target's exact normalised text, if there are any; else rows that share a token with it (and its
 speaker, if known); else, for short targets, all rows of the speaker, or all rows. Block pairs are scored by text
-similarity, then by the context before them and the speaker; the best becomes the alignment.
+similarity, then by the context before them and the speaker; the best becomes the alignment. Target ids and utterance
+ids are unique; of an utterance id that isn't, no reply is told.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.similarity import length_allows, scored_texts
 from colloquy.functions.text import normalise, tags
+from colloquy.operators.audit import violations
 from colloquy.operators.turns import context_before, scene_positions
+from colloquy.sources.storage import written
 
 # Thresholds of a match, of high evidence, and of short targets; positions of context.
 REASONABLE, TARGET_HIGH, CONTEXT1_HIGH, CONTEXT2_HIGH = 0.80, 0.95, 0.90, 0.80
 SHORT, WINDOW = 12, 8
+#: Ratio of neighbouring length classes.
+CLASS = 1.05
 # Names of the levels of a match.
 LEVELS = {"exact": "LEVEL_A_EXACT", "high": "LEVEL_B_HIGH_CONFIDENCE", "ambiguous": "LEVEL_C_AMBIGUOUS", "none": "NO_MATCH"}
 
@@ -35,23 +42,39 @@ def exact_block(targets: DataFrame, corpus: DataFrame) -> DataFrame:
     return targets.join(rows, targets["target_norm"] == F.col("text_norm"))
 
 
+def _words(text: str) -> Column:
+    return F.array_distinct(F.filter(F.split(text, " "), lambda w: w != ""))
+
+
+def _class(length: Column) -> Column:
+    return F.floor(F.log(length.cast("double")) / math.log(CLASS)).cast("int")
+
+
 def token_block(targets: DataFrame, corpus: DataFrame, least: float = REASONABLE) -> DataFrame:
-    """Rows that share a token with a target and, if its speaker is known, the speaker.
+    """Rows that share a token with a target and, if its speaker is known, the speaker, and whose length allows a match.
 
-    A similarity of least bounds the ratio of lengths, so pairs meet on (token, speaker, length class), each row in its
-    own class and each target in the neighbouring ones, too; a frequent token is split by speakers and lengths.
+    A similarity of least bounds the ratio of lengths, so pairs meet on (speaker, length class) and are made once each,
+    however many tokens they share: no token is a join key, and a frequent one makes no group of its own. A target is
+    sent to the classes that its length allows.
     """
-    base = 1 / (least / (2 - least)) if least < 1 else 1.5
-    band = lambda t: F.floor(F.log(base, F.greatest(F.length(t), F.lit(1)))).cast("int")
-    words = lambda t: F.array_distinct(F.filter(F.split(t, " "), lambda w: w != ""))
-    left = targets.select("target_id", "speaker", "target_norm", F.explode(words(F.col("target_norm"))).alias("token"), band(F.col("target_norm")).alias("__b"))
-    left = left.withColumn("band", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1)))
-    right = corpus.select("utterance_id", F.col("speaker").alias("corpus_speaker"), "text_norm", F.explode(words(F.col("text_norm"))).alias("token"), band(F.col("text_norm")).alias("band"))
-    known = left.filter("speaker is not null").join(right.withColumn("speaker", F.col("corpus_speaker")), ["token", "band", "speaker"])
-    anyone = left.filter("speaker is null").join(right, ["token", "band"])
-    columns = ["target_id", "utterance_id"]
-    pairs = known.filter(length_allows(F.col("target_norm"), F.col("text_norm"), least)).select(columns)
-    return pairs.unionByName(anyone.filter(length_allows(F.col("target_norm"), F.col("text_norm"), least)).select(columns)).distinct()
+    n = F.length("target_norm")
+    bounds = [_class(F.greatest(F.floor(n * least / (2 - least)), F.lit(1))), _class(F.ceil(n * (2 - least) / least) + 1)]
+    left = targets.filter("target_norm <> ''").select("target_id", "speaker", n.alias("n"), _words("target_norm").alias("words"), F.explode(F.sequence(*bounds)).alias("class"))
+    m = F.length("text_norm")
+    right = corpus.filter("text_norm <> ''").select("utterance_id", F.col("speaker").alias("corpus_speaker"), m.alias("m"), _words("text_norm").alias("corpus_words"), _class(m).alias("class"))
+    match = F.arrays_overlap("words", "corpus_words") & (2 * F.least("n", "m") >= least * (F.col("n") + F.col("m")))
+    known = left.filter("speaker is not null").join(right.withColumn("speaker", F.col("corpus_speaker")), ["class", "speaker"])
+    anyone = left.filter("speaker is null").join(right, "class")
+    return known.filter(match).select("target_id", "utterance_id").unionByName(anyone.filter(match).select("target_id", "utterance_id"))
+
+
+def without_token_mates(targets: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Targets with which no row (of their speaker, if known) shares a token, whatever its length."""
+    held = corpus.select(F.col("speaker").alias("corpus_speaker"), F.explode(_words("text_norm")).alias("token")).distinct()
+    asked = targets.select("target_id", "speaker", F.explode(_words("target_norm")).alias("token"))
+    known = asked.filter("speaker is not null").join(held.withColumnRenamed("corpus_speaker", "speaker"), ["token", "speaker"], "left_semi")
+    anyone = asked.filter("speaker is null").join(held, "token", "left_semi")
+    return targets.join(known.select("target_id").unionByName(anyone.select("target_id")).distinct(), "target_id", "left_anti")
 
 
 def fallback_block(targets: DataFrame, corpus: DataFrame, least: float = REASONABLE) -> DataFrame:
@@ -69,10 +92,9 @@ def scored_pairs(targets: DataFrame, corpus: DataFrame) -> DataFrame:
     Pairs of equal texts are scored once.
     """
     exact = exact_block(targets, corpus).select("target_id", "utterance_id")
-    left = targets.join(exact.select("target_id").distinct(), "target_id", "left_anti")
-    pairs = token_block(left, corpus)
-    empty = left.join(pairs.select("target_id").distinct(), "target_id", "left_anti")
-    pairs = pairs.unionByName(fallback_block(empty, corpus)).distinct()
+    left = written(targets.join(exact.select("target_id").distinct(), "target_id", "left_anti"), "inexact-targets")
+    short = left.filter((F.length("target_norm") <= SHORT) & (F.col("target_norm") != ""))
+    pairs = written(token_block(left, corpus).unionByName(fallback_block(without_token_mates(short, corpus), corpus)), "block-pairs")
     pairs = pairs.join(targets.select("target_id", "target_norm"), "target_id").join(corpus.select("utterance_id", "text_norm"), "utterance_id")
     texts = pairs.select("target_norm", "text_norm").distinct()
     scored = scored_texts(texts, "target_norm", "text_norm", "target_sim", REASONABLE).filter(F.col("target_sim") >= REASONABLE)
@@ -89,7 +111,7 @@ def best_before(pairs: DataFrame, line: str, speaker: str, before: Column | None
     rows = rows.filter(F.col(speaker).isNull() | (F.col("row.speaker") == F.col(speaker)))
     if before is not None:
         rows = rows.filter(F.col("at") < F.col("__before"))
-    rows = rows.withColumn("said", normalise(F.col("row.text")))
+    rows = rows.withColumn("said", F.col("row.text_norm"))
     # an equal row is the best there can be: only pairs without one are compared
     equal = rows.filter((F.col("said") == F.col(line)) & (F.col("said") != "")).groupBy("target_id", "utterance_id").agg(F.max(F.struct(F.lit(1.0).alias("sim"), "at")).alias("best"))
     rest = rows.join(equal.select("target_id", "utterance_id"), ["target_id", "utterance_id"], "left_anti")
@@ -99,7 +121,7 @@ def best_before(pairs: DataFrame, line: str, speaker: str, before: Column | None
 
 
 def with_context(scored: DataFrame, targets: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Scored pairs with context1, context2, speaker_match and evidence (the least of the similarities that exist)."""
+    """Scored pairs with context1, context2, speaker_match and evidence: the least of the target's similarity, that of its last line of context (0 without one) and, if it has two, of the one before."""
     before = context_before(corpus, WINDOW).select("utterance_id", "context", F.col("speaker").alias("corpus_speaker"))
     lines = targets.select("target_id", "speaker", *(normalise(F.try_element_at("context", F.lit(-k))).alias(f"line{k}") for k in (1, 2)), *(F.try_element_at("context_speakers", F.lit(-k)).alias(f"by{k}") for k in (1, 2)), F.size("context").alias("n_context"))
     pairs = scored.join(lines, "target_id").join(before, "utterance_id")
@@ -108,9 +130,9 @@ def with_context(scored: DataFrame, targets: DataFrame, corpus: DataFrame) -> Da
     c1 = F.when(F.col("n_context") >= 1, F.coalesce("first.sim", F.lit(0.0))).otherwise(0.0)
     c2 = F.when(F.col("n_context") >= 2, F.coalesce("best.sim", F.lit(0.0))).otherwise(0.0)
     out = both.withColumns({"context1": c1, "context2": c2, "speaker_match": F.coalesce(F.col("speaker") == F.col("corpus_speaker"), F.lit(False))})
-    present = F.array_compact(F.array("target_sim", F.when(F.col("n_context") >= 1, F.col("context1")), F.when(F.col("n_context") >= 2, F.col("context2"))))
+    evidence = F.least("target_sim", "context1", F.when(F.col("n_context") >= 2, F.col("context2")))
     previous = F.transform("context", lambda r: r["text"])
-    return out.select("target_id", "utterance_id", "exact", "target_sim", "context1", "context2", "n_context", "speaker", "speaker_match", F.array_min(present).alias("evidence"), F.try_element_at(previous, F.lit(-1)).alias("prev1"), F.try_element_at(previous, F.lit(-2)).alias("prev2"))
+    return out.select("target_id", "utterance_id", "exact", "target_sim", "context1", "context2", "n_context", "speaker", "speaker_match", evidence.alias("evidence"), F.try_element_at(previous, F.lit(-1)).alias("prev1"), F.try_element_at(previous, F.lit(-2)).alias("prev2"))
 
 
 def is_high() -> Column:
@@ -138,9 +160,15 @@ def decided(pairs: DataFrame, targets: DataFrame) -> DataFrame:
     return out.select("target_id", "alignment_type", "status", s("utterance_id").alias("utterance_id"), *(F.round(F.coalesce(s(f), F.lit(0.0)), 6).alias(f) for f in ("target_sim", "context1", "context2", "evidence")), F.coalesce("num_candidates", F.lit(0)).alias("num_candidates"), F.coalesce("num_high", F.lit(0)).alias("num_high"), s("prev1").alias("prev1"), s("prev2").alias("prev2"), notes.alias("notes"))
 
 
-def aligned(targets: DataFrame, corpus: DataFrame) -> DataFrame:
-    t, c = prepared_targets(targets), prepared_corpus(corpus)
-    return decided(with_context(scored_pairs(t, c), t, c), t)
+def aligned(targets: DataFrame, corpus: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """The alignment of targets (target_id, utterance, speaker, context, context_speakers) to corpus rows.
+
+    names: alias and name of speakers; speakers that it doesn't resolve count as unknown. Without it, speakers of both
+    tables have the same names. Normalised texts and scored pairs are written once and read by all steps behind them.
+    """
+    t = prepared_targets(renamed(targets, names) if names is not None else targets)
+    t, c = written(t, "targets"), written(prepared_corpus(corpus), "corpus")
+    return decided(with_context(written(scored_pairs(t, c), "scored-pairs"), t, c), t)
 
 
 def observed_reply(alignment: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -150,7 +178,8 @@ def observed_reply(alignment: DataFrame, corpus: DataFrame) -> DataFrame:
     quadratic in long scenes; here, per row, the next row with text of another speaker comes from windows: speaker runs
     over the rows with text, and the first row of the next run.
     """
-    rows = scene_positions(corpus).withColumn("said", (normalise(F.col("text")) != "") & (F.col("speaker") != "TRANSCRIPT_NOTE"))
+    norm = F.col("text_norm") if "text_norm" in corpus.columns else normalise(F.col("text"))
+    rows = scene_positions(corpus).withColumn("said", (norm != "") & (F.col("speaker") != "TRANSCRIPT_NOTE"))
     scene = Window.partitionBy("conversation_id").orderBy("position")
     later = scene.rowsBetween(1, Window.unboundedFollowing)
     said = F.when(F.col("said"), F.struct("position", "utterance_id", "text", "speaker"))
@@ -180,12 +209,35 @@ def observed_reply(alignment: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.select(*alignment.columns, reason.alias("drop_reason"), *(F.when(ok, F.col(f"t.reply.{f}")).alias(f"response_{n}") for f, n in (("utterance_id", "id"), ("text", "text"), ("speaker", "speaker"))), F.when(ok, F.col("t.reply.position") - t("position")).alias("distance"), F.when(ok, t("skipped_same")).alias("skipped_same_speaker"))
 
 
+def split_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): the rows with a reply, and those with a reason why there is none. replies: a written table, read by both."""
+    return replies.filter("drop_reason is null"), replies.filter("drop_reason is not null")
+
+
+def reply_violations(replies: DataFrame, corpus: DataFrame) -> DataFrame:
+    """rule, violations of (utterance_id, response_id, target_text) against the corpus: both are looked up by their ids."""
+    row = lambda of: F.struct("conversation_id", "order", "speaker", "text", "text_norm").alias(of)
+    target, reply = corpus.select("utterance_id", row("t")), corpus.select(F.col("utterance_id").alias("response_id"), row("r"))
+    met = replies.join(target, "utterance_id", "left").join(reply, "response_id", "left")
+    return violations(
+        met, ids_known=F.col("t").isNotNull() & F.col("r").isNotNull(), same_scene=F.col("t.conversation_id") == F.col("r.conversation_id"), reply_is_later=F.col("r.order") > F.col("t.order"), other_speaker=F.col("r.speaker") != F.col("t.speaker"),
+        reply_has_words=F.col("r.text_norm") != "", reply_is_no_note=F.col("r.speaker") != "TRANSCRIPT_NOTE", target_unchanged=F.col("target_text").eqNullSafe(F.col("t.text")),
+    )
+
+
 def aliases(aliases: DataFrame, corpus: DataFrame, targets: DataFrame) -> DataFrame:
-    """(alias, name) rows with whether both names were observed; unresolved ones keep a null name."""
-    names = corpus.select(F.col("speaker").alias("name")).distinct().withColumn("in_corpus", F.lit(True))
-    known = targets.select(F.col("speaker").alias("alias")).distinct().withColumn("in_targets", F.lit(True))
-    out = aliases.join(names, "name", "left").join(known, "alias", "left")
-    return out.select("alias", F.when(F.col("in_corpus") & F.col("in_targets"), F.col("name")).alias("name"))
+    """alias, name of the targets' speakers: those of the given pairs of which both names were observed; the others have a null name."""
+    names = corpus.select(F.col("speaker").alias("name")).distinct()
+    held = aliases.select("alias", "name").join(names, "name", "left_semi")
+    return targets.select(F.col("speaker").alias("alias")).distinct().join(held, "alias", "left").select("alias", "name")
+
+
+def renamed(targets: DataFrame, names: DataFrame) -> DataFrame:
+    """targets with the corpus' names of their speakers and of those of their context; null where there is none. names has one row a speaker, so it is one map for all rows."""
+    table = names.filter("name is not null").agg(F.map_from_entries(F.collect_set(F.struct("alias", "name"))).alias("__names"))
+    named = targets.join(F.broadcast(table))
+    of = lambda who: F.try_element_at("__names", F.coalesce(who, F.lit("")))
+    return named.withColumns({"speaker": of(F.col("speaker")), "context_speakers": F.transform("context_speakers", of)}).drop("__names")
 
 
 def feasibility(retained: Column, episodes: Column, episode_share: Column, speaker_share: Column, ambiguity: Column) -> Column:

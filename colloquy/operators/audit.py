@@ -68,3 +68,24 @@ def disagreements(left: DataFrame, right: DataFrame, keys: list[str], columns: l
     other = right.select(*keys, *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__there"))
     met = left.join(other, keys, "full")
     return met.agg(F.count(F.lit(1)).alias("keys"), *(F.count_if(~F.col(c).eqNullSafe(F.col(f"__{c}"))).alias(f"{c}_differs") for c in columns))
+
+
+def one_spelling(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows whose column is name in any case; an error unless they all spell it the same way."""
+    met = rows.filter(F.lower(column) == name.lower())
+    spelled = met.agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"))  # one row
+    wrong = F.raise_error(F.lit(f"{name} is spelled in several ways")).cast("boolean")
+    return met.join(F.broadcast(spelled)).filter(F.when(F.col("__lo") == F.col("__hi"), True).otherwise(wrong)).drop("__lo", "__hi")
+
+
+def run_violations(runs: DataFrame, expected: DataFrame, seeds: list[int], training: int) -> DataFrame:
+    """rule, violations of run summaries (method, fold, status, overlap, seeds, training_targets, evaluation_targets, score_rows array per seed, config) against (fold, targets).
+
+    Score files hold targets x 4 candidates x 2 conditions; all runs of a method share one configuration.
+    """
+    drift = runs.groupBy("method").agg((F.count_distinct("config") == 1).alias("one_config"))  # one row a method
+    met = runs.join(expected, "fold", "left").join(F.broadcast(drift), "method")
+    return violations(
+        met, complete=F.col("status") == "complete", no_overlap=~F.col("overlap"), all_seeds=F.col("seeds") == F.array(*map(F.lit, seeds)), training_targets=F.col("training_targets") == training,
+        evaluation_targets=F.col("evaluation_targets") == F.col("targets"), score_rows=(F.size("score_rows") == len(seeds)) & F.forall("score_rows", lambda n: n == F.col("targets") * 8), one_config=F.col("one_config"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.hashing import bucket, stable_hex, stable_int
-from colloquy.functions.text import token_count
+from colloquy.functions.text import CONDITIONS, prompt, token_count
 
 SALT = "colloquy-v1"
 
@@ -51,19 +51,23 @@ def candidate_sets(records: DataFrame, salt: str = SALT, *also: str) -> DataFram
     return rows.select("source_index", place.alias("candidate_pos"), "candidate_id", (F.col("candidate_id") == "gold").alias("is_gold"), (F.col("at") + 1).alias("candidate_source_index"), "candidate_source_dialogue_id", "candidate_source_label", "candidate_text")
 
 
-def token_budget(examples: DataFrame, candidates: DataFrame, budget: int, counter=token_count) -> DataFrame:
-    """Drop a target's oldest turns until its context and longest candidate fit the budget; at least one turn stays.
+def token_budget(examples: DataFrame, candidates: DataFrame, budget: int, conditions: tuple[str, ...] = CONDITIONS, counter=token_count) -> DataFrame:
+    """Drop a target's oldest turns until its prompts, under every condition and with every candidate, fit the budget; at least one turn stays.
 
-    examples: source_index, context_turns. Adds turns_dropped and fits.
+    examples: source_index, context_turns, next_speaker, predicted, target_label. Adds turns_dropped and fits.
     """
-    longest = candidates.groupBy("source_index").agg(F.max(counter(F.col("candidate_text"))).alias("longest"))
-    sizes = F.transform("context_turns", lambda t: counter(F.concat(t["speaker"], F.lit(": "), t["text"])))
-    out = examples.join(longest, "source_index").withColumn("sizes", sizes)
-    total = lambda k: F.aggregate(F.slice("sizes", k + 1, F.size("sizes")), F.lit(0), lambda a, x: a + x) + F.col("longest")
-    drops = F.sequence(F.lit(0), F.size("sizes") - 1)
-    least = F.get(F.filter(drops, lambda k: total(k) <= budget), F.lit(0))
-    out = out.withColumn("fits", least.isNotNull()).withColumn("turns_dropped", F.coalesce(least, F.size("sizes") - 1))
-    return out.withColumn("context_turns", F.slice("context_turns", F.col("turns_dropped") + 1, F.size("sizes"))).drop("sizes", "longest")
+    longest = candidates.groupBy("source_index").agg(F.max(counter(F.trim("candidate_text"))).alias("longest"))
+    out = examples.join(longest, "source_index")
+
+    def largest(k: Column) -> Column:
+        turns = F.slice("context_turns", k + 1, F.size("context_turns"))
+        sizes = [counter(prompt(turns, F.col("next_speaker"), F.lit(c), F.col("predicted"), F.col("target_label"))) for c in conditions]
+        return (F.greatest(*sizes) if len(sizes) > 1 else sizes[0]) + F.col("longest")
+
+    drops = F.sequence(F.lit(0), F.size("context_turns") - 1)
+    least = F.get(F.filter(drops, lambda k: largest(k) <= budget), F.lit(0))
+    out = out.withColumn("fits", least.isNotNull()).withColumn("turns_dropped", F.coalesce(least, F.size("context_turns") - 1))
+    return out.withColumn("context_turns", F.slice("context_turns", F.col("turns_dropped") + 1, F.size("context_turns"))).drop("longest")
 
 
 def hash_order(salt: str = SALT) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from colloquy.functions.text import last_lines, tokens
+from colloquy.sources.storage import written
 
 
 def vocabulary(rows: DataFrame, text: str, most: int = 49_998) -> DataFrame:
@@ -65,19 +68,49 @@ def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(words, grams))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of (gram, total, …) with the largest totals, ties by the gram, at most ``most`` of them.
+
+    The least total that stays comes from the number of grams of each total; only the grams that have just this total
+    are put in order.
+    """
+    levels = counts.groupBy("total").agg(F.count(F.lit(1)).alias("k"))
+    above = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per total
+    edge = levels.withColumn("above", above).filter(F.col("above") + F.col("k") > most).agg(F.max("total").alias("__edge"), F.max_by("above", "total").alias("__above")).first()
+    if edge[0] is None:
+        return counts
+    ties = counts.filter(F.col("total") == edge[0]).orderBy("gram").limit(max(0, most - edge[1]))
+    return counts.filter(F.col("total") > edge[0]).unionByName(ties)
+
+
 def tfidf(rows: DataFrame, key: str, text: str, train: Column, min_df: int = 2, most: int = 50_000, low: int = 2, high: int = 4) -> DataFrame:
     """key, gram, weight: sublinear tf times smooth idf, each row's weights of length 1. Vocabulary and idf are of training rows.
 
     The vocabulary keeps the grams with the largest total count, ties by the gram.
     """
     counts = rows.select(key, train.alias("__train"), F.explode(char_grams(F.col(text), low, high)).alias("gram")).groupBy(key, "__train", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    counts = written(counts, "gram-counts")
     fitted = counts.filter("__train").groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
-    fitted = fitted.orderBy(F.desc("total"), "gram").limit(most)
+    fitted = most_frequent(written(fitted, "gram-totals"), most)
     n = rows.filter(train).agg(F.count(F.lit(1)).alias("n"))
     idf = fitted.join(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(idf, "gram").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "gram", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "gram", (F.col("w") / norm).alias("weight"))
+
+
+def sparse_vectors(weights: DataFrame, key: str) -> DataFrame:
+    """key, vector: MLlib vectors of (key, gram, weight) rows. Their dimensions are the grams in order; a vocabulary is bounded, so its numbers are one small table."""
+    grams = written(weights.select("gram").distinct(), "grams")
+    numbered = grams.withColumn("at", F.row_number().over(Window.orderBy("gram")) - 1)
+    size = max(1, grams.count())
+    per = weights.join(numbered, "gram").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("p"))
+    field = lambda f: F.transform("p", lambda x: x[f])
+    parts = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), field("at").alias("indices"), field("weight").alias("values"))
+    held = per.select(key, parts.alias("vector"))
+    # an MLlib vector is stored as this struct: written as one and read as the other
+    kind = StructType([held.schema[key], StructField("vector", VectorUDT())])
+    return written(held, "sparse-vectors", kind)
 
 
 def mean_pooled(rows: DataFrame, key: str, vector: str, weight: Column | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.operators.audit import violations
+
 EXTENSIONS = ("mp4", "mkv", "avi", "mov", "wav")
 
 
@@ -37,6 +39,32 @@ def manifest(found: DataFrame) -> DataFrame:
     return found.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def coverage(rows: DataFrame, availability: DataFrame, key: str, level: str) -> DataFrame:
+    """level, total, video_found, video_coverage, audio_extractable, audio_coverage. availability: key, video_found, audio_extractable."""
+    met = rows.select(key, level).join(availability.select(key, "video_found", "audio_extractable"), key, "left")
+    n = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    out = met.groupBy(level).agg(F.count(F.lit(1)).alias("total"), n("video_found").alias("video_found"), n("audio_extractable").alias("audio_extractable"))
+    return out.withColumns({"video_coverage": F.col("video_found") / F.col("total"), "audio_coverage": F.col("audio_extractable") / F.col("total")})
+
+
+def gate(availability: DataFrame, least: int = 150) -> DataFrame:
+    """valid, status: whether enough rows have audio."""
+    valid = F.count_if(F.coalesce(F.col("audio_extractable"), F.lit(False)))
+    return availability.agg(valid.alias("valid")).withColumn("status", F.when(F.col("valid") >= least, "PASS").otherwise(f"AUDIO_BELOW_{least}_STOP"))
+
+
+def with_media(review: DataFrame, availability: DataFrame, key: str) -> DataFrame:
+    """Review rows whose media are usable, with the path and the digest of their audio."""
+    usable = availability.filter("video_found and audio_extractable and failure is null").select(key, F.col("path").alias("target_audio_path"), F.col("sha256").alias("target_audio_sha256"))
+    return review.join(usable, key)
+
+
+def media_violations(availability: DataFrame, preferred: str = "utterances_final") -> DataFrame:
+    """rule, violations among rows that are said to be usable."""
+    valid = availability.filter("video_found and audio_extractable and failure is null")
+    return violations(valid, duration=F.col("duration") > 0, channels=F.col("channels") >= 1, sample_rate=F.col("sample_rate") > 0, length=F.col("length") > 0, digest=F.col("sha256").rlike("^[0-9a-f]{64}$"), preferred_folder=F.col("path").contains(preferred))
+
+
 def wav_header(content: bytes) -> dict:
     """channels, rate, bits and frames of a RIFF/WAVE file, or a failure."""
     out = {"channels": None, "rate": None, "bits": None, "frames": None, "failure": None}

@@ -31,6 +31,29 @@ def incomplete_groups(scores: DataFrame, candidates: int = 4) -> DataFrame:
     return seen.filter(f"rows <> {candidates} or ids <> {candidates} or gold <> 1 or not_finite > 0")
 
 
+def score_mismatches(scores: DataFrame, tasks: DataFrame) -> DataFrame:
+    """problem, n of scored groups against the candidates of their tasks, in order: groups without a task, tasks that some run lacks, groups with other candidates.
+
+    scores: GROUP, condition, candidate_pos, candidate_id. tasks: fold, sample_id, candidate_pos, candidate_id.
+    """
+    listed = lambda df, *keys: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("candidate_pos", "candidate_id"))).alias("held"))
+    runs = scores.select("method", "seed", "condition").distinct()  # one row a run
+    wanted = listed(tasks, "fold", "sample_id").withColumnRenamed("held", "wanted").join(F.broadcast(runs))
+    met = listed(scores, *GROUP, "condition").join(wanted, [*GROUP, "condition"], "full")
+    counts = met.agg(F.count_if(F.col("wanted").isNull()).alias("no_task"), F.count_if(F.col("held").isNull()).alias("not_scored"), F.count_if(F.col("held") != F.col("wanted")).alias("other_candidates"))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("problem"), F.col(c).alias("n")) for c in counts.columns))).alias("p")).select("p.*")
+
+
+def identity_mismatches(scores: DataFrame, predictions: DataFrame) -> DataFrame:
+    """column, n: targets of a run whose dialogue, episode or label differs between scores and recognition, or that recognition lacks."""
+    keys, columns = ["method", "fold", "seed", "source_index"], {"dialogue_id": "dialogue_id", "episode_id": "episode_id", "target_label": "true_label"}
+    one = scores.select(*keys, *columns).distinct().withColumn("__s", F.lit(True))
+    met = one.join(predictions.select(*keys, *(F.col(p).alias(f"__{c}") for c, p in columns.items()), F.lit(True).alias("__p")), keys, "full")
+    both = F.col("__s").isNotNull() & F.col("__p").isNotNull()
+    counts = met.agg(F.count_if(F.col("__p").isNull()).alias("not_recognised"), *(F.count_if(both & ~F.col(c).eqNullSafe(F.col(f"__{c}"))).alias(c) for c in columns))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in counts.columns))).alias("p")).select("p.*")
+
+
 def outcomes(scores: DataFrame, predictions: DataFrame) -> DataFrame:
     """Response decisions of both conditions next to the recognition of the same turn, with group and transition."""
     chosen = decisions(scores, "method", "fold", "seed", "source_index", "sample_id", "episode_id", "target_label", "condition")

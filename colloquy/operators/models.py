@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,26 +16,34 @@ def balanced(train: DataFrame, label: str) -> DataFrame:
     return train.join(F.broadcast(counts)).withColumn("weight", F.col("__n") / (2 * own)).drop("__n", "__p")
 
 
+def assembled(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with features: the columns (MLlib vectors or arrays of numbers) side by side. A missing vector raises an error."""
+    arrays = {c for c in columns if rows.schema[c].dataType.typeName() == "array"}
+    held = rows.withColumns({f"__{c}": array_to_vector(F.transform(c, lambda x: x.cast("double"))) for c in arrays})
+    out = VectorAssembler(inputCols=[f"__{c}" if c in arrays else c for c in columns], outputCol="features").transform(held)
+    return out.drop(*(f"__{c}" for c in arrays))
+
+
 def _scored(model, rows: DataFrame, out: str) -> DataFrame:
-    done = model.transform(rows.withColumn("features", array_to_vector("vector")))
+    done = model.transform(rows)
     return done.withColumn(out, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def detector(train: DataFrame, rows: DataFrame, label: str, threshold: float = 0.5, regularisation: float = 0.01) -> DataFrame:
-    """Balanced logistic regression over ``vector``: rows with probability and predicted."""
-    fit = LogisticRegression(labelCol=label, weightCol="weight", regParam=regularisation, maxIter=50).fit(balanced(train, label).withColumn("features", array_to_vector("vector")))
+    """Balanced logistic regression over ``features``: rows with probability_1 and predicted."""
+    fit = LogisticRegression(labelCol=label, weightCol="weight", regParam=regularisation, maxIter=50).fit(balanced(train, label))
     return _scored(fit, rows, "probability_1").withColumn("predicted", (F.col("probability_1") >= threshold).cast("int"))
 
 
 def forest(train: DataFrame, rows: DataFrame, label: str, trees: int = 300, seed: int = 1) -> DataFrame:
-    """Balanced random forest with square-root feature subsets."""
-    fit = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, featureSubsetStrategy="sqrt", seed=seed).fit(balanced(train, label).withColumn("features", array_to_vector("vector")))
+    """Balanced random forest over ``features`` with square-root feature subsets."""
+    fit = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, featureSubsetStrategy="sqrt", seed=seed).fit(balanced(train, label))
     return _scored(fit, rows, "probability_1").withColumn("predicted", (F.col("probability_1") >= 0.5).cast("int"))
 
 
 def selector(train: DataFrame, rows: DataFrame, positive_weight: float = 3.0, regularisation: float = 0.01) -> DataFrame:
-    """Candidate log-odds from ``vector``, trained on is_gold with weight positive_weight for replies."""
-    known = train.withColumns({"label": F.col("is_gold").cast("double"), "weight": F.when(F.col("is_gold"), positive_weight).otherwise(1.0), "features": array_to_vector("vector")})
+    """Candidate log-odds from ``features``, trained on is_gold with weight positive_weight for replies."""
+    known = train.withColumns({"label": F.col("is_gold").cast("double"), "weight": F.when(F.col("is_gold"), positive_weight).otherwise(1.0)})
     fit = LogisticRegression(labelCol="label", weightCol="weight", regParam=regularisation, maxIter=50).fit(known)
     p = F.least(F.greatest(F.col("p"), F.lit(1e-12)), F.lit(1 - 1e-12))
     return _scored(fit, rows, "p").withColumn("selector_logit", F.log(p / (1 - p))).drop("p")

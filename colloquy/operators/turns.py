@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sealed(turns: DataFrame, end: int) -> DataFrame:
+def sealed(turns: DataFrame, end: int | Column) -> DataFrame:
     """Only rows before the given position may be used."""
     return turns.filter(F.col("source_index") < end)
 
@@ -38,13 +38,14 @@ def eligible(turns: DataFrame, context_turns: int = 5) -> DataFrame:
 
 
 def context_before(utterances: DataFrame, window: int = 8) -> DataFrame:
-    """context: the rows among the window positions before an utterance that are neither blank nor notes, oldest first.
+    """context: the rows among the window positions before an utterance that have words and are no notes, oldest first.
 
-    Blank rows and notes use up a place. utterances: conversation_id, order, speaker, text.
+    Rows without words and notes use up a place. utterances: conversation_id, order, speaker, text, text_norm (the
+    normalised text, which says whether there are words).
     """
     w = Window.partitionBy("conversation_id").orderBy("order").rowsBetween(-window, -1)
-    said = F.collect_list(F.struct("order", "speaker", "text")).over(w)
-    return utterances.withColumn("context", F.filter(said, lambda r: (F.trim(r["text"]) != "") & (r["speaker"] != "TRANSCRIPT_NOTE")))
+    said = F.collect_list(F.struct("order", "speaker", "text", "text_norm")).over(w)
+    return utterances.withColumn("context", F.filter(said, lambda r: (r["text_norm"] != "") & (r["speaker"] != "TRANSCRIPT_NOTE")))
 
 
 def scene_positions(utterances: DataFrame) -> DataFrame:

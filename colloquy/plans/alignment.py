@@ -12,7 +12,9 @@ from colloquy.operators import align as L
 from colloquy.operators import audit as Q
 from colloquy.operators.turns import context_before, scene_positions
 from colloquy.sources import adapters as A
+from colloquy.sources import io as S
 from colloquy.sources.adapters import SQL, h
+from colloquy.sources.storage import written
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,15 +35,19 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utterance_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = A.read(spark, sf_dir, "conversations").filter("conv_id < 10000 and turn < 100")
-    i = lambda c: F.col(c).cast("int")
-    uid = F.format_string("s%02d_e%02d_c%02d_u%d", F.floor(F.col("conv_id") / 1000).cast("int"), F.floor(F.col("conv_id") / 10 % 100).cast("int"), (F.col("conv_id") % 10).cast("int"), i("turn"))
+    """Ids of all turns: the conversation's number in two-digit fields, and the rest of it with the turn as the last field, which takes any number."""
+    t = A.read(spark, sf_dir, "conversations")
+    part = lambda d: (F.floor(F.col("conv_id") / d) % 100).cast("int")
+    last = F.floor(F.col("conv_id") / 1_000_000) * 1000 + F.col("turn")
+    uid = F.format_string("s%02d_e%02d_c%02d_u%d", part(10_000), part(100), part(1), last)
     return t.select(uid.alias("uid")).select("uid", *(T.utterance_id(F.col("uid"))[f].alias(f"at_{f}") for f in ("season", "episode", "scene", "order")))
 
 
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over the corpus in which one line in twenty is a note."""
     c = _corpus(spark, sf_dir)
-    return c.agg(F.count(F.lit(1)).alias("utterances"), F.count_distinct("conversation_id").alias("scenes"), F.count_distinct("speaker").alias("speakers"), F.count_if(F.col("text_norm") == "").alias("empty"), F.count_if(T.is_note(F.col("speaker"))).alias("notes"))
+    c = c.withColumn("speaker", F.when(bucket(F.col("utterance_id"), "note", 20) == 0, "Transcript_Note").otherwise(F.col("speaker")))
+    return c.agg(F.count(F.lit(1)).alias("utterances"), F.count_distinct("conversation_id").alias("scenes"), F.count_distinct(F.floor(F.col("conversation_id") / 10)).alias("episodes"), F.count_distinct("speaker").alias("speakers"), F.count_if(F.col("text_norm") == "").alias("empty"), F.count_if(T.is_note(F.col("speaker"))).alias("notes"))
 
 
 def exact_block(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +62,10 @@ def token_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fallback_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short turns against all short lines of their speaker."""
-    t = A.turns(spark, sf_dir).filter("text is not null").select(F.col("source_index").cast("string").alias("target_id"), "speaker", F.substring("text", 1, 12).alias("utterance"))
-    return L.fallback_block(L.prepared_targets(t), _corpus(spark, sf_dir)).groupBy("target_id").agg(F.count(F.lit(1)).alias("pairs"))
+    """All different short lines of a speaker (1 to 12 characters) against all lines of theirs."""
+    c = written(_corpus(spark, sf_dir), "corpus")
+    short = c.filter((F.length("text_norm") <= L.SHORT) & (F.col("text_norm") != "")).select("speaker", F.col("text_norm").alias("target_norm")).distinct()
+    return L.fallback_block(short.withColumn("target_id", F.concat_ws("|", "speaker", "target_norm")), c).groupBy("target_id").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +79,7 @@ def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = context_before(A.corpus(spark, sf_dir))
+    c = context_before(_corpus(spark, sf_dir))
     return c.select("utterance_id", F.size("context").alias("n_before"), F.try_element_at("context", F.lit(-1))["order"].alias("prev1"), F.try_element_at("context", F.lit(-2))["order"].alias("prev2"))
 
 
@@ -93,46 +100,106 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.observed_reply(alignment(spark, sf_dir), A.corpus(spark, sf_dir))
+    return L.observed_reply(written(alignment(spark, sf_dir), "alignment"), A.corpus(spark, sf_dir))
 
 
 def alignment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates, concentration and the verdict of the alignment with its replies."""
-    out = alignment_replies(spark, sf_dir).withColumn("scene", F.split_part("utterance_id", F.lit("|"), F.lit(1)))
+    """Rates, coverage, concentration and the verdict of the alignment with its replies. An episode is ten conversations here."""
+    scene = F.split_part("utterance_id", F.lit("|"), F.lit(1))
+    out = written(alignment_replies(spark, sf_dir).withColumns({"scene": scene, "episode": F.floor(scene.cast("long") / 10)}), "replies")
     kept = out.filter("drop_reason is null")
-    share = lambda name: Q.concentration(kept, name).select(F.col("largest_share").alias(f"{name}_share"), F.col("groups").alias(f"{name}s"))
+    share = lambda name: Q.concentration(kept, name).select(F.coalesce(F.max("largest_share"), F.lit(0.0)).alias(f"{name}_share"), F.coalesce(F.max("groups"), F.lit(0)).alias(f"{name}s"))
     n = lambda c: F.count_if(c)
     level = F.col("alignment_type")
     counts = out.agg(F.count(F.lit(1)).alias("targets"), n(level == L.LEVELS["exact"]).alias("exact"), n(level == L.LEVELS["high"]).alias("high"), n(level == L.LEVELS["ambiguous"]).alias("ambiguous"), n(level == L.LEVELS["none"]).alias("unmatched"), n(F.col("drop_reason").isNull()).alias("retained"))
-    whole = counts.join(share("scene")).join(share("response_speaker"))
+    known = A.corpus(spark, sf_dir).agg(F.count_distinct(F.floor(F.col("conversation_id") / 10)).alias("known_episodes"))
+    # one row each
+    whole = counts.join(share("scene")).join(share("episode")).join(share("response_speaker")).join(known)
     rate = F.coalesce(F.try_divide("ambiguous", "targets"), F.lit(0.0))
-    verdict = L.feasibility(F.col("retained"), F.col("scenes"), F.col("scene_share"), F.col("response_speaker_share"), rate)
-    return whole.select("*", T.percent(F.col("exact"), F.col("targets")).alias("exact_rate"), T.percent(F.col("retained"), F.col("targets")).alias("recovery_rate"), verdict.alias("verdict"))
+    verdict = L.feasibility(F.col("retained"), F.col("episodes"), F.col("episode_share"), F.col("response_speaker_share"), rate)
+    found = F.col("targets") - F.col("unmatched")
+    return whole.select("*", T.percent(F.col("exact"), F.col("targets")).alias("exact_rate"), T.percent(F.col("high"), F.col("targets")).alias("high_rate"), T.percent(F.col("retained"), found).alias("recovery_rate"), T.percent(F.col("episodes"), F.col("known_episodes")).alias("episode_coverage"), verdict.alias("verdict"))
 
 
 def alignment_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.tag_counts(alignment(spark, sf_dir), "notes")
 
 
+def alignment_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels, selections and notes of the exact block's pairs, of which the similarities are hashes here."""
+    t, c = _targets(spark, sf_dir), _corpus(spark, sf_dir)
+    pairs = L.exact_block(t.withColumn("n_context", F.size("context")), c)
+    key = F.concat_ws("|", "target_id", "utterance_id")
+    pairs = pairs.withColumns({"target_sim": (bucket(key, "sim", 21) + 80) / F.lit(100.0), "context1": F.when(F.col("n_context") >= 1, (bucket(key, "c1", 21) + 80) / F.lit(100.0)).otherwise(0.0), "context2": F.when(F.col("n_context") >= 2, (bucket(key, "c2", 21) + 70) / F.lit(100.0)).otherwise(0.0)})
+    evidence = F.least("target_sim", "context1", F.when(F.col("n_context") >= 2, F.col("context2")))
+    none = F.lit(None).cast("string")
+    pairs = pairs.withColumns({"exact": F.col("target_sim") == 1.0, "speaker_match": F.col("speaker") == F.col("corpus_speaker"), "evidence": evidence, "prev1": none, "prev2": none})
+    return L.decided(pairs, t).drop("prev1", "prev2")
+
+
+def speaker_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the targets' speakers, of which one has no alias and one an alias that the corpus doesn't know."""
+    t = _targets(spark, sf_dir).withColumn("speaker", F.concat(F.lit("T"), "speaker"))
+    pairs = spark.createDataFrame([("Tspk0", "spk0"), ("Tspk1", "nobody"), ("Tspk9", "spk1")], "alias string, name string")
+    return L.aliases(pairs, _corpus(spark, sf_dir), t)
+
+
+def reply_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that a reply has to keep, over lines that each claim a neighbour (before, the same, or behind) as theirs."""
+    c = written(_corpus(spark, sf_dir), "corpus")
+    claim = F.col("order") + bucket(F.col("utterance_id"), "claim", 4) - 1
+    claims = c.select("utterance_id", F.concat_ws("|", "conversation_id", claim).alias("response_id"), F.when(bucket(F.col("utterance_id"), "changed", 5) == 0, F.lit("changed")).otherwise(F.col("text")).alias("target_text"))
+    return L.reply_violations(claims, c)
+
+
+def reply_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets with and without a reply, by reason: the sizes of the two outputs."""
+    out = written(next_replies(spark, sf_dir), "replies")
+    kept, dropped = L.split_replies(out)
+    return kept.groupBy(F.lit("accepted").alias("output"), F.lit("").alias("reason")).agg(F.count(F.lit(1)).alias("n")).unionByName(dropped.groupBy(F.lit("rejected").alias("output"), F.col("drop_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def last_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last two lines of each target's context, UNKNOWN where there is none."""
+    return _targets(spark, sf_dir).select("target_id", *(T.last_cell(F.col("context"), k).alias(f"line{k}") for k in (1, 2)))
+
+
+def scene_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that have no scene, or a scene of which the metadata says something else than the id; one scene in ten is left out, one in seven disagrees."""
+    c = A.corpus(spark, sf_dir).select("utterance_id", "conversation_id", F.col("conversation_id").cast("string").alias("scene_id"))
+    scenes = c.select("conversation_id").distinct().filter(bucket(F.col("conversation_id"), "missing", 10) != 0)
+    scenes = scenes.withColumn("scene", F.when(bucket(F.col("conversation_id"), "wrong", 7) == 0, "other").otherwise(F.col("conversation_id").cast("string")))
+    return S.scene_audit(c, scenes, {"scene": F.col("scene_id")})
+
+
+def one_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one label, which must be spelled one way."""
+    return Q.one_spelling(A.read(spark, sf_dir, "documents"), "lang", "EN").select("doc_id", "lang")
+
+
+def exported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in the order of an export."""
+    return S.in_order(A.corpus(spark, sf_dir).select("conversation_id", "order", "speaker"), "conversation_id", "order")
+
+
 _NORM = lambda x, keep="''": f"trim(regexp_replace(regexp_replace(translate(lower({x}), '’‘`´“”', '''''''''\"\"'), '[^\\p{{L}}\\p{{N}}_\\s{keep}]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _CORPUS = f"{SQL['corpus']}, normed AS (SELECT *, {_NORM('text')} AS text_norm FROM corpus)"
-_TARGETS = f"""{_CORPUS}, drawn AS (SELECT *, {h("'target|' || utterance_id")} % 50 AS draw FROM corpus), targets AS (SELECT 't|' || utterance_id AS target_id, speaker,
-    {_NORM("CASE WHEN draw = 0 THEN text || '!' ELSE substr(text, 1, length(text) - 1) END")} AS target_norm, utterance_id FROM drawn WHERE draw < 2 AND length(text) > 1)"""
-_LAG = lambda k: f'list_filter(list(CASE WHEN trim(text) <> \'\' THEN "order" END) OVER (PARTITION BY conversation_id ORDER BY "order" ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL)[-{k}]'
-
+_TARGETS = f"""{_CORPUS}, drawn AS (SELECT *, {h("'target|' || utterance_id")} % 50 AS draw, {h("'cut|' || utterance_id")} % 8 AS more FROM corpus), targets AS (SELECT 't|' || utterance_id AS target_id, speaker,
+    {_NORM("CASE WHEN draw = 0 THEN text || '!' WHEN more = 0 AND length(text) > 3 THEN substr(text, 1, length(text) - 3) ELSE substr(text, 1, length(text) - 1) END")} AS target_norm, utterance_id, least("order", 2)::INT AS n_context, conversation_id, "order" FROM drawn WHERE draw < 2 AND length(text) > 1)"""
 ORACLES = {
     "normalised_lines": f"WITH {_CORPUS} SELECT utterance_id, text_norm, {_NORM('text', '')} AS text_norm_noapos FROM normed",
     "text_functions": f"""SELECT conv_id, turn, nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') AS cleaned, regexp_replace(translate(text, '<>', '‹›'), '^\\s+|\\s+$', '', 'g') AS quoted, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'))::INT AS n_tokens,
         least(6, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_full_match(x, '\\s*'))))::INT AS n_lines, CASE WHEN {h("'label|' || conv_id || '|' || turn")} % 2 = 1 THEN 'sarcastic' ELSE 'literal' END AS label, printf('s%02d_e%02d', conv_id % 10, (conv_id // 10) % 100) AS episode FROM conversations""",
-    "utterance_ids": "SELECT printf('s%02d_e%02d_c%02d_u%d', conv_id // 1000, (conv_id // 10) % 100, conv_id % 10, turn) AS uid, (conv_id // 1000)::INT AS at_season, ((conv_id // 10) % 100)::INT AS at_episode, (conv_id % 10)::INT AS at_scene, turn::INT AS at_order FROM conversations WHERE conv_id < 10000 AND turn < 100",
-    "corpus_statistics": f"WITH {_CORPUS} SELECT count(*) AS utterances, count(DISTINCT conversation_id) AS scenes, count(DISTINCT speaker) AS speakers, count(*) FILTER (text_norm = '') AS empty, 0::BIGINT AS notes FROM normed",
+    "utterance_ids": "WITH i AS (SELECT conv_id // 10000 % 100 AS a, conv_id // 100 % 100 AS b, conv_id % 100 AS c, conv_id // 1000000 * 1000 + turn AS d FROM conversations) SELECT printf('s%02d_e%02d_c%02d_u%d', a, b, c, d) AS uid, a::INT AS at_season, b::INT AS at_episode, c::INT AS at_scene, d::INT AS at_order FROM i",
+    "corpus_statistics": f"""WITH {_CORPUS}, k AS (SELECT *, {h("'note|' || utterance_id")} % 20 = 0 AS note FROM normed) SELECT count(*) AS utterances, count(DISTINCT conversation_id) AS scenes, count(DISTINCT conversation_id // 10) AS episodes,
+        count(DISTINCT CASE WHEN note THEN 'Transcript_Note' ELSE speaker END) AS speakers, count(*) FILTER (text_norm = '') AS empty, count(*) FILTER (note) AS notes FROM k""",
     "exact_block": f"WITH {_TARGETS} SELECT target_id, n.utterance_id FROM targets t JOIN normed n ON t.target_norm = n.text_norm AND n.text_norm <> ''",
     "token_block": f"""WITH {_TARGETS}, l AS (SELECT * FROM targets WHERE target_norm NOT IN (SELECT text_norm FROM normed WHERE text_norm <> '')), a AS (SELECT DISTINCT target_id, speaker, target_norm, unnest(string_split(target_norm, ' ')) AS token FROM l),
         b AS (SELECT DISTINCT utterance_id, speaker, text_norm, unnest(string_split(text_norm, ' ')) AS token FROM normed), p AS (SELECT DISTINCT target_id, b.utterance_id FROM a JOIN b ON a.token = b.token AND a.speaker = b.speaker AND a.token <> ''
         WHERE 2 * least(length(target_norm), length(text_norm)) >= 0.8 * (length(target_norm) + length(text_norm))) SELECT target_id, count(*) AS pairs FROM p GROUP BY 1""",
-    "fallback_block": f"""WITH {SQL['turns']}, {_CORPUS}, t AS (SELECT source_index::VARCHAR AS target_id, speaker, {_NORM('substr(text, 1, 12)')} AS target_norm FROM turns WHERE text IS NOT NULL)
-        SELECT target_id, count(*) AS pairs FROM t JOIN normed n ON t.speaker = n.speaker AND target_norm <> '' AND length(target_norm) <= 12 AND text_norm <> '' AND 2 * least(length(target_norm), length(text_norm)) >= 0.8 * (length(target_norm) + length(text_norm)) GROUP BY 1""",
-    "context_windows": f'WITH {SQL["corpus"]}, w AS (SELECT utterance_id, list_filter(list(CASE WHEN trim(text) <> \'\' THEN "order" END) OVER (PARTITION BY conversation_id ORDER BY "order" ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL) AS l FROM corpus) SELECT utterance_id, coalesce(len(l), 0)::INT AS n_before, l[-1]::INT AS prev1, l[-2]::INT AS prev2 FROM w',
+    "fallback_block": f"""WITH {_CORPUS}, t AS (SELECT DISTINCT speaker, text_norm AS target_norm FROM normed WHERE text_norm <> '' AND length(text_norm) <= 12)
+        SELECT t.speaker || '|' || target_norm AS target_id, count(*) AS pairs FROM t JOIN normed n ON t.speaker = n.speaker AND text_norm <> '' AND 2 * least(length(target_norm), length(text_norm)) >= 0.8 * (length(target_norm) + length(text_norm)) GROUP BY 1""",
+    "context_windows": f'WITH {_CORPUS}, w AS (SELECT utterance_id, list_filter(list(CASE WHEN text_norm <> \'\' THEN "order" END) OVER (PARTITION BY conversation_id ORDER BY "order" ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL) AS l FROM normed) SELECT utterance_id, coalesce(len(l), 0)::INT AS n_before, l[-1]::INT AS prev1, l[-2]::INT AS prev2 FROM w',
     "scene_order": f"WITH {SQL['corpus']} SELECT conversation_id, max(\"order\")::INT AS last, sum(\"order\")::BIGINT AS total FROM corpus GROUP BY 1",
     "next_replies": f"""WITH {_TARGETS}, s AS (SELECT t.utterance_id, n.conversation_id, n."order", n.speaker FROM targets t JOIN normed n USING (utterance_id)),
         after AS (SELECT s.utterance_id, s."order" AS o, m."order" AS o2, m.utterance_id AS rid, m.speaker AS rs, m.text_norm <> '' AS said, m.speaker <> s.speaker AS other FROM s LEFT JOIN normed m ON m.conversation_id = s.conversation_id AND m."order" > s."order"),
@@ -140,6 +207,27 @@ ORACLES = {
         k AS (SELECT f.utterance_id, count(*) FILTER (a.said AND NOT a.other AND a.o2 < f.ro) AS skipped FROM f JOIN after a USING (utterance_id) GROUP BY 1)
         SELECT utterance_id, CASE WHEN response_id IS NOT NULL THEN NULL WHEN sames = 0 AND blanks > 0 THEN 'TRANSCRIPT_ONLY_AFTER_TARGET' WHEN sames > 0 THEN 'NO_DIFFERENT_SPEAKER_RESPONSE' ELSE 'SCENE_END' END AS drop_reason, response_id, response_speaker,
         (ro - o)::INT AS distance, CASE WHEN response_id IS NOT NULL THEN skipped END AS skipped_same_speaker FROM f JOIN k USING (utterance_id)""",
+    "alignment_decisions": f"""WITH {_TARGETS}, p AS (SELECT target_id, n.utterance_id, t.speaker = n.speaker AS m, n_context AS k, ({h("'sim|' || target_id || '|' || n.utterance_id")} % 21 + 80)::INT / 100 AS s,
+        CASE WHEN n_context >= 1 THEN ({h("'c1|' || target_id || '|' || n.utterance_id")} % 21 + 80)::INT / 100 ELSE 0 END AS a, CASE WHEN n_context >= 2 THEN ({h("'c2|' || target_id || '|' || n.utterance_id")} % 21 + 70)::INT / 100 ELSE 0 END AS b
+        FROM targets t JOIN normed n ON t.target_norm = n.text_norm AND n.text_norm <> ''),
+        e AS (SELECT *, least(s, a, CASE WHEN k >= 2 THEN b END) AS e, s >= 0.95 AND m AND k >= 1 AND a >= 0.9 AND (k < 2 OR b >= 0.8) AS high FROM p),
+        g AS (SELECT target_id, count(*) AS n, count(*) FILTER (high) AS n_high, CASE WHEN count(*) FILTER (high) = 1 THEN max((e, s, a, b, utterance_id, m)) FILTER (high) ELSE max((e, s, a, b, utterance_id, m)) END AS x FROM e GROUP BY 1),
+        o AS (SELECT t.target_id, t.n_context AS k, coalesce(n, 0) AS n, coalesce(n_high, 0) AS n_high, x[1] AS e, x[2] AS s, x[3] AS a, x[4] AS b, x[5] AS u, x[6] AS m FROM targets t LEFT JOIN g USING (target_id))
+        SELECT target_id, CASE WHEN u IS NULL THEN 'NO_MATCH' WHEN n_high = 1 AND s = 1 THEN 'LEVEL_A_EXACT' WHEN n_high = 1 THEN 'LEVEL_B_HIGH_CONFIDENCE' ELSE 'LEVEL_C_AMBIGUOUS' END AS alignment_type,
+        CASE WHEN u IS NULL THEN 'REJECTED' WHEN n_high = 1 AND s = 1 THEN 'AUTO_CANDIDATE' ELSE 'MANUAL_REVIEW_REQUIRED' END AS status, u AS utterance_id, coalesce(s, 0)::DOUBLE AS target_sim, coalesce(a, 0)::DOUBLE AS context1, coalesce(b, 0)::DOUBLE AS context2, coalesce(e, 0)::DOUBLE AS evidence, n AS num_candidates, n_high AS num_high,
+        concat_ws(';', CASE WHEN n_high > 1 THEN 'multiple_high_confidence_candidates' END, CASE WHEN u IS NULL THEN 'no_candidate_at_or_above_reasonable_threshold' END, CASE WHEN s < 0.95 THEN 'target_similarity_below_high_threshold' END, CASE WHEN NOT m THEN 'speaker_not_verified' END,
+        CASE WHEN a < 0.9 THEN 'context1_below_high_threshold' END, CASE WHEN k >= 2 AND b < 0.8 THEN 'context2_below_high_threshold' END) AS notes FROM o""",
+    "speaker_aliases": f"WITH {_TARGETS} SELECT DISTINCT 'T' || speaker AS alias, CASE WHEN speaker = 'spk0' AND 'spk0' IN (SELECT speaker FROM corpus) THEN 'spk0' END AS name FROM targets",
+    "reply_audit": f"""WITH {_CORPUS}, c AS (SELECT *, {h("'claim|' || utterance_id")}::HUGEINT % 4 - 1 + "order" AS claim, {h("'changed|' || utterance_id")} % 5 = 0 AS changed FROM normed),
+        j AS (SELECT c.*, r.utterance_id AS rid, r."order" AS ro, r.speaker AS rs, r.text_norm AS rn FROM c LEFT JOIN normed r ON r.conversation_id = c.conversation_id AND r."order" = c.claim)
+        SELECT 'ids_known' AS rule, count(*) FILTER (rid IS NULL) AS violations FROM j UNION ALL SELECT 'same_scene', count(*) FILTER (rid IS NULL) FROM j UNION ALL SELECT 'reply_is_later', count(*) FILTER (rid IS NULL OR ro <= "order") FROM j UNION ALL SELECT 'other_speaker', count(*) FILTER (rid IS NULL OR rs = speaker) FROM j
+        UNION ALL SELECT 'reply_has_words', count(*) FILTER (rid IS NULL OR rn = '') FROM j UNION ALL SELECT 'reply_is_no_note', count(*) FILTER (rid IS NULL) FROM j UNION ALL SELECT 'target_unchanged', count(*) FILTER (changed AND text <> 'changed') FROM j""",
+    "last_contexts": f"""WITH {_TARGETS}, c AS (SELECT t.target_id, a.text AS a, b.text AS b FROM targets t LEFT JOIN corpus a ON a.conversation_id = t.conversation_id AND a."order" = t."order" - 1 LEFT JOIN corpus b ON b.conversation_id = t.conversation_id AND b."order" = t."order" - 2) SELECT target_id, coalesce(a, 'UNKNOWN') AS line1, coalesce(b, 'UNKNOWN') AS line2 FROM c""",
+    "scene_metadata": f"""WITH {SQL["corpus"]}, k AS (SELECT {h("'missing|' || conversation_id")} % 10 = 0 AS gone, {h("'wrong|' || conversation_id")} % 7 = 0 AS wrong FROM corpus) SELECT 'missing' AS problem, count(*) FILTER (gone) AS n FROM k UNION ALL SELECT 'scene', count(*) FILTER (NOT gone AND wrong) FROM k""",
+    "one_language": "SELECT doc_id, lang FROM documents WHERE lower(lang) = 'en'",
+    "exported_lines": f'WITH {SQL["corpus"]} SELECT conversation_id, "order"::INT AS "order", speaker FROM corpus ORDER BY conversation_id, "order"',
 }
+_counted = "SELECT 'accepted' AS output, '' AS reason, count(*) AS n FROM r WHERE drop_reason IS NULL HAVING count(*) > 0 UNION ALL SELECT 'rejected', drop_reason, count(*) FROM r WHERE drop_reason IS NOT NULL GROUP BY ALL"
+ORACLES["reply_split"] = f"WITH r AS ({ORACLES['next_replies']}) {_counted}"
 
-QUERIES = {n: globals()[n] for n in (*ORACLES, "similarity_scores", "alignment", "alignment_report")}
+QUERIES = {n: globals()[n] for n in (*ORACLES, "similarity_scores", "alignment", "alignment_replies", "alignment_report", "alignment_notes")}

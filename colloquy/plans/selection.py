@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
 from colloquy.functions.hashing import bucket, fingerprint, stable_hex, stable_int
+from colloquy.operators import audit as Q
 from colloquy.operators import candidates as C
 from colloquy.operators import metrics as M
 from colloquy.operators import turns as U
@@ -30,7 +31,10 @@ def eligible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sealed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.sealed(A.turns(spark, sf_dir), 50_000).agg(F.count(F.lit(1)).alias("n"), F.max("source_index").alias("last"), F.sum("label").alias("positives"))
+    """The first 72 % of the positions."""
+    t = A.turns(spark, sf_dir)
+    end = t.agg(F.floor((F.max("source_index") + 1) * 72 / 100).alias("end"))  # one row
+    return U.sealed(t.join(F.broadcast(end)), F.col("end")).agg(F.count(F.lit(1)).alias("n"), F.max("source_index").alias("last"), F.sum("label").alias("positives"))
 
 
 def episode_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +49,8 @@ def hash_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episodes and dialogues that occur in two folds: none."""
-    r = C.with_fold(records(spark, sf_dir))
+    """Episodes and dialogues that occur in two folds, if dialogues are what is dealt: no dialogue, but episodes."""
+    r = C.with_fold(records(spark, sf_dir), unit="dialogue_id")
     episodes = r.groupBy("episode_id").agg(F.count_distinct("fold").alias("k"))
     dialogues = r.groupBy("dialogue_id").agg(F.count_distinct("fold").alias("k"))
     count = lambda d, name: d.agg(F.count_if(F.col("k") > 1).alias("shared"), F.count(F.lit(1)).alias("n")).withColumn("unit", F.lit(name))
@@ -76,16 +80,20 @@ def first_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.first_dialogues(records(spark, sf_dir), 20).select("source_index", "dialogue_id")
 
 
+def _examples(r: DataFrame) -> DataFrame:
+    return r.select("source_index", "context_turns", "next_speaker", "target_label", bucket(F.col("source_index"), "predicted", 2).alias("predicted"))
+
+
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
-    out = C.token_budget(r.select("source_index", "context_turns"), C.candidate_sets(r), BUDGET)
+    out = C.token_budget(_examples(r), C.candidate_sets(r), BUDGET)
     return out.select("source_index", "fits", "turns_dropped", F.size("context_turns").alias("turns_left"))
 
 
 def rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
     c = C.candidate_sets(r)
-    return C.rejections(r, c, C.token_budget(r.select("source_index", "context_turns"), c, BUDGET))
+    return C.rejections(r, c, C.token_budget(_examples(r), c, BUDGET))
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +183,7 @@ def episode_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.bootstrap(_statistics(spark, sf_dir), 500))
+    return _rounded(M.bootstrap(_statistics(spark, sf_dir)))
 
 
 def selector_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +200,50 @@ def outcome_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("method", "seed").agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("net"), groups.alias("group_net")).join(expected)
 
 
+def partition_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate sets whose distractors come from the target's own part of the dialogues."""
+    r = records(spark, sf_dir).withColumn("part", bucket(F.col("dialogue_id"), "part", 2))
+    return C.candidate_sets(r, C.SALT, "part").select("source_index", "candidate_pos", "candidate_id", "candidate_source_index")
+
+
+def mapped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets per fold of an explicit map of episodes."""
+    r = records(spark, sf_dir)
+    folds = r.select("episode_id").distinct().withColumn("fold", bucket(F.col("episode_id"), "map", 3))
+    return C.with_fold_map(r, folds).groupBy("fold").agg(F.count(F.lit(1)).alias("targets"), F.count_distinct("episode_id").alias("episodes"))
+
+
+def score_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of which some groups are lost, some belong to no task and some candidates have changed places."""
+    s, t = _scores(spark, sf_dir), tasks(spark, sf_dir)
+    key = F.concat_ws("|", "method", "sample_id")
+    s = s.filter(bucket(key, "lost", 20) != 0).withColumn("candidate_pos", F.when(bucket(key, "moved", 10) == 0, 3 - F.col("candidate_pos")).otherwise(F.col("candidate_pos")))
+    return M.score_mismatches(s, t.filter(bucket(F.col("sample_id"), "no-task", 15) != 0).select("fold", "sample_id", "candidate_pos", "candidate_id"))
+
+
+def recognition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets whose recognition rows have another episode or label, or are lost, for some of them."""
+    p = A.predictions(C.with_fold(records(spark, sf_dir)))
+    key = F.concat_ws("|", "method", "source_index")
+    p = p.filter(bucket(key, "lost", 20) != 0).withColumns({"episode_id": F.when(bucket(key, "episode", 9) == 0, "E?").otherwise(F.col("episode_id")), "true_label": F.when(bucket(key, "flip", 8) == 0, 1 - F.col("true_label")).otherwise(F.col("true_label"))})
+    t = tasks(spark, sf_dir).select("fold", "sample_id", "source_index", "dialogue_id", "episode_id", "target_label", "candidate_pos", "candidate_id", "is_gold")
+    return M.identity_mismatches(A.scores(t), p)
+
+
+def run_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run summaries made from the tasks, per method and fold, of which some break a rule."""
+    per = tasks(spark, sf_dir).groupBy("fold").agg(F.count_distinct("sample_id").alias("targets"))
+    runs = per.withColumn("method", F.explode(F.array(*map(F.lit, A.METHODS))))
+    wrong = lambda rule, n: bucket(F.concat_ws("|", "method", "fold"), rule, n) == 0
+    seeds = F.array(*map(F.lit, A.SEEDS))
+    runs = runs.select(
+        "method", "fold", F.when(wrong("status", 4), "running").otherwise("complete").alias("status"), wrong("overlap", 5).alias("overlap"), F.when(wrong("seeds", 4), F.reverse(seeds)).otherwise(seeds).alias("seeds"),
+        F.when(wrong("training", 3), 1599).otherwise(1600).alias("training_targets"), (F.col("targets") + F.when(wrong("evaluation", 3), 1).otherwise(0)).alias("evaluation_targets"),
+        F.array(F.col("targets") * 8, F.col("targets") * 8 - F.when(wrong("scores", 3), 1).otherwise(0)).alias("score_rows"), F.when((F.col("method") == A.METHODS[0]) & wrong("config", 2), "b").otherwise("a").alias("config"),
+    )
+    return Q.run_violations(runs, per, list(A.SEEDS), 1600)
+
+
 # DuckDB ------------------------------------------------------------------------------------------------------------
 _S = f"'{C.SALT}|'"
 _hex = lambda x: f"substr(sha256({x}), 1, 16)"
@@ -236,7 +288,7 @@ def _tok(x: str) -> str:
 
 _BUDGET = f"""{_TASKS}, longest AS (SELECT source_index, max({_tok('candidate_text')}) AS longest FROM tasks GROUP BY 1),
 sized AS (SELECT r.source_index, len(ctx) AS n, longest, list_transform(ctx, lambda c: {_tok('c')}) AS sizes FROM records r JOIN longest USING (source_index)),
-fitted AS (SELECT *, list_filter(range(n), lambda k: list_sum(list_slice(sizes, k + 1, n)) + longest <= {BUDGET})[1] AS k FROM sized)"""
+fitted AS (SELECT *, list_filter(range(n), lambda k: list_sum(list_slice(sizes, k + 1, n)) + longest + 9 <= {BUDGET})[1] AS k FROM sized)"""
 _METRICS = """SELECT {keys}, {f1p} AS recognition_text_f1, {bap} AS recognition_text_ba, {accp} AS recognition_text_accuracy, {f1q} AS recognition_text_audio_f1, {baq} AS recognition_text_audio_ba, {accq} AS recognition_text_audio_accuracy,
     {baq} - {bap} AS delta_recognition, avg(a) AS response_text_accuracy, avg(b) AS response_text_audio_accuracy, avg(b - a) AS delta_response, avg(b - a) FILTER (target_label = 0) AS delta_literal, avg(b - a) FILTER (target_label = 1) AS delta_sarcastic,
     avg(b - a) FILTER (target_label = 1) - avg(b - a) FILTER (target_label = 0) AS did, avg(b - a) FILTER (recognition_group = 'corrected') AS delta_corrected, count(*) AS observations, count(*) FILTER (recognition_group = 'corrected') AS corrected_n,
@@ -259,13 +311,18 @@ def _metrics(keys: str) -> str:
 _DOUBLES = [f"recognition_text{a}_{m}" for a in ("", "_audio") for m in ("f1", "ba", "accuracy")] + ["delta_recognition", "response_text_accuracy", "response_text_audio_accuracy", "delta_response", "delta_literal", "delta_sarcastic", "did", "delta_corrected", "help_harm_ratio", "corrected_help_harm_ratio", "oracle_route_gain"]
 _status = lambda cond: f"CASE condition WHEN 'self_multimodal' THEN ({h("'predicted|' || source_index")} % 2)::INT WHEN 'oracle' THEN target_label END {cond}"
 
+_part = lambda t: h(f"'part|' || {t}.dialogue_id") + " % 2"
+_PARTS = _SETS.replace("AND t.next_speaker = r.next_speaker", f"AND t.next_speaker = r.next_speaker AND {_part('t')} = {_part('r')}")
+_wrong = lambda rule, n: f"{h(f"'{rule}|' || method || '|' || fold")} % {n} = 0"
+
 ORACLES = {
     "turn_table": f"WITH {SQL['turns']} SELECT * FROM turns",
     "eligible_pairs": f"WITH {_RECORDS} SELECT source_index, dialogue_id, episode_id, target_label, next_speaker, response, array_to_string(ctx, chr(10)) AS detector_text, len(ctx)::INT AS n_context FROM records",
-    "sealed_turns": f"WITH {SQL['turns']} SELECT count(*) AS n, max(source_index) AS last, sum(label)::BIGINT AS positives FROM turns WHERE source_index < 50000",
+    "sealed_turns": f"WITH {SQL['turns']} SELECT count(*) AS n, max(source_index) AS last, sum(label)::BIGINT AS positives FROM turns WHERE source_index < (SELECT (max(source_index) + 1) * 72 // 100 FROM turns)",
     "episode_folds": f"WITH {_RECORDS} SELECT fold, count(*) AS targets, count(DISTINCT episode_id) AS episodes, count(*) FILTER (target_label = 1) AS positives, sha256(array_to_string(list_sort(list(DISTINCT episode_id)), chr(10))) AS episode_fingerprint FROM records GROUP BY fold",
     "hash_splits": f"WITH {SQL['turns']} SELECT source_index, episode_id AS episode, {_hex(_S + ' || dialogue_id')} AS dialogue_hash, ({h(_S + ' || dialogue_id')} % 7)::INT AS dialogue_bucket, ({h(_S + ' || episode_id')} % 4)::INT AS episode_bucket, {h("'holdout|' || source_index")} % 10 = 0 AS held_out FROM turns",
-    "fold_isolation": f"WITH {_RECORDS} SELECT 'episode' AS unit, 0::BIGINT AS shared, count(DISTINCT episode_id) AS n FROM records UNION ALL SELECT 'dialogue', 0, count(DISTINCT dialogue_id) FROM records",
+    "fold_isolation": f"""WITH {_RECORDS}, k AS (SELECT *, {h(_S + " || dialogue_id")} % 4 AS f FROM records), e AS (SELECT count(DISTINCT f) AS n FROM k GROUP BY episode_id), d AS (SELECT count(DISTINCT f) AS n FROM k GROUP BY dialogue_id)
+        SELECT 'episode' AS unit, count(*) FILTER (n > 1) AS shared, count(*) AS n FROM e UNION ALL SELECT 'dialogue', count(*) FILTER (n > 1), count(*) FROM d""",
     "distractor_ranks": f"WITH {_POOL} SELECT source_index, same, count(*) AS pool, count(DISTINCT said) AS texts, arg_min(pool_index, (gap, k, pool_index)) AS best_index, min(gap)::INT AS least_gap FROM pool GROUP BY 1, 2",
     "candidate_sets": f"WITH {_SETS} SELECT * REPLACE (candidate_pos::INT AS candidate_pos) FROM sets",
     "evaluation_pairs": f"""WITH {_SETS}, firsts AS (SELECT r.*, row_number() OVER (PARTITION BY dialogue_id, target_label ORDER BY {_hex(_S + " || source_index")}) AS n FROM records r WHERE source_index IN (SELECT source_index FROM sets)),
@@ -287,12 +344,24 @@ ORACLES = {
     "transition_table": f"WITH {_OUTCOMES}, g AS (SELECT DISTINCT method, rg AS recognition_group, rt AS response_transition FROM outcomes, (SELECT unnest(['corrected', 'corrupted', 'stable-correct', 'stable-wrong']) AS rg), (SELECT unnest(['helpful', 'harmful', 'stable-correct', 'stable-wrong']) AS rt)) SELECT g.*, count(o.method) AS n FROM g LEFT JOIN outcomes o USING (method, recognition_group, response_transition) GROUP BY ALL",
     "episode_statistics": f"WITH {_STATS} SELECT * FROM stats",
     "bootstrap_intervals": f"""WITH {_STATS}, e AS (SELECT episode_id, row_number() OVER (ORDER BY episode_id) - 1 AS number, count(*) OVER () AS k FROM (SELECT DISTINCT episode_id FROM stats)),
-        d AS (SELECT r AS replicate, {h("'bootstrap|' || r || '|' || j")} % (SELECT max(k) FROM e)::UBIGINT AS number FROM range(500) t(r), range((SELECT max(k) FROM e)) u(j)),
+        d AS (SELECT r AS replicate, {h("'bootstrap|' || r || '|' || j")} % (SELECT max(k) FROM e)::UBIGINT AS number FROM range(2000) t(r), range((SELECT max(k) FROM e)) u(j)),
         s AS (SELECT method, replicate, {', '.join(f'sum({c}) AS {c}' for c in ('positives', 'negatives', 'text_tp', 'text_tn', 'audio_tp', 'audio_tn', 'observations', 'corrected', 'net', 'corrected_net'))} FROM d JOIN e USING (number) JOIN stats USING (episode_id) GROUP BY ALL),
         v AS (SELECT method, unnest(['delta_recognition', 'delta_response', 'delta_corrected']) AS metric, unnest([((audio_tp - text_tp) / nullif(positives, 0) + (audio_tn - text_tn) / nullif(negatives, 0)) / 2, net / nullif(observations, 0), corrected_net / nullif(corrected, 0)]) AS value FROM s)
         SELECT method, metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) FILTER (value IS NULL) AS undefined FROM v GROUP BY ALL""",
     "selector_loss": f"WITH {_SCORES}, x AS (SELECT *, z * 8 - 4 AS l FROM scores) SELECT method, condition, round(avg(CASE WHEN is_gold THEN 3 * (ln(1 + exp(-abs(l))) + greatest(-l, 0)) ELSE ln(1 + exp(-abs(l))) + greatest(l, 0) END), 6) AS loss FROM x GROUP BY ALL",
     "outcome_consistency": f"WITH {_OUTCOMES} SELECT method, seed, count(*) AS n, sum((q = y)::INT - (p = y)::INT)::BIGINT AS net, count(*) FILTER (recognition_group = 'corrected') - count(*) FILTER (recognition_group = 'corrupted') AS group_net, (SELECT count(DISTINCT source_index) FROM sets) AS expected FROM outcomes GROUP BY ALL",
+    "partition_candidates": f"WITH {_PARTS} SELECT source_index, candidate_pos::INT AS candidate_pos, candidate_id, candidate_source_index FROM sets",
+    "mapped_folds": f"WITH {_RECORDS}, k AS (SELECT episode_id, ({h(chr(39) + 'map|' + chr(39) + ' || episode_id')} % 3)::INT AS f FROM records) SELECT f AS fold, count(*) AS targets, count(DISTINCT episode_id) AS episodes FROM k GROUP BY 1",
+    "score_audit": f"""WITH {_SCORES}, s AS (SELECT method, fold, seed, sample_id, condition, list((CASE WHEN {h("'moved|' || method || '|' || sample_id")} % 10 = 0 THEN 3 - candidate_pos ELSE candidate_pos END, candidate_id)) AS l FROM scores WHERE {h("'lost|' || method || '|' || sample_id")} % 20 <> 0 GROUP BY ALL),
+        t AS (SELECT fold, sample_id, list((candidate_pos, candidate_id)) AS l FROM tasks WHERE {h("'no-task|' || sample_id")} % 15 <> 0 GROUP BY ALL), r AS (SELECT DISTINCT method, seed, condition FROM s), ww AS (SELECT t.*, r.* FROM t, r),
+        j AS (SELECT s.l AS a, ww.l AS b FROM s FULL JOIN ww USING (method, fold, seed, sample_id, condition)) SELECT 'no_task' AS problem, count(*) FILTER (b IS NULL) AS n FROM j UNION ALL SELECT 'not_scored', count(*) FILTER (a IS NULL) FROM j UNION ALL SELECT 'other_candidates', count(*) FILTER (list_sort(a) <> list_sort(b)) FROM j""",
+    "recognition_audit": f"""WITH {_SCORES}, {_PREDICTIONS}, p AS (SELECT v.*, r.dialogue_id, CASE WHEN {h("'episode|' || method || '|' || source_index")} % 9 = 0 THEN 'E?' ELSE r.episode_id END AS e, CASE WHEN {h("'flip|' || method || '|' || source_index")} % 8 = 0 THEN 1 - true_label ELSE true_label END AS y
+        FROM predictions v JOIN records r USING (source_index) WHERE {h("'lost|' || method || '|' || source_index")} % 20 <> 0), s AS (SELECT DISTINCT method, fold, seed, source_index, dialogue_id, episode_id, target_label FROM scores),
+        j AS (SELECT s.*, p.method IS NULL AS gone, p.dialogue_id AS d, p.e, p.y FROM s LEFT JOIN p USING (method, fold, seed, source_index)) SELECT 'not_recognised' AS "column", count(*) FILTER (gone) AS n FROM j UNION ALL SELECT 'dialogue_id', count(*) FILTER (NOT gone AND d <> dialogue_id) FROM j
+        UNION ALL SELECT 'episode_id', count(*) FILTER (NOT gone AND e <> episode_id) FROM j UNION ALL SELECT 'target_label', count(*) FILTER (NOT gone AND y <> target_label) FROM j""",
+    "run_audit": f"""WITH {_TASKS}, r AS (SELECT DISTINCT fold, method FROM tasks, (SELECT unnest(['fusion', 'lexical']) AS method)) SELECT unnest(['complete', 'no_overlap', 'all_seeds', 'training_targets', 'evaluation_targets', 'score_rows', 'one_config']) AS rule,
+        unnest([{", ".join(f"count(*) FILTER ({_wrong(k, n)})" for k, n in (("status", 4), ("overlap", 5), ("seeds", 4), ("training", 3), ("evaluation", 3), ("scores", 3)))},
+        CASE WHEN count(DISTINCT {_wrong("config", 2)}) FILTER (method = 'fusion') > 1 THEN count(*) FILTER (method = 'fusion') ELSE 0 END]) AS violations FROM r""",
 }
 
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -56,11 +56,46 @@ def parse_json_cell(cell: Column, schema: str, default: Column) -> Column:
     return F.coalesce(F.from_json(F.when(cell != "", cell), schema), default)
 
 
-def with_scenes(utterances: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Utterances with their scene's metadata; a missing scene raises an error. The scene table is joined, not looked up row by row."""
-    out = utterances.join(scenes.withColumn("__there", F.lit(True)), "conversation_id", "left")
-    missing = F.raise_error(F.concat(F.lit("no scene "), "conversation_id")).cast("boolean")
-    return out.filter(F.coalesce("__there", missing)).drop("__there")
+def with_scenes(utterances: DataFrame, scenes: DataFrame, agree: dict[str, Column] | None = None) -> DataFrame:
+    """Utterances with their scene's metadata; a missing scene raises an error, and so does metadata that differs from what the id says.
+
+    agree: columns of scenes and what they must equal, in columns of utterances. The scene table is joined, not looked up row by row.
+    """
+    out = _with_scenes(utterances, scenes, agree or {})
+    stop = lambda what: F.raise_error(F.concat(F.lit(what), F.col("conversation_id").cast("string"))).cast("boolean")
+    wrong = F.lit(False)
+    for column in agree or {}:
+        wrong = wrong | ~F.col(f"__{column}")
+    return out.filter(F.when(F.col("__there").isNull(), stop("no scene ")).when(wrong, stop("id and metadata disagree: ")).otherwise(True)).drop("__there", *(f"__{c}" for c in agree or {}))
+
+
+def _with_scenes(utterances: DataFrame, scenes: DataFrame, agree: dict[str, Column]) -> DataFrame:
+    return utterances.join(scenes.withColumn("__there", F.lit(True)), "conversation_id", "left").withColumns({f"__{c}": F.col(c).eqNullSafe(want) for c, want in agree.items()})
+
+
+def scene_audit(utterances: DataFrame, scenes: DataFrame, agree: dict[str, Column]) -> DataFrame:
+    """problem, n: utterances without a scene, and per column those of which the scene's metadata differs from what the id says."""
+    out = _with_scenes(utterances, scenes, agree)
+    counts = out.agg(F.count_if(F.col("__there").isNull()).alias("missing"), *(F.count_if(F.col("__there").isNotNull() & ~F.col(f"__{c}")).alias(c) for c in agree))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("problem"), F.col(c).alias("n")) for c in ("missing", *agree)))).alias("p")).select("p.*")
+
+
+def in_order(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows in the order of an export: ranges of the columns over partitions, each sorted."""
+    return rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+
+def write_report(counts: DataFrame, path: str) -> None:
+    """A small aggregate as one JSON file; it has one row per counter, so one task writes it."""
+    counts.coalesce(1).write.json(path)
+
+
+def read_turns(spark: SparkSession, turns: str, audio: str, dims: int) -> DataFrame:
+    """Turns with their audio vectors, by source_index. A turn without a vector, a vector without a turn, or one of another length raises an error."""
+    out = spark.read.parquet(turns).withColumn("__t", F.lit(True)).join(spark.read.parquet(audio), "source_index", "full")
+    stop = lambda what: F.raise_error(F.concat(F.lit(what), F.col("source_index").cast("string"))).cast("boolean")
+    good = F.when(F.col("__t").isNull(), stop("no turn ")).when(F.col("target_audio").isNull(), stop("no vector ")).when(F.size("target_audio") != dims, stop("a vector of another length ")).otherwise(True)
+    return out.filter(good).drop("__t")
 
 
 def counters(rows: DataFrame, column: str) -> DataFrame:

@@ -102,6 +102,163 @@ def test_alignment_levels(spark):
     assert got["N"].alignment_type == "NO_MATCH" and got["N"].utterance_id is None
 
 
+TARGET = "target_id string, utterance string, speaker string, context array<string>, context_speakers array<string>, label boolean"
+
+
+def test_a_token_mate_of_any_length_rules_out_the_fallback(spark):
+    c = lines(spark, [("1", 0, "a", "hello everyone how are you all doing today"), ("1", 1, "a", "hallo bobb")])
+    got = {r.target_id: r for r in L.aligned(spark.createDataFrame([("A", "hello bob", "a", [], [], None), ("B", "hallo bobx", "b", [], [], None), ("C", "hallu bobx", "a", [], [], None)], TARGET), c).collect()}
+    assert got["A"].alignment_type == "NO_MATCH" and got["B"].alignment_type == "NO_MATCH" and got["C"].utterance_id == "1|1"
+
+
+def test_evidence_counts_a_missing_context_as_none(spark):
+    c = lines(spark, [("1", 0, "a", "the same exact words are here"), ("1", 1, "a", "...")])
+    t = spark.createDataFrame([("A", "the same exact words are here", "a", [], [], None), ("B", "the same exact words are her", "a", [], [], None)], TARGET)
+    got = {r.target_id: r for r in L.aligned(t, c).collect()}
+    assert got["A"].evidence == got["B"].evidence == 0 and got["A"].target_sim == 1 and got["B"].target_sim > 0.9
+
+
+def test_lines_without_words_are_no_context(spark):
+    c = L.prepared_corpus(lines(spark, [("1", 0, "a", "one"), ("1", 1, "b", "..."), ("1", 2, "TRANSCRIPT_NOTE", "n"), ("1", 3, "a", "two")]))
+    assert [r.text for r in U.context_before(c).filter("order = 3").first().context] == ["one"]
+
+
+def test_aliases(spark):
+    c = lines(spark, [("1", 0, "Ann B", "hello there my dear friend"), ("1", 1, "Bob C", "good morning to you")])
+    t = spark.createDataFrame([("A", "good morning to you", "BOB", ["hello there my dear friend"], ["ANN"], None), ("N", "good morning to you", "EVE", [], [], None)], TARGET)
+    names = L.aliases(spark.createDataFrame([("BOB", "Bob C"), ("ANN", "Ann B"), ("EVE", "Nobody")], "alias string, name string"), c, t)
+    assert {(r.alias, r.name) for r in names.collect()} == {("BOB", "Bob C"), ("EVE", None)}  # ANN speaks no target
+    got = {r.target_id: r for r in L.aligned(t, c, names).collect()}
+    assert got["A"].alignment_type == L.LEVELS["exact"] and "unresolved_speaker" in got["N"].notes and got["N"].alignment_type == L.LEVELS["ambiguous"]
+
+
+def plain_alignment(targets, corpus):
+    """The alignment by plain loops and the standard library."""
+    import re
+    from difflib import SequenceMatcher
+
+    norm = lambda t: " ".join(re.sub(r"[^\w\s']", " ", t.lower()).split())
+
+    def sim(a, b):
+        return 0.0 if not a or not b else 1.0 if a == b else SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+    rows = [(cid, i, f"{cid}|{i}", s, t, norm(t)) for cid, i, s, t in corpus]
+    out = {}
+    for tid, text, speaker, context, speakers, _ in targets:
+        n = norm(text)
+        pool = [r for r in rows if r[5] == n]
+        if not pool:
+            pool = [r for r in rows if set(r[5].split()) & set(n.split()) and (speaker is None or r[3] == speaker)]
+            if not pool and len(n) <= 12:
+                pool = [r for r in rows if speaker is None or r[3] == speaker]
+        seen = []
+        for r in pool:
+            ts = sim(n, r[5])
+            if ts < 0.8:
+                continue
+            prior = [x for x in rows if x[0] == r[0] and r[1] - 8 <= x[1] < r[1] and x[5] and x[3] != "TRANSCRIPT_NOTE"]
+
+            def best(end, line, who):
+                return max(((sim(norm(line), x[5]), i) for i, x in enumerate(prior[:end]) if who is None or x[3] == who), default=(0.0, -1))
+
+            c1 = c2 = 0.0
+            if context:
+                c1, at = best(len(prior), context[-1], speakers[-1])
+                if len(context) > 1 and at >= 0:
+                    c2 = best(at, context[-2], speakers[-2])[0]
+            match = speaker is not None and r[3] == speaker
+            ok = bool(context) and c1 >= 0.9 and (len(context) < 2 or c2 >= 0.8)
+            seen.append((min([ts, c1] + [c2] * (len(context) > 1)), ts, c1, c2, r[2], ts >= 0.95 and match and ok))
+        high = [x for x in seen if x[5]]
+        pick = high[0] if len(high) == 1 else max(seen, default=None)
+        level = "none" if not seen else ("exact" if high[0][1] == 1 else "high") if len(high) == 1 else "ambiguous"
+        out[tid] = (L.LEVELS[level], pick[4] if pick else None, *(round(x, 6) for x in (pick[:4] if pick else (0, 0, 0, 0))), len(seen), len(high))
+    return out
+
+
+def test_alignment_is_that_of_plain_loops(spark):
+    import random
+
+    random.seed(4)
+    words = "we know that this was never going to be easy for them but here it is again".split()
+    corpus = []
+    for scene in range(12):
+        for i in range(12):
+            text = random.choice(["...", "no!", "ok", "oh no"]) if random.random() < 0.25 else " ".join(random.choices(words, k=random.randint(2, 9)))
+            corpus.append((str(scene), i, random.choice(["a", "b", "TRANSCRIPT_NOTE"] if random.random() < 0.2 else ["a", "b"]), text))
+    targets = []
+    for k in range(60):
+        at = random.randrange(len(corpus))
+        scene, i, who, text = corpus[at]
+        before = [r for r in corpus if r[0] == scene and r[1] < i][-random.randint(0, 3) :] if random.random() < 0.8 else []
+        change = lambda t: t if random.random() < 0.4 else t + "s" if random.random() < 0.5 else t[: random.randrange(len(t) + 1)] + random.choice(["", "x", " q "]) + t[random.randrange(len(t) + 1) :]
+        targets.append((f"t{k:02d}", change(text), who if random.random() < 0.8 else None, [change(r[3]) for r in before], [r[2] if random.random() < 0.8 else None for r in before], None))
+    got = {r.target_id: (r.alignment_type, r.utterance_id, r.evidence, r.target_sim, r.context1, r.context2, r.num_candidates, r.num_high) for r in L.aligned(spark.createDataFrame(targets, TARGET), lines(spark, corpus)).collect()}
+    assert got == plain_alignment(targets, corpus) and len({v[0] for v in got.values()}) >= 3
+
+
+def test_sparse_vectors_and_frequent_grams(spark):
+    rows = spark.createDataFrame([(1, "a", 0.5), (1, "c", 0.5), (2, "b", 1.0)], "k long, gram string, weight double")
+    assert {r.k: (r.vector.size, list(r.vector.indices), list(r.vector.values)) for r in X.sparse_vectors(rows, "k").collect()} == {1: (3, [0, 2], [0.5, 0.5]), 2: (3, [1], [1.0])}
+    totals = spark.createDataFrame([("d", 5), ("b", 3), ("a", 3), ("c", 3), ("e", 1)], "gram string, total long")
+    assert [sorted(r.gram for r in X.most_frequent(totals, n).collect()) for n in (5, 3, 1, 0)] == [list("abcde"), ["a", "b", "d"], ["d"], []]
+
+
+def test_scene_checks_and_one_spelling(spark):
+    u = spark.createDataFrame([("u1", "c1", 1), ("u2", "c2", 2)], "utterance_id string, conversation_id string, said int")
+    good = spark.createDataFrame([("c1", 1), ("c2", 2)], "conversation_id string, scene int")
+    assert S.with_scenes(u, good, {"scene": F.col("said")}).columns == ["conversation_id", "utterance_id", "said", "scene"]
+    for bad, what in ((good.filter("scene = 1"), "no scene"), (good.withColumn("scene", F.lit(1)), "disagree")):
+        with pytest.raises(Exception, match=what):
+            S.with_scenes(u, bad, {"scene": F.col("said")}).collect()
+    shows = spark.createDataFrame([("Friends",), ("Other",), ("FRIENDS",)], "show string")
+    assert Q.one_spelling(shows.filter("show <> 'FRIENDS'"), "show", "friends").count() == 1
+    with pytest.raises(Exception, match="several ways"):
+        Q.one_spelling(shows, "show", "friends").collect()
+
+
+def test_fold_map_and_turn_reader_raise(spark, tmp_path):
+    r = spark.createDataFrame([(1, "E1"), (2, "E2")], "source_index long, episode_id string")
+    with pytest.raises(Exception, match="no fold"):
+        C.with_fold_map(r, spark.createDataFrame([("E1", 0)], "episode_id string, fold int")).collect()
+    r.write.parquet(f"{tmp_path}/turns")
+    for name, vectors in (("good", [(1, [0.5, 1.0]), (2, [1.0, 2.0])]), ("short", [(1, [0.5]), (2, [1.0, 2.0])]), ("few", [(1, [0.5, 1.0])]), ("many", [(1, [0.5, 1.0]), (2, [1.0, 2.0]), (3, [1.0, 2.0])])):
+        spark.createDataFrame(vectors, "source_index long, target_audio array<double>").write.parquet(f"{tmp_path}/{name}")
+    assert S.read_turns(spark, f"{tmp_path}/turns", f"{tmp_path}/good", 2).count() == 2
+    for name in ("short", "few", "many"):
+        with pytest.raises(Exception, match="vector|turn"):
+            S.read_turns(spark, f"{tmp_path}/turns", f"{tmp_path}/{name}", 2).collect()
+
+
+def test_media_files(spark, tmp_path):
+    import io
+    import wave
+
+    from colloquy.operators import media as D
+
+    def made(channels):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(channels)
+            w.setsampwidth(2)
+            w.setframerate(16000)
+            w.writeframes(b"\0\0" * channels * 5)
+        return out.getvalue()
+
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.wav").write_bytes(made(1))
+    (tmp_path / "m" / "b.wav").write_bytes(made(2))
+    found = D.files(spark, str(tmp_path), content=True)
+    assert {r.path[-5:]: r.valid for r in D.wav_audit(found).collect()} == {"a.wav": True, "b.wav": False}
+    assert {r.sha256 for r in D.manifest(found).collect()} == {__import__("hashlib").sha256(made(c)).hexdigest() for c in (1, 2)}
+    S.write_report(S.counters(D.with_stem(found), "extension"), f"{tmp_path}/report")
+    S.write_partitioned(spark.createDataFrame([("m", 1, 2.0)], "method string, fold int, x double"), f"{tmp_path}/parts", "method", "fold")
+    assert spark.read.json(f"{tmp_path}/report").first().n == 2 and spark.read.parquet(f"{tmp_path}/parts").columns == ["x", "method", "fold"]
+    assert {r.key: r.n for r in Q.key_presence(spark.createDataFrame([({"a": 1},), ({"a": 2, "b": 1},)], "m map<string,int>"), "m").collect()} == {"a": 2, "b": 1}
+    left, right = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string"), spark.createDataFrame([(1, "y"), (2, None)], "k int, v string")
+    assert tuple(Q.disagreements(left, right, ["k"], ["v"]).first()) == (2, 1)
+
+
 def test_scaler_uses_the_population_deviation(spark):
     rows = spark.createDataFrame([(1, [1.0, 5.0]), (2, [3.0, 5.0])], "k int, v array<double>")
     fit = {r.dim: (r["mean"], r.scale) for r in X.scaler(rows, "v").collect()}
