@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import weakref
 
@@ -33,8 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+class _Named(threading.local):
+    """Folders that this thread has named in the shared folder, in order."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+
+_NAMED = _Named()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _NAMED.folders.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _NAMED.folders[-1]
 
 
 def whole_ids(df: DataFrame, id_col: str) -> Column:
@@ -63,9 +75,32 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         known = _WRITTEN.pop(id(df), None)
         if known and known[0]() is df:
-            spark = df.sparkSession.sparkContext
-            path = spark._jvm.org.apache.hadoop.fs.Path(known[1])
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, known[1])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folders_named() -> int:
+    return len(_NAMED.folders)
+
+
+def release(spark: SparkSession, since: int, *keep: str) -> None:
+    """Delete the folders that this thread has named after the first ``since`` of them, but those to keep. What was made from them has been written."""
+    for folder in _NAMED.folders[since:]:
+        if folder not in keep:
+            _delete(spark, folder)
+    _NAMED.folders[since:] = keep
+
+
+def only_written(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df written like materialise does; then all other folders named after the first ``since`` are deleted, which df was made from."""
+    out = materialise(df, name)
+    release(df.sparkSession, since, _NAMED.folders[-1])
+    return out
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import materialise, new_path, salted_join, whole_ids
+from colloquy.llm.common import folders_named, materialise, new_path, release, salted_join, whole_ids
 from colloquy.llm.exact_dedup import filter_words, passes_filter
 
 # Fixed by the ARC format: field names of the URL lines of its two versions.
@@ -355,6 +355,8 @@ def read_warc(spark, path: str) -> DataFrame:
 
 def archive_pages(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Pages through a legacy archive and the converter to WARC files in the shared folder, and read back."""
+    since = folders_named()
     path = new_path(pages.sparkSession, "warc")
     write_warc(convert(read_arc(pages_as_arc(pages)), min_bytes), path)
+    release(pages.sparkSession, since, path)
     return read_warc(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date")

@@ -22,24 +22,53 @@ def test_against_sql(spark, name):
     assert rows == sorted(relation.fetchall(), key=str)
 
 
-def test_pipeline_stages_take_effect(spark):
+def brute_near(rows):
+    """Ids that stay: the smallest of each component of near copies."""
+    from test_near_and_substrings import brute_components
+
+    return {label for _, label in brute_components([(r.doc_id, r.text) for r in rows]).values()}
+
+
+def brute_contaminated(rows, items):
+    from test_texts import plain_matches
+
+    return {r.doc_id for r in rows if any(plain_matches(r.text or "", i.text) for i in items)}
+
+
+def test_pipeline_is_that_of_plain_loops(spark):
     import corpus_pipeline as P
-    from colloquy.llm import decontaminate, exact_dedup, near_dedup
+    from colloquy.llm import quality
     from colloquy.llm.common import materialise
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, counts, items = docs.columns, [docs.count()], spark.read.parquet(f"{SF}/benchmark.parquet")
+    labels, items = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    assert [n for n, _ in P.STAGES] == ["quality classifier", "exact dedup", "near dedup", "benchmark decontamination", "mixing"]
+    columns, counts = docs.columns, [docs.count()]
     for number, (_, stage) in enumerate(P.STAGES):
         before, docs = docs, materialise(stage(spark, docs, SF), "test-stage")
+        rows, ids = before.collect(), {r.doc_id for r in docs.select("doc_id").collect()}
         counts.append(docs.count())
-        if number < 4:
-            assert docs.columns == columns and docs.join(before, "doc_id", "left_anti").count() == 0
-        if number == 1:  # brute force: of equal texts the row with the largest id stays
+        assert number == 4 or docs.columns == columns
+        if number == 0:
+            assert ids == {r.doc_id for r in quality.report(before, labels).filter("score >= 0.3").collect()}
+        if number == 1:  # of equal texts the row with the largest id stays
             best = {}
-            for r in before.collect():
+            for r in rows:
                 best[r.text] = max(best.get(r.text, r.doc_id), r.doc_id)
-            assert {r.doc_id for r in docs.collect()} == set(best.values())
+            assert ids == set(best.values())
+        if number == 2:
+            assert ids == brute_near(rows)
         if number == 3:
-            assert not [r for r in docs.collect() if any(i.text in r.text for i in items.collect())]
-    assert counts[0] >= counts[1] > counts[2] > counts[3] >= counts[4] == counts[5]
-    assert exact_dedup and near_dedup and decontaminate
+            assert ids == {r.doc_id for r in rows} - brute_contaminated(rows, items)
+        if number == 4:
+            import re
+
+            size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+            of, got = {r.doc_id: r.source for r in rows}, docs.collect()
+            assert {r.doc_id: r.size for r in got} == size and all(r.taken <= 3 * r.size for r in got)
+            for s in set(of.values()):
+                mine = [r for r in got if of[r.doc_id] == s]
+                assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1
+    assert counts[0] > counts[1] >= counts[2] > counts[3] > counts[4] == counts[5]
+    again = sorted(map(tuple, P.run(spark, SF).collect()))
+    assert again == sorted(map(tuple, docs.collect()))

@@ -159,17 +159,16 @@ def plain_matches(text, item):
     a, b = parsed(item), parsed(text)
     width = min(D.WIDTH, len(a))
     template = lambda ws: tuple(s or w for w, s in ws)
-    windows, n_templates, by_shift = [], 0, {}
-    for i in range(len(a) - width + 1):
+    n_windows, n_templates, by_shift, known = len(a) - width + 1, 0, {}, {}
+    for i in range(n_windows):
         x = a[i : i + width]
         plain = sum(s == 0 for _, s in x) >= D.MIN_WORDS
         n_templates += plain
-        windows.append((i, x, plain))
-    for i, x, plain in windows:
-        for j in range(len(b) - width + 1):
-            y = b[j : j + width]
-            if (template(x) == template(y)) if plain else [w for w, _ in x] == [w for w, _ in y]:
-                by_shift.setdefault(j - i, []).append((i, x, y, plain))
+        known.setdefault(template(x) if plain else ("exact", *(w for w, _ in x)), []).append((i, x, plain))
+    for j in range(len(b) - width + 1):
+        y = b[j : j + width]
+        for i, x, plain in known.get(template(y), []) + known.get(("exact", *(w for w, _ in y)), []):
+            by_shift.setdefault(j - i, []).append((i, x, y, plain))
     covered, shaped = set(), set()
     for met in by_shift.values():
         values = {}
@@ -182,7 +181,7 @@ def plain_matches(text, item):
             if not plain or same or all(len(values[s, w]) == 1 for w, s in x if s):
                 covered.add(i)
                 shaped |= {i} if plain else set()
-    return len(covered) >= len(windows) / 2 or n_templates > 0 and len(shaped) >= n_templates / 2
+    return len(covered) >= n_windows / 2 or n_templates > 0 and len(shaped) >= n_templates / 2
 
 
 def test_slots_match_plain_loops(spark):
