@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of ``documents``; the last returns
 the mixture's words per document. ``run`` writes each stage as Parquet in the shared folder and reads it again, so a
-stage starts from files and not from the lineage of those before it.
+stage starts from files and not from the lineage of those before it; what a stage wrote on its way is then deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
-from colloquy.llm.common import materialise, read_table
+from colloquy.llm.common import folders_named, only_written, read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,12 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: SQL can't express the classifier, so no stage after it either; the tests run the pipeline against a brute-force version.
+#: SQL can't express the classifier, so no stage after it either; the tests hold each stage against plain loops over its input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, since = read_table(spark, sf_dir, "documents"), folders_named()
     for number, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{number}")
+        docs = only_written(stage(spark, docs, sf_dir), f"stage-{number}", since)
     return docs
