@@ -7,23 +7,78 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.hashing import bucket, stable_hex, stable_int
 from colloquy.functions.text import CONDITIONS, prompt, token_count
+from colloquy.sources.storage import written
 
 SALT = "colloquy-v1"
 
 
-def distractor_pool(records: DataFrame, salt: str = SALT, *also: str) -> DataFrame:
-    """(target, source) pairs: same episode and next speaker (and further equal columns), other dialogue, other response.
+#: Difference of lengths within which distractors are looked for first.
+NEAR = 16
 
-    Only ids, lengths and hashes are joined; texts are fetched for the few that are chosen.
+
+def _slim(records: DataFrame, *keys: str) -> DataFrame:
+    return records.select("source_index", "dialogue_id", "target_label", *keys, F.length("response").alias("size"), F.sha2("response", 256).alias("said"))
+
+
+def _other(slim: DataFrame, *keys: str) -> DataFrame:
+    return slim.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("source_index", "dialogue_id", "target_label", "size", "said")))
+
+
+def distractor_pool(targets: DataFrame, slim: DataFrame, keys: list[str], salt: str = SALT, within: int | None = None) -> DataFrame:
+    """(target, source) pairs: equal keys (episode, next speaker, …), other dialogue, other response; within: lengths that differ by no more.
+
+    targets and slim: rows of _slim. Only ids, lengths and hashes are joined; with a bound, on cells of lengths too.
     """
-    keys = ["episode_id", "next_speaker", *also]
-    slim = records.select("source_index", "dialogue_id", "target_label", *keys, F.length("response").alias("size"), F.sha2("response", 256).alias("said"))
-    other = slim.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("source_index", "dialogue_id", "target_label", "size", "said")))
-    pairs = slim.join(other, keys).filter((F.col("dialogue_id") != F.col("o_dialogue_id")) & (F.col("said") != F.col("o_said")))
+    other = _other(slim, *keys)
+    if within is None:
+        pairs = targets.join(other, keys)
+    else:
+        cells = targets.withColumn("__cell", F.explode(F.sequence(F.floor((F.col("size") - within) / within), F.floor((F.col("size") + within) / within))))
+        pairs = cells.join(other.withColumn("__cell", F.floor(F.col("o_size") / within)), [*keys, "__cell"]).filter(F.abs(F.col("size") - F.col("o_size")) <= within)
+    pairs = pairs.filter((F.col("dialogue_id") != F.col("o_dialogue_id")) & (F.col("said") != F.col("o_said")))
     rank = F.struct(F.abs(F.col("size") - F.col("o_size")).alias("gap"), stable_hex(F.concat_ws("|", "source_index", "o_source_index"), salt).alias("hash"))
     return pairs.select("source_index", "dialogue_id", "target_label", F.col("o_source_index").alias("pool_index"), (F.col("target_label") == F.col("o_target_label")).alias("same"), F.col("o_said").alias("said"), rank.alias("rank"))
 
 
+def nearest_texts(records: DataFrame, salt: str = SALT, *also: str) -> DataFrame:
+    """source_index, dialogue_id, target_label, same, said, b (rank, pool_index), n: of each target's pool, per same, the first three different texts by rank.
+
+    Ranks begin with the difference of lengths. So a target that finds three texts of both kinds within NEAR characters
+    needs no others; only the rest meet their whole group, which may hold a large share of all rows.
+    """
+    keys = ["episode_id", "next_speaker", *also]
+    slim = written(_slim(records, *keys), "distractor-rows")
+
+    def first(pairs: DataFrame) -> DataFrame:
+        best = pairs.groupBy("source_index", "dialogue_id", "target_label", "same", "said").agg(F.min(F.struct("rank", "pool_index")).alias("b"))
+        return best.withColumn("n", F.row_number().over(Window.partitionBy("source_index", "same").orderBy("b"))).filter("n <= 3")
+
+    near = written(first(distractor_pool(slim, slim, keys, salt, NEAR)), "near-distractors")
+    done = near.filter("n = 3").groupBy("source_index").agg(F.count(F.lit(1)).alias("k")).filter("k = 2").select("source_index")
+    rest = slim.join(done, "source_index", "left_anti")
+    return near.join(done, "source_index", "left_semi").unionByName(first(distractor_pool(rest, slim, keys, salt)))
+
+
+def pool_sizes(records: DataFrame, *also: str) -> DataFrame:
+    """source_index, same, pool, texts: rows and different texts of each target's pool of either label, from counts of the group.
+
+    Rows of the own dialogue and rows with the own text don't belong to a pool; those that are both are taken off once.
+    """
+    keys = ["episode_id", "next_speaker", *also]
+    slim = _slim(records, *keys)
+    by_text = slim.groupBy(*keys, F.col("target_label").alias("label"), "said").agg(F.count(F.lit(1)).alias("k"), F.min("dialogue_id").alias("lo"), F.max("dialogue_id").alias("hi"))
+    groups = by_text.groupBy(*keys, "label").agg(F.sum("k").alias("rows"), F.count(F.lit(1)).alias("all_texts"))
+    own = slim.groupBy(*keys, F.col("target_label").alias("label"), "dialogue_id").agg(F.count(F.lit(1)).alias("own_rows"))
+    alone = by_text.filter("lo = hi").groupBy(*keys, "label", F.col("lo").alias("dialogue_id")).agg(F.count(F.lit(1)).alias("own_texts"))
+    both = slim.groupBy(*keys, F.col("target_label").alias("label"), "dialogue_id", "said").agg(F.count(F.lit(1)).alias("both_rows"))
+    met = slim.drop("size").join(groups, keys).join(own, [*keys, "label", "dialogue_id"], "left").join(alone, [*keys, "label", "dialogue_id"], "left")
+    met = met.join(by_text.select(*keys, "label", "said", F.col("k").alias("same_text")), [*keys, "label", "said"], "left").join(both, [*keys, "label", "dialogue_id", "said"], "left")
+    c = lambda name: F.coalesce(name, F.lit(0))
+    elsewhere = (c("same_text") > c("both_rows")).cast("long")
+    out = met.select("source_index", (F.col("label") == F.col("target_label")).alias("same"), (F.col("rows") - c("own_rows") - c("same_text") + c("both_rows")).alias("pool"), (F.col("all_texts") - c("own_texts") - elsewhere).alias("texts"))
+    return out.filter("pool > 0")
+
+
 def candidate_sets(records: DataFrame, salt: str = SALT, *also: str) -> DataFrame:
     """Four candidates a target, in hash order: the reply, the best of the same and of the other label, and a third.
 
@@ -31,11 +86,8 @@ def candidate_sets(records: DataFrame, salt: str = SALT, *also: str) -> DataFram
     without four different texts have no candidates. One row per candidate: source_index, candidate_pos, candidate_id,
     is_gold, candidate_source_index, candidate_source_dialogue_id, candidate_source_label, candidate_text.
     """
-    pool = distractor_pool(records, salt, *also)
-    best = pool.groupBy("source_index", "dialogue_id", "target_label", "same", "said").agg(F.min(F.struct("rank", "pool_index")).alias("b"))
-    w = Window.partitionBy("source_index", "same").orderBy("b")
-    best = best.withColumn("n", F.row_number().over(w)).filter("n <= 3")  # the third choice avoids two texts at most
-    sets = best.groupBy("source_index", "dialogue_id", "target_label").agg(
+    # the third choice avoids two texts at most
+    sets = nearest_texts(records, salt, *also).groupBy("source_index", "dialogue_id", "target_label").agg(
         F.min_by(F.struct("said", "b.pool_index"), F.when(F.col("same"), F.col("b"))).alias("like"),
         F.min_by(F.struct("said", "b.pool_index"), F.when(~F.col("same"), F.col("b"))).alias("unlike"),
         F.array_sort(F.collect_list(F.struct("b", "same", "said"))).alias("all"),

@@ -13,6 +13,7 @@ from colloquy.operators import metrics as M
 from colloquy.operators import turns as U
 from colloquy.sources import adapters as A
 from colloquy.sources.adapters import SQL, h
+from colloquy.sources.storage import written
 
 PAIRS, PER_LABEL, BUDGET = 30, 100, 150
 
@@ -58,8 +59,9 @@ def fold_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distractor_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = C.distractor_pool(records(spark, sf_dir))
-    return pool.groupBy("source_index", "same").agg(F.count(F.lit(1)).alias("pool"), F.count_distinct("said").alias("texts"), F.min_by("pool_index", F.struct("rank", "pool_index")).alias("best_index"), F.min("rank.gap").alias("least_gap"))
+    r = written(records(spark, sf_dir), "records")
+    first = C.nearest_texts(r).filter("n = 1").select("source_index", "same", F.col("b.pool_index").alias("best_index"), F.col("b.rank.gap").alias("least_gap"))
+    return C.pool_sizes(r).join(first, ["source_index", "same"])
 
 
 def candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
