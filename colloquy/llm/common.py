@@ -71,11 +71,17 @@ _WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the folders of materialised tables whose readers have been written themselves."""
+    """Delete the folders of materialised tables whose readers have been written themselves.
+
+    Spark deletes the shuffle files behind them when the driver's heap is next collected; with little on the heap that
+    may be long after, so a collection is asked for.
+    """
     for df in tables:
         known = _WRITTEN.pop(id(df), None)
         if known and known[0]() is df:
             _delete(df.sparkSession, known[1])
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, folder: str) -> None:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import words
-from colloquy.llm.common import materialise, salted_join, whole_ids
+from colloquy.llm.common import discard, materialise, salted_join, whole_ids
 from colloquy.llm.components import components
 from colloquy.llm.exact_dedup import filter_words, passes_filter
 
@@ -120,7 +120,10 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     """bucket, node and the bucket's lo and hi (first and last node) of the buckets with two nodes or more. rows: node, bands."""
     rows = rows.select(F.explode("bands").alias("bucket"), "node")
     full = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("__n")).filter("lo < hi")
-    return materialise(salted_join(rows, materialise(full, "bucket-sizes"), ["bucket"], ["node"]), "buckets")
+    full = materialise(full, "bucket-sizes")
+    out = materialise(salted_join(rows, full, ["bucket"], ["node"]), "buckets")
+    discard(full)
+    return out
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -148,13 +151,18 @@ def open_sets(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     owned = held.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1")
     own = owned.groupBy("node").agg(F.collect_list("s").alias("own"))  # bounded by the length of a text
     shared = F.when(F.col("own").isNull(), F.col("shingles")).otherwise(F.array_except("shingles", "own"))
-    return materialise(members.join(own, "node", "left").select("node", "n", shared.alias("shingles")), "open-sets")
+    out = materialise(members.join(own, "node", "left").select("node", "n", shared.alias("shingles")), "open-sets")
+    discard(members)
+    return out
 
 
 def several(buckets: DataFrame) -> DataFrame:
     """The rows of buckets that hold members of several components."""
     spread = buckets.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("__n")).filter("least < most").select("bucket", "__n")
-    return materialise(salted_join(buckets, materialise(spread, "bucket-sizes"), ["bucket"], ["node"]), "open")
+    spread = materialise(spread, "bucket-sizes")
+    out = materialise(salted_join(buckets, spread, ["bucket"], ["node"]), "open")
+    discard(spread)
+    return out
 
 
 def block_links(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -213,7 +221,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
     both = salted_join(near, side(near, "a").drop("na"), ["a"], ["b"], total=total)
     both = salted_join(both, side(near, "b").drop("nb"), ["b"], ["a"], total=total)
     both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    return both.filter(100 * F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    out = materialise(both.filter(100 * F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "links")
+    discard(near)
+    return out
 
 
 def links_and_labels(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +242,9 @@ def links_and_labels(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataF
     sets = shingle_sets(texts).join(met.select("set_key", "node"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = materialise(sets.withColumn("n", F.size("shingles").cast("long")), "shingles")
 
-    links = materialise(confirmed(materialise(leader_pairs(buckets), "pairs"), sets, threshold), "links")
+    pairs = materialise(leader_pairs(buckets), "pairs")
+    links = confirmed(pairs, sets, threshold)
+    discard(pairs)
     # rows that repeat an id are one document
     split = some.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo < hi").select("doc_id")
     split = materialise(some.join(split, "doc_id", "left_semi").select("doc_id", "set_key").distinct(), "split-ids")
@@ -241,18 +253,24 @@ def links_and_labels(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataF
         links = links.unionByName(nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b"))
     labels = components(links)
     labelled = buckets.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = several(labelled)
-    shared = open_sets(rest, sets)
+    spread = several(labelled)
+    shared = open_sets(spread, sets)
+    discard(sets)
     able = shared.filter(100 * F.size("shingles").cast("long") >= threshold * F.col("n"))
-    rest = several(rest.join(able.select("node", "n"), "node"))
+    rest = several(spread.join(able.select("node", "n"), "node"))
+    discard(spread)
     more = materialise(block_links(rest, able, threshold), "links")
+    discard(rest, shared)
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        first, labels = labels, components(links.unionByName(more))
+        discard(first)
     named = classes.select("set_key", "rep", "__n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialise(named, "named")
     least = named.groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("__k"))
-    named = salted_join(named.withColumnRenamed("__n", "rows"), least.withColumnRenamed("__k", "__n"), ["label"], ["node"])
-    return summary, materialise(named.select("set_key", F.col("rows").alias("__n"), "component"), "components")
+    out = salted_join(named.withColumnRenamed("__n", "rows"), least.withColumnRenamed("__k", "__n"), ["label"], ["node"])
+    out = materialise(out.select("set_key", F.col("rows").alias("__n"), "component"), "components")
+    discard(classes, buckets, met, labels, named, more)
+    return summary, out
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
