@@ -12,8 +12,9 @@ units at these spaces, its tokens are those of its units, and a unit is encoded
 rules follow from A's pre-tokenizer and from B's pieces, in which a space only stands in front; the latter is checked
 when the model is loaded.
 
-Pairs of ids are counted over all documents. The most frequent pairs, at most HEAD_PAIRS, go to every task as sorted
-arrays; what documents hold of all others is joined. The highest count of each B id is one row per id of a vocabulary.
+Texts are encoded once: a document's links, as distinct pairs of ids, are written with it. Pairs are counted over all
+documents. The most frequent pairs, at most HEAD_PAIRS, go to every task as sorted arrays; what documents hold of all
+others is joined. The highest count of each B id is one row per id of a vocabulary.
 
 Defined cases: null and empty texts, and those that A or B do not give back, have no tokens: zeros and an empty string.
 Rows that repeat, also of one id, count row by row. An empty table gives an empty result. Long texts are aligned whole.
@@ -22,7 +23,9 @@ Columns besides id and text are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import discard, materialise, salted_join
+from colloquy.llm.common import materialise, salted_join
 from colloquy.llm.token_counts import load, tokenizer_path
 
 HEAD_PAIRS = 1 << 20
@@ -52,50 +55,43 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def token_ends(spans: list[tuple[int, int]], pieces: list[bytes]) -> list[int]:
-    """Where tokens end, in bytes: by their span where it is their own, else by their decoded bytes."""
-    out, at = [], 0
-    for (start, end), piece in zip(spans, pieces, strict=True):
-        at = end if start == at and end - start == len(piece) else at + len(piece)
-        out.append(at)
-    return out
+def token_ends(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where tokens end, in bytes: by their span where it is as long as their decoded bytes, else by these bytes, from the last such end on."""
+    total = np.cumsum(sizes)
+    own = np.flatnonzero(ends - starts == sizes)
+    last = np.searchsorted(own, np.arange(len(sizes)), "right") - 1  # the last token so far that has a span of its own
+    if not len(own):
+        return total
+    at = own[np.maximum(last, 0)]
+    return np.where(last >= 0, ends[at] + total - total[at], total)
 
 
-def overlaps(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(links, groups) of two cuts of the same bytes: places of tokens that overlap, and the places after each common end."""
-    i = j = 0
-    links, groups = [], []
-    while i < len(a_ends) and j < len(b_ends):
-        links.append((i, j))
-        a, b = a_ends[i], b_ends[j]
-        i, j = i + (a <= b), j + (b <= a)
-        if a == b:
-            groups.append((i, j))
-    return links, groups
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(links' places in a, links' places in b, links' ends, common ends) of two cuts of the same bytes.
 
+    Between two neighbouring cuts of either kind lies one token of each, and tokens that overlap do so in one such stretch.
+    """
+    both = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+    twice = np.zeros(len(both), bool)  # both lists rise, so an end stands twice if it is in both
+    twice[1:] = both[1:] == both[:-1]
+    cuts = both[~twice]
+    return np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts), cuts, both[twice]
 
-class Unit:
-    """Ids of both tokenizers, links and groups of a stretch of text; without tokens if one of them does not give its bytes back."""
 
-    __slots__ = ("a", "b", "groups", "links", "ok", "ends")
+@dataclass
+class Units:
+    """Stretches of text: the text of each one's groups, its numbers of A's tokens, B's tokens, groups and links and 1 if it has tokens; and the links of all, as pairs of ids."""
 
-    def __init__(self, raw: bytes, a: list[int], b: list[int], a_spans, b_spans, a_bytes: list[bytes], b_bytes: list[bytes]):
-        pa_, pb = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-        self.ok = b"".join(pa_) == raw == b"".join(pb)
-        self.a, self.b = (a, b) if self.ok else ([], [])
-        if not self.ok:
-            self.links, self.groups, self.ends = [], [], []
-            return
-        self.ends = token_ends(a_spans, pa_)
-        self.links, self.groups = overlaps(self.ends, token_ends(b_spans, pb))
+    texts: list[str]
+    sizes: np.ndarray
+    keys: np.ndarray
 
-    def text(self) -> str:
-        """a1,a2|b1;a3|b2,b3"""
-        out, i, j = [], 0, 0
-        for x, y in self.groups:
-            out.append(",".join(map(str, self.a[i:x])) + "|" + ",".join(map(str, self.b[j:y])))
-            i, j = x, y
-        return ";".join(out)
+    def spread(self, ok: np.ndarray) -> Units:
+        """As many units as ok has values; those that are not ok are without tokens."""
+        sizes = np.zeros((len(ok), 5), np.int64)
+        sizes[ok] = self.sizes
+        mine = iter(self.texts)
+        return Units([next(mine) if good else "" for good in ok], sizes, self.keys)
 
 
 class Pair:
@@ -115,22 +111,56 @@ class Pair:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece has a space behind another character: texts can't be cut at spaces")
 
-    def units(self, rests: list[str]) -> list[Unit]:
-        """Units that are a space and the given rests of text."""
+        # a token's digits and what follows them: within its side of a group, or behind it
+        self.words = [str(i) + x for x in ",|" for i in range(len(tokens))] + [str(i) + x for x in ",;" for i in range(len(pieces))]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
+
+    def units(self, rests: list[str]) -> Units:
+        """Units that are a space and the given rests of text, laid end to end."""
+        raw = [b" " + r.encode("utf-8", "surrogatepass") for r in rests]
+        base = np.cumsum([0, *map(len, raw)])
         firsts = self.a.encode_batch([" " + r for r in rests], add_special_tokens=False)
         seconds = self.b.encode(rests, return_type="proto", num_threads=1)  # older versions call it out_type="immutable_proto"
-        out = []
-        for rest, first, second in zip(rests, firsts, seconds, strict=True):
-            a_spans, pieces = first.offsets, second.pieces
-            if not rest.isascii():  # character offsets to byte offsets
-                at = [0, 1]
-                for c in rest:
-                    at.append(at[-1] + len(c.encode("utf-8", "surrogatepass")))
-                a_spans = [(at[x], at[y]) for x, y in a_spans]
-            # B's spans do not count the space that it adds, which its first piece holds
-            b_spans = [(p.begin + (k > 0), p.end + 1) for k, p in enumerate(pieces)]
-            out.append(Unit(b" " + rest.encode("utf-8", "surrogatepass"), first.ids, [p.id for p in pieces], a_spans, b_spans, self.a_bytes, self.b_bytes))
-        return out
+        firsts = [(e.ids, e.offsets) for e in firsts]
+        seconds = [[(p.id, p.begin, p.end) for p in s.pieces] for s in seconds]
+        a, b = _flat(ids for ids, _ in firsts), _flat(itertools.chain.from_iterable(seconds)).reshape(-1, 3)
+        b, b_spans = b[:, 0], b[:, 1:]
+        a_unit, b_unit = np.repeat(np.arange(len(rests)), [len(ids) for ids, _ in firsts]), np.repeat(np.arange(len(rests)), list(map(len, seconds)))
+        # units whose bytes both give back; the others have no tokens
+        ok = np.bincount(a_unit, self.a_sizes[a], len(rests)) == np.diff(base)
+        ok &= np.bincount(b_unit, self.b_sizes[b], len(rests)) == np.diff(base)
+        whole = b"".join(raw)
+        if not ok.all() or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
+            ok = np.array([b"".join(self.a_bytes[i] for i in ids) == r == b"".join(self.b_bytes[i] for i, *_ in s) for r, (ids, _), s in zip(raw, firsts, seconds, strict=True)])
+            if not ok.all():
+                return self.units([r for r, good in zip(rests, ok) if good]).spread(ok)
+        # A's spans count characters, B's count bytes but for the space that B adds, which its first piece holds
+        spans = _flat(x for _, offsets in firsts for x in offsets).reshape(-1, 2)
+        lengths = np.array([len(r) + 1 for r in rests], np.int64)
+        chars = np.concatenate([[0], np.cumsum(lengths)])
+        leads = np.frombuffer(whole, np.uint8) & 0xC0 != 0x80  # bytes that a character begins with
+        bytes_of = np.append(np.flatnonzero(leads), len(whole))
+        a_starts, a_stops = (bytes_of[chars[a_unit] + spans[:, k]] for k in (0, 1))
+        front = np.ones(len(b), bool)
+        front[1:] = b_unit[1:] != b_unit[:-1]
+        b_starts, b_stops = base[b_unit] + b_spans[:, 0] + ~front, base[b_unit] + b_spans[:, 1] + 1
+        a_ends, b_ends = token_ends(a_starts, a_stops, self.a_sizes[a]), token_ends(b_starts, b_stops, self.b_sizes[b])
+        i, j, cuts, common = overlaps(a_ends, b_ends)
+        count = lambda ends: np.diff(np.searchsorted(ends, base, "right"))
+        # the text of the groups: A's and then B's tokens of each
+        group = np.concatenate([2 * np.searchsorted(common, a_ends), 2 * np.searchsorted(common, b_ends) + 1])
+        closes = np.concatenate([ends == np.append(common, -1)[np.searchsorted(common, ends)] for ends in (a_ends, b_ends)])
+        word = np.concatenate([a, 2 * len(self.a_bytes) + b]) + closes * np.repeat([len(self.a_bytes), len(self.b_bytes)], [len(a), len(b)])
+        written = list(map(self.words.__getitem__, word[np.argsort(group, kind="stable")].tolist()))
+        n_a, n_b = np.bincount(a_unit, minlength=len(rests)), np.bincount(b_unit, minlength=len(rests))
+        at = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        texts = ["".join(written[x:y])[:-1] for x, y in zip(at[:-1], at[1:])]
+        sizes = np.stack([n_a, n_b, count(common), count(cuts), np.ones(len(rests), np.int64)], 1)
+        return Units(texts, sizes, a[i].astype(np.int64) << _B_BITS | b[j])
+
+
+def _flat(parts) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(parts), np.int64)
 
 
 def rests_of(text: str) -> list[str]:
@@ -142,8 +172,27 @@ def rests_of(text: str) -> list[str]:
     return out
 
 
+class _Grown:
+    """Rows that are added in parts and read as one array."""
+
+    def __init__(self, *shape: int):
+        self.held, self.n = np.zeros((1024, *shape), np.int64), 0
+
+    def add(self, rows: np.ndarray):
+        if self.n + len(rows) > len(self.held):
+            more = np.zeros((max(2 * len(self.held), self.n + len(rows)), *self.held.shape[1:]), np.int64)
+            more[: self.n] = self.held[: self.n]
+            self.held = more
+        self.held[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class _Held:
-    """Units that a task holds: numbers of units, and growing arrays of what is known of each."""
+    """Units that a task holds: their numbers, and what is known of each."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
@@ -152,7 +201,7 @@ class _Held:
     def clear(self):
         self.number: dict[str, int] = {}
         self.texts: list[str] = []
-        self.sizes, self.keys, self.bytes = [], [], 0
+        self.sizes, self.keys, self.bytes = _Grown(5), _Grown(), 0
 
     def full(self) -> bool:
         return len(self.texts) > UNITS or self.bytes > UNIT_BYTES
@@ -160,16 +209,18 @@ class _Held:
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(unit numbers, bounds): the units of texts, one after the other."""
         rests = [rests_of(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(r for rs in rests for r in rs if r not in self.number))
+        number = self.number
+        new = list(dict.fromkeys(r for rs in rests for r in rs if r not in number))
         for x in range(0, len(new), 5000):
-            for r, u in zip(new[x : x + 5000], self.pair.units(new[x : x + 5000]), strict=True):
-                self.number[r] = len(self.texts)
-                self.texts.append(u.text())
-                self.sizes.append((len(u.a), len(u.b), len(u.groups), len(u.links), u.ok))
-                self.keys.append(np.array([u.a[i] << _B_BITS | u.b[j] for i, j in u.links], np.int64))
-                self.bytes += len(r) + len(self.texts[-1])
+            some = new[x : x + 5000]
+            u = self.pair.units(some)
+            number.update(zip(some, range(len(self.texts), len(self.texts) + len(some))))
+            self.texts += u.texts
+            self.sizes.add(u.sizes)
+            self.keys.add(u.keys)
+            self.bytes += sum(map(len, some)) + sum(map(len, u.texts))
         bounds = np.cumsum([0, *map(len, rests)])
-        return np.fromiter((self.number[r] for rs in rests for r in rs), np.int64, bounds[-1]), bounds
+        return np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(rests)), np.int64, bounds[-1]), bounds
 
 
 def _slices(batches):
@@ -192,48 +243,11 @@ def _sums(values: np.ndarray, units: np.ndarray, bounds: np.ndarray) -> np.ndarr
 
 def _whole(held: _Held, units: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sizes per text, which texts have tokens)."""
-    sizes = np.array(held.sizes, np.int64).reshape(-1, 5)
-    total = _sums(sizes, units, bounds)
+    total = _sums(held.sizes.rows, units, bounds)
     ok = (total[:, 4] == np.diff(bounds)) & (np.diff(bounds) > 0)
     return np.where(ok[:, None], total[:, :4], 0), ok
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
-    """a, b, n: how often tokens of the two ids overlap, over all rows."""
-
-    def run(batches):
-        held = _Held(Pair(a_path, b_path))
-        seen = np.zeros(0, np.int64)  # how often each held unit occurs
-
-        def counts():
-            some = np.flatnonzero(seen)
-            if not len(some):
-                return
-            keys = np.concatenate([held.keys[i] for i in some])
-            n = np.repeat(seen[some], [len(held.keys[i]) for i in some])
-            distinct, of = np.unique(keys, return_inverse=True)
-            total = np.zeros(len(distinct), np.int64)
-            np.add.at(total, of, n)
-            for x in range(0, len(distinct), 100_000):
-                k = distinct[x : x + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array((k >> _B_BITS).astype(np.int32)), pa.array((k & ((1 << _B_BITS) - 1)).astype(np.int32)), pa.array(total[x : x + 100_000])], ["a", "b", "n"])
-
-        for part in _slices(batches):
-            units, bounds = held.of(part.column("text").to_pylist())
-            _, ok = _whole(held, units, bounds)
-            more = np.bincount(units[np.repeat(ok, np.diff(bounds))], minlength=len(held.texts))
-            more[: len(seen)] += seen
-            seen = more
-            if held.full():
-                yield from counts()
-                held.clear()
-                seen = seen[:0]
-        yield from counts()
-
-    met = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "a int, b int, n long")
-    return met.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
 class Head:
     """Counts of the most frequent pairs (of least occurrences or more), and the highest count of each B id."""
 
@@ -262,79 +276,95 @@ class Head:
         return np.where(self.keys[at] == keys, self.n[at], 0)
 
 
-_TAIL = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("k", pa.int64())]))
+def _links(held: _Held, units: np.ndarray, rows: np.ndarray, ok: np.ndarray) -> pa.Array:
+    """Of each text the pairs of ids that it links, with how often."""
+    units, rows = units[ok[rows]], rows[ok[rows]]
+    many = held.sizes.rows[:, 3]
+    first = np.cumsum(many) - many
+    n = many[units]
+    at = np.repeat(first[units] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    mine, keys = np.repeat(rows, n), held.keys.rows[at]
+    order = np.lexsort((keys, mine))
+    mine, keys = mine[order], keys[order]
+    new = np.flatnonzero(np.concatenate([[True], (mine[1:] != mine[:-1]) | (keys[1:] != keys[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    k = np.diff(np.append(new, len(keys)))
+    cuts = np.searchsorted(mine[new], np.arange(len(ok) + 1)).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array((keys[new] >> _B_BITS).astype(np.int32)), pa.array((keys[new] & ((1 << _B_BITS) - 1)).astype(np.int32)), pa.array(k.astype(np.int32))], ["a", "b", "k"])
+    return pa.ListArray.from_arrays(pa.array(cuts), pairs)
+
 
+_LINKS = "array<struct<a: int, b: int, k: int>>"
 
-def _aligned(docs: DataFrame, a_path: str, b_path: str, head: Head | None) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups; with a head also what it knows of n_best and count_sum, and the pairs outside it."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)
+
+def alignments(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_a, n_b, n_groups, n_links, groups, links.
+
+    groups: ``a1,a2|b1;a3|b2,b3``, the ids of A and B between common ends, in order. links: pairs of ids (a, b) whose
+    tokens overlap in the text, and how often (k).
+    """
+    a_path, b_path = a_path or tokenizer_path("byte_bpe_50k.json"), b_path or tokenizer_path("piece_bpe_32k.model")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        held, head = _Held(Pair(a_path, b_path)), shared.value
-        known, rest = np.zeros((0, 2), np.int64), []  # per held unit: links at their B id's highest count and sum of counts, in the head; pairs outside it
+        held = _Held(Pair(a_path, b_path))
         for part in _slices(batches):
             units, bounds = held.of(part.column("text").to_pylist())
             sizes, ok = _whole(held, units, bounds)
             groups = [";".join(map(held.texts.__getitem__, units[x:y].tolist())) if good else "" for x, y, good in zip(bounds[:-1], bounds[1:], ok)]
-            out = [part.column("doc_id"), *(pa.array(sizes[:, k]) for k in range(4)), pa.array(groups, pa.string())]
-            names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"]
-            if head is not None:
-                if len(known) < len(held.texts):
-                    new = held.keys[len(known) :]
-                    cuts = np.cumsum([0, *map(len, new)])
-                    keys = np.concatenate([*new, np.zeros(0, np.int64)])
-                    n = head.of(keys)
-                    both = np.zeros((len(keys) + 1, 2), np.int64)
-                    np.cumsum(np.stack([(n > 0) & (n == head.best[keys & ((1 << _B_BITS) - 1)]), n], 1), axis=0, out=both[1:])
-                    known = np.concatenate([known, both[cuts[1:]] - both[cuts[:-1]]])
-                    rest += [new[i][n[cuts[i] : cuts[i + 1]] == 0] for i in range(len(new))]
-                total = np.where(ok[:, None], _sums(known, units, bounds), 0)
-                outside = np.array([len(r) for r in rest], np.int64)
-                tails = []
-                for x, y, some in zip(bounds[:-1], bounds[1:], _sums(outside, units, bounds) * ok):
-                    if not some:
-                        tails.append([])
-                        continue
-                    mine = units[x:y][outside[units[x:y]] > 0]
-                    k, n = np.unique(np.concatenate([rest[i] for i in mine.tolist()]), return_counts=True)
-                    tails.append([{"a": int(q) >> _B_BITS, "b": int(q) & ((1 << _B_BITS) - 1), "k": int(m)} for q, m in zip(k, n)])
-                out += [pa.array(total[:, 0]), pa.array(total[:, 1]), pa.array(tails, _TAIL)]
-                names += ["n_best", "count_sum", "tail"]
-            yield pa.RecordBatch.from_arrays(out, names)
+            links = _links(held, units, np.repeat(np.arange(len(ok)), np.diff(bounds)), ok)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(sizes[:, k]) for k in range(4)), pa.array(groups, pa.string()), links], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
             if held.full():
                 held.clear()
-                known, rest = known[:0], []
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string"
-    return docs.mapInArrow(run, schema + (", n_best long, count_sum long, tail array<struct<a: int, b: int, k: long>>" if head is not None else ""))
-
-
-def _prepared(docs: DataFrame, a_path: str | None, b_path: str | None, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return docs, a_path or tokenizer_path("byte_bpe_50k.json"), b_path or tokenizer_path("piece_bpe_32k.model")
-
-
-def alignments(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_a, n_b, n_groups, n_links, groups (``a1,a2|b1;a3|b2,b3``: ids of A and B between common ends, in order)."""
-    docs, a_path, b_path = _prepared(docs, a_path, b_path, id_col, text_col)
-    return _aligned(docs, a_path, b_path, None)
-
-
-def report(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", head_pairs: int = HEAD_PAIRS) -> DataFrame:
-    """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    docs, a_path, b_path = _prepared(docs, a_path, b_path, id_col, text_col)
-    counts = materialise(pair_counts(docs, a_path, b_path), "pair-counts")
-    head = Head(counts, head_pairs)
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    met = _aligned(docs, a_path, b_path, head).withColumn("groups_sha256", digest).drop("groups")
-    met = materialise(met.withColumn("row", F.monotonically_increasing_id()), "alignment-tails")  # the number is written with the row, so it is the same whenever it is read
+    return docs.mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, links {_LINKS}")
+
+
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """a, b, n: how often tokens of the two ids overlap, over all rows of alignments."""
+    return aligned.select(F.explode("links").alias("l")).groupBy("l.a", "l.b").agg(F.sum("l.k").alias("n"))
+
+
+def counted(aligned: DataFrame, counts: DataFrame, head: Head) -> DataFrame:
+    """aligned without links, with n_best (links whose count is their B id's highest) and count_sum (over links). aligned has a number ``row``."""
+    shared = aligned.sparkSession.sparkContext.broadcast(head)
+
+    def known(batches):
+        """Both figures as far as the head tells them, and the links outside it."""
+        head = shared.value
+        for batch in batches:
+            links = batch.column("links")
+            cuts = links.offsets.to_numpy().astype(np.int64)
+            pairs = links.values.slice(cuts[0], cuts[-1] - cuts[0])
+            cuts = cuts - cuts[0]
+            a, b, k = (pairs.field(x).to_numpy() for x in range(3))
+            each = np.zeros((len(k) + 1, 3), np.int64)
+            for x in range(0, len(k), 1 << 20):
+                y = min(len(k), x + (1 << 20))
+                n = head.of(a[x:y].astype(np.int64) << _B_BITS | b[x:y])
+                each[x + 1 : y + 1] = np.stack([k[x:y] * ((n > 0) & (n == head.best[b[x:y]])), k[x:y] * n, n == 0], 1)
+            total = np.cumsum(each, axis=0)
+            sums = total[cuts[1:]] - total[cuts[:-1]]
+            outside = pairs.filter(pa.array(each[1:, 2] > 0))
+            tail = pa.ListArray.from_arrays(pa.array(total[cuts, 2].astype(np.int32)), outside)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sums[:, 0]), pa.array(sums[:, 1]), tail], ["row", "n_best", "count_sum", "tail"])
+
+    met = aligned.select("row", "links").mapInArrow(known, f"row long, n_best long, count_sum long, tail {_LINKS}")
+    met = materialise(met, "link-counts")
     best = counts.groupBy("b").agg(F.max("n").alias("most"))  # one row per id of B's vocabulary
     outside = counts.filter(F.col("n") < head.least).join(F.broadcast(best), "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("top"), F.col("n").alias("__n"))
     tail = met.filter(F.size("tail") > 0).select("row", F.explode("tail").alias("t")).select("row", "t.a", "t.b", "t.k")
     more = salted_join(tail, outside, ["a", "b"], ["row"]).groupBy("row").agg(F.sum(F.when(F.col("top"), F.col("k")).otherwise(0)).alias("more_best"), F.sum(F.col("k") * F.col("n")).alias("more_sum"))
-    out = met.drop("tail").join(more, "row", "left")
     added = lambda c, d: (F.col(c) + F.coalesce(d, F.lit(0))).alias(c)
-    out = materialise(out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", added("n_best", "more_best"), added("count_sum", "more_sum"), "groups_sha256"), "alignment-report")
-    discard(met, counts)
-    return out
+    sums = met.drop("tail").join(more, "row", "left").select("row", added("n_best", "more_best"), added("count_sum", "more_sum"))
+    return aligned.drop("links").join(sums, "row")
+
+
+def report(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", head_pairs: int = HEAD_PAIRS) -> DataFrame:
+    """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    met = alignments(docs, a_path, b_path, id_col, text_col).withColumn("groups_sha256", digest).drop("groups")
+    aligned = materialise(met.withColumn("row", F.monotonically_increasing_id()), "alignments")  # the number is written with the row, so it is the same whenever it is read
+    counts = materialise(pair_counts(aligned), "pair-counts")
+    out = counted(aligned, counts, Head(counts, head_pairs))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

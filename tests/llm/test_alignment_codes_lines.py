@@ -90,8 +90,10 @@ def test_alignments_hold_all_ids_in_order(spark):
 
 def test_token_ends_take_spans_and_else_bytes():
     # a whole word by its span, then a character of four bytes in three tokens, of which the spans are the character's or empty
-    assert X.token_ends([(0, 3), (3, 3), (3, 3), (3, 7), (7, 8)], [b" ab", b"\xf0", b"\x90\x8d", b"\x88", b"c"]) == [3, 4, 6, 7, 8]
-    assert X.overlaps([3, 5, 8], [2, 5, 8]) == ([(0, 0), (0, 1), (1, 1), (2, 2)], [(2, 2), (3, 3)])
+    ends = X.token_ends(np.array([0, 3, 3, 3, 7]), np.array([3, 3, 3, 7, 8]), np.array([3, 1, 2, 1, 1]))
+    assert ends.tolist() == [3, 4, 6, 7, 8] and X.token_ends(np.array([0, 0]), np.array([2, 2]), np.array([1, 1])).tolist() == [1, 2]
+    i, j, cuts, common = X.overlaps(np.array([3, 5, 8]), np.array([2, 5, 8]))
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 0), (0, 1), (1, 1), (2, 2)] and common.tolist() == [5, 8] and cuts.tolist() == [2, 3, 5, 8]
 
 
 # vector codes -------------------------------------------------------------------------------------------------------
