@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.functions.hashing import stable_int
+from colloquy.sources.storage import numbered, written
 
 GROUP = ("method", "fold", "seed", "sample_id")
 # Names of the recognition groups and response transitions.
@@ -55,12 +59,18 @@ def identity_mismatches(scores: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def outcomes(scores: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Response decisions of both conditions next to the recognition of the same turn, with group and transition."""
+    """Response decisions of both conditions next to the recognition of the same turn, with group and transition.
+
+    A response without a recognition raises an error: both are made of the same observations.
+    """
     chosen = decisions(scores, "method", "fold", "seed", "source_index", "sample_id", "episode_id", "target_label", "condition")
     both = chosen.groupBy("method", "fold", "seed", "source_index", "sample_id", "episode_id", "target_label").agg(
         F.max(F.when(F.col("condition") == "text", F.col("correct"))).alias("response_text_correct"), F.max(F.when(F.col("condition") == "text_audio", F.col("correct"))).alias("response_text_audio_correct")
     )
-    out = both.join(predictions.select("method", "fold", "seed", "source_index", "true_label", "text_label", "text_audio_label"), ["method", "fold", "seed", "source_index"])
+    known = predictions.select("method", "fold", "seed", "source_index", "true_label", "text_label", "text_audio_label", F.lit(True).alias("__known"))
+    out = both.join(known, ["method", "fold", "seed", "source_index"], "left")
+    lost = F.raise_error(F.concat(F.lit("no recognition of turn "), F.col("source_index").cast("string"))).cast("boolean")
+    out = out.filter(F.when(F.col("__known").isNull(), lost).otherwise(True)).drop("__known")
     before, after = F.col("text_label") == F.col("true_label"), F.col("text_audio_label") == F.col("true_label")
     group = F.when(~before & after, "corrected").when(before & ~after, "corrupted").when(before, "stable-correct").otherwise("stable-wrong")
     a, b = F.col("response_text_correct") == 1, F.col("response_text_audio_correct") == 1
@@ -81,8 +91,11 @@ def binary_metrics(rows: DataFrame, true: str, predicted: str, *keys: str) -> Da
     return out.withColumns({"accuracy": _ratio(tp + tn, tp + fp + fn + tn), "balanced_accuracy": (_ratio(tp, tp + fn) + _ratio(tn, tn + fp)) / 2, "f1": F.coalesce(_ratio(2 * tp, 2 * tp + fp + fn), F.lit(0.0))})
 
 
-def paired_metrics(rows: DataFrame, *keys: str) -> DataFrame:
-    """All paired recognition and response metrics of outcome rows, from one aggregate. Undefined ones are null."""
+def paired_metrics(rows: DataFrame, *keys: str, sets: list[list[str]] | None = None) -> DataFrame:
+    """All paired recognition and response metrics of outcome rows, from one aggregate. Undefined ones are null.
+
+    sets: the sets of keys to group by, in one pass; keys that a set lacks are null in its rows. Without it, all keys.
+    """
     true, text, audio = F.col("true_label"), F.col("text_label"), F.col("text_audio_label")
     a, b = F.col("response_text_correct"), F.col("response_text_audio_correct")
     corrected, literal, sarcastic = F.col("recognition_group") == "corrected", F.col("target_label") == 0, F.col("target_label") == 1
@@ -94,7 +107,8 @@ def paired_metrics(rows: DataFrame, *keys: str) -> DataFrame:
         "text_right": F.sum(a), "audio_right": F.sum(b), "literal_net": F.sum(F.when(literal, b - a).otherwise(0)), "sarcastic_net": F.sum(F.when(sarcastic, b - a).otherwise(0)),
         **{f"{k}_{s}": n((true == t) & (p == q)) for k, p in (("text", text), ("text_audio", audio)) for s, t, q in (("tp", 1, 1), ("fn", 1, 0), ("fp", 0, 1), ("tn", 0, 0))},
     }
-    out = rows.groupBy(*keys).agg(*(c.alias(name) for name, c in counts.items()))
+    grouped = rows.groupBy(*keys) if sets is None else rows.groupingSets([[F.col(k) for k in some] for some in sets], *map(F.col, keys))
+    out = grouped.agg(*(c.alias(name) for name, c in counts.items()))
     c = F.col
     made = {}
     for k in ("text", "text_audio"):
@@ -113,8 +127,7 @@ def paired_metrics(rows: DataFrame, *keys: str) -> DataFrame:
 
 def by_seed_and_pooled(rows: DataFrame) -> DataFrame:
     """paired_metrics per method and seed, and per method over all seeds (seed null)."""
-    pooled = paired_metrics(rows, "method").withColumn("seed", F.lit(None).cast("int"))
-    return paired_metrics(rows, "method", "seed").unionByName(pooled)
+    return paired_metrics(rows, "method", "seed", sets=[["method", "seed"], ["method"]])
 
 
 def transitions(rows: DataFrame) -> DataFrame:
@@ -124,42 +137,93 @@ def transitions(rows: DataFrame) -> DataFrame:
     return grid.join(seen, ["method", "recognition_group", "response_transition"], "left").fillna(0, ["n"])
 
 
+#: Sums per method and episode that the bootstrap's quantities are made of.
+SUMS = ("positives", "negatives", "text_tp", "text_tn", "audio_tp", "audio_tn", "literal", "sarcastic", "corrected", "literal_net", "sarcastic_net", "corrected_net")
+
+
 def episode_statistics(rows: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Sums per method and episode that all bootstrap ratios are made of; episodes without rows have zeros."""
+    """SUMS per method and episode: confusion counts of both recognisers, and per label and for corrected turns how many responses there are and by how many right ones audio is ahead. Episodes without rows have zeros."""
     true, a, b = F.col("true_label"), F.col("response_text_correct"), F.col("response_text_audio_correct")
-    d, corrected = b - a, F.col("recognition_group") == "corrected"
-    sums = {
+    parts = {"literal": F.col("target_label") == 0, "sarcastic": F.col("target_label") == 1, "corrected": F.col("recognition_group") == "corrected"}
+    counts = {
         "positives": true == 1, "negatives": true == 0, "text_tp": (true == 1) & (F.col("text_label") == 1), "text_tn": (true == 0) & (F.col("text_label") == 0),
-        "audio_tp": (true == 1) & (F.col("text_audio_label") == 1), "audio_tn": (true == 0) & (F.col("text_audio_label") == 0), "observations": F.lit(True), "corrected": corrected,
+        "audio_tp": (true == 1) & (F.col("text_audio_label") == 1), "audio_tn": (true == 0) & (F.col("text_audio_label") == 0), **parts,
     }
-    seen = rows.groupBy("method", "episode_id").agg(*(F.count_if(c).alias(n) for n, c in sums.items()), F.sum(d).alias("net"), F.sum(F.when(corrected, d).otherwise(0)).alias("corrected_net"))
+    seen = rows.groupBy("method", "episode_id").agg(*(F.count_if(c).alias(n) for n, c in counts.items()), *(F.sum(F.when(c, b - a).otherwise(0)).alias(f"{n}_net") for n, c in parts.items()))
     grid = episodes.select("episode_id").distinct().join(rows.select("method").distinct())
-    return grid.join(seen, ["method", "episode_id"], "left").fillna(0)
+    return grid.join(seen, ["method", "episode_id"], "left").fillna(0).select("method", "episode_id", *SUMS)
 
 
-def bootstrap(statistics: DataFrame, resamples: int = 2000, salt: str = "bootstrap") -> DataFrame:
-    """Percentile intervals of the paired differences over draws of episodes with replacement.
+#: Replicates whose weights stand in one array, and clusters that one task counts draws for.
+REPLICATES, CLUSTERS = 100, 40_000
 
-    Draws are hashes of (replicate, draw), shared by all methods. Only the sums per episode are resampled, never rows.
-    Undefined draws are left out and counted; bounds are null if all are undefined. One row per method and metric.
-    """
-    episodes = statistics.select("episode_id").distinct()
-    from pyspark.sql import Window
 
+def drawn(replicate: np.ndarray, draws: np.ndarray, clusters: int) -> np.ndarray:
+    """(replicates x draws) numbers of clusters: a 64-bit mix (splitmix) of replicate and draw, modulo the clusters."""
+    z = ((replicate.astype(np.uint64)[:, None] << np.uint64(32)) + draws.astype(np.uint64)[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) % np.uint64(clusters)).astype(np.int64)
+
+
+def resample_weights(spark: SparkSession, clusters: int, resamples: int) -> DataFrame:
+    """number, block, weights: how often each cluster is drawn, with replacement, in each replicate of a block of REPLICATES.
+
+    A replicate draws as many clusters as there are. Draws are made and counted within tasks, per block and range of
+    CLUSTERS, so no draw is a row.
+    """
+    blocks, ranges = -(-resamples // REPLICATES), -(-clusters // CLUSTERS)
+
+    def count(batches):
+        for batch in batches:
+            for task in batch.column("id").to_pylist():
+                block, lo = task // ranges, task % ranges * CLUSTERS
+                hi = min(clusters, lo + CLUSTERS)
+                replicates = np.arange(block * REPLICATES, min(resamples, (block + 1) * REPLICATES))
+                total = np.zeros((len(replicates), hi - lo), np.int64)
+                for x in range(0, clusters, 10_000):
+                    number = drawn(replicates, np.arange(x, min(clusters, x + 10_000)), clusters) - lo
+                    mine = (number >= 0) & (number < hi - lo)
+                    place = (np.arange(len(replicates))[:, None] * (hi - lo) + number)[mine]
+                    total += np.bincount(place, minlength=total.size).reshape(total.shape)
+                for x in range(lo, hi, 1000):
+                    y = min(hi, x + 1000)
+                    flat = pa.array(total[:, x - lo : y - lo].T.reshape(-1).astype(np.int32))
+                    cuts = pa.array(np.arange(y - x + 1, dtype=np.int32) * len(replicates))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(x, y)), pa.array(np.full(y - x, block)), pa.ListArray.from_arrays(cuts, flat)], ["number", "block", "weights"])
+
+    return spark.range(0, blocks * ranges, 1, min(blocks * ranges, 1000)).mapInArrow(count, "number long, block long, weights array<int>")
+
+
+def bootstrap(statistics: DataFrame, resamples: int = 2000) -> DataFrame:
+    """Percentile intervals of the six paired quantities over draws of episodes with replacement. One row per method and metric.
+
+    statistics: the rows of episode_statistics. Draws are the same for all methods. Only sums per episode are resampled,
+    never rows: an episode's sums meet its weights once per block, and the products of both are added up as vectors.
+    Undefined draws are left out and counted; bounds are null if all are undefined.
+    """
+    spark = statistics.sparkSession
+    stats = written(statistics, "episode-sums")
+    episodes = numbered(stats.select("episode_id").distinct(), "episode_id", "number")
     n = episodes.count()
     if n < 2:
         raise ValueError("a cluster bootstrap takes two episodes or more")
-    numbered = episodes.withColumn("number", F.row_number().over(Window.orderBy("episode_id")) - 1)  # one row per episode
-    grid = statistics.sparkSession.range(resamples).withColumnRenamed("id", "replicate").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = grid.withColumn("number", (stable_int(F.concat_ws("|", "replicate", "draw"), salt) % n).cast("int"))
-    weights = drawn.groupBy("replicate", "number").agg(F.count(F.lit(1)).alias("w")).join(numbered, "number").select("replicate", "episode_id", "w")
-    names = [c for c in statistics.columns if c not in ("method", "episode_id")]
-    sums = statistics.join(weights, "episode_id").groupBy("method", "replicate").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in names))
+    weights = resample_weights(spark, n, resamples)
+    times = lambda c: F.transform("weights", lambda w: (F.col(c) * w).cast("double"))
+    products = F.flatten(F.array(*map(times, SUMS)))  # sums in order, each with all replicates of the block
+    met = stats.join(episodes, "episode_id").join(weights, "number").select("method", "block", F.size("weights").alias("held"), array_to_vector(products).alias("v"))
+    total = met.groupBy("method", "block", "held").agg(Summarizer.sum(F.col("v")).alias("v")).withColumn("v", vector_to_array("v"))
+    at = total.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("held") - 1)))
+    sums = at.select("method", *(F.get("v", F.col("r") + F.col("held") * k).alias(c) for k, c in enumerate(SUMS)))  # one row per method and replicate
     c = F.col
     ba = lambda k: (_ratio(c(f"{k}_tp"), c("positives")) + _ratio(c(f"{k}_tn"), c("negatives"))) / 2
-    metrics = {"delta_recognition": ba("audio") - ba("text"), "delta_response": _ratio(c("net"), c("observations")), "delta_corrected": _ratio(c("corrected_net"), c("corrected"))}
-    long = sums.select("method", "replicate", F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metrics.items()))).alias("m")).select("method", "m.metric", "m.value")
-    return long.groupBy("method", "metric").agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.count_if(F.col("value").isNull()).alias("undefined"))
+    literal, sarcastic = _ratio(c("literal_net"), c("literal")), _ratio(c("sarcastic_net"), c("sarcastic"))
+    metrics = {
+        "delta_recognition": ba("audio") - ba("text"), "delta_literal": literal, "delta_sarcastic": sarcastic, "delta_response": _ratio(c("literal_net") + c("sarcastic_net"), c("literal") + c("sarcastic")),
+        "did": sarcastic - literal, "delta_corrected": _ratio(c("corrected_net"), c("corrected")),
+    }
+    long = sums.select("method", F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metrics.items()))).alias("m")).select("method", "m.metric", "m.value")
+    return long.groupBy("method", "metric").agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.count("value").alias("valid"), F.count_if(F.col("value").isNull()).alias("undefined"))
 
 
 def cross_entropy(rows: DataFrame, logit: Column, label: Column, positive_weight: float, *keys: str) -> DataFrame:

@@ -277,11 +277,12 @@ both2 AS (SELECT method, fold, seed, source_index, sample_id, episode_id, target
 joined AS (SELECT u.*, v.true_label AS y, v.text_label AS p, v.text_audio_label AS q FROM both2 u JOIN predictions v USING (method, fold, seed, source_index)),
 outcomes AS (SELECT *, CASE WHEN p <> y AND q = y THEN 'corrected' WHEN p = y AND q <> y THEN 'corrupted' WHEN p = y THEN 'stable-correct' ELSE 'stable-wrong' END AS recognition_group,
     CASE WHEN a = 0 AND b = 1 THEN 'helpful' WHEN a = 1 AND b = 0 THEN 'harmful' WHEN a = 1 THEN 'stable-correct' ELSE 'stable-wrong' END AS response_transition FROM joined)"""
+_PARTS_OF = {"literal": "target_label = 0", "sarcastic": "target_label = 1", "corrected": "recognition_group = 'corrected'"}
 _STATS = f"""{_OUTCOMES}, seen AS (SELECT method, episode_id, count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives, count(*) FILTER (y = 1 AND p = 1) AS text_tp, count(*) FILTER (y = 0 AND p = 0) AS text_tn,
-    count(*) FILTER (y = 1 AND q = 1) AS audio_tp, count(*) FILTER (y = 0 AND q = 0) AS audio_tn, count(*) AS observations, count(*) FILTER (recognition_group = 'corrected') AS corrected,
-    sum(b - a)::BIGINT AS net, coalesce(sum(b - a) FILTER (recognition_group = 'corrected'), 0)::BIGINT AS corrected_net FROM outcomes GROUP BY ALL),
-stats AS (SELECT g.method, g.episode_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('positives', 'negatives', 'text_tp', 'text_tn', 'audio_tp', 'audio_tn', 'observations', 'corrected', 'net', 'corrected_net'))}
+    count(*) FILTER (y = 1 AND q = 1) AS audio_tp, count(*) FILTER (y = 0 AND q = 0) AS audio_tn, {', '.join(f"count(*) FILTER ({c}) AS {k}, coalesce(sum(b - a) FILTER ({c}), 0)::BIGINT AS {k}_net" for k, c in _PARTS_OF.items())} FROM outcomes GROUP BY ALL),
+stats AS (SELECT g.method, g.episode_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in M.SUMS)}
     FROM (SELECT DISTINCT r.episode_id, o.method FROM records r, (SELECT DISTINCT method FROM outcomes) o) g LEFT JOIN seen USING (method, episode_id))"""
+_mix = lambda z, shift, by: f"(xor({z}, {z} >> {shift})::UHUGEINT * {by}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
 
 
 def _tok(x: str) -> str:
@@ -346,10 +347,14 @@ ORACLES = {
     "transition_table": f"WITH {_OUTCOMES}, g AS (SELECT DISTINCT method, rg AS recognition_group, rt AS response_transition FROM outcomes, (SELECT unnest(['corrected', 'corrupted', 'stable-correct', 'stable-wrong']) AS rg), (SELECT unnest(['helpful', 'harmful', 'stable-correct', 'stable-wrong']) AS rt)) SELECT g.*, count(o.method) AS n FROM g LEFT JOIN outcomes o USING (method, recognition_group, response_transition) GROUP BY ALL",
     "episode_statistics": f"WITH {_STATS} SELECT * FROM stats",
     "bootstrap_intervals": f"""WITH {_STATS}, e AS (SELECT episode_id, row_number() OVER (ORDER BY episode_id) - 1 AS number, count(*) OVER () AS k FROM (SELECT DISTINCT episode_id FROM stats)),
-        d AS (SELECT r AS replicate, {h("'bootstrap|' || r || '|' || j")} % (SELECT max(k) FROM e)::UBIGINT AS number FROM range(2000) t(r), range((SELECT max(k) FROM e)) u(j)),
-        s AS (SELECT method, replicate, {', '.join(f'sum({c}) AS {c}' for c in ('positives', 'negatives', 'text_tp', 'text_tn', 'audio_tp', 'audio_tn', 'observations', 'corrected', 'net', 'corrected_net'))} FROM d JOIN e USING (number) JOIN stats USING (episode_id) GROUP BY ALL),
-        v AS (SELECT method, unnest(['delta_recognition', 'delta_response', 'delta_corrected']) AS metric, unnest([((audio_tp - text_tp) / nullif(positives, 0) + (audio_tn - text_tn) / nullif(negatives, 0)) / 2, net / nullif(observations, 0), corrected_net / nullif(corrected, 0)]) AS value FROM s)
-        SELECT method, metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) FILTER (value IS NULL) AS undefined FROM v GROUP BY ALL""",
+        m0 AS (SELECT r, ((r * 4294967296 + j + 1)::UHUGEINT * 11400714819323198485::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM range(2000) t(r), range((SELECT max(k) FROM e)) u(j)),
+        m1 AS (SELECT r, {_mix("z", 30, "13787848793156543929")} AS z FROM m0), m2 AS (SELECT r, {_mix("z", 27, "10723151780598845931")} AS z FROM m1),
+        d AS (SELECT r AS replicate, (xor(z, z >> 31) % (SELECT max(k) FROM e)::UBIGINT)::BIGINT AS number FROM m2),
+        s AS (SELECT method, replicate, {', '.join(f'sum({c})::DOUBLE AS {c}' for c in M.SUMS)} FROM d JOIN e USING (number) JOIN stats USING (episode_id) GROUP BY ALL),
+        q AS (SELECT method, ((audio_tp - text_tp) / nullif(positives, 0) + (audio_tn - text_tn) / nullif(negatives, 0)) / 2 AS rec, literal_net / nullif(literal, 0) AS lit, sarcastic_net / nullif(sarcastic, 0) AS sar,
+            (literal_net + sarcastic_net) / nullif(literal + sarcastic, 0) AS res, corrected_net / nullif(corrected, 0) AS cor FROM s),
+        v AS (SELECT method, unnest(['delta_recognition', 'delta_literal', 'delta_sarcastic', 'delta_response', 'did', 'delta_corrected']) AS metric, unnest([rec, lit, sar, res, sar - lit, cor]) AS value FROM q)
+        SELECT method, metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(value) AS valid, count(*) FILTER (value IS NULL) AS undefined FROM v GROUP BY ALL""",
     "selector_loss": f"WITH {_SCORES}, x AS (SELECT *, z * 8 - 4 AS l FROM scores) SELECT method, condition, round(avg(CASE WHEN is_gold THEN 3 * (ln(1 + exp(-abs(l))) + greatest(-l, 0)) ELSE ln(1 + exp(-abs(l))) + greatest(l, 0) END), 6) AS loss FROM x GROUP BY ALL",
     "outcome_consistency": f"WITH {_OUTCOMES} SELECT method, seed, count(*) AS n, sum((q = y)::INT - (p = y)::INT)::BIGINT AS net, count(*) FILTER (recognition_group = 'corrected') - count(*) FILTER (recognition_group = 'corrupted') AS group_net, (SELECT count(DISTINCT source_index) FROM sets) AS expected FROM outcomes GROUP BY ALL",
     "partition_candidates": f"WITH {_PARTS} SELECT source_index, candidate_pos::INT AS candidate_pos, candidate_id, candidate_source_index FROM sets",

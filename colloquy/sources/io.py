@@ -43,9 +43,16 @@ def write_csv(rows: DataFrame, path: str, fields: list[str], unknown: str | None
     out.fillna(unknown).write.csv(path, header=True, escape='"') if unknown else out.write.csv(path, header=True, escape='"')
 
 
-def write_partitioned(rows: DataFrame, path: str, *keys: str) -> None:
-    """Parquet partitioned by the keys, each key's rows in few files."""
-    rows.repartition(*keys).write.partitionBy(*keys).parquet(path)
+def write_partitioned(rows: DataFrame, path: str, *keys: str, replace: bool = False) -> None:
+    """Parquet partitioned by the keys, each key's rows in few files.
+
+    replace: keys that rows hold are replaced as a whole, all others stay, so one run may be made again. Without it,
+    the folder must not exist.
+    """
+    out = rows.repartition(*keys).write.partitionBy(*keys)
+    if replace:
+        out = out.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.parquet(path)
 
 
 def json_cell(value: Column) -> Column:

@@ -71,12 +71,83 @@ def test_bootstrap(spark):
     rows = outcome_rows(spark, [(1, 1, 1, 0, 1, "stable-correct"), (0, 0, 0, 1, 1, "stable-correct")])
     stats = M.episode_statistics(rows, rows)
     got = {r.metric: r for r in M.bootstrap(stats, 50).collect()}
-    assert got["delta_corrected"].low is None and got["delta_corrected"].undefined == 50
-    assert 0 < got["delta_recognition"].undefined < 50 and got["delta_response"].undefined == 0
+    assert set(got) == {"delta_recognition", "delta_literal", "delta_sarcastic", "delta_response", "did", "delta_corrected"}
+    assert got["delta_corrected"].low is None and got["delta_corrected"].undefined == 50 and got["delta_corrected"].valid == 0
+    assert 0 < got["delta_recognition"].undefined < 50 and got["delta_response"].undefined == 0 and all(r.valid + r.undefined == 50 for r in got.values())
     with pytest.raises(ValueError):
         M.bootstrap(stats.filter("episode_id = 'e0'"), 5)
 
 
+def test_bootstrap_is_that_of_numpy(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(M, "REPLICATES", 7)  # the last block is shorter
+    rng, n, resamples = np.random.default_rng(6), 23, 40
+    sums = {e: rng.integers(0, 6, 12) for e in range(n)}
+    rows = [("m", f"e{e:02d}", *map(int, v)) for e, v in sums.items()] + [("o", f"e{e:02d}", *map(int, v[::-1])) for e, v in sums.items()]
+    stats = spark.createDataFrame(rows, "method string, episode_id string, " + ", ".join(f"{c} long" for c in M.SUMS)).repartition(3)
+    got = {(r.method, r.metric): (r.low, r.high, r.valid, r.undefined) for r in M.bootstrap(stats, resamples).collect()}
+    number = M.drawn(np.arange(resamples), np.arange(n), n)
+    w = np.stack([np.bincount(x, minlength=n) for x in number])
+    assert (w.sum(1) == n).all() and sorted(map(tuple, M.resample_weights(spark, n, resamples).filter("number = 3 and block = 5").collect())) == [(3, 5, w[35:, 3].tolist())]
+    for method, order in (("m", 1), ("o", -1)):
+        x = dict(zip(M.SUMS, (w @ np.stack([sums[e][::order] for e in range(n)])).T.astype(float)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lit, sar = x["literal_net"] / x["literal"], x["sarcastic_net"] / x["sarcastic"]
+            values = {
+                "delta_recognition": (x["audio_tp"] / x["positives"] + x["audio_tn"] / x["negatives"] - x["text_tp"] / x["positives"] - x["text_tn"] / x["negatives"]) / 2, "delta_literal": lit, "delta_sarcastic": sar,
+                "delta_response": (x["literal_net"] + x["sarcastic_net"]) / (x["literal"] + x["sarcastic"]), "did": sar - lit, "delta_corrected": x["corrected_net"] / x["corrected"],
+            }
+        for k, v in values.items():
+            v = v[np.isfinite(v)]
+            assert got[method, k] == (pytest.approx(np.percentile(v, 2.5)), pytest.approx(np.percentile(v, 97.5)), len(v), resamples - len(v))
+
+
+def test_draws_are_even_and_ranges_agree(spark, monkeypatch):
+    import numpy as np
+
+    counts = np.bincount(M.drawn(np.arange(200), np.arange(50), 50).reshape(-1), minlength=50)
+    assert (abs(counts - 200) < 80).all() and 100 < counts.var() < 320  # 10,000 even draws
+    whole = sorted(map(tuple, M.resample_weights(spark, 31, 150).collect()))
+    monkeypatch.setattr(M, "CLUSTERS", 8)
+    assert sorted(map(tuple, M.resample_weights(spark, 31, 150).collect())) == whole
+
+
+def test_pooled_metrics_come_from_the_same_pass(spark):
+    rows = outcome_rows(spark, [(1, 1, 1, 0, 1, "stable-correct"), (0, 0, 1, 1, 1, "corrupted"), (1, 0, 1, 1, 0, "corrected")])
+    rows = rows.unionByName(rows.withColumn("seed", F.lit(2)).filter("true_label = 1"))
+    both = M.by_seed_and_pooled(rows)
+    want = M.paired_metrics(rows, "method", "seed").collect() + M.paired_metrics(rows, "method").withColumn("seed", F.lit(None)).select(both.columns).collect()
+    assert sorted(map(str, both.collect())) == sorted(map(str, want))
+
+
+def test_a_response_without_recognition_raises(spark):
+    s = spark.createDataFrame([("m", 0, 1, k, f"s{k}", "e", 1, "text", 0, "gold", True, 1.0) for k in (1, 2)], "method string, fold int, seed int, source_index int, sample_id string, episode_id string, target_label int, condition string, candidate_pos int, candidate_id string, is_gold boolean, selector_logit double")
+    p = spark.createDataFrame([("m", 0, 1, k, 1, 1, 1) for k in (1, 2, 3)], "method string, fold int, seed int, source_index int, true_label int, text_label int, text_audio_label int")
+    assert M.outcomes(s, p).count() == 2
+    with pytest.raises(Exception, match="no recognition of turn 2"):
+        M.outcomes(s, p.filter("source_index <> 2")).collect()
+
+
+def test_rows_are_numbered_in_order(spark):
+    from colloquy.sources.storage import numbered
+
+    rows = numbered(spark.createDataFrame([(f"k{i:03d}",) for i in range(100)][::-1], "k string").repartition(7), "k", "at").collect()
+    assert sorted((r.at, r.k) for r in rows) == [(i, f"k{i:03d}") for i in range(100)]
+    assert numbered(spark.createDataFrame([], "k string"), "k", "at").columns == ["k", "at"]
+
+
+def test_a_run_replaces_its_own_rows(spark, tmp_path):
+    path, kind = f"{tmp_path}/runs", "method string, fold int, seed int, x double"
+    runs = [(m, f, s, 1.0) for m in "ab" for f in (0, 1) for s in (11, 12)]
+    S.write_partitioned(spark.createDataFrame(runs, kind), path, "method", "fold", "seed", replace=True)
+    S.write_partitioned(spark.createDataFrame([("a", 1, 12, 5.0), ("a", 1, 12, 6.0)], kind), path, "method", "fold", "seed", replace=True)
+    got = sorted((r.method, r.fold, r.seed, r.x) for r in spark.read.parquet(path).collect())
+    assert got == sorted([r for r in runs if r[:3] != ("a", 1, 12)] + [("a", 1, 12, 5.0), ("a", 1, 12, 6.0)])
+    with pytest.raises(Exception, match="exists"):
+        S.write_partitioned(spark.createDataFrame(runs, kind), path, "method", "fold", "seed")
+
+
 def lines(spark, rows):
     return spark.createDataFrame([(c, i, f"{c}|{i}", s, t) for c, i, s, t in rows], "conversation_id string, order int, utterance_id string, speaker string, text string")
 
