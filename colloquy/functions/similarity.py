@@ -81,19 +81,41 @@ def _matched(a: str, b: str) -> int:
     return matched
 
 
-def similarity_column(a: Column, b: Column, least: float = 0.0) -> Column:
+def similarity_column(a: Column, b: Column, least: Column | float = 0.0) -> Column:
     @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(p, q, least) for p, q in zip(x, y, strict=True)], dtype="float64")
+    def score(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series([similarity(p, q, r) for p, q, r in zip(x, y, z, strict=True)], dtype="float64")
 
-    return score(a, b)
+    return score(a, b, least if isinstance(least, Column) else F.lit(float(least)))
+
+
+#: Characters that a signature counts one by one; all others are counted together.
+COUNTED = " abcdefghijklmnopqrstuvwxyz"
+
+
+def signature(text: Column) -> Column:
+    """How often a text holds each counted character, and any other, as an array."""
+    size = F.length(text)
+    counts = [size - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in COUNTED]
+    rest = size
+    for n in counts:
+        rest = rest - n
+    return F.array(*counts, rest)
+
+
+def signature_allows(a: Column, b: Column, n: Column, m: Column, least: float) -> Column:
+    """Whether texts of lengths n and m with signatures a and b can be as similar as least: matching blocks hold no character more often than both texts do."""
+    shared = F.least(F.get(a, F.lit(0)), F.get(b, F.lit(0)))
+    for k in range(1, len(COUNTED) + 1):
+        shared = shared + F.least(F.get(a, F.lit(k)), F.get(b, F.lit(k)))
+    return 2 * shared >= least * (n + m)
 
 
 def length_allows(a: Column, b: Column, least: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
 
 
-def scored_texts(texts: DataFrame, a: str, b: str, out: str, least: float = 0.0) -> DataFrame:
-    """Distinct (a, b) text pairs with their similarity. Pairs are few bytes but much work, so they keep all partitions."""
+def scored_texts(texts: DataFrame, a: str, b: str, out: str, least: Column | float = 0.0) -> DataFrame:
+    """Distinct (a, b) text pairs with their similarity, or 0 where it is surely below least. Pairs are few bytes but much work, so they keep all partitions."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return texts.repartition(parts, a, b).withColumn(out, similarity_column(F.col(a), F.col(b), least))

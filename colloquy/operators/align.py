@@ -13,9 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.similarity import length_allows, scored_texts
-from colloquy.functions.text import normalise, tags
-from colloquy.operators.audit import violations
+from colloquy.functions.similarity import length_allows, scored_texts, signature, signature_allows
+from colloquy.functions.text import normalise, percent, tags
+from colloquy.operators.audit import concentration, violations
 from colloquy.operators.turns import context_before, scene_positions
 from colloquy.sources.storage import written
 
@@ -50,19 +50,23 @@ def _class(length: Column) -> Column:
     return F.floor(F.log(length.cast("double")) / math.log(CLASS)).cast("int")
 
 
-def token_block(targets: DataFrame, corpus: DataFrame, least: float = REASONABLE) -> DataFrame:
+def token_block(targets: DataFrame, corpus: DataFrame, least: float = REASONABLE, signed: bool = False) -> DataFrame:
     """Rows that share a token with a target and, if its speaker is known, the speaker, and whose length allows a match.
 
     A similarity of least bounds the ratio of lengths, so pairs meet on (speaker, length class) and are made once each,
     however many tokens they share: no token is a join key, and a frequent one makes no group of its own. A target is
-    sent to the classes that its length allows.
+    sent to the classes that its length allows. signed: pairs whose counts of characters rule out a similarity of least
+    are left out as well, before their tokens are compared.
     """
     n = F.length("target_norm")
     bounds = [_class(F.greatest(F.floor(n * least / (2 - least)), F.lit(1))), _class(F.ceil(n * (2 - least) / least) + 1)]
-    left = targets.filter("target_norm <> ''").select("target_id", "speaker", n.alias("n"), _words("target_norm").alias("words"), F.explode(F.sequence(*bounds)).alias("class"))
+    left = targets.filter("target_norm <> ''").select("target_id", "speaker", n.alias("n"), _words("target_norm").alias("words"), *([signature(F.col("target_norm")).alias("counts")] if signed else []), F.explode(F.sequence(*bounds)).alias("class"))
     m = F.length("text_norm")
-    right = corpus.filter("text_norm <> ''").select("utterance_id", F.col("speaker").alias("corpus_speaker"), m.alias("m"), _words("text_norm").alias("corpus_words"), _class(m).alias("class"))
-    match = F.arrays_overlap("words", "corpus_words") & (2 * F.least("n", "m") >= least * (F.col("n") + F.col("m")))
+    right = corpus.filter("text_norm <> ''").select("utterance_id", F.col("speaker").alias("corpus_speaker"), m.alias("m"), _words("text_norm").alias("corpus_words"), *([signature(F.col("text_norm")).alias("corpus_counts")] if signed else []), _class(m).alias("class"))
+    match = 2 * F.least("n", "m") >= least * (F.col("n") + F.col("m"))
+    if signed:
+        match = match & signature_allows(F.col("counts"), F.col("corpus_counts"), F.col("n"), F.col("m"), least)
+    match = match & F.arrays_overlap("words", "corpus_words")
     known = left.filter("speaker is not null").join(right.withColumn("speaker", F.col("corpus_speaker")), ["class", "speaker"])
     anyone = left.filter("speaker is null").join(right, "class")
     return known.filter(match).select("target_id", "utterance_id").unionByName(anyone.filter(match).select("target_id", "utterance_id"))
@@ -82,8 +86,10 @@ def fallback_block(targets: DataFrame, corpus: DataFrame, least: float = REASONA
     short = targets.filter((F.length("target_norm") <= SHORT) & (F.col("target_norm") != ""))
     rows = corpus.select("utterance_id", F.col("speaker").alias("corpus_speaker"), "text_norm", F.length("text_norm").alias("n"))
     lengths = short.withColumn("n", F.explode(F.sequence(F.floor(F.length("target_norm") * least / (2 - least)).cast("int"), F.ceil(F.length("target_norm") * (2 - least) / least).cast("int"))))
-    met = lengths.join(rows, "n").filter(length_allows(F.col("target_norm"), F.col("text_norm"), least)).filter(F.col("speaker").isNull() | (F.col("speaker") == F.col("corpus_speaker")))
-    return met.select("target_id", "utterance_id")
+    known = lengths.filter("speaker is not null").join(rows.withColumnRenamed("corpus_speaker", "speaker"), ["n", "speaker"])
+    anyone = lengths.filter("speaker is null").join(rows, "n")
+    near = length_allows(F.col("target_norm"), F.col("text_norm"), least)
+    return known.filter(near).select("target_id", "utterance_id").unionByName(anyone.filter(near).select("target_id", "utterance_id"))
 
 
 def scored_pairs(targets: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -94,7 +100,7 @@ def scored_pairs(targets: DataFrame, corpus: DataFrame) -> DataFrame:
     exact = exact_block(targets, corpus).select("target_id", "utterance_id")
     left = written(targets.join(exact.select("target_id").distinct(), "target_id", "left_anti"), "inexact-targets")
     short = left.filter((F.length("target_norm") <= SHORT) & (F.col("target_norm") != ""))
-    pairs = written(token_block(left, corpus).unionByName(fallback_block(without_token_mates(short, corpus), corpus)), "block-pairs")
+    pairs = written(token_block(left, corpus, signed=True).unionByName(fallback_block(without_token_mates(short, corpus), corpus)), "block-pairs")
     pairs = pairs.join(targets.select("target_id", "target_norm"), "target_id").join(corpus.select("utterance_id", "text_norm"), "utterance_id")
     texts = pairs.select("target_norm", "text_norm").distinct()
     scored = scored_texts(texts, "target_norm", "text_norm", "target_sim", REASONABLE).filter(F.col("target_sim") >= REASONABLE)
@@ -102,34 +108,57 @@ def scored_pairs(targets: DataFrame, corpus: DataFrame) -> DataFrame:
     return exact.select("target_id", "utterance_id", F.lit(True).alias("exact"), F.lit(1.0).alias("target_sim")).unionByName(fuzzy)
 
 
-def best_before(pairs: DataFrame, line: str, speaker: str, before: Column | None = None) -> DataFrame:
-    """pairs with the best similarity of a context line among the rows before, and its place; ties go to the latest row.
+def _before(line: str, speaker: str, before: Column | None = None) -> tuple[Column, Column]:
+    """(rows, equal): the rows of context that a line may match (its speaker's, if known, and ahead of before), and the place of the last that is equal to it."""
+    rows = F.transform("context", lambda r, i: F.struct(i.alias("at"), r["speaker"].alias("speaker"), r["text_norm"].alias("said")))
+    fits = lambda r: F.col(speaker).isNull() | (r["speaker"] == F.col(speaker))
+    rows = F.filter(rows, (lambda r: fits(r) & (r["at"] < before)) if before is not None else fits)
+    same = F.filter(rows, lambda r: (r["said"] == F.col(line)) & (r["said"] != ""))
+    return rows, F.array_max(F.transform(same, lambda r: r["at"]))
 
-    pairs: target_id, utterance_id, context (rows before), line and speaker columns. before: only rows ahead of it count.
+
+def best_before(pairs: DataFrame, line: str, speaker: str, least: Column, out: str, before: Column | None = None) -> DataFrame:
+    """pairs with out: the best similarity (sim) of a context line among the rows before, and its place (at); ties go to the latest row.
+
+    pairs: target_id, utterance_id, context (rows before), line and speaker columns. least: similarities below it need
+    not be known, they may count as 0. before: only rows ahead of it count. An equal row is the best there can be, so
+    only pairs without one are compared.
     """
-    rows = pairs.select("target_id", "utterance_id", line, speaker, F.posexplode("context").alias("at", "row"), *([before.alias("__before")] if before is not None else []))
-    rows = rows.filter(F.col(speaker).isNull() | (F.col("row.speaker") == F.col(speaker)))
-    if before is not None:
-        rows = rows.filter(F.col("at") < F.col("__before"))
-    rows = rows.withColumn("said", F.col("row.text_norm"))
-    # an equal row is the best there can be: only pairs without one are compared
-    equal = rows.filter((F.col("said") == F.col(line)) & (F.col("said") != "")).groupBy("target_id", "utterance_id").agg(F.max(F.struct(F.lit(1.0).alias("sim"), "at")).alias("best"))
-    rest = rows.join(equal.select("target_id", "utterance_id"), ["target_id", "utterance_id"], "left_anti")
-    texts = scored_texts(rest.select(line, "said").distinct(), line, "said", "sim")
-    found = rest.join(texts, [line, "said"]).groupBy("target_id", "utterance_id").agg(F.max(F.struct("sim", "at")).alias("best"))
-    return pairs.join(equal.unionByName(found), ["target_id", "utterance_id"], "left")
+    rows, equal = _before(line, speaker, before)
+    pairs = pairs.withColumns({"__rows": rows, "__equal": equal, "__least": least})
+    rest = pairs.filter("__equal is null and __least <= 1").select("target_id", "utterance_id", line, "__least", F.explode("__rows").alias("row")).select("*", F.col("row.said").alias("said"), F.col("row.at").alias("at"))
+    rest = rest.filter(F.col(line) != "")
+    texts = rest.groupBy(line, "said").agg(F.min("__least").alias("least"))
+    found = rest.join(scored_texts(texts, line, "said", "sim", F.col("least")), [line, "said"]).groupBy("target_id", "utterance_id").agg(F.max(F.struct("sim", "at")).alias("__best"))
+    last = F.array_max(F.transform("__rows", lambda r: r["at"]))  # a line without words is like no row, so all rows tie
+    valued = lambda sim, at: F.struct(F.lit(sim).alias("sim"), at.alias("at"))
+    best = F.when(F.col("__equal").isNotNull(), valued(1.0, F.col("__equal"))).when((F.col(line) == "") & last.isNotNull(), valued(0.0, last)).otherwise(F.col("__best"))
+    return pairs.join(found, ["target_id", "utterance_id"], "left").withColumn(out, best).drop("__rows", "__equal", "__least", "__best")
 
 
 def with_context(scored: DataFrame, targets: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Scored pairs with context1, context2, speaker_match and evidence: the least of the target's similarity, that of its last line of context (0 without one) and, if it has two, of the one before."""
+    """Scored pairs with context1, context2, speaker_match and evidence: the least of the target's similarity, that of its last line of context (0 without one) and, if it has two, of the one before.
+
+    A pair of which all context lines have equal rows tells how good a target's best evidence is at least. A pair that
+    can neither reach that nor be of high evidence is not selected, so its context is not compared, and for the others
+    similarities below are not worked out: both count as 0 then.
+    """
     before = context_before(corpus, WINDOW).select("utterance_id", "context", F.col("speaker").alias("corpus_speaker"))
     lines = targets.select("target_id", "speaker", *(normalise(F.try_element_at("context", F.lit(-k))).alias(f"line{k}") for k in (1, 2)), *(F.try_element_at("context_speakers", F.lit(-k)).alias(f"by{k}") for k in (1, 2)), F.size("context").alias("n_context"))
-    pairs = scored.join(lines, "target_id").join(before, "utterance_id")
-    first = best_before(pairs, "line1", "by1").withColumnRenamed("best", "first")
-    both = best_before(first, "line2", "by2", F.col("first.at"))
+    pairs = scored.join(lines, "target_id").join(before, "utterance_id").withColumn("speaker_match", F.coalesce(F.col("speaker") == F.col("corpus_speaker"), F.lit(False)))
+    pairs = pairs.withColumn("__e1", _before("line1", "by1")[1])
+    pairs = pairs.withColumn("__e2", _before("line2", "by2", F.col("__e1"))[1])
+    sure = (F.col("n_context") >= 1) & F.col("__e1").isNotNull() & ((F.col("n_context") < 2) | F.col("__e2").isNotNull())
+    pairs = written(pairs.withColumn("__sure", F.when(sure, F.col("target_sim")).otherwise(0.0)).drop("__e1", "__e2"), "pairs-with-context")
+    floor = pairs.groupBy("target_id").agg(F.max("__sure").alias("__floor"))
+    pairs = pairs.join(floor, "target_id")
+    may_be_high = F.col("speaker_match") & (F.col("target_sim") >= TARGET_HIGH)
+    needed = lambda high: F.when(may_be_high, F.least("__floor", F.lit(high))).when(F.col("target_sim") >= F.col("__floor"), F.col("__floor")).otherwise(2.0)
+    first = best_before(pairs, "line1", "by1", needed(CONTEXT1_HIGH), "first")
+    both = best_before(first, "line2", "by2", F.when(F.col("first.sim") >= needed(CONTEXT1_HIGH), needed(CONTEXT2_HIGH)).otherwise(2.0), "second", F.col("first.at"))
     c1 = F.when(F.col("n_context") >= 1, F.coalesce("first.sim", F.lit(0.0))).otherwise(0.0)
-    c2 = F.when(F.col("n_context") >= 2, F.coalesce("best.sim", F.lit(0.0))).otherwise(0.0)
-    out = both.withColumns({"context1": c1, "context2": c2, "speaker_match": F.coalesce(F.col("speaker") == F.col("corpus_speaker"), F.lit(False))})
+    c2 = F.when(F.col("n_context") >= 2, F.coalesce("second.sim", F.lit(0.0))).otherwise(0.0)
+    out = both.withColumns({"context1": c1, "context2": c2})
     evidence = F.least("target_sim", "context1", F.when(F.col("n_context") >= 2, F.col("context2")))
     previous = F.transform("context", lambda r: r["text"])
     return out.select("target_id", "utterance_id", "exact", "target_sim", "context1", "context2", "n_context", "speaker", "speaker_match", evidence.alias("evidence"), F.try_element_at(previous, F.lit(-1)).alias("prev1"), F.try_element_at(previous, F.lit(-2)).alias("prev2"))
@@ -141,15 +170,18 @@ def is_high() -> Column:
 
 
 def decided(pairs: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target: alignment_type, status, the selected utterance with its scores, counts and notes."""
+    """One row per target: alignment_type, status, the selected utterance with its scores, counts and notes.
+
+    The only exact row of high evidence is selected, else the only row of high evidence, else the row of the best evidence.
+    """
     row = F.struct("evidence", "target_sim", "context1", "context2", "utterance_id", "exact", "speaker_match", "prev1", "prev2")
     high = is_high()
-    per = pairs.withColumn("high", high).groupBy("target_id").agg(F.count(F.lit(1)).alias("num_candidates"), F.count_if("high").alias("num_high"), F.max(F.when(F.col("high"), row)).alias("best_high"), F.max(row).alias("best"))
+    per = pairs.withColumn("high", high).groupBy("target_id").agg(F.count(F.lit(1)).alias("num_candidates"), F.count_if("high").alias("num_high"), F.max(F.when(F.col("high"), row)).alias("best_high"), F.count_if(F.col("high") & F.col("exact")).alias("num_exact"), F.max(F.when(F.col("high") & F.col("exact"), row)).alias("best_exact"), F.max(row).alias("best"))
     out = targets.select("target_id", "speaker", F.size("context").alias("n_context")).join(per, "target_id", "left")
-    unique = F.col("num_high") == 1
-    level = F.when(F.col("best").isNull(), LEVELS["none"]).when(unique & F.col("best_high.exact"), LEVELS["exact"]).when(unique, LEVELS["high"]).otherwise(LEVELS["ambiguous"])
-    status = F.when(F.col("best").isNull(), "REJECTED").when(unique & F.col("best_high.exact"), "AUTO_CANDIDATE").otherwise("MANUAL_REVIEW_REQUIRED")
-    out = out.withColumns({"alignment_type": level, "status": status, "selected": F.when(unique, F.col("best_high")).otherwise(F.col("best"))})
+    exact, unique = F.col("num_exact") == 1, F.col("num_high") == 1
+    level = F.when(F.col("best").isNull(), LEVELS["none"]).when(exact, LEVELS["exact"]).when(unique, LEVELS["high"]).otherwise(LEVELS["ambiguous"])
+    status = F.when(F.col("best").isNull(), "REJECTED").when(exact, "AUTO_CANDIDATE").otherwise("MANUAL_REVIEW_REQUIRED")
+    out = out.withColumns({"alignment_type": level, "status": status, "selected": F.when(exact, F.col("best_exact")).when(unique, F.col("best_high")).otherwise(F.col("best"))})
     s = lambda f: F.col(f"selected.{f}")
     found = F.col("selected").isNotNull()
     notes = tags(
@@ -240,6 +272,23 @@ def renamed(targets: DataFrame, names: DataFrame) -> DataFrame:
     return named.withColumns({"speaker": of(F.col("speaker")), "context_speakers": F.transform("context_speakers", of)}).drop("__names")
 
 
+def alignment_report(replies: DataFrame, known_episodes: DataFrame) -> DataFrame:
+    """One row: counts and rates of the levels, recovered replies, coverage and concentration of scenes, episodes and speakers, and the verdict.
+
+    replies: an alignment with its replies, scene and episode (a written table). known_episodes: one row.
+    """
+    kept = replies.filter("drop_reason is null")
+    share = lambda name: concentration(kept, name).select(F.coalesce(F.max("largest_share"), F.lit(0.0)).alias(f"{name}_share"), F.coalesce(F.max("groups"), F.lit(0)).alias(f"{name}s"))
+    level = F.col("alignment_type")
+    counts = replies.agg(F.count(F.lit(1)).alias("targets"), *(F.count_if(level == LEVELS[k]).alias(n) for k, n in (("exact", "exact"), ("high", "high"), ("ambiguous", "ambiguous"), ("none", "unmatched"))), F.count_if(F.col("drop_reason").isNull()).alias("retained"))
+    whole = counts.join(share("scene")).join(share("episode")).join(share("response_speaker")).join(known_episodes)  # one row each
+    rate = F.coalesce(F.try_divide("ambiguous", "targets"), F.lit(0.0))
+    verdict = feasibility(F.col("retained"), F.col("episodes"), F.col("episode_share"), F.col("response_speaker_share"), rate)
+    found = F.col("targets") - F.col("unmatched")
+    rates = {"exact_rate": ("exact", F.col("targets")), "high_rate": ("high", F.col("targets")), "recovery_rate": ("retained", found), "episode_coverage": ("episodes", F.col("known_episodes"))}
+    return whole.select("*", *(percent(F.col(n), of).alias(k) for k, (n, of) in rates.items()), verdict.alias("verdict"))
+
+
 def feasibility(retained: Column, episodes: Column, episode_share: Column, speaker_share: Column, ambiguity: Column) -> Column:
     # fixed values: limits of each verdict
     bad = (retained < 80) | (episodes < 10) | (episode_share > 0.2) | (speaker_share > 0.75) | (ambiguity > 0.5)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
 from colloquy.functions.hashing import bucket
-from colloquy.functions.similarity import similarity_column
+from colloquy.functions.similarity import COUNTED, similarity_column
 from colloquy.operators import align as L
 from colloquy.operators import audit as Q
 from colloquy.operators.turns import context_before, scene_positions
@@ -17,6 +17,10 @@ from colloquy.sources.adapters import SQL, h
 from colloquy.sources.storage import written
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.prepared_corpus(A.corpus(spark, sf_dir))
 
@@ -103,22 +107,33 @@ def alignment_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.observed_reply(written(alignment(spark, sf_dir), "alignment"), A.corpus(spark, sf_dir))
 
 
-def alignment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates, coverage, concentration and the verdict of the alignment with its replies. An episode is ten conversations here."""
+def _report(replies: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Rates, coverage, concentration and the verdict of an alignment with its replies. An episode is ten conversations here."""
     scene = F.split_part("utterance_id", F.lit("|"), F.lit(1))
-    out = written(alignment_replies(spark, sf_dir).withColumns({"scene": scene, "episode": F.floor(scene.cast("long") / 10)}), "replies")
-    kept = out.filter("drop_reason is null")
-    share = lambda name: Q.concentration(kept, name).select(F.coalesce(F.max("largest_share"), F.lit(0.0)).alias(f"{name}_share"), F.coalesce(F.max("groups"), F.lit(0)).alias(f"{name}s"))
-    n = lambda c: F.count_if(c)
-    level = F.col("alignment_type")
-    counts = out.agg(F.count(F.lit(1)).alias("targets"), n(level == L.LEVELS["exact"]).alias("exact"), n(level == L.LEVELS["high"]).alias("high"), n(level == L.LEVELS["ambiguous"]).alias("ambiguous"), n(level == L.LEVELS["none"]).alias("unmatched"), n(F.col("drop_reason").isNull()).alias("retained"))
-    known = A.corpus(spark, sf_dir).agg(F.count_distinct(F.floor(F.col("conversation_id") / 10)).alias("known_episodes"))
-    # one row each
-    whole = counts.join(share("scene")).join(share("episode")).join(share("response_speaker")).join(known)
-    rate = F.coalesce(F.try_divide("ambiguous", "targets"), F.lit(0.0))
-    verdict = L.feasibility(F.col("retained"), F.col("episodes"), F.col("episode_share"), F.col("response_speaker_share"), rate)
-    found = F.col("targets") - F.col("unmatched")
-    return whole.select("*", T.percent(F.col("exact"), F.col("targets")).alias("exact_rate"), T.percent(F.col("high"), F.col("targets")).alias("high_rate"), T.percent(F.col("retained"), found).alias("recovery_rate"), T.percent(F.col("episodes"), F.col("known_episodes")).alias("episode_coverage"), verdict.alias("verdict"))
+    out = written(replies.withColumns({"scene": scene, "episode": F.floor(scene.cast("long") / 10)}), "replies")
+    return L.alignment_report(out, corpus.agg(F.count_distinct(F.floor(F.col("conversation_id") / 10)).alias("known_episodes")))
+
+
+def alignment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(alignment_replies(spark, sf_dir), A.corpus(spark, sf_dir))
+
+
+def decision_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the alignment that alignment_decisions makes."""
+    c = A.corpus(spark, sf_dir)
+    return _rounded(_report(L.observed_reply(alignment_decisions(spark, sf_dir), c), c))
+
+
+def decision_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.tag_counts(alignment_decisions(spark, sf_dir), "notes")
+
+
+def signature_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the token block per target that has no exact row, and how many of them the counts of characters allow."""
+    t, c = _targets(spark, sf_dir), _corpus(spark, sf_dir)
+    left = written(t.join(L.exact_block(t, c).select("target_id").distinct(), "target_id", "left_anti"), "inexact-targets")
+    count = lambda signed, name: L.token_block(left, c, signed=signed).groupBy("target_id").agg(F.count(F.lit(1)).alias(name))
+    return count(False, "pairs").join(count(True, "allowed"), "target_id", "left").fillna(0, ["allowed"])
 
 
 def alignment_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +201,18 @@ _NORM = lambda x, keep="''": f"trim(regexp_replace(regexp_replace(translate(lowe
 _CORPUS = f"{SQL['corpus']}, normed AS (SELECT *, {_NORM('text')} AS text_norm FROM corpus)"
 _TARGETS = f"""{_CORPUS}, drawn AS (SELECT *, {h("'target|' || utterance_id")} % 50 AS draw, {h("'cut|' || utterance_id")} % 8 AS more FROM corpus), targets AS (SELECT 't|' || utterance_id AS target_id, speaker,
     {_NORM("CASE WHEN draw = 0 THEN text || '!' WHEN more = 0 AND length(text) > 3 THEN substr(text, 1, length(text) - 3) ELSE substr(text, 1, length(text) - 1) END")} AS target_norm, utterance_id, least("order", 2)::INT AS n_context, conversation_id, "order" FROM drawn WHERE draw < 2 AND length(text) > 1)"""
+_SIZE = lambda x, c: f"(length({x}) - length(replace({x}, '{c}', '')))"
+_OTHERS = lambda x: f"length(regexp_replace({x}, '[ a-z]', '', 'g'))"
+_DECIDED = f"""{_TARGETS}, p AS (SELECT target_id, n.utterance_id, t.speaker = n.speaker AS m, n_context AS k, ({h("'sim|' || target_id || '|' || n.utterance_id")} % 21 + 80)::INT / 100 AS s,
+        CASE WHEN n_context >= 1 THEN ({h("'c1|' || target_id || '|' || n.utterance_id")} % 21 + 80)::INT / 100 ELSE 0 END AS a, CASE WHEN n_context >= 2 THEN ({h("'c2|' || target_id || '|' || n.utterance_id")} % 21 + 70)::INT / 100 ELSE 0 END AS b
+        FROM targets t JOIN normed n ON t.target_norm = n.text_norm AND n.text_norm <> ''),
+        e AS (SELECT *, least(s, a, CASE WHEN k >= 2 THEN b END) AS e, s >= 0.95 AND m AND k >= 1 AND a >= 0.9 AND (k < 2 OR b >= 0.8) AS high FROM p),
+        g AS (SELECT target_id, count(*) AS n, count(*) FILTER (high) AS n_high, count(*) FILTER (high AND s = 1) AS n_exact, CASE WHEN count(*) FILTER (high AND s = 1) = 1 THEN max((e, s, a, b, utterance_id, m)) FILTER (high AND s = 1) WHEN count(*) FILTER (high) = 1 THEN max((e, s, a, b, utterance_id, m)) FILTER (high) ELSE max((e, s, a, b, utterance_id, m)) END AS x FROM e GROUP BY 1),
+        o AS (SELECT t.target_id, t.n_context AS k, coalesce(n, 0) AS n, coalesce(n_high, 0) AS n_high, coalesce(n_exact, 0) AS n_exact, x[1] AS e, x[2] AS s, x[3] AS a, x[4] AS b, x[5] AS u, x[6] AS m FROM targets t LEFT JOIN g USING (target_id)),
+        decided AS (SELECT target_id, CASE WHEN u IS NULL THEN 'NO_MATCH' WHEN n_exact = 1 THEN 'LEVEL_A_EXACT' WHEN n_high = 1 THEN 'LEVEL_B_HIGH_CONFIDENCE' ELSE 'LEVEL_C_AMBIGUOUS' END AS alignment_type,
+        CASE WHEN u IS NULL THEN 'REJECTED' WHEN n_exact = 1 THEN 'AUTO_CANDIDATE' ELSE 'MANUAL_REVIEW_REQUIRED' END AS status, u AS utterance_id, coalesce(s, 0)::DOUBLE AS target_sim, coalesce(a, 0)::DOUBLE AS context1, coalesce(b, 0)::DOUBLE AS context2, coalesce(e, 0)::DOUBLE AS evidence, n AS num_candidates, n_high AS num_high,
+        concat_ws(';', CASE WHEN n_high > 1 THEN 'multiple_high_confidence_candidates' END, CASE WHEN u IS NULL THEN 'no_candidate_at_or_above_reasonable_threshold' END, CASE WHEN s < 0.95 THEN 'target_similarity_below_high_threshold' END, CASE WHEN NOT m THEN 'speaker_not_verified' END,
+        CASE WHEN a < 0.9 THEN 'context1_below_high_threshold' END, CASE WHEN k >= 2 AND b < 0.8 THEN 'context2_below_high_threshold' END) AS notes FROM o)"""
 ORACLES = {
     "normalised_lines": f"WITH {_CORPUS} SELECT utterance_id, text_norm, {_NORM('text', '')} AS text_norm_noapos FROM normed",
     "text_functions": f"""SELECT conv_id, turn, nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') AS cleaned, regexp_replace(translate(text, '<>', '‹›'), '^\\s+|\\s+$', '', 'g') AS quoted, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'))::INT AS n_tokens,
@@ -207,16 +234,24 @@ ORACLES = {
         k AS (SELECT f.utterance_id, count(*) FILTER (a.said AND NOT a.other AND a.o2 < f.ro) AS skipped FROM f JOIN after a USING (utterance_id) GROUP BY 1)
         SELECT utterance_id, CASE WHEN response_id IS NOT NULL THEN NULL WHEN sames = 0 AND blanks > 0 THEN 'TRANSCRIPT_ONLY_AFTER_TARGET' WHEN sames > 0 THEN 'NO_DIFFERENT_SPEAKER_RESPONSE' ELSE 'SCENE_END' END AS drop_reason, response_id, response_speaker,
         (ro - o)::INT AS distance, CASE WHEN response_id IS NOT NULL THEN skipped END AS skipped_same_speaker FROM f JOIN k USING (utterance_id)""",
-    "alignment_decisions": f"""WITH {_TARGETS}, p AS (SELECT target_id, n.utterance_id, t.speaker = n.speaker AS m, n_context AS k, ({h("'sim|' || target_id || '|' || n.utterance_id")} % 21 + 80)::INT / 100 AS s,
-        CASE WHEN n_context >= 1 THEN ({h("'c1|' || target_id || '|' || n.utterance_id")} % 21 + 80)::INT / 100 ELSE 0 END AS a, CASE WHEN n_context >= 2 THEN ({h("'c2|' || target_id || '|' || n.utterance_id")} % 21 + 70)::INT / 100 ELSE 0 END AS b
-        FROM targets t JOIN normed n ON t.target_norm = n.text_norm AND n.text_norm <> ''),
-        e AS (SELECT *, least(s, a, CASE WHEN k >= 2 THEN b END) AS e, s >= 0.95 AND m AND k >= 1 AND a >= 0.9 AND (k < 2 OR b >= 0.8) AS high FROM p),
-        g AS (SELECT target_id, count(*) AS n, count(*) FILTER (high) AS n_high, CASE WHEN count(*) FILTER (high) = 1 THEN max((e, s, a, b, utterance_id, m)) FILTER (high) ELSE max((e, s, a, b, utterance_id, m)) END AS x FROM e GROUP BY 1),
-        o AS (SELECT t.target_id, t.n_context AS k, coalesce(n, 0) AS n, coalesce(n_high, 0) AS n_high, x[1] AS e, x[2] AS s, x[3] AS a, x[4] AS b, x[5] AS u, x[6] AS m FROM targets t LEFT JOIN g USING (target_id))
-        SELECT target_id, CASE WHEN u IS NULL THEN 'NO_MATCH' WHEN n_high = 1 AND s = 1 THEN 'LEVEL_A_EXACT' WHEN n_high = 1 THEN 'LEVEL_B_HIGH_CONFIDENCE' ELSE 'LEVEL_C_AMBIGUOUS' END AS alignment_type,
-        CASE WHEN u IS NULL THEN 'REJECTED' WHEN n_high = 1 AND s = 1 THEN 'AUTO_CANDIDATE' ELSE 'MANUAL_REVIEW_REQUIRED' END AS status, u AS utterance_id, coalesce(s, 0)::DOUBLE AS target_sim, coalesce(a, 0)::DOUBLE AS context1, coalesce(b, 0)::DOUBLE AS context2, coalesce(e, 0)::DOUBLE AS evidence, n AS num_candidates, n_high AS num_high,
-        concat_ws(';', CASE WHEN n_high > 1 THEN 'multiple_high_confidence_candidates' END, CASE WHEN u IS NULL THEN 'no_candidate_at_or_above_reasonable_threshold' END, CASE WHEN s < 0.95 THEN 'target_similarity_below_high_threshold' END, CASE WHEN NOT m THEN 'speaker_not_verified' END,
-        CASE WHEN a < 0.9 THEN 'context1_below_high_threshold' END, CASE WHEN k >= 2 AND b < 0.8 THEN 'context2_below_high_threshold' END) AS notes FROM o""",
+    "alignment_decisions": f"WITH {_DECIDED} SELECT * FROM decided",
+    "decision_notes": f"WITH {_DECIDED}, k AS (SELECT unnest(string_split(notes, ';')) AS tag FROM decided) SELECT tag, count(*) AS n FROM k WHERE tag <> '' GROUP BY 1",
+    "decision_report": f"""WITH {_DECIDED}, u AS (SELECT DISTINCT utterance_id AS u FROM decided WHERE utterance_id IS NOT NULL), s AS (SELECT u, n.conversation_id, n."order" AS o, n.speaker FROM u JOIN normed n ON n.utterance_id = u),
+        f AS (SELECT u, arg_min(m.speaker, m."order") AS response_speaker FROM s JOIN normed m ON m.conversation_id = s.conversation_id AND m."order" > s.o AND m.text_norm <> '' AND m.speaker <> s.speaker GROUP BY 1),
+        r AS (SELECT d.*, f.u IS NOT NULL AS kept, response_speaker, split_part(utterance_id, '|', 1) AS scene, split_part(utterance_id, '|', 1)::BIGINT // 10 AS episode FROM decided d LEFT JOIN f ON f.u = d.utterance_id), k AS (SELECT * FROM r WHERE kept),
+        c AS (SELECT count(*) AS targets, count(*) FILTER (alignment_type = 'LEVEL_A_EXACT') AS exact, count(*) FILTER (alignment_type = 'LEVEL_B_HIGH_CONFIDENCE') AS high, count(*) FILTER (alignment_type = 'LEVEL_C_AMBIGUOUS') AS ambiguous,
+            count(*) FILTER (alignment_type = 'NO_MATCH') AS unmatched, count(*) FILTER (kept) AS retained FROM r),
+        w AS (SELECT *, {", ".join(f"(SELECT coalesce(max(n) / sum(n), 0) FROM (SELECT count(*) AS n FROM k GROUP BY {x})) AS {x}_share, (SELECT count(DISTINCT {x}) FROM k) AS {x}s" for x in ("scene", "episode", "response_speaker"))},
+            (SELECT count(DISTINCT conversation_id // 10) FROM corpus) AS known_episodes FROM c)
+        SELECT * REPLACE (round(scene_share, 6) AS scene_share, round(episode_share, 6) AS episode_share, round(response_speaker_share, 6) AS response_speaker_share),
+        {", ".join(f"round(CASE WHEN {d} = 0 THEN 0 ELSE 100.0 * {n} / ({d}) END, 6) AS {k}" for k, n, d in (("exact_rate", "exact", "targets"), ("high_rate", "high", "targets"), ("recovery_rate", "retained", "targets - unmatched"), ("episode_coverage", "episodes", "known_episodes")))},
+        CASE WHEN retained < 80 OR episodes < 10 OR episode_share > 0.2 OR response_speaker_share > 0.75 OR ambiguous / targets > 0.5 THEN 'NOT_RECOMMENDED' WHEN retained >= 200 AND episodes >= 30 AND episode_share <= 0.1 AND response_speaker_share <= 0.6 THEN 'STRONG'
+            WHEN retained >= 150 AND episodes >= 20 AND episode_share <= 0.15 AND response_speaker_share <= 0.7 THEN 'MODERATE' ELSE 'WEAK' END AS verdict FROM w""",
+    "signature_block": f"""WITH {_TARGETS}, l AS (SELECT * FROM targets WHERE target_norm NOT IN (SELECT text_norm FROM normed WHERE text_norm <> '')), a AS (SELECT DISTINCT target_id, speaker, target_norm, unnest(string_split(target_norm, ' ')) AS token FROM l),
+        b AS (SELECT DISTINCT utterance_id, speaker, text_norm, unnest(string_split(text_norm, ' ')) AS token FROM normed), p AS (SELECT DISTINCT target_id, b.utterance_id, target_norm, text_norm FROM a JOIN b ON a.token = b.token AND a.speaker = b.speaker AND a.token <> ''
+        WHERE 2 * least(length(target_norm), length(text_norm)) >= 0.8 * (length(target_norm) + length(text_norm))),
+        s AS (SELECT target_id, length(target_norm) + length(text_norm) AS size, {" + ".join(f"least({_SIZE('target_norm', c)}, {_SIZE('text_norm', c)})" for c in COUNTED)} + least({_OTHERS('target_norm')}, {_OTHERS('text_norm')}) AS shared FROM p)
+        SELECT target_id, count(*) AS pairs, count(*) FILTER (2 * shared >= 0.8 * size) AS allowed FROM s GROUP BY 1""",
     "speaker_aliases": f"WITH {_TARGETS} SELECT DISTINCT 'T' || speaker AS alias, CASE WHEN speaker = 'spk0' AND 'spk0' IN (SELECT speaker FROM corpus) THEN 'spk0' END AS name FROM targets",
     "reply_audit": f"""WITH {_CORPUS}, c AS (SELECT *, {h("'claim|' || utterance_id")}::HUGEINT % 4 - 1 + "order" AS claim, {h("'changed|' || utterance_id")} % 5 = 0 AS changed FROM normed),
         j AS (SELECT c.*, r.utterance_id AS rid, r."order" AS ro, r.speaker AS rs, r.text_norm AS rn FROM c LEFT JOIN normed r ON r.conversation_id = c.conversation_id AND r."order" = c.claim)

@@ -278,8 +278,8 @@ ORACLES = {
     "membership": f"WITH {_SETS}, l AS (SELECT DISTINCT source_index FROM turns WHERE source_index % 2 = 0), r AS (SELECT DISTINCT source_index FROM sets) SELECT (SELECT count(*) FROM (FROM l EXCEPT FROM r)) AS only_left, (SELECT count(*) FROM (FROM r EXCEPT FROM l)) AS only_right, (SELECT count(*) FROM (FROM l INTERSECT FROM r)) AS both",
     "json_cells": f"""WITH {_RECORDS}, c AS (SELECT source_index, list_transform(ctx, lambda x: regexp_replace(x, '^spk[0-9]: ', '')) AS c FROM records)
         SELECT source_index, CASE WHEN {_K('cell', 5)} < 3 THEN 1 ELSE len(c) END::INT AS n, CASE WHEN {_K('cell', 5)} < 3 THEN 'default' ELSE array_to_string(c, '|') END AS texts FROM c""",
-    "scaled_audio": f"""WITH {_AUDIO}, f AS (SELECT list(mean ORDER BY dim) AS m, list(scale ORDER BY dim) AS s FROM fitted), z AS (SELECT r.source_index, list_transform(range(1, len(m) + 1), lambda i: (target_audio[i]::DOUBLE - m[i]) / s[i]) AS z FROM records r JOIN audio USING (source_index), f)
-        SELECT source_index, round(list_sum(list_transform(z, lambda x: x * x)), 6) AS square_norm, len(z)::INT AS dims FROM z""",
+    "scaled_audio": f"""WITH {_AUDIO}, z AS (SELECT source_index, x, avg(x) FILTER (fold <> 0) OVER w AS mean, stddev_pop(x) FILTER (fold <> 0) OVER w AS deviation FROM heard WINDOW w AS (PARTITION BY dim))
+        SELECT source_index, round(sum(((x - mean) / CASE WHEN deviation < 1e-8 THEN 1 ELSE deviation END) ** 2), 6) AS square_norm, count(*)::INT AS dims FROM z GROUP BY 1""",
     "field_presence": f"SELECT 'doc_id' AS key, count(doc_id) AS n FROM documents UNION ALL SELECT 'text', count(text) FROM documents UNION ALL SELECT 'lang', count(lang) FILTER ({h(chr(39) + 'no-lang|' + chr(39) + ' || doc_id')} % 4 <> 0) FROM documents UNION ALL SELECT 'source', count(source) FROM documents",
     "reason_tags": f"WITH {SQL['turns']}, k AS (SELECT unnest(['no_text', 'positive', 'first_speaker', 'brief']) AS tag, unnest([text IS NULL, label = 1, speaker = 'spk0', length(text) < 200]) AS hit FROM turns) SELECT tag, count(*) AS n FROM k WHERE hit GROUP BY 1",
     "context_distribution": f"WITH {_RECORDS} SELECT len(ctx)::INT AS length, count(*) AS n FROM records GROUP BY 1",
