@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,11 +14,18 @@ from pyspark.sql import functions as F
 LONG = 1000
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine-word-parallel step for each character of b."""
+@lru_cache(maxsize=16)
+def _places(a: str) -> dict[str, int]:
+    """The places of each character of a, as bits."""
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one machine-word-parallel step for each character of b. What depends on a alone is kept for the next pairs."""
+    masks = _places(a)
     full = (1 << len(a)) - 1
     v = full
     for c in b:
@@ -95,20 +103,13 @@ COUNTED = " abcdefghijklmnopqrstuvwxyz"
 
 def signature(text: Column) -> Column:
     """How often a text holds each counted character, and any other, as an array."""
-    size = F.length(text)
-    counts = [size - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in COUNTED]
-    rest = size
-    for n in counts:
-        rest = rest - n
-    return F.array(*counts, rest)
+    counts = F.transform(F.array(*map(F.lit, COUNTED)), lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
+    return F.concat(counts, F.array(F.length(F.regexp_replace(text, f"[{COUNTED[0]}{COUNTED[1]}-{COUNTED[-1]}]", ""))))
 
 
 def signature_allows(a: Column, b: Column, n: Column, m: Column, least: float) -> Column:
     """Whether texts of lengths n and m with signatures a and b can be as similar as least: matching blocks hold no character more often than both texts do."""
-    shared = F.least(F.get(a, F.lit(0)), F.get(b, F.lit(0)))
-    for k in range(1, len(COUNTED) + 1):
-        shared = shared + F.least(F.get(a, F.lit(k)), F.get(b, F.lit(k)))
-    return 2 * shared >= least * (n + m)
+    return 2 * F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y) >= least * (n + m)
 
 
 def length_allows(a: Column, b: Column, least: float) -> Column:
@@ -118,4 +119,4 @@ def length_allows(a: Column, b: Column, least: float) -> Column:
 def scored_texts(texts: DataFrame, a: str, b: str, out: str, least: Column | float = 0.0) -> DataFrame:
     """Distinct (a, b) text pairs with their similarity, or 0 where it is surely below least. Pairs are few bytes but much work, so they keep all partitions."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.repartition(parts, a, b).withColumn(out, similarity_column(F.col(a), F.col(b), least))
+    return texts.repartition(parts, a, b).sortWithinPartitions(a).withColumn(out, similarity_column(F.col(a), F.col(b), least))

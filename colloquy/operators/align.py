@@ -55,18 +55,17 @@ def token_block(targets: DataFrame, corpus: DataFrame, least: float = REASONABLE
 
     A similarity of least bounds the ratio of lengths, so pairs meet on (speaker, length class) and are made once each,
     however many tokens they share: no token is a join key, and a frequent one makes no group of its own. A target is
-    sent to the classes that its length allows. signed: pairs whose counts of characters rule out a similarity of least
-    are left out as well, before their tokens are compared.
+    sent to the classes that its length allows. signed: pairs that share a token but whose counts of characters rule out
+    a similarity of least are left out as well.
     """
     n = F.length("target_norm")
     bounds = [_class(F.greatest(F.floor(n * least / (2 - least)), F.lit(1))), _class(F.ceil(n * (2 - least) / least) + 1)]
     left = targets.filter("target_norm <> ''").select("target_id", "speaker", n.alias("n"), _words("target_norm").alias("words"), *([signature(F.col("target_norm")).alias("counts")] if signed else []), F.explode(F.sequence(*bounds)).alias("class"))
     m = F.length("text_norm")
     right = corpus.filter("text_norm <> ''").select("utterance_id", F.col("speaker").alias("corpus_speaker"), m.alias("m"), _words("text_norm").alias("corpus_words"), *([signature(F.col("text_norm")).alias("corpus_counts")] if signed else []), _class(m).alias("class"))
-    match = 2 * F.least("n", "m") >= least * (F.col("n") + F.col("m"))
+    match = (2 * F.least("n", "m") >= least * (F.col("n") + F.col("m"))) & F.arrays_overlap("words", "corpus_words")
     if signed:
         match = match & signature_allows(F.col("counts"), F.col("corpus_counts"), F.col("n"), F.col("m"), least)
-    match = match & F.arrays_overlap("words", "corpus_words")
     known = left.filter("speaker is not null").join(right.withColumn("speaker", F.col("corpus_speaker")), ["class", "speaker"])
     anyone = left.filter("speaker is null").join(right, "class")
     return known.filter(match).select("target_id", "utterance_id").unionByName(anyone.filter(match).select("target_id", "utterance_id"))
@@ -74,8 +73,8 @@ def token_block(targets: DataFrame, corpus: DataFrame, least: float = REASONABLE
 
 def without_token_mates(targets: DataFrame, corpus: DataFrame) -> DataFrame:
     """Targets with which no row (of their speaker, if known) shares a token, whatever its length."""
-    held = corpus.select(F.col("speaker").alias("corpus_speaker"), F.explode(_words("text_norm")).alias("token")).distinct()
     asked = targets.select("target_id", "speaker", F.explode(_words("target_norm")).alias("token"))
+    held = corpus.select(F.col("speaker").alias("corpus_speaker"), F.explode(_words("text_norm")).alias("token")).join(asked.select("token").distinct(), "token", "left_semi").distinct()
     known = asked.filter("speaker is not null").join(held.withColumnRenamed("corpus_speaker", "speaker"), ["token", "speaker"], "left_semi")
     anyone = asked.filter("speaker is null").join(held, "token", "left_semi")
     return targets.join(known.select("target_id").unionByName(anyone.select("target_id")).distinct(), "target_id", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from colloquy.sources.storage import written
 SALT = "colloquy-v1"
 
 
-#: Difference of lengths within which distractors are looked for first.
-NEAR = 16
+#: Difference of lengths within which distractors are looked for first, and what it is multiplied by for those that find too few.
+NEAR, WIDER = 16, 4
 
 
 def _slim(records: DataFrame, *keys: str) -> DataFrame:
@@ -24,39 +26,42 @@ def _other(slim: DataFrame, *keys: str) -> DataFrame:
     return slim.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("source_index", "dialogue_id", "target_label", "size", "said")))
 
 
-def distractor_pool(targets: DataFrame, slim: DataFrame, keys: list[str], salt: str = SALT, within: int | None = None) -> DataFrame:
-    """(target, source) pairs: equal keys (episode, next speaker, …), other dialogue, other response; within: lengths that differ by no more.
+def distractor_pool(asked: DataFrame, slim: DataFrame, keys: list[str], within: int, salt: str = SALT) -> DataFrame:
+    """(target, source) pairs: equal keys (episode, next speaker, …), the wanted label, other dialogue, other response, and lengths that differ by no more than within.
 
-    targets and slim: rows of _slim. Only ids, lengths and hashes are joined; with a bound, on cells of lengths too.
+    asked: rows of _slim with same (whether the label wanted is the target's). Only ids, lengths and hashes are joined, on
+    cells of lengths too.
     """
-    other = _other(slim, *keys)
-    if within is None:
-        pairs = targets.join(other, keys)
-    else:
-        cells = targets.withColumn("__cell", F.explode(F.sequence(F.floor((F.col("size") - within) / within), F.floor((F.col("size") + within) / within))))
-        pairs = cells.join(other.withColumn("__cell", F.floor(F.col("o_size") / within)), [*keys, "__cell"]).filter(F.abs(F.col("size") - F.col("o_size")) <= within)
-    pairs = pairs.filter((F.col("dialogue_id") != F.col("o_dialogue_id")) & (F.col("said") != F.col("o_said")))
+    label = F.when(F.col("same"), F.col("target_label")).otherwise(1 - F.col("target_label"))
+    cells = asked.withColumns({"o_target_label": label, "__cell": F.explode(F.sequence(F.floor((F.col("size") - within) / within), F.floor((F.col("size") + within) / within)))})
+    pairs = cells.join(_other(slim, *keys).withColumn("__cell", F.floor(F.col("o_size") / within)), [*keys, "o_target_label", "__cell"])
+    pairs = pairs.filter((F.abs(F.col("size") - F.col("o_size")) <= within) & (F.col("dialogue_id") != F.col("o_dialogue_id")) & (F.col("said") != F.col("o_said")))
     rank = F.struct(F.abs(F.col("size") - F.col("o_size")).alias("gap"), stable_hex(F.concat_ws("|", "source_index", "o_source_index"), salt).alias("hash"))
-    return pairs.select("source_index", "dialogue_id", "target_label", F.col("o_source_index").alias("pool_index"), (F.col("target_label") == F.col("o_target_label")).alias("same"), F.col("o_said").alias("said"), rank.alias("rank"))
+    return pairs.select("source_index", "dialogue_id", "target_label", F.col("o_source_index").alias("pool_index"), "same", F.col("o_said").alias("said"), rank.alias("rank"))
 
 
-def nearest_texts(records: DataFrame, salt: str = SALT, *also: str) -> DataFrame:
+def nearest_texts(records: DataFrame, salt: str = SALT, *also: str, sizes: DataFrame | None = None) -> DataFrame:
     """source_index, dialogue_id, target_label, same, said, b (rank, pool_index), n: of each target's pool, per same, the first three different texts by rank.
 
-    Ranks begin with the difference of lengths. So a target that finds three texts of both kinds within NEAR characters
-    needs no others; only the rest meet their whole group, which may hold a large share of all rows.
+    Ranks begin with the difference of lengths. So neighbours in length are looked for outward, in rings that grow until
+    a target has found three different texts of a kind, or as many as its pool holds (sizes: the rows of pool_sizes). No
+    target meets its whole group, unless the group is that narrow: among rows of equal lengths, ranks are hashes of both
+    rows, so all of them have to be compared.
     """
     keys = ["episode_id", "next_speaker", *also]
     slim = written(_slim(records, *keys), "distractor-rows")
-
-    def first(pairs: DataFrame) -> DataFrame:
-        best = pairs.groupBy("source_index", "dialogue_id", "target_label", "same", "said").agg(F.min(F.struct("rank", "pool_index")).alias("b"))
-        return best.withColumn("n", F.row_number().over(Window.partitionBy("source_index", "same").orderBy("b"))).filter("n <= 3")
-
-    near = written(first(distractor_pool(slim, slim, keys, salt, NEAR)), "near-distractors")
-    done = near.filter("n = 3").groupBy("source_index").agg(F.count(F.lit(1)).alias("k")).filter("k = 2").select("source_index")
-    rest = slim.join(done, "source_index", "left_anti")
-    return near.join(done, "source_index", "left_semi").unionByName(first(distractor_pool(rest, slim, keys, salt)))
+    wanted = (pool_sizes(records, *also) if sizes is None else sizes).select("source_index", "same", F.least("texts", F.lit(3)).alias("wanted")).filter("wanted > 0")
+    asked, within, done = written(slim.join(wanted, "source_index"), "asked"), NEAR, []
+    while True:
+        best = distractor_pool(asked, slim, keys, within, salt).groupBy("source_index", "dialogue_id", "target_label", "same", "said").agg(F.min(F.struct("rank", "pool_index")).alias("b"))
+        first = best.withColumn("n", F.row_number().over(Window.partitionBy("source_index", "same").orderBy("b"))).filter("n <= 3")
+        met = written(first.join(asked.select("source_index", "same", "wanted"), ["source_index", "same"]), "near-distractors")
+        enough = met.filter("n = wanted").select("source_index", "same")
+        done.append(met.join(enough, ["source_index", "same"], "left_semi").select("source_index", "dialogue_id", "target_label", "same", "said", "b", "n"))
+        rest = written(asked.join(enough, ["source_index", "same"], "left_anti"), "asked")
+        if not rest.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+        asked, within = rest, within * WIDER
 
 
 def pool_sizes(records: DataFrame, *also: str) -> DataFrame:

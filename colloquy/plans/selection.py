@@ -60,8 +60,9 @@ def fold_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distractor_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = written(records(spark, sf_dir), "records")
-    first = C.nearest_texts(r).filter("n = 1").select("source_index", "same", F.col("b.pool_index").alias("best_index"), F.col("b.rank.gap").alias("least_gap"))
-    return C.pool_sizes(r).join(first, ["source_index", "same"])
+    sizes = written(C.pool_sizes(r), "pool-sizes")
+    first = C.nearest_texts(r, sizes=sizes).filter("n = 1").select("source_index", "same", F.col("b.pool_index").alias("best_index"), F.col("b.rank.gap").alias("least_gap"))
+    return sizes.join(first, ["source_index", "same"])
 
 
 def candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,33 @@ def test_candidate_sets(spark):
     assert 0 not in {r.source_index for r in C.candidate_sets(records(spark, [(0, "aaa"), (0, "bbb"), (1, "bbb")])).collect()}  # both best share a text
 
 
+def test_neighbours_are_found_outward(spark, monkeypatch):
+    import hashlib
+    import random
+
+    random.seed(9)
+    # lengths spread widely, with a narrow middle, a rare label and copies
+    sizes = [random.choice([random.randint(1, 3000), random.randint(40, 60)]) for _ in range(240)]
+    rows = [(i, f"D{i // 2}", "E", int(i % 40 == 0), "s", (f"{i % 90:02d}" * n)[:n]) for i, n in enumerate(sizes)]
+    held = spark.createDataFrame(rows, "source_index long, dialogue_id string, episode_id string, target_label int, next_speaker string, response string")
+    asked, pool = [], C.distractor_pool
+    monkeypatch.setattr(C, "distractor_pool", lambda a, s, k, within, salt: asked.append((within, a.count(), pool(a, s, k, within, salt).count())) or pool(a, s, k, within, salt))
+    got = {}
+    for r in C.nearest_texts(held).collect():
+        got.setdefault((r.source_index, r.same), {})[r.n] = (r.b.pool_index, r.said)
+    rank = lambda t, o: (abs(len(t[5]) - len(o[5])), hashlib.sha256(f"{C.SALT}|{t[0]}|{o[0]}".encode()).hexdigest()[:16], o[0])
+    for t in rows:
+        for same in (True, False):
+            want, seen = {}, set()
+            for o in sorted((o for o in rows if o[1] != t[1] and o[5] != t[5] and (o[3] == t[3]) == same), key=lambda o: rank(t, o)):
+                if o[5] not in seen and len(want) < 3:
+                    seen.add(o[5])
+                    want[len(want) + 1] = (o[0], hashlib.sha256(o[5].encode()).hexdigest())
+            assert got.get((t[0], same), {}) == want
+    assert [w for w, *_ in asked][:3] == [16, 64, 256] and asked[0][1] == 480 and all(a[1] > b[1] for a, b in zip(asked, asked[1:]))
+    assert sum(pairs for *_, pairs in asked) < 240 * 240 / 2
+
+
 def test_evaluation_pairs(spark):
     r = records(spark, [(0, "a"), (1, "b")]).withColumn("dialogue_id", F.lit("D"))
     assert C.evaluation_pairs(r, r, 1).count() == 2
