@@ -16,7 +16,8 @@ A bitmap of fixed size over the benchmark's windows goes to all tasks; document
 emitted. Texts are scanned whole.
 
 Defined cases: null and empty texts are clean. An item with fewer than eight words is one window of all its words.
-Rows that repeat an id are judged one by one, and all are contaminated if one is. Ids are whole numbers; others raise
+Rows that repeat an id are judged one by one, documents and items alike, and all rows of a document are contaminated if
+one is. Ids are whole numbers; others raise
 an error. An empty benchmark leaves all documents clean. Columns besides id and text are ignored; ``clean`` keeps them.
 """
 
@@ -54,6 +55,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
+#: Capitals among the characters of two bytes, by their number (U+0080 to U+07FF: Latin, Greek, Cyrillic, Armenian, …).
+_UPPER_OF_TWO = np.array([chr(i).isupper() if i >= 0x80 else False for i in range(0x800)])
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?:;"]] = True
 #: Punctuation that does not belong to a word.
@@ -86,7 +89,9 @@ def templates(c: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(np.concatenate([[0], _SENTENCE_END[c.data] | (c.data == 10)]))
     inner = ends[gap_to] == ends[gap_from]
     inner[c.bounds[:-1][c.bounds[:-1] < len(inner)]] = False
-    slots[_UPPER[first] & inner] = 2
+    second = c.data[np.minimum(c.starts + 1, len(c.data) - 1)]
+    two = (first >= 0xC2) & (first < 0xE0) & _UPPER_OF_TWO[(first.astype(np.int64) & 31) << 6 | (second & 63)]
+    slots[(_UPPER[first] | two) & inner] = 2
     slots[_among(c.hashes, _UNIT_HASHES)] = 3
     slots[(digits[c.ends] > digits[c.starts]) | _among(c.hashes, _NUMBER_HASHES)] = 1
     return np.choose(slots, [c.hashes, _NUM, _NAME, _UNIT]).astype(np.uint64), slots
@@ -159,7 +164,7 @@ SCHEMA = "id long, row long, place long, hash long, slots array<string>, exact b
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, place, hash, slots, exact, item_windows and item_templates (those that are not exact) of (id, text) rows."""
+    """item_id, item_row, place, hash, slots, exact, item_windows and item_templates (those that are not exact) of (id, text) rows. Rows that share an id are told apart."""
 
     def run(batches):
         number = _numbers()
@@ -169,9 +174,9 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
                 w = windows(c, known=True)
                 yield _rows(c, ids, numbers, np.ones(len(w[0]), bool), *w)
 
-    made = materialise(items.mapInArrow(run, SCHEMA).drop("row"), "benchmark-windows")
-    sizes = made.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("item_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("place"))).alias("item_templates"))
-    return made.withColumnRenamed("id", "item_id").join(sizes, "item_id")
+    made = materialise(items.mapInArrow(run, SCHEMA).withColumnsRenamed({"row": "item_row", "id": "item_id"}), "benchmark-windows")
+    sizes = made.groupBy("item_id", "item_row").agg(F.countDistinct("place").alias("item_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("place"))).alias("item_templates"))
+    return made.join(sizes, ["item_id", "item_row"])
 
 
 def matched_windows(docs: DataFrame, hashes: DataFrame, short: list[int]) -> DataFrame:
@@ -201,7 +206,7 @@ def matched_windows(docs: DataFrame, hashes: DataFrame, short: list[int]) -> Dat
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", covered: float = COVERED) -> DataFrame:
-    """One row per document (each row of it) and item that covers enough of it: doc_id, item_id, matched_windows, item_windows, coverage, changed_slots."""
+    """One row per document (each row of it) and item (each row of it) that covers enough of it: doc_id, item_id, matched_windows, item_windows, coverage, changed_slots."""
     items = items.select(whole_ids(items, item_col).alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).filter("id is not null")
     known = materialise(benchmark_windows(items), "benchmark")
     docs = docs.select(whole_ids(docs, id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -210,20 +215,20 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     short = sorted(r["n"] for r in lengths.collect() if r["n"])  # WIDTH values at most
     found = matched_windows(docs, known.select("hash"), short).withColumnRenamed("id", "doc_id")
     found = materialise(found.drop("exact"), "window-hits")
-    met = found.join(maybe_broadcast(known.select("hash", "item_id", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "exact", "item_windows", "item_templates")), "hash")
+    met = found.join(maybe_broadcast(known.select("hash", "item_id", "item_row", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "exact", "item_windows", "item_templates")), "hash")
     met = met.filter(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("place") - F.col("item_place"))
     met = materialise(met, "aligned")
-    pairs = met.filter(F.size("slots") > 0).select("doc_id", "row", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
-    values = pairs.groupBy("doc_id", "row", "item_id", "shift", "z.item_slots").agg(F.min("z.slots").alias("lo"), F.max("z.slots").alias("hi"))
+    pairs = met.filter(F.size("slots") > 0).select("doc_id", "row", "item_id", "item_row", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
+    values = pairs.groupBy("doc_id", "row", "item_id", "item_row", "shift", "z.item_slots").agg(F.min("z.slots").alias("lo"), F.max("z.slots").alias("hi"))
     clash = F.col("lo") != F.col("hi")
-    judged = values.groupBy("doc_id", "row", "item_id", "shift").agg(F.collect_set(F.when(clash, F.col("item_slots"))).alias("clashing"), F.sum((~clash & (F.col("lo") != F.col("item_slots"))).cast("long")).alias("changed"))
+    judged = values.groupBy("doc_id", "row", "item_id", "item_row", "shift").agg(F.collect_set(F.when(clash, F.col("item_slots"))).alias("clashing"), F.sum((~clash & (F.col("lo") != F.col("item_slots"))).cast("long")).alias("changed"))
     # a clash takes the windows that hold its slot, but those whose values are all the item's own
-    held = met.join(judged, ["doc_id", "row", "item_id", "shift"], "left").filter((F.col("slots") == F.col("item_slots")) | ~F.coalesce(F.arrays_overlap("item_slots", "clashing"), F.lit(False)))
+    held = met.join(judged, ["doc_id", "row", "item_id", "item_row", "shift"], "left").filter((F.col("slots") == F.col("item_slots")) | ~F.coalesce(F.arrays_overlap("item_slots", "clashing"), F.lit(False)))
     share = lambda n, of: F.coalesce(F.try_divide(n, of), F.lit(0.0))
-    out = held.groupBy("doc_id", "row", "item_id").agg(F.countDistinct("item_place").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.max(F.coalesce("changed", F.lit(0))).alias("changed_slots"), F.countDistinct(F.when(~F.col("exact"), F.col("item_place"))).alias("templates"), F.max("item_templates").alias("item_templates"))
+    out = held.groupBy("doc_id", "row", "item_id", "item_row").agg(F.countDistinct("item_place").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.max(F.coalesce("changed", F.lit(0))).alias("changed_slots"), F.countDistinct(F.when(~F.col("exact"), F.col("item_place"))).alias("templates"), F.max("item_templates").alias("item_templates"))
     # exact windows don't count against an item that was re-parameterised
     coverage = F.greatest(share(F.col("matched_windows"), F.col("item_windows")), share(F.col("templates"), F.col("item_templates")))
-    return out.withColumn("coverage", coverage).filter(F.col("coverage") >= covered).drop("row", "templates", "item_templates")
+    return out.withColumn("coverage", coverage).filter(F.col("coverage") >= covered).drop("row", "item_row", "templates", "item_templates")
 
 
 def report(docs: DataFrame, items: DataFrame, **more) -> DataFrame:

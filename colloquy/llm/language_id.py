@@ -280,12 +280,16 @@ def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, text, lang of the labelled documents that are learned from."""
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     known = known.withColumn("place", F.xxhash64("doc_id", "text"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = known.select("lang", "doc_id", "place").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # rows that repeat count once, as in the sample
     quota = max(1, rows // max(1, counts.count()))
     # a quota of each language in hash order, the same at each run. Hashes are even, so the first of n lie among the
     # lowest (2 * quota + 50) / n of all; only these are put in order, whatever a language's share of the documents
     lowest = F.broadcast(counts.select("lang", ((2 * quota + 50) / F.col("n")).alias("share")))  # one row a language
     ids = known.select("doc_id", "lang", "place").join(lowest, "lang").filter(F.col("place") / F.lit(2.0**64) + 0.5 <= F.col("share")).drop("share").distinct()
+    # hashes may be uneven where a language has few documents: one that would get none keeps its first
+    lost = counts.join(ids.select("lang").distinct(), "lang", "left_anti").select("lang")
+    one = known.join(F.broadcast(lost), "lang").groupBy("lang").agg(F.min_by(F.struct("doc_id", "place"), F.struct("place", "doc_id")).alias("d")).select("d.doc_id", "lang", "d.place")
+    ids = ids.unionByName(one)
     first = ids.withColumn("__rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).filter(F.col("__rank") <= quota)
     first = first.select("doc_id", "lang", "place")  # rows, or one a language
     sample = known.join(F.broadcast(first), ["doc_id", "lang", "place"], "left_semi").dropDuplicates(["doc_id", "lang", "place"])

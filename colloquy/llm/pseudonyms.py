@@ -4,7 +4,7 @@ Values are found by patterns and validated (check digits, calendar, number plans
 permutation of its own format: a Feistel network over the mixed-radix number that its characters (or octets, or the day
 of a date) spell, walked on until the result is valid again. So a card number becomes another valid card number, a
 date another date in the same notation, an address another address of the same shape; equal values become equal
-pseudonyms in all documents, and who holds the key can turn them back.
+pseudonyms in all documents, and who holds the key, and knows where they stand, can turn them back.
 
 Defined cases: a null text stays null, an empty text empty, both with nothing found. Values that fail their validation
 stay; of a card or phone number that fails, the longest valid run of its first groups is taken. Of overlapping values
@@ -161,7 +161,7 @@ def _date(t: str, key: bytes, back: bool) -> str:
         n = feistel(n, root, root, key, f"date|{separator}{layout}{widths}", back)
         if n < _DAYS:
             out = spelled(datetime.date.fromordinal(_FIRST_DAY + n))
-            # the same notation, so that it reads, and turns back, the same way
+            # the same notation, so that it turns back the same way
             if [len(p) for p in out.split(separator)] == widths and _date_of(out)[1] == layout:
                 return out
 
@@ -212,12 +212,12 @@ KINDS: dict[str, tuple[re.Pattern, Callable[[str], bool], Callable[[str, bytes,
     "date": (re.compile(r"(?<![\d./-])(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d|[./-]\d)"), lambda t: _date_of(t) is not None, _date),
     "ip": (re.compile(r"(?<![\d.])(\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)"), _ip_ok, _ip),
 }
-_NEEDS = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|api_?key)")
+_NEEDS = re.compile(r"[0-9@]|AKIA|ASIA|(?i:passw|pwd|secret|token|api_?key)")
 
 
-#: Kinds of which a match that fails its validation is tried again at its shorter ends, and what surrounds their values.
+#: Kinds of which a match that fails its validation is tried again at its shorter ends.
 _GROUPED = {"card", "phone"}
-_DIGITS, _AROUND = re.compile(r"\d+"), frozenset("0123456789 +().-")
+_DIGITS = re.compile(r"\d+")
 
 
 def _spans(text: str, kind: str) -> list[tuple[int, int]]:
@@ -244,7 +244,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         return []
     found, digit = [], any(c in text for c in "0123456789")
     for kind in KINDS:
-        if (kind == "email" and "@" not in text) or (kind not in ("email", "password") and not digit):
+        if (kind == "email" and "@" not in text) or (kind not in ("email", "password", "access_key") and not digit):
             continue
         for value in _spans(text, kind):
             at = bisect.bisect(found, (*value, kind))  # found is in order and without overlaps
@@ -253,36 +253,32 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _beside(pieces) -> str:
-    """The pieces (nearest first, each a string read away from the value) up to the first character that can't be in a number, and that character."""
-    out = []
-    for piece in pieces:
-        n = next((i for i, c in enumerate(piece) if c not in _AROUND), None)
-        if n is not None:
-            return "".join([*out, piece[: n + 1]])
-        out.append(piece)
-    return "".join(out)
+def _put(text: str, found: list[tuple[int, int, str]], key: bytes, back: bool) -> tuple[str, list[tuple[int, int, str]]]:
+    """(text with the values at the given places permuted, or turned back; the places where they then stand)."""
+    out, places, at, size = [], [], 0, 0
+    for a, b, kind in found:
+        out += [text[at:a], KINDS[kind][2](text[a:b], key, back)]
+        size += a - at + len(out[-1])
+        places.append((size - len(out[-1]), size, kind))
+        at = b
+    return "".join([*out, text[at:]]), places
 
 
-def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
-    """(text with its values replaced, the values found).
-
-    A card or phone number is moved on until the same values are found around it, so that it turns back; turned back
-    from the last value to the first, each has the surroundings it was moved in.
-    """
+def replaced(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(text with its values replaced, where the values stood, where their pseudonyms stand). A pseudonym follows from the key, the kind and the value alone, whatever stands around it."""
     found = find(text)
-    cuts = [0, *(x for a, b, _ in found for x in (a, b)), len(text)]
-    pieces = [text[x:y] for x, y in zip(cuts, cuts[1:])]  # the odd ones are values
-    for i in range(len(pieces) - 2, 0, -2) if back else range(1, len(pieces), 2):
-        kind, value = found[i // 2][2], pieces[i]
-        new = KINDS[kind][2](value, key, back)
-        if kind in _GROUPED:
-            left, right = _beside(pieces[j][::-1] for j in range(i - 1, -1, -1))[::-1], _beside(pieces[j] for j in range(i + 1, len(pieces)))
-            same = find(left + value + right)
-            while find(left + new + right) != same:  # ends, as in permute
-                new = KINDS[kind][2](new, key, back)
-        pieces[i] = new
-    return "".join(pieces), found
+    new, places = _put(text, found, key, False)
+    return new, found, places
+
+
+def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
+    """(text with its values replaced, the values found)."""
+    return replaced(text, key)[:2]
+
+
+def restore(text: str, places: list[tuple[int, int, str]], key: bytes) -> str:
+    """The text that was replaced, from the result and the places of its pseudonyms."""
+    return _put(text, places, key, True)[0]
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", out_col: str = "pii") -> DataFrame:

@@ -11,7 +11,8 @@ holds), a fifth of which set the temperature that divides its logits. Only texts
 
 Defined cases: null and empty texts have all-zero features and the score that the network gives these. Labels other
 than 0 and 1 and null labels or ids are not learned from. Without labels of both kinds, every score is the share of
-label 1 (0.5 without any). Rows that repeat are scored alike. An empty table gives an empty result. Extra columns are
+label 1 (0.5 without any). Rows that repeat are scored alike; of rows that share an id, one text
+is learned from. An empty table gives an empty result. Extra columns are
 ignored by ``report`` and kept by ``scored`` and ``accepted``, whatever their names; ``scored`` raises an error if there
 is a ``score`` or ``predicted`` already.
 """
@@ -193,10 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     """(word vectors of all docs, network learned from labelled docs that are not held out)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     vectors = word_vectors(docs)
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out())
-    share = min(1.0, rows / max(1, known.count()))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    sample = known.filter(place <= share).limit(rows + rows // 4)  # more than that only if ids repeat by the thousand
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out()).distinct()
+    # a label and an id count once, however many rows hold them; hashes are even, so only the lowest are put in order
+    place = F.pmod(F.xxhash64("doc_id", "y"), F.lit(1 << 30))
+    share = min(1.0, (rows + rows // 4) / max(1, known.count()))
+    sample = known.filter(place / (1 << 30) <= share).orderBy(place, "doc_id", "y").limit(rows + rows // 4)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches):
@@ -204,7 +206,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
             x = features(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
-    found = docs.join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, y int, x binary").toPandas()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    met = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of rows that share an id, one text
+    found = met.mapInArrow(run, f"doc_id {kind}, y int, x binary").toPandas()
     found = found.sort_values(["doc_id", "y"])
     x = np.stack([np.frombuffer(b, np.float32) for b in found["x"]]) if len(found) else np.zeros((0, 2 * DIMS + 1), np.float32)
     return vectors, Network(x.astype(np.float64), found["y"].to_numpy(np.float64))

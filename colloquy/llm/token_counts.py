@@ -250,7 +250,8 @@ def distinct_pieces(docs: DataFrame, path: str) -> DataFrame:
 
 def head_of(table: DataFrame, rows: int = HEAD_ROWS) -> tuple[int, np.ndarray, np.ndarray]:
     """(least, hashes, pieces): pre-tokens that occur least times or more, at most rows of them, as sorted arrays."""
-    levels = table.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect()
+    level = F.floor(F.log2("n") * 16)  # 16 levels a doubling, so few of them whatever the counts
+    levels = table.groupBy(level.alias("level")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("k")).orderBy(F.desc("level")).collect()
     least, total = 1 << 62, 0
     for level in levels:
         total += level["k"]
