@@ -78,7 +78,7 @@ def one_spelling(rows: DataFrame, column: str, name: str) -> DataFrame:
     return met.join(F.broadcast(spelled)).filter(F.when(F.col("__lo") == F.col("__hi"), True).otherwise(wrong)).drop("__lo", "__hi")
 
 
-def run_violations(runs: DataFrame, expected: DataFrame, seeds: list[int], training: int) -> DataFrame:
+def run_violations(runs: DataFrame, expected: DataFrame, seeds: list[int], training: int | Column) -> DataFrame:
     """rule, violations of run summaries (method, fold, status, overlap, seeds, training_targets, evaluation_targets, score_rows array per seed, config) against (fold, targets).
 
     Score files hold targets x 4 candidates x 2 conditions; all runs of a method share one configuration.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,6 +115,13 @@ def sparse_vectors(weights: DataFrame, key: str) -> DataFrame:
     return written(held, "sparse-vectors", kind)
 
 
+def hashed_text(rows: DataFrame, key: str, tokens_of: Column, dims: int = 64) -> DataFrame:
+    """key, vector: counts of hashed tokens in dims dimensions, of length 1 (zeros without tokens): a vector of fixed size where no encoder's is given."""
+    held = rows.select(key, F.coalesce(tokens_of, F.array().cast("array<string>")).alias("__w"))
+    counted = HashingTF(inputCol="__w", outputCol="__c", numFeatures=dims).transform(held)
+    return Normalizer(inputCol="__c", outputCol="__v").transform(counted).select(key, vector_to_array("__v").alias("vector"))
+
+
 def mean_pooled(rows: DataFrame, key: str, vector: str, weight: Column | None = None) -> DataFrame:
     """key, vector: the mean of a segment's vectors, of length 1. A value that is not finite or a zero mean raises an error."""
     parts = rows.select(key, F.posexplode(vector).alias("dim", "x")).groupBy(key, "dim").agg(F.avg("x").alias("x"))

@@ -11,6 +11,7 @@ from colloquy.functions.hashing import bucket
 from colloquy.operators import audit as Q
 from colloquy.operators import candidates as C
 from colloquy.operators import features as X
+from colloquy.operators import folds as K
 from colloquy.operators import media as D
 from colloquy.operators import metrics as M
 from colloquy.operators import models as N
@@ -116,6 +117,58 @@ def selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.decisions(out, "fold", "sample_id", "held_out").groupBy("fold", "held_out").agg(F.avg("correct").alias("accuracy"), F.count(F.lit(1)).alias("n")))
 
 
+SEEDS, DIMS = [11, 12, 13], 64
+
+
+def _with_vectors(rows: DataFrame, spark: SparkSession, sf_dir: str, key: str, words) -> DataFrame:
+    """rows with features: a text vector of DIMS, then the audio vector of their turn."""
+    text = X.hashed_text(rows, key, words, DIMS)
+    heard = A.audio(spark, sf_dir).select("source_index", F.col("target_audio").cast("array<double>").alias("__audio"))
+    return rows.join(text, key).join(heard, "source_index").withColumn("features", F.concat("vector", "__audio")).drop("vector", "__audio")
+
+
+def fold_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognition of every turn, per seed, by models that did not learn from its fold: probabilities and labels from text and from text and audio."""
+    r = C.with_fold(records(spark, sf_dir)).withColumns({"words": T.tokens(T.lines_of(F.col("context_turns")), None), "label": F.col("target_label"), "held_out": N.holdout(F.col("episode_id"), "head")})
+    rows = _with_vectors(r.select("source_index", "dialogue_id", "episode_id", "fold", "label", "held_out", "words"), spark, sf_dir, "source_index", F.col("words")).drop("words")
+    rows = written(rows, "recognition-vectors")
+    done = K.predicted(rows, K.fit(rows, SEEDS, {"text": list(range(DIMS)), "text_audio": list(range(2 * DIMS))}))
+    p = lambda name: 1 / (1 + F.exp(-F.col(f"logit_{name}")))
+    return done.select(F.lit("network").alias("method"), "fold", "seed", "source_index", "dialogue_id", "episode_id", F.col("label").alias("true_label"), *(x for n in ("text", "text_audio") for x in (F.round(p(n), 6).alias(f"{n}_probability"), (F.round(p(n), 6) >= 0.5).cast("int").alias(f"{n}_label"))))
+
+
+def _fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate scores of all targets, per seed and condition, by models that did not learn from the target's fold."""
+    t = tasks(spark, sf_dir).withColumn("words", F.concat(T.tokens(T.lines_of(F.col("context_turns")), None), F.transform(T.tokens(F.col("candidate_text"), None), lambda w: F.concat(F.lit("> "), w))))
+    t = t.withColumns({"label": F.col("is_gold").cast("int"), "held_out": N.holdout(F.col("episode_id"), "head"), "pair": F.concat_ws("|", "sample_id", "candidate_id")})
+    rows = _with_vectors(t.select("source_index", "sample_id", "episode_id", "fold", "candidate_pos", "candidate_id", "is_gold", "label", "held_out", "pair", "words"), spark, sf_dir, "pair", F.col("words")).drop("words", "pair")
+    rows = written(rows, "candidate-vectors")
+    models = K.fit(rows, SEEDS, {"text": list(range(DIMS)), "text_audio": list(range(2 * DIMS))}, positive=3.0)
+    long = K.predicted(rows, models).withColumn("c", F.explode(F.array(*(F.struct(F.lit(n).alias("condition"), F.round(f"logit_{n}", 6).alias("selector_logit")) for n in ("text", "text_audio")))))
+    return long.select(F.lit("network").alias("method"), "fold", "seed", "sample_id", "episode_id", "source_index", "candidate_pos", "candidate_id", "is_gold", "c.*")
+
+
+def fold_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of selection per fold, seed and condition, of targets that the model did not learn from."""
+    d = M.decisions(_fold_scores(spark, sf_dir))
+    return _rounded(d.groupBy("method", "fold", "seed", "condition").agg(F.avg("correct").alias("accuracy"), F.count(F.lit(1)).alias("n")))
+
+
+def fold_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of complete runs over the scores of all folds and seeds."""
+    s = written(_fold_scores(spark, sf_dir), "fold-scores")
+    targets = C.candidate_sets(records(spark, sf_dir)).select("source_index").distinct().join(C.with_fold(records(spark, sf_dir)).select("source_index", "episode_id", "fold"), "source_index")
+    targets = written(targets, "targets")
+    per = targets.groupBy("fold").agg(F.count(F.lit(1)).alias("targets"))
+    shared = targets.groupBy("episode_id").agg(F.count_distinct("fold").alias("k")).agg((F.max("k") > 1).alias("overlap"))  # one row
+    size = s.groupBy("method", "fold", "seed").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("sample_id").alias("samples"))
+    runs = size.groupBy("method", "fold").agg(F.array_sort(F.collect_list(F.struct("seed", "rows"))).alias("r"), F.max("samples").alias("evaluation_targets"), F.sum("samples").alias("predicted"))
+    all_targets = per.agg(F.sum("targets").alias("all_targets"))  # one row
+    runs = runs.join(shared).join(all_targets).join(per.withColumnRenamed("targets", "own"), "fold")
+    runs = runs.select("method", "fold", F.when(F.col("predicted") == F.col("own") * len(SEEDS), "complete").otherwise("partial").alias("status"), "overlap", F.transform("r", lambda x: x["seed"]).alias("seeds"), (F.col("all_targets") - F.col("own")).alias("training_targets"), (F.col("all_targets") - F.col("evaluation_targets")).alias("others"), "evaluation_targets", F.transform("r", lambda x: x["rows"]).alias("score_rows"), F.lit("one").alias("config"))
+    return Q.run_violations(runs, per, SEEDS, F.col("others"))
+
+
 def turn_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.turns(spark, sf_dir)
     return Q.violations(t, text_present=F.col("text").isNotNull(), label_known=F.col("label").isin(0, 1), speaker_known=F.col("speaker").isin("spk0", "spk1"), dialogue_in_episode=F.col("dialogue_id").startswith(F.col("episode_id")))
@@ -295,4 +348,4 @@ ORACLES = {
     "media_locations": f"WITH {SQL['turns']}, k AS (SELECT ({h(chr(39) + 'media|' + chr(39) + ' || source_index')} % 4)::INT AS k FROM turns) SELECT k, count(*) FILTER (k IN (1, 2)) AS found, count(*) FILTER (k = 2) AS preferred, count(*) FILTER (k = 0) AS none, count(*) FILTER (k = 3) AS several FROM k GROUP BY 1",
 }
 
-QUERIES = {n: globals()[n] for n in (*ORACLES, "detector", "forest", "selector")}
+QUERIES = {n: globals()[n] for n in (*ORACLES, "detector", "fold_predictions", "fold_selection", "fold_audit", "forest", "selector")}

@@ -357,6 +357,61 @@ def test_media_files(spark, tmp_path):
     assert tuple(Q.disagreements(left, right, ["k"], ["v"]).first()) == (2, 1)
 
 
+def test_networks_of_all_folds_are_those_of_plain_numpy(spark):
+    import numpy as np
+
+    from colloquy.operators import folds as K
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(240, 5))
+    y = (x[:, 0] - x[:, 3] + 0.3 * rng.normal(size=240) > 0.3).astype(int)
+    fold, held = np.arange(240) % 3, np.arange(240) // 3 % 5 == 0
+    rows = [(i, int(f), int(a), bool(h), v.tolist()) for i, (f, a, h, v) in enumerate(zip(fold, y, held, x))]
+    more = [(900, None, 1, False, [0.0] * 5), (901, 1, None, False, [9.0] * 5), (902, 1, 1, None, None)]
+    table = spark.createDataFrame(rows + more, "k int, fold int, label int, held_out boolean, features array<double>").repartition(4)
+    sets = {"one": [0, 1], "all": [0, 1, 2, 3, 4]}
+    models = K.fit(table, [1, 2], sets, steps=12)
+    assert [(m.fold, m.seed, m.name) for m in models] == [(f, s, n) for f in range(3) for s in (1, 2) for n in sets]
+    got = {(r.k, r.seed): (r.logit_one, r.logit_all) for r in K.predicted(table, models).collect()}
+    assert len(got) == 2 * 243 and got[900, 1] == got[902, 2] == (None, None) and got[901, 1][0] is not None
+    m = next(m for m in models if (m.fold, m.seed, m.name) == (1, 2, "all"))
+    other = fold != 1
+    z, t, h = x[other], y[other], held[other]
+    mean, scale, p = z.mean(0), z.std(0), (t == 0).sum() / (t == 1).sum()
+    z, d = (z - mean) / scale, 5
+    r = np.random.default_rng([2, 1, 1])
+    a, b, c, e = r.normal(0, d**-0.5, (d, K.HIDDEN)), np.zeros(K.HIDDEN), None, 0.0
+    c = r.normal(0, K.HIDDEN**-0.5, K.HIDDEN)
+    w, avg, sq, best = [a, b, c, np.array(e)], [0] * 4, [0] * 4, (float("inf"), None, None)
+    for step in range(13):
+        hid = np.tanh(z @ w[0] + w[1])
+        out = hid @ w[2] + w[3]
+        each = np.where(t == 1, p, 1)
+        loss = each * (np.log1p(np.exp(out)) - t * out)
+        if loss[h].sum() / each[h].sum() < best[0] - 1e-12:
+            best = (loss[h].sum() / each[h].sum(), step, [v.copy() for v in w])
+        g = np.where(h, 0, each * (1 / (1 + np.exp(-out)) - t))
+        dh = np.outer(g, w[2]) * (1 - hid**2)
+        for k, grad in enumerate((z.T @ dh, dh.sum(0), hid.T @ g, g.sum())):
+            grad = grad / each[~h].sum() + K.DECAY * w[k]
+            avg[k], sq[k] = 0.9 * avg[k] + 0.1 * grad, 0.999 * sq[k] + 0.001 * grad**2
+            w[k] = w[k] - K.RATE * (avg[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(sq[k] / (1 - 0.999 ** (step + 1))) + 1e-8)
+    assert m.step == best[1] and m.loss == pytest.approx(best[0], rel=1e-9)
+    v = best[2]
+    for k in np.flatnonzero(fold == 1).tolist():
+        assert got[k, 2][1] == pytest.approx(float(np.tanh((x[k] - mean) / scale @ v[0] + v[1]) @ v[2] + v[3]), rel=1e-6, abs=1e-9)
+    right = [(got[k, 1][1] > 0) == (y[k] == 1) for k in range(240)]
+    assert sum(right) > 200
+    with pytest.raises(ValueError, match="two folds"):
+        K.fit(table.filter("fold = 1"), [1], sets)
+
+
+def test_hashed_texts_have_length_one(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None)], "k int, w array<string>")
+    got = {r.k: r.vector for r in X.hashed_text(rows, "k", F.col("w"), 8).collect()}
+    assert len(got[1]) == 8 and sum(x * x for x in got[1]) == pytest.approx(1) and got[2] == got[3] == [0.0] * 8
+
+
 def test_scaler_uses_the_population_deviation(spark):
     rows = spark.createDataFrame([(1, [1.0, 5.0]), (2, [3.0, 5.0])], "k int, v array<double>")
     fit = {r.dim: (r["mean"], r.scale) for r in X.scaler(rows, "v").collect()}
