@@ -7,10 +7,10 @@ as long as the token's bytes is the token's own. Tokens that hold only some byte
 and the space that B adds have no such span; they end where their decoded bytes end. A text has tokens only if the
 decoded bytes of both are those of the space and the text.
 
-Neither tokenizer joins anything across a space that follows a character other than white space. So a text falls into
-units at these spaces, its tokens are those of its units, and a unit is encoded once per task (while it is held). Both
-rules follow from A's pre-tokenizer and from B's pieces, in which a space only stands in front; the latter is checked
-when the model is loaded.
+Neither tokenizer joins anything across a space that follows a character other than white space, nor across a line end
+between two such characters. So a text falls into units there, its tokens are those of its units, and a unit is encoded
+once per task (while it is held). This follows from A's pre-tokenizer and from B's pieces, in which a space only stands
+in front and which hold no line end; the latter is checked when the model is loaded.
 
 Texts are encoded once: a document's links, as distinct pairs of ids, are written with it. Pairs are counted over all
 documents. The most frequent pairs, at most HEAD_PAIRS, go to every task as sorted arrays; what documents hold of all
@@ -23,6 +23,7 @@ Columns besides id and text are ignored.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import re
 from dataclasses import dataclass
@@ -45,7 +46,7 @@ SLICE_BYTES = 1 << 20
 LEVELS = 16
 
 _B_BITS = 32
-_CUT = re.compile(r"(?<=\S) ")
+_CUT = re.compile(r"(?<=\S)(?= |\n\S)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -108,67 +109,87 @@ class Pair:
         self.a_bytes = [bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t in tokens]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        if any("▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError("a piece has a space behind another character: texts can't be cut at spaces")
+        if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
+            raise ValueError("a piece has a space behind another character, or a line end: texts can't be cut there")
 
         # a token's digits and what follows them: within its side of a group, or behind it
         self.words = [str(i) + x for x in ",|" for i in range(len(tokens))] + [str(i) + x for x in ",;" for i in range(len(pieces))]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
 
-    def units(self, rests: list[str]) -> Units:
-        """Units that are a space and the given rests of text, laid end to end."""
-        raw = [b" " + r.encode("utf-8", "surrogatepass") for r in rests]
-        base = np.cumsum([0, *map(len, raw)])
-        firsts = self.a.encode_batch([" " + r for r in rests], add_special_tokens=False)
-        seconds = self.b.encode(rests, return_type="proto", num_threads=1)  # older versions call it out_type="immutable_proto"
-        firsts = [(e.ids, e.offsets) for e in firsts]
-        seconds = [[(p.id, p.begin, p.end) for p in s.pieces] for s in seconds]
-        a, b = _flat(ids for ids, _ in firsts), _flat(itertools.chain.from_iterable(seconds)).reshape(-1, 3)
-        b, b_spans = b[:, 0], b[:, 1:]
-        a_unit, b_unit = np.repeat(np.arange(len(rests)), [len(ids) for ids, _ in firsts]), np.repeat(np.arange(len(rests)), list(map(len, seconds)))
-        # units whose bytes both give back; the others have no tokens
-        ok = np.bincount(a_unit, self.a_sizes[a], len(rests)) == np.diff(base)
-        ok &= np.bincount(b_unit, self.b_sizes[b], len(rests)) == np.diff(base)
+    def units(self, texts: list[str]) -> Units:
+        """The given units, in order. Those up to the first that can't be joined are encoded as one text, since units are what texts fall into."""
+        n = next((i for i, t in enumerate(texts) if not joined(t)), len(texts))
+        done = self._encoded(["".join(texts[:n])], texts[:n]) if n else None
+        if n and done is None:
+            n = 0
+        rest = texts[n:]
+        if rest:
+            ok = np.array([self._encoded([t], [t]) is not None for t in rest])
+            good = [t for t, x in zip(rest, ok) if x]
+            more = (self._encoded(good, good) if good else Units([], np.zeros((0, 5), np.int64), np.zeros(0, np.int64))).spread(ok)
+            done = more if done is None else Units(done.texts + more.texts, np.concatenate([done.sizes, more.sizes]), np.concatenate([done.keys, more.keys]))
+        return done
+
+    def _encoded(self, groups: list[str], texts: list[str]) -> Units | None:
+        """Units that are the given texts, laid end to end as groups that are encoded each by itself; None if a group's bytes are not given back.
+
+        A group begins with a space, which B adds itself, or with a line end.
+        """
+        lined = np.array([g[0] == "\n" for g in groups], np.int64)
+        raw = [g.encode("utf-8", "surrogatepass") for g in groups]
         whole = b"".join(raw)
-        if not ok.all() or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
-            ok = np.array([b"".join(self.a_bytes[i] for i in ids) == r == b"".join(self.b_bytes[i] for i, *_ in s) for r, (ids, _), s in zip(raw, firsts, seconds, strict=True)])
-            if not ok.all():
-                return self.units([r for r, good in zip(rests, ok) if good]).spread(ok)
+        firsts = self.a.encode_batch(groups, add_special_tokens=False)
+        seconds = self.b.encode([g if at else g[1:] for g, at in zip(groups, lined.tolist())], return_type="proto", num_threads=1)  # older versions call it out_type="immutable_proto"
+        # a piece begins where the one before ends; the space that B adds in front of a line end is a piece of its own
+        seconds = [[(p.id, p.end) for p in s.pieces][at:] for s, at in zip(seconds, lined.tolist())]
+        ids = [e.ids for e in firsts]
+        a, b = _flat(ids), _flat(itertools.chain.from_iterable(seconds)).reshape(-1, 2)
+        b, b_stops = b[:, 0], b[:, 1]
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
+            return None
+        group = np.cumsum([0, *map(len, raw)])
+        a_group, b_group = (np.repeat(np.arange(len(groups)), list(map(len, x))) for x in (ids, seconds))
         # A's spans count characters, B's count bytes but for the space that B adds, which its first piece holds
-        spans = _flat(x for _, offsets in firsts for x in offsets).reshape(-1, 2)
-        lengths = np.array([len(r) + 1 for r in rests], np.int64)
-        chars = np.concatenate([[0], np.cumsum(lengths)])
+        spans = _flat(x for e in firsts for x in e.offsets).reshape(-1, 2)
+        chars = np.cumsum([0, *map(len, groups)])
         leads = np.frombuffer(whole, np.uint8) & 0xC0 != 0x80  # bytes that a character begins with
         bytes_of = np.append(np.flatnonzero(leads), len(whole))
-        a_starts, a_stops = (bytes_of[chars[a_unit] + spans[:, k]] for k in (0, 1))
+        a_starts, a_stops = (bytes_of[chars[a_group] + spans[:, k]] for k in (0, 1))
+        b_stops = group[b_group] + b_stops + (1 - lined)[b_group]
+        b_starts = np.concatenate([[0], b_stops[:-1]])
         front = np.ones(len(b), bool)
-        front[1:] = b_unit[1:] != b_unit[:-1]
-        b_starts, b_stops = base[b_unit] + b_spans[:, 0] + ~front, base[b_unit] + b_spans[:, 1] + 1
+        front[1:] = b_group[1:] != b_group[:-1]
+        b_starts[front] = group[b_group[front]]
         a_ends, b_ends = token_ends(a_starts, a_stops, self.a_sizes[a]), token_ends(b_starts, b_stops, self.b_sizes[b])
         i, j, cuts, common = overlaps(a_ends, b_ends)
+        base = np.cumsum([0, *(len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts)])
         count = lambda ends: np.diff(np.searchsorted(ends, base, "right"))
-        # the text of the groups: A's and then B's tokens of each
-        group = np.concatenate([2 * np.searchsorted(common, a_ends), 2 * np.searchsorted(common, b_ends) + 1])
+        n_a, n_b = count(a_ends), count(b_ends)
+        # the text of the groups between common ends: A's and then B's tokens of each
+        between = np.concatenate([2 * np.searchsorted(common, a_ends), 2 * np.searchsorted(common, b_ends) + 1])
         closes = np.concatenate([ends == np.append(common, -1)[np.searchsorted(common, ends)] for ends in (a_ends, b_ends)])
         word = np.concatenate([a, 2 * len(self.a_bytes) + b]) + closes * np.repeat([len(self.a_bytes), len(self.b_bytes)], [len(a), len(b)])
-        written = list(map(self.words.__getitem__, word[np.argsort(group, kind="stable")].tolist()))
-        n_a, n_b = np.bincount(a_unit, minlength=len(rests)), np.bincount(b_unit, minlength=len(rests))
+        written = list(map(self.words.__getitem__, word[np.argsort(between, kind="stable")].tolist()))
         at = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
-        texts = ["".join(written[x:y])[:-1] for x, y in zip(at[:-1], at[1:])]
-        sizes = np.stack([n_a, n_b, count(common), count(cuts), np.ones(len(rests), np.int64)], 1)
-        return Units(texts, sizes, a[i].astype(np.int64) << _B_BITS | b[j])
+        held = ["".join(written[x:y])[:-1] for x, y in zip(at[:-1], at[1:])]
+        return Units(held, np.stack([n_a, n_b, count(common), count(cuts), np.ones(len(texts), np.int64)], 1), a[i].astype(np.int64) << _B_BITS | b[j])
+
+
+def joined(unit: str) -> bool:
+    """Whether a unit may be followed by another one in a text, and B gives it back."""
+    return not unit[-1].isspace() and "▁" not in unit
 
 
 def _flat(parts) -> np.ndarray:
     return np.fromiter(itertools.chain.from_iterable(parts), np.int64)
 
 
-def rests_of(text: str) -> list[str]:
-    """The units of a text, each without the space in front; one that is white space alone stays with the unit before."""
-    out = _CUT.split(text)
+def units_of(text: str) -> list[str]:
+    """The units of a space and a text; one that is white space alone stays with the unit before."""
+    out = _CUT.split(" " + text)
     if len(out) > 1 and not out[-1].strip():
         last = out.pop()
-        out[-1] += " " + last
+        out[-1] += last
     return out
 
 
@@ -208,9 +229,10 @@ class _Held:
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(unit numbers, bounds): the units of texts, one after the other."""
-        rests = [rests_of(t) if t else [] for t in texts]
+        units = [units_of(t) if t else [] for t in texts]
         number = self.number
-        new = list(dict.fromkeys(r for rs in rests for r in rs if r not in number))
+        new = list(dict.fromkeys(u for us in units for u in us if u not in number))
+        new.sort(key=joined, reverse=True)
         for x in range(0, len(new), 5000):
             some = new[x : x + 5000]
             u = self.pair.units(some)
@@ -219,8 +241,8 @@ class _Held:
             self.sizes.add(u.sizes)
             self.keys.add(u.keys)
             self.bytes += sum(map(len, some)) + sum(map(len, u.texts))
-        bounds = np.cumsum([0, *map(len, rests)])
-        return np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(rests)), np.int64, bounds[-1]), bounds
+        bounds = np.cumsum([0, *map(len, units)])
+        return np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(units)), np.int64, bounds[-1]), bounds
 
 
 def _slices(batches):
@@ -307,6 +329,7 @@ def alignments(docs: DataFrame, a_path: str | None = None, b_path: str | None =
 
     def run(batches):
         held = _Held(Pair(a_path, b_path))
+        gc.disable()  # a task makes many small objects and no cycles of them
         for part in _slices(batches):
             units, bounds = held.of(part.column("text").to_pylist())
             sizes, ok = _whole(held, units, bounds)
@@ -315,6 +338,7 @@ def alignments(docs: DataFrame, a_path: str | None = None, b_path: str | None =
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(sizes[:, k]) for k in range(4)), pa.array(groups, pa.string()), links], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
             if held.full():
                 held.clear()
+        gc.enable()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, links {_LINKS}")
