@@ -57,11 +57,24 @@ def whole_ids(df: DataFrame, id_col: str) -> Column:
     return F.col(id_col).cast("long")
 
 
+#: Spark's setting to delete the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    The write's shuffle files go when it has ended: nothing reads them again, since the table is there.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[id(back)] = (weakref.ref(back, lambda _, key=id(back): _WRITTEN.pop(key, None)), path)
     return back
 
@@ -71,17 +84,11 @@ _WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the folders of materialised tables whose readers have been written themselves.
-
-    Spark deletes the shuffle files behind them when the driver's heap is next collected; with little on the heap that
-    may be long after, so a collection is asked for.
-    """
+    """Delete the folders of materialised tables whose readers have been written themselves."""
     for df in tables:
         known = _WRITTEN.pop(id(df), None)
         if known and known[0]() is df:
             _delete(df.sparkSession, known[1])
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
