@@ -88,9 +88,14 @@ def last_cell(cells: Column, place: int, unknown: str = "UNKNOWN") -> Column:
     return F.coalesce(F.try_element_at(cells, F.lit(-place)), F.lit(unknown))
 
 
+def turn_line(turn: Column) -> Column:
+    """A turn as its line of a prompt."""
+    return F.concat(quote(turn["speaker"]), F.lit(": "), quote(turn["text"]))
+
+
 def prompt(turns: Column, next_speaker: Column, condition: Column, predicted: Column, true: Column) -> Column:
     """The dialogue, a status line for conditions that have one, and the speaker who is to answer."""
-    lines = F.array_join(F.transform(turns, lambda t: F.concat(quote(t["speaker"]), F.lit(": "), quote(t["text"]))), "\n")
+    lines = F.array_join(F.transform(turns, turn_line), "\n")
     status = F.when(condition == "self_multimodal", status_text(predicted)).when(condition == "oracle", status_text(true))
     known = condition.isin(*CONDITIONS, "direct")
     body = F.concat_ws("\n", F.concat(F.lit("Dialogue:\n"), lines), F.concat(F.lit("Status: "), status), F.concat(F.lit("Next speaker: "), next_speaker))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.hashing import bucket, stable_hex, stable_int
-from colloquy.functions.text import CONDITIONS, prompt, token_count
+from colloquy.functions.text import CONDITIONS, prompt, token_count, turn_line
 from colloquy.sources.storage import written
 
 SALT = "colloquy-v1"
@@ -111,20 +111,30 @@ def candidate_sets(records: DataFrame, salt: str = SALT, *also: str) -> DataFram
 def token_budget(examples: DataFrame, candidates: DataFrame, budget: int, conditions: tuple[str, ...] = CONDITIONS, counter=token_count) -> DataFrame:
     """Drop a target's oldest turns until its prompts, under every condition and with every candidate, fit the budget; at least one turn stays.
 
-    examples: source_index, context_turns, next_speaker, predicted, target_label. Adds turns_dropped and fits.
+    examples: source_index, context_turns, next_speaker, predicted, target_label. Adds turns_dropped and fits. The
+    counter must add up over the lines of a prompt (no token crosses a line end): each turn is counted once, the lines
+    around the turns once per condition, and what a suffix holds is a running sum. A target without turns, or
+    with a null candidate, fits nothing.
     """
     longest = candidates.groupBy("source_index").agg(F.max(counter(F.trim("candidate_text"))).alias("longest"))
     out = examples.join(longest, "source_index")
-
-    def largest(k: Column) -> Column:
-        turns = F.slice("context_turns", k + 1, F.size("context_turns"))
-        sizes = [counter(prompt(turns, F.col("next_speaker"), F.lit(c), F.col("predicted"), F.col("target_label"))) for c in conditions]
-        return (F.greatest(*sizes) if len(sizes) > 1 else sizes[0]) + F.col("longest")
-
-    drops = F.sequence(F.lit(0), F.size("context_turns") - 1)
-    least = F.get(F.filter(drops, lambda k: largest(k) <= budget), F.lit(0))
-    out = out.withColumn("fits", least.isNotNull()).withColumn("turns_dropped", F.coalesce(least, F.size("context_turns") - 1))
-    return out.withColumn("context_turns", F.slice("context_turns", F.col("turns_dropped") + 1, F.size("context_turns"))).drop("longest")
+    bare = F.slice("context_turns", 1, 0)
+    around = [counter(prompt(bare, F.col("next_speaker"), F.lit(c), F.col("predicted"), F.col("target_label"))) for c in conditions]
+    # tokens of a turn's line; a turn with a null part has no line
+    out = out.withColumn("__sizes", F.transform("context_turns", lambda t: F.coalesce(counter(turn_line(t)), F.lit(0)).cast("long")))
+    # one pass from the last turn backwards: tokens so far, and turns that fit; what stands around the turns is where it
+    # starts, so it is counted once and not in every step
+    fixed = F.col("longest") + (F.greatest(*around) if len(around) > 1 else around[0])
+    start = F.struct(fixed.cast("long").alias("held"), F.lit(0).alias("kept"), F.lit(True).alias("going"))
+
+    def step(x: Column, n: Column) -> Column:
+        going = x["going"] & F.coalesce(x["held"] + n <= budget, F.lit(False))
+        return F.struct((x["held"] + n).alias("held"), (x["kept"] + going.cast("int")).alias("kept"), going.alias("going"))
+
+    kept = F.aggregate(F.reverse("__sizes"), start, step, lambda x: x["kept"])
+    out = out.withColumn("__kept", F.coalesce(kept, F.lit(0)))
+    out = out.withColumn("fits", F.col("__kept") > 0).withColumn("turns_dropped", F.greatest(F.size("context_turns") - F.greatest("__kept", F.lit(1)), F.lit(0)))
+    return out.withColumn("context_turns", F.slice("context_turns", F.col("turns_dropped") + 1, F.size("context_turns"))).drop("longest", "__sizes", "__kept")
 
 
 def hash_order(salt: str = SALT) -> Column:

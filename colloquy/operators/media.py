@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 
 import pyarrow as pa
@@ -9,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.audit import violations
+from colloquy.sources.files import listing, opened, sha256
 
 EXTENSIONS = ("mp4", "mkv", "avi", "mov", "wav")
 
 
-def files(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """path, length (and content) of all files below path. Without content only the listing is read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.select("path", "length", *(["content"] if content else []))
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length of all files below path. Only the listing is read; a large file is a partition of its own."""
+    return listing(spark, path)
 
 
 def with_stem(paths: DataFrame) -> DataFrame:
@@ -35,8 +36,14 @@ def located(rows: DataFrame, paths: DataFrame, key: str, preferred: str = "utter
 
 
 def manifest(found: DataFrame) -> DataFrame:
-    """path, length, sha256 of files with content."""
-    return found.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length, sha256 of files, digested in pieces, so a file of any size takes the same memory. A file that is gone raises an error."""
+
+    def run(batches):
+        for batch in batches:
+            digests = pa.array([sha256(p) for p in batch.column("path").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), digests], ["path", "length", "sha256"])
+
+    return found.select("path", "length").mapInArrow(run, "path string, length long, sha256 string")
 
 
 def coverage(rows: DataFrame, availability: DataFrame, key: str, level: str) -> DataFrame:
@@ -67,18 +74,26 @@ def media_violations(availability: DataFrame, preferred: str = "utterances_final
 
 def wav_header(content: bytes) -> dict:
     """channels, rate, bits and frames of a RIFF/WAVE file, or a failure."""
+    return wav_head(io.BytesIO(content), len(content))
+
+
+def wav_head(f, length: int) -> dict:
+    """What wav_header gives, of an open file: the heads of its chunks are read, the rest is passed over."""
     out = {"channels": None, "rate": None, "bits": None, "frames": None, "failure": None}
-    if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+    head = f.read(12)
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:] != b"WAVE":
         return out | {"failure": "NOT_WAV"}
     at, block = 12, 0
-    while at + 8 <= len(content):
-        name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
-        if name == b"fmt " and at + 24 <= len(content):
-            _, out["channels"], out["rate"], _, block, out["bits"] = struct.unpack_from("<HHIIHH", content, at + 8)
+    while at + 8 <= length:
+        f.seek(at)
+        chunk = f.read(24)
+        name, size = chunk[:4], struct.unpack_from("<I", chunk, 4)[0]
+        if name == b"fmt " and len(chunk) == 24:
+            _, out["channels"], out["rate"], _, block, out["bits"] = struct.unpack_from("<HHIIHH", chunk, 8)
         if name == b"data":
             if not block:
                 return out | {"failure": "NO_FORMAT"}
-            held = min(size, len(content) - at - 8)
+            held = min(size, length - at - 8)
             return out | {"frames": held // block, "failure": "TRUNCATED" if held < size else None}
         at += 8 + size + size % 2
     return out | {"failure": "NO_DATA"}
@@ -88,10 +103,14 @@ def wav_audit(found: DataFrame, rate: int = 16_000) -> DataFrame:
     """path, length, channels, rate, bits, frames, failure, valid (mono, 16 bit, the rate, some frames)."""
     schema = pa.schema([("channels", pa.int32()), ("rate", pa.int32()), ("bits", pa.int32()), ("frames", pa.int64()), ("failure", pa.string())])
 
+    def head(path: str, length: int) -> dict:
+        with opened(path) as f:
+            return wav_head(f, length)
+
     def run(batches):
         for batch in batches:
-            heads = pa.RecordBatch.from_pylist([wav_header(c.as_py()) for c in batch.column("content")], schema)
+            heads = pa.RecordBatch.from_pylist([head(p, n) for p, n in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True)], schema)
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), *heads.columns], ["path", "length", *schema.names])
 
-    out = found.select("path", "length", "content").mapInArrow(run, "path string, length long, channels int, rate int, bits int, frames long, failure string")
+    out = found.select("path", "length").mapInArrow(run, "path string, length long, channels int, rate int, bits int, frames long, failure string")
     return out.withColumn("valid", F.coalesce(F.col("failure").isNull() & (F.col("channels") == 1) & (F.col("bits") == 16) & (F.col("rate") == rate) & (F.col("frames") > 0), F.lit(False)))

@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from colloquy.sources.keyed import members
+
 TARGET = "utterance string, speaker string, context array<string>, context_speakers array<string>, show string, sarcasm boolean"
 UTTERANCE = "id string, conversation_id string, speaker string, text string, `reply-to` string"
 SCENE = "season string, episode string, scene string"
 
 
 def read_keyed_json(spark: SparkSession, path: str, value_schema: str, key: str = "id") -> DataFrame:
-    """One JSON object as rows of (key, fields). Such a file can't be split: convert it to Parquet once."""
-    whole = spark.read.text(path, wholetext=True)
-    parsed = whole.select(F.from_json("value", f"map<string, struct<{_fields(value_schema)}>>").alias("m"))
-    checked = parsed.select(F.when(F.col("m").isNull(), F.raise_error(F.lit("not a JSON object")).cast(parsed.schema["m"].dataType)).otherwise(F.col("m")).alias("m"))
-    return checked.select(F.explode("m").alias(key, "__v")).select(key, "__v.*")
+    """One JSON object (a file, or each file of a folder) as rows of (key, fields), read by many tasks; damaged text raises an error."""
+    fields = F.from_json("value", f"struct<{_fields(value_schema)}>", {"mode": "FAILFAST"})
+    return members(spark, path).select(F.col("key").alias(key), fields.alias("__v")).select(key, "__v.*")
 
 
 def _fields(ddl: str) -> str:

@@ -346,7 +346,7 @@ def test_media_files(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "a.wav").write_bytes(made(1))
     (tmp_path / "m" / "b.wav").write_bytes(made(2))
-    found = D.files(spark, str(tmp_path), content=True)
+    found = D.files(spark, str(tmp_path))
     assert {r.path[-5:]: r.valid for r in D.wav_audit(found).collect()} == {"a.wav": True, "b.wav": False}
     assert {r.sha256 for r in D.manifest(found).collect()} == {__import__("hashlib").sha256(made(c)).hexdigest() for c in (1, 2)}
     S.write_report(S.counters(D.with_stem(found), "extension"), f"{tmp_path}/report")
@@ -441,3 +441,73 @@ def test_formats_round_trip(spark, tmp_path):
     assert {r.k: r.v for r in S.read_csv(spark, str(tmp_path / "c"), "v string, k string").collect()} == {"a": 'q"u\no,te', "b": "UNKNOWN"}
     S.write_jsonl(rows, str(tmp_path / "j"))
     assert S.read_jsonl(spark, str(tmp_path / "j"), "k string, v string").count() == 2
+
+
+def test_budget_counts_each_turn_once(spark):
+    from colloquy.functions.text import CONDITIONS, prompt, token_count
+
+    texts = [["one two three", None, "<a> b, c"], ["x " * 30, "y"], ["z"] * 6, []]
+    rows = [(i, [("s", t) for t in ts], "n", i % 2, 1) for i, ts in enumerate(texts)]
+    examples = spark.createDataFrame(rows, "source_index long, context_turns array<struct<speaker:string,text:string>>, next_speaker string, predicted int, target_label int")
+    candidates = spark.createDataFrame([(i, t) for i in range(4) for t in ("a b", "c d e")], "source_index long, candidate_text string")
+    for budget in (14, 25):
+        got = {r.source_index: (r.fits, r.turns_dropped, len(r.context_turns)) for r in C.token_budget(examples, candidates, budget).collect()}
+        assert got[3] == (False, 0, 0)
+        for i, ts in enumerate(texts[:3]):
+            fits = []
+            for k in range(len(ts)):
+                held = spark.createDataFrame([([("s", t) for t in ts[k:]],)], "t array<struct<speaker:string,text:string>>")
+                sizes = held.select(*(token_count(prompt(F.col("t"), F.lit("n"), F.lit(c), F.lit(i % 2), F.lit(1))) for c in CONDITIONS)).first()
+                fits += [k] if max(sizes) + 3 <= budget else []
+            assert got[i] == ((True, fits[0], len(ts) - fits[0]) if fits else (False, len(ts) - 1, 1))
+
+
+def test_budget_of_a_long_context(spark):
+    long = spark.range(1).select(F.col("id").alias("source_index"), F.expr("transform(sequence(1, 10000), i -> struct('s' as speaker, concat('w', i) as text))").alias("context_turns"), F.lit("n").alias("next_speaker"), F.lit(0).alias("predicted"), F.lit(1).alias("target_label"))
+    got = C.token_budget(long, spark.createDataFrame([(0, "a")], "source_index long, candidate_text string"), 3 * 700 + 20).first()
+    assert got.fits and 695 <= len(got.context_turns) <= 705 and got.context_turns[-1].text == "w10000" and got.turns_dropped == 10000 - len(got.context_turns)
+
+
+def test_large_files_are_read_in_pieces(spark, tmp_path):
+    import hashlib
+    import struct
+
+    from colloquy.operators import media as D
+
+    size = 3 << 30
+    head = b"RIFF" + struct.pack("<I", size - 8) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", size - 44)
+    with open(tmp_path / "a b%20c.wav", "wb") as f:
+        f.write(head)
+        f.truncate(size)  # sparse: it takes no room
+    (tmp_path / "empty.wav").write_bytes(b"")  # Spark lists no empty files
+    got = {r.path[-9:]: r for r in D.wav_audit(D.files(spark, str(tmp_path))).collect()}
+    assert got.keys() == {"b%20c.wav"} and got["b%20c.wav"].valid and got["b%20c.wav"].frames == (size - 44) // 2
+    want = hashlib.sha256(head)
+    for at in range(44, size, 1 << 24):
+        want.update(bytes(min(1 << 24, size - at)))
+    assert {r.length: r.sha256 for r in D.manifest(D.files(spark, str(tmp_path))).collect()} == {size: want.hexdigest()}
+
+
+def test_keyed_json_is_read_in_ranges(spark, tmp_path):
+    import json
+    import random
+
+    from colloquy.sources.keyed import members
+
+    random.seed(4)
+    odd = ['"', "\\", "{", "}", "[", "]", ",", ":", " ", "é", "x", "\n", "\\\\"]
+    text = lambda: "".join(random.choice(odd) for _ in range(random.randint(0, 30)))
+    want = {f"{i}{text()}": {"a": text(), "b": [text(), {"c": text(), "d": None}], "e": {}} for i in range(60)}
+    for indent, ascii_only in ((None, True), (2, False)):
+        path = tmp_path / f"k{indent}.json"
+        path.write_text(json.dumps(want, indent=indent, ensure_ascii=ascii_only), encoding="utf-8")
+        for size in (41, 1000, 1 << 20):
+            rows = members(spark, str(path), size).collect()
+            assert len(rows) == len(want) and {r.key: json.loads(r.value) for r in rows} == want
+    (tmp_path / "none.json").write_text(" {\n } ")
+    assert members(spark, str(tmp_path / "none.json"), 2).count() == 0
+    damaged = ('{"a": 1', '{"a": 1}}', '{"a": 1} x', '{"a": 1}{"b": 2}', "[1]", '{"a": 1, }', '{"a" 1}', '{"a": [1}}', '{"a": "x}', "1", "", '{"a": 1]', '{"a": tru}', '{,"a": 1}')
+    for i, bad in enumerate(damaged):
+        (tmp_path / f"bad{i}.json").write_text(bad)
+        with pytest.raises(Exception, match="JSON|Expecting"):
+            raise AssertionError(f"{bad!r} gave {members(spark, str(tmp_path / f'bad{i}.json'), 4).collect()}")
