@@ -20,5 +20,28 @@ def bucket(value: Column, salt: str, modulus: int) -> Column:
 
 
 def fingerprint(ids: Column) -> Column:
-    """Aggregate: SHA-256 of the sorted distinct ids, one a line."""
+    """Aggregate: SHA-256 of the sorted distinct ids, one a line. The whole set is one row, as the definition asks; ``set_digest`` has no such row."""
     return F.sha2(F.array_join(F.sort_array(F.collect_set(ids.cast("string"))), "\n"), 256)
+
+
+#: Lanes of a set's digest and hex digits of each: sums of 2^39 ids fit a long.
+LANES, DIGITS = 10, 6
+
+
+def set_digest(ids: Column) -> Column:
+    """Aggregate over different ids: the sums, modulo 2^24, of the first ten groups of six hex digits of their SHA-256.
+
+    Sums are made map-side and don't depend on the order, and digests of disjoint sets add up (``merged_digest``).
+    It tells sets apart that differ by accident, not sets that somebody made to collide.
+    """
+    return _added(F.sha2(ids.cast("string"), 256))
+
+
+def merged_digest(digests: Column) -> Column:
+    """Aggregate: the digest of the union of disjoint sets, of their digests."""
+    return _added(digests)
+
+
+def _added(hex_digits: Column) -> Column:
+    lanes = [F.sum(F.conv(F.substring(hex_digits, 1 + DIGITS * i, DIGITS), 16, 10).cast("long")) for i in range(LANES)]
+    return F.concat(*(F.lower(F.lpad(F.hex(F.pmod(F.coalesce(n, F.lit(0)), F.lit(1 << 4 * DIGITS))), DIGITS, "0")) for n in lanes))

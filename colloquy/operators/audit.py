@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from colloquy.sources.storage import written
+
 
 def value_counts(rows: DataFrame, *columns: str) -> DataFrame:
     """column, value, n for each of the columns, from one pass."""
@@ -34,6 +36,20 @@ def violations(rows: DataFrame, **rules: Column) -> DataFrame:
     return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules))).alias("v")).select("v.*")
 
 
+def audited(rows: DataFrame, name: str, keep: list[str] | None = None, **rules: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows as a written table, rule and violations over it). The write itself counts: the table is worked out and passed once.
+
+    keep: the columns to write, if the rules need more than these. The counts are of the write's last stage, where Spark
+    adds each partition once, however often its task runs. ``checked`` is the number of rows.
+    """
+    seen = Observation(name)
+    counts = [F.count_if(~F.coalesce(r, F.lit(False))).alias(n) for n, r in rules.items()]
+    watched = rows.observe(seen, F.count(F.lit(1)).alias("checked"), *counts)
+    held = written(watched.select(*keep) if keep else watched, name)
+    found = seen.get
+    return held, rows.sparkSession.createDataFrame([(n, int(found[n])) for n in ("checked", *rules)], "rule string, violations long")
+
+
 def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """only_left, only_right, both, of the distinct keys of two tables."""
     tagged = left.select(key).distinct().withColumn("side", F.lit(1)).unionByName(right.select(key).distinct().withColumn("side", F.lit(2)))

@@ -85,18 +85,28 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(F.col("total") > edge[0]).unionByName(ties)
 
 
+#: Grams, of a few characters each, that every task may hold.
+SMALL_VOCABULARY = 200_000
+
+
 def tfidf(rows: DataFrame, key: str, text: str, train: Column, min_df: int = 2, most: int = 50_000, low: int = 2, high: int = 4) -> DataFrame:
     """key, gram, weight: sublinear tf times smooth idf, each row's weights of length 1. Vocabulary and idf are of training rows.
 
-    The vocabulary keeps the grams with the largest total count, ties by the gram.
+    The vocabulary keeps the grams with the largest total count, ties by the gram. Texts are dealt by their key before
+    they become grams, so a text's grams are counted and weighed in the task that has it; a row of the written counts
+    holds all grams of a text. Only the grams' totals are shuffled, summed map-side, and a vocabulary of more than
+    SMALL_VOCABULARY grams meets the counts in a shuffle.
     """
-    counts = rows.select(key, train.alias("__train"), F.explode(char_grams(F.col(text), low, high)).alias("gram")).groupBy(key, "__train", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    counts = written(counts, "gram-counts")
-    fitted = counts.filter("__train").groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+    said = rows.select(key, train.alias("__train"), F.col(text).alias("__text")).repartition(key)
+    counts = said.select(key, "__train", F.explode(char_grams(F.col("__text"), low, high)).alias("gram")).groupBy(key, "__train", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    counts = written(counts.groupBy(key, "__train").agg(F.collect_list(F.struct("gram", "tf")).alias("grams")), "gram-counts")
+    fitted = counts.filter("__train").select(F.explode("grams").alias("g")).groupBy("g.gram").agg(F.count(F.lit(1)).alias("df"), F.sum("g.tf").alias("total")).filter(F.col("df") >= min_df)
     fitted = most_frequent(written(fitted, "gram-totals"), most)
     n = rows.filter(train).agg(F.count(F.lit(1)).alias("n"))
-    idf = fitted.join(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "gram").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    idf = written(fitted.join(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "gram-weights")
+    known = F.broadcast(idf) if idf.count() <= SMALL_VOCABULARY else idf
+    held = counts.repartition(key).select(key, F.explode("grams").alias("g")).select(key, "g.gram", "g.tf")
+    raw = held.join(known, "gram").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "gram", (F.col("w") / norm).alias("weight"))
 

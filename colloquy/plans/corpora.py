@@ -171,7 +171,8 @@ def fold_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turn_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.turns(spark, sf_dir)
-    return Q.violations(t, text_present=F.col("text").isNotNull(), label_known=F.col("label").isin(0, 1), speaker_known=F.col("speaker").isin("spk0", "spk1"), dialogue_in_episode=F.col("dialogue_id").startswith(F.col("episode_id")))
+    _, seen = Q.audited(t, "turns", text_present=F.col("text").isNotNull(), label_known=F.col("label").isin(0, 1), speaker_known=F.col("speaker").isin("spk0", "spk1"), dialogue_in_episode=F.col("dialogue_id").startswith(F.col("episode_id")))
+    return seen.filter("rule <> 'checked'")
 
 
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
-from colloquy.functions.hashing import bucket, fingerprint, stable_hex, stable_int
+from colloquy.functions.hashing import bucket, fingerprint, merged_digest, set_digest, stable_hex, stable_int
 from colloquy.operators import audit as Q
 from colloquy.operators import candidates as C
 from colloquy.operators import metrics as M
@@ -44,6 +44,14 @@ def episode_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("fold").agg(*stats, fingerprint(F.col("episode_id")).alias("episode_fingerprint"))
 
 
+def episode_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fold, episodes, digest of each fold's set of episodes; of fold -1: of all episodes, merged from the folds' digests."""
+    episodes = C.with_fold(records(spark, sf_dir)).select("fold", "episode_id").distinct()
+    folds = episodes.groupBy("fold").agg(F.count(F.lit(1)).alias("episodes"), set_digest(F.col("episode_id")).alias("digest"))
+    every = folds.agg(F.lit(-1).alias("fold"), F.coalesce(F.sum("episodes"), F.lit(0)).alias("episodes"), merged_digest(F.col("digest")).alias("digest"))
+    return folds.unionByName(every)
+
+
 def hash_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.turns(spark, sf_dir)
     return t.select("source_index", T.episode_of(F.col("dialogue_id")).alias("episode"), stable_hex(F.col("dialogue_id"), C.SALT).alias("dialogue_hash"), bucket(F.col("dialogue_id"), C.SALT, 7).alias("dialogue_bucket"), bucket(F.col("episode_id"), C.SALT, 4).alias("episode_bucket"), (stable_int(F.col("source_index"), "holdout") % 10 == 0).alias("held_out"))
@@ -128,8 +136,12 @@ def task_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates whose text or dialogue differs from their source row: none; and the number that was checked."""
     source = A.turns(spark, sf_dir).select(F.col("source_index").alias("candidate_source_index"), F.col("text").alias("source_text"), F.col("dialogue_id").alias("source_dialogue"))
     met = tasks(spark, sf_dir).join(source, "candidate_source_index", "left")
-    wrong_gold = F.col("is_gold") & (F.col("candidate_source_index") != F.col("source_index") + 1)
-    return met.agg(F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("source_text").eqNullSafe(F.col("candidate_text"))).alias("text_differs"), F.count_if(~F.col("source_dialogue").eqNullSafe(F.col("candidate_source_dialogue_id"))).alias("dialogue_differs"), F.count_if(wrong_gold).alias("wrong_reply"))
+    rules = {
+        "text_differs": F.col("source_text").eqNullSafe(F.col("candidate_text")), "dialogue_differs": F.col("source_dialogue").eqNullSafe(F.col("candidate_source_dialogue_id")),
+        "wrong_reply": ~F.col("is_gold") | (F.col("candidate_source_index") == F.col("source_index") + 1),
+    }
+    _, seen = Q.audited(met, "tasks", [c for c in met.columns if not c.startswith("source_") or c == "source_index"], **rules)
+    return seen.agg(*(F.max(F.when(F.col("rule") == r, F.col("violations"))).alias(r) for r in ("checked", *rules)))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,6 +337,11 @@ ORACLES = {
     "sealed_turns": f"WITH {SQL['turns']} SELECT count(*) AS n, max(source_index) AS last, sum(label)::BIGINT AS positives FROM turns WHERE source_index < (SELECT (max(source_index) + 1) * 72 // 100 FROM turns)",
     "episode_folds": f"WITH {_RECORDS} SELECT fold, count(*) AS targets, count(DISTINCT episode_id) AS episodes, count(*) FILTER (target_label = 1) AS positives, sha256(array_to_string(list_sort(list(DISTINCT episode_id)), chr(10))) AS episode_fingerprint FROM records GROUP BY fold",
     "hash_splits": f"WITH {SQL['turns']} SELECT source_index, episode_id AS episode, {_hex(_S + ' || dialogue_id')} AS dialogue_hash, ({h(_S + ' || dialogue_id')} % 7)::INT AS dialogue_bucket, ({h(_S + ' || episode_id')} % 4)::INT AS episode_bucket, {h("'holdout|' || source_index")} % 10 = 0 AS held_out FROM turns",
+    "episode_digests": f"""WITH {_RECORDS}, e AS (SELECT DISTINCT fold, episode_id FROM records),
+        lanes AS (SELECT fold, i, sum(('0x' || substr(sha256(episode_id), 1 + 6 * i, 6))::BIGINT) % 16777216 AS v FROM e, range(10) AS t(i) GROUP BY GROUPING SETS ((fold, i), (i))),
+        d AS (SELECT coalesce(fold, -1)::INT AS fold, string_agg(lpad(format('{{:x}}', v::BIGINT), 6, '0'), '' ORDER BY i) AS digest FROM lanes GROUP BY 1),
+        n AS (SELECT coalesce(fold, -1)::INT AS fold, count(*) AS episodes FROM e GROUP BY ROLLUP (fold))
+        SELECT fold, episodes, digest FROM n JOIN d USING (fold)""",
     "fold_isolation": f"""WITH {_RECORDS}, k AS (SELECT *, {h(_S + " || dialogue_id")} % 4 AS f FROM records), e AS (SELECT count(DISTINCT f) AS n FROM k GROUP BY episode_id), d AS (SELECT count(DISTINCT f) AS n FROM k GROUP BY dialogue_id)
         SELECT 'episode' AS unit, count(*) FILTER (n > 1) AS shared, count(*) AS n FROM e UNION ALL SELECT 'dialogue', count(*) FILTER (n > 1), count(*) FROM d""",
     "distractor_ranks": f"WITH {_POOL} SELECT source_index, same, count(*) AS pool, count(DISTINCT said) AS texts, arg_min(pool_index, (gap, k, pool_index)) AS best_index, min(gap)::INT AS least_gap FROM pool GROUP BY 1, 2",

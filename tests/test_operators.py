@@ -1,6 +1,11 @@
+import hashlib
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.functions.hashing import merged_digest, set_digest
 from colloquy.operators import align as L
 from colloquy.operators import audit as Q
 from colloquy.operators import candidates as C
@@ -517,3 +522,47 @@ def test_keyed_json_is_read_in_ranges(spark, tmp_path):
         else:  # the same text as one range
             with open(path, "rb") as f, pytest.raises(ValueError, match="JSON|Expecting"):
                 raise AssertionError(f"{bad!r} gave {list(K._cut(str(path), f, 0, len(bad), len(bad), False, 0))}")
+
+
+def test_audits_count_while_the_table_is_written(spark):
+    rows = spark.range(0, 1000, 1, 7).select("id", F.when(F.col("id") % 10 > 0, F.col("id")).alias("x"), (F.col("id") + 1).alias("y"))
+    rules = dict(there=F.col("x").isNotNull(), small=F.col("id") < 990, null_counts=F.col("x") >= 0, later=F.col("y") > F.col("id"))
+    held, seen = Q.audited(rows.repartition(5, "id"), "audited", ["id", "x"], **rules)
+    assert held.columns == ["id", "x"] and held.count() == 1000
+    assert {r.rule: r.violations for r in seen.collect()} == {"checked": 1000, "there": 100, "small": 10, "null_counts": 100, "later": 0}
+    assert {tuple(r) for r in Q.violations(rows, **rules).collect()} == {tuple(r) for r in seen.collect() if r.rule != "checked"}
+    held, seen = Q.audited(rows.filter("id < 0").groupBy("id").agg(F.max("x").alias("x")), "audited", there=F.col("x").isNotNull())
+    assert held.count() == 0 and {tuple(r) for r in seen.collect()} == {("checked", 0), ("there", 0)}
+
+
+def test_digests_of_sets_add_up_in_any_order(spark):
+    ids = spark.range(1000).select((F.col("id") * 7).alias("id"), (F.col("id") % 3).alias("part"))
+    digest = lambda d: d.agg(set_digest(F.col("id")).alias("d")).first()[0]
+    whole = digest(ids)
+    assert whole == digest(ids.orderBy(F.desc("id")).repartition(5)) and len(whole) == 60
+    assert whole != digest(ids.filter("id > 0")) and digest(ids.filter("id < 0")) == "0" * 60
+    parts = ids.groupBy("part").agg(set_digest(F.col("id")).alias("d"))
+    assert parts.agg(merged_digest(F.col("d"))).first()[0] == whole
+    sums = [sum(int(hashlib.sha256(str(7 * i).encode()).hexdigest()[6 * k : 6 * k + 6], 16) for i in range(1000)) % (1 << 24) for k in range(10)]
+    assert whole == "".join(f"{s:06x}" for s in sums)
+
+
+def test_weights_of_grams_are_the_plain_ones(spark, monkeypatch):
+    texts = ["ab ab cab", "abc", "", None, "ca ca ca b", "abc ab"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+
+    def grams(text):
+        return Counter(p[i : i + n] for w in (text or "").split() for p in [f" {w} "] for n in (2, 3) for i in range(max(1, len(p) - n + 1)))
+
+    train = [grams(t) for t in texts[:5]]
+    df, total = Counter(g for t in train for g in t), sum(train, Counter())
+    kept = sorted((g for g in df if df[g] >= 2), key=lambda g: (-total[g], g))[:6]
+    want = {}
+    for i, t in enumerate(texts):
+        w = {g: (1 + math.log(n)) * (math.log(6 / (1 + df[g])) + 1) for g, n in grams(t).items() if g in kept}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        want |= {(i, g): x / norm for g, x in w.items()}
+    for most in (0, 200_000):  # joined in a shuffle, and held by tasks
+        monkeypatch.setattr(X, "SMALL_VOCABULARY", most)
+        got = {(r.id, r.gram): r.weight for r in X.tfidf(rows, "id", "text", F.col("id") < 5, most=6, high=3).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
