@@ -1,7 +1,10 @@
 """Benchmark decontamination by templates.
 
 Texts become templates: numbers (digits or number words), names (capitalised words within a sentence) and units are
-replaced by typed placeholders; other words are lower-cased without punctuation. Windows of eight template words of a
+replaced by typed placeholders; other words are lower-cased without punctuation. Number words are English, French,
+German or Spanish; those that make up one number (``two hundred and five``, ``soixante-dix``, ``treinta y dos``,
+``3 million``, ``1,250.5``) are one word, so that it can be exchanged for a shorter one. German numbers that are one
+word are known below a thousand, and as whole thousands. Windows of eight template words of a
 document are joined on their hash with those of the benchmark. Where windows line up with an item (same distance
 between their places), the values behind the placeholders must agree: within an alignment, one value of the item may
 stand for one value of the document only; windows that hold a value against this are not covered, unless all their
@@ -24,6 +27,7 @@ an error. An empty benchmark leaves all documents clean. Columns besides id and
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +46,39 @@ COVERED = 0.5
 BITMAP = 1 << 24
 
 # Words that stand for numbers and units.
-NUMBER_WORDS = """zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million
-null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig hundert tausend
-deux trois quatre cinq sept huit neuf dix onze douze vingt cent mille
-cero dos tres cuatro cinco seis siete ocho nueve diez once doce veinte cien mil""".split()
+_ONES = """zero one two three four five six seven eight nine
+null eins zwei drei vier fünf sechs sieben acht neun
+zéro deux trois quatre cinq sept huit neuf
+cero dos tres cuatro cinco seis siete ocho nueve""".split()
+_TEENS = """ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn
+dix onze douze treize quatorze quinze seize
+diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve
+veintiuno veintiún veintiuna veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve""".split()
+_TENS = """twenty thirty forty fifty sixty seventy eighty ninety
+zwanzig dreißig dreissig vierzig fünfzig sechzig siebzig achtzig neunzig
+vingt vingts trente quarante cinquante soixante septante huitante nonante
+veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa""".split()
+_SCALES = """hundred thousand million billion trillion
+hundert tausend millionen milliarde milliarden billionen
+cent mille millions milliard milliards
+cien ciento mil millón millones billón doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos
+doscientas trescientas cuatrocientas quinientas seiscientas setecientas ochocientas novecientas""".split()
+#: These are numbers only behind another part of one.
+_ONE_BEHIND = "un une uno una".split()
+_BETWEEN = "and et y".split()
+
+
+def _german() -> list[str]:
+    """German numbers that are one word: below a thousand, and whole thousands."""
+    ones = "ein zwei drei vier fünf sechs sieben acht neun".split()
+    tens = [t for t in _TENS if t.endswith(("zig", "ßig", "ssig"))]
+    small = ["eins", *ones[1:], *(t for t in _TEENS if t.endswith("zehn") or t in ("elf", "zwölf")), *tens, *(f"{o}und{t}" for o in ones for t in tens)]
+    hundreds = [f"{o}hundert{rest}" for o in ["", *ones] for rest in ["", *small, *(f"und{s}" for s in small)]]
+    return [*small, *hundreds, *(f"{n}tausend" for n in ["ein", *small[1:], *hundreds])]
+
+
+NUMBER_WORDS = sorted({*_ONES, *_TEENS, *_TENS, *_SCALES, *_german()})
 UNITS = """mm cm m km kg g mg lb lbs oz l ml km/h mph inch inches foot feet yard yards mile miles meter meters metre metres kilometer
 kilometers kilometre kilometres gram grams kilogram kilograms pound pounds liter liters litre litres second seconds minute minutes
 hour hours day days week weeks month months year years dollar dollars euro euros cents percent degree degrees % $ €""".split()
@@ -71,12 +104,58 @@ def _hashes_of(some: list[str]) -> np.ndarray:
 
 
 _NUMBER_HASHES, _UNIT_HASHES = _hashes_of(NUMBER_WORDS), _hashes_of(UNITS)
+_ONES_H, _TEENS_H, _TENS_H, _SCALES_H, _BEHIND_H, _BETWEEN_H = map(_hashes_of, (_ONES, _TEENS, _TENS, _SCALES, _ONE_BEHIND, _BETWEEN))
+_FOUR_H, _TWENTY_H, _TEN_H, _ABOVE_SIX_H = map(_hashes_of, (["quatre"], ["vingt", "vingts"], ["dix"], ["sept", "huit", "neuf"]))
+_DASH = np.zeros(256, bool)
+_DASH[[ord(" "), ord("-")]] = True
+_POINT = np.zeros(256, bool)
+_POINT[[ord("."), ord(",")]] = True
 
 
 def _among(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, hashes), len(table) - 1)] == hashes
 
 
+def _numbers_joined(c: words.Chunk) -> words.Chunk:
+    """The chunk with the words of one number made one word. Nothing but blanks, hyphens or a decimal sign stands between them."""
+    n = len(c.hashes)
+    if n < 2:
+        return c
+    number, scale, ten = (_among(c.hashes, t) for t in (_NUMBER_HASHES, _SCALES_H, _TENS_H))
+    behind = _among(c.hashes, _BEHIND_H)
+    low = _among(c.hashes, _ONES_H) | _among(c.hashes, _TEENS_H) | behind
+    digits = np.cumsum(np.concatenate([[0], _DIGIT[c.data]]))
+    digit = digits[c.ends] > digits[c.starts]
+    other = np.cumsum(np.concatenate([[0], ~_DASH[c.data]]))
+
+    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words b go on with the numbers that words a end."""
+        french = _among(c.hashes[a], _FOUR_H) & _among(c.hashes[b], _TWENTY_H) | _among(c.hashes[a], _TEN_H) & _among(c.hashes[b], _ABOVE_SIX_H)
+        return scale[b] & (number[a] | digit[a]) | scale[a] & (number[b] | behind[b]) | ten[a] & low[b] | french
+
+    at = np.arange(n - 1)
+    near = other[c.starts[1:]] == other[c.ends[:-1]]
+    point = (c.starts[1:] - c.ends[:-1] == 1) & _POINT[c.data[c.ends[:-1]]] & _DIGIT[c.data[c.ends[:-1] - 1]] & _DIGIT[c.data[c.starts[1:]]]
+    inner = np.ones(n - 1, bool)
+    inner[c.bounds[(c.bounds > 0) & (c.bounds < n)] - 1] = False  # no number crosses texts
+    near &= inner
+    joined = near & fits(at, at + 1) | point & inner
+    link = np.flatnonzero(near[:-1] & near[1:] & _among(c.hashes[1:-1], _BETWEEN_H))
+    link = link[(ten | scale)[link] & fits(link, link + 2)]
+    joined[link] = joined[link + 1] = True
+    if not joined.any():
+        return c
+    first = np.flatnonzero(np.concatenate([[True], ~joined]))
+    sizes = np.diff(np.append(first, n))
+    places = np.arange(n) - np.repeat(first, sizes)
+    hashes = np.where(sizes > 1, words.mixed(np.add.reduceat(words.mixed(c.hashes + places.astype(np.uint64)), first)), c.hashes[first])
+    return replace(c, bounds=np.searchsorted(first, c.bounds), starts=c.starts[first], ends=c.ends[first + sizes - 1], hashes=hashes)
+
+
+def _chunks(column: pa.Array):
+    return map(_numbers_joined, words.chunks(column, _INSIDE, words.LOWER))
+
+
 def templates(c: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, slots) of a chunk's words as templates; slots: 0 for a plain word, 1 number, 2 name, 3 unit."""
     slots = np.zeros(len(c.hashes), np.uint8)
@@ -93,7 +172,8 @@ def templates(c: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     two = (first >= 0xC2) & (first < 0xE0) & _UPPER_OF_TWO[(first.astype(np.int64) & 31) << 6 | (second & 63)]
     slots[(_UPPER[first] | two) & inner] = 2
     slots[_among(c.hashes, _UNIT_HASHES)] = 3
-    slots[(digits[c.ends] > digits[c.starts]) | _among(c.hashes, _NUMBER_HASHES)] = 1
+    signs = np.cumsum(np.concatenate([[0], ~_INSIDE[c.data]]))  # only a number of several words holds one
+    slots[(digits[c.ends] > digits[c.starts]) | (signs[c.ends] > signs[c.starts]) | _among(c.hashes, _NUMBER_HASHES)] = 1
     return np.choose(slots, [c.hashes, _NUM, _NAME, _UNIT]).astype(np.uint64), slots
 
 
@@ -136,14 +216,15 @@ def _whole_lines(c: words.Chunk, at: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 def _slot_values(c: words.Chunk, slots: np.ndarray, at: int, size: int) -> list[str]:
-    return [f"{slots[i]}{bytes(c.data[c.starts[i] : c.ends[i]]).decode('utf-8', 'replace').lower()}" for i in range(at, at + size) if slots[i]]
+    value = lambda i: re.sub("[ -]+", " ", bytes(c.data[c.starts[i] : c.ends[i]]).decode("utf-8", "replace").lower())
+    return [f"{slots[i]}{value(i)}" for i in range(at, at + size) if slots[i]]
 
 
 def _rows(c: words.Chunk, ids: list, numbers: np.ndarray, keep: np.ndarray, found, at, size, rows, exact, slots) -> pa.RecordBatch:
     keep = np.flatnonzero(keep)
     lists = [[] if exact[i] else _slot_values(c, slots, int(at[i]), int(size[i])) for i in keep]
     places = at[keep] - c.bounds[rows[keep]]
-    return pa.RecordBatch.from_arrays([pa.array([ids[c.first + r] for r in rows[keep].tolist()], pa.int64()), pa.array(numbers[c.first + rows[keep]]), pa.array(places), pa.array(found[keep].view(np.int64)), pa.array(lists, pa.list_(pa.string())), pa.array(exact[keep])], ["id", "row", "place", "hash", "slots", "exact"])
+    return pa.RecordBatch.from_arrays([pa.array([ids[c.first + r] for r in rows[keep].tolist()], pa.int64()), pa.array(numbers[c.first + rows[keep]]), pa.array(places), pa.array(found[keep].view(np.int64)), pa.array(lists, pa.list_(pa.string())), pa.array(exact[keep]), pa.array(size[keep].astype(np.int32))], ["id", "row", "place", "hash", "slots", "exact", "size"])
 
 
 def _numbers():
@@ -160,17 +241,17 @@ def _numbers():
     return of
 
 
-SCHEMA = "id long, row long, place long, hash long, slots array<string>, exact boolean"
+SCHEMA = "id long, row long, place long, hash long, slots array<string>, exact boolean, size int"
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, item_row, place, hash, slots, exact, item_windows and item_templates (those that are not exact) of (id, text) rows. Rows that share an id are told apart."""
+    """item_id, item_row, place, hash, slots, exact, size (words), item_windows and item_templates (those that are not exact) of (id, text) rows. Rows that share an id are told apart."""
 
     def run(batches):
         number = _numbers()
         for batch in batches:
             ids, numbers = batch.column("id").to_pylist(), number(batch)
-            for c in words.chunks(batch.column("text"), _INSIDE, words.LOWER):
+            for c in _chunks(batch.column("text")):
                 w = windows(c, known=True)
                 yield _rows(c, ids, numbers, np.ones(len(w[0]), bool), *w)
 
@@ -192,7 +273,7 @@ def matched_windows(docs: DataFrame, hashes: DataFrame, short: list[int]) -> Dat
         bitmap, number = shared.value, _numbers()
         for batch in batches:
             ids, numbers = batch.column("id").to_pylist(), number(batch)
-            for c in words.chunks(batch.column("text"), _INSIDE, words.LOWER):
+            for c in _chunks(batch.column("text")):
                 for width in (WIDTH, *short):
                     w = windows(c, width)
                     at = (w[0] % np.uint64(BITMAP)).astype(np.int64)
@@ -211,10 +292,9 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     known = materialise(benchmark_windows(items), "benchmark")
     docs = docs.select(whole_ids(docs, id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # windows shorter than WIDTH exist for short items only
-    lengths = items.select(F.regexp_count("text", F.lit(r"[^\s!\"'(),\-.:;?\[\]`{}*_]+")).alias("n")).filter(f"n < {WIDTH}").distinct()
-    short = sorted(r["n"] for r in lengths.collect() if r["n"])  # WIDTH values at most
+    short = sorted(r["size"] for r in known.filter(f"size < {WIDTH}").select("size").distinct().collect())  # WIDTH values at most
     found = matched_windows(docs, known.select("hash"), short).withColumnRenamed("id", "doc_id")
-    found = materialise(found.drop("exact"), "window-hits")
+    found = materialise(found.drop("exact", "size"), "window-hits")
     met = found.join(maybe_broadcast(known.select("hash", "item_id", "item_row", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "exact", "item_windows", "item_templates")), "hash")
     met = met.filter(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("place") - F.col("item_place"))
     met = materialise(met, "aligned")

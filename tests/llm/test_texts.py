@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colloquy.llm import decontaminate as D
@@ -354,3 +355,22 @@ def test_names_with_other_capitals_are_names(spark):
     docs = spark.createDataFrame([(i, item.format(c, d)) for i, (*_, c, d) in enumerate(pairs)], "doc_id long, text string")
     items = spark.createDataFrame([(1, item.format("Anna", "Bert"))], "item_id long, text string")
     assert all(r.contaminated for r in D.report(docs, items).collect())
+
+
+def test_words_of_one_number_are_one_value(spark):
+    numbers = ["twelve", "thirteen", "sixty", "twenty-one", "ninety  nine", "two hundred and five", "three billion", "3 million", "1,250.5", "7",
+               "soixante-dix", "quatre-vingt-dix-sept", "vingt et un", "treinta y dos", "mil doscientos", "dreiundvierzig", "fünfhundertzwölf", "achttausend"]
+    (chunk,) = D._chunks(pa.array([f"there are {n} of them" for n in numbers]))
+    assert np.diff(chunk.bounds).tolist() == [5] * len(numbers) and D.templates(chunk)[1].tolist() == [0, 0, 1, 0, 0] * len(numbers)
+    apart = ["five six", "five and six", "twenty, five", "twenty\nfive", "two. hundred", "10 twelve", "1 2", "twenty and thirty", "1, 2", "thirty thirty"]
+    (chunk,) = D._chunks(pa.array(["", *apart, "twenty", "five", ""]))
+    assert np.diff(chunk.bounds).tolist() == [0, *(len(t.replace(",", " ").replace(".", " ").split()) for t in apart), 1, 1, 0]
+
+    item = "the school bought {} red chairs and {} green desks so how many things stand in the hall of the school"
+    pairs = [("sixty", "thirteen"), ("forty", "twelve"), ("one hundred and five", "twenty-one"), ("12", "3.5"), ("vingt et un", "soixante-dix"), ("forty", "forty")]
+    docs = spark.createDataFrame([(i, "Well. " + item.format(*p) + ". Good.") for i, p in enumerate(pairs)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item.format("forty", "twelve")), (2, "twenty one of two hundred"), (3, "say twenty-one two three birds")], "item_id long, text string")
+    got = {r.doc_id: list(r["items"]) for r in D.report(docs, items).collect()}
+    assert got == {i: [1] for i in range(len(pairs))}
+    docs = spark.createDataFrame([(0, "x say twenty one two three birds y"), (1, "a\ntwenty one of two hundred\nb"), (2, "so twenty one of two hundred more")], "doc_id long, text string")
+    assert {r.doc_id: list(r["items"]) for r in D.report(docs, items).collect()} == {0: [3], 1: [2], 2: []}
