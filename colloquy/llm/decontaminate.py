@@ -27,7 +27,8 @@ an error. An empty benchmark leaves all documents clean. Columns besides id and
 from __future__ import annotations
 
 import re
-from dataclasses import replace
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -116,53 +117,68 @@ def _among(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, hashes), len(table) - 1)] == hashes
 
 
-def _numbers_joined(c: words.Chunk) -> words.Chunk:
+@dataclass
+class Parsed(words.Chunk):
+    """A chunk whose numbers are one word each, and which of its words are numbers."""
+
+    numbers: np.ndarray
+
+    @cached_property
+    def shape(self) -> tuple[np.ndarray, np.ndarray]:
+        return templates(self)
+
+
+def _numbers_joined(c: words.Chunk) -> Parsed:
     """The chunk with the words of one number made one word. Nothing but blanks, hyphens or a decimal sign stands between them."""
     n = len(c.hashes)
-    if n < 2:
-        return c
-    number, scale, ten = (_among(c.hashes, t) for t in (_NUMBER_HASHES, _SCALES_H, _TENS_H))
-    behind = _among(c.hashes, _BEHIND_H)
-    low = _among(c.hashes, _ONES_H) | _among(c.hashes, _TEENS_H) | behind
-    digits = np.cumsum(np.concatenate([[0], _DIGIT[c.data]]))
+    digits = np.cumsum(np.concatenate([[0], _DIGIT[c.data]]), dtype=np.int32)
     digit = digits[c.ends] > digits[c.starts]
-    other = np.cumsum(np.concatenate([[0], ~_DASH[c.data]]))
+    number = digit | _among(c.hashes, _NUMBER_HASHES) if n else digit
+    whole = Parsed(c.first, c.bounds, c.starts, c.ends, c.hashes, c.data, number)
+    at = np.flatnonzero(number[: n - 1]) if n > 1 else np.zeros(0, np.int64)
+    if not len(at):
+        return whole
+    other = np.cumsum(np.concatenate([[0], ~_DASH[c.data]]), dtype=np.int32)
+    text = np.zeros(n, bool)
+    text[c.bounds[c.bounds < n]] = True  # no number crosses texts
+
+    def near(a: np.ndarray) -> np.ndarray:
+        return (other[c.starts[a + 1]] == other[c.ends[a]]) & ~text[a + 1]
 
     def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether words b go on with the numbers that words a end."""
-        french = _among(c.hashes[a], _FOUR_H) & _among(c.hashes[b], _TWENTY_H) | _among(c.hashes[a], _TEN_H) & _among(c.hashes[b], _ABOVE_SIX_H)
-        return scale[b] & (number[a] | digit[a]) | scale[a] & (number[b] | behind[b]) | ten[a] & low[b] | french
-
-    at = np.arange(n - 1)
-    near = other[c.starts[1:]] == other[c.ends[:-1]]
-    point = (c.starts[1:] - c.ends[:-1] == 1) & _POINT[c.data[c.ends[:-1]]] & _DIGIT[c.data[c.ends[:-1] - 1]] & _DIGIT[c.data[c.starts[1:]]]
-    inner = np.ones(n - 1, bool)
-    inner[c.bounds[(c.bounds > 0) & (c.bounds < n)] - 1] = False  # no number crosses texts
-    near &= inner
-    joined = near & fits(at, at + 1) | point & inner
-    link = np.flatnonzero(near[:-1] & near[1:] & _among(c.hashes[1:-1], _BETWEEN_H))
-    link = link[(ten | scale)[link] & fits(link, link + 2)]
+        left, right = c.hashes[a], c.hashes[b]
+        behind = _among(right, _BEHIND_H)
+        low = _among(right, _ONES_H) | _among(right, _TEENS_H) | behind
+        french = _among(left, _FOUR_H) & _among(right, _TWENTY_H) | _among(left, _TEN_H) & _among(right, _ABOVE_SIX_H)
+        return _among(right, _SCALES_H) | _among(left, _SCALES_H) & (number[b] & ~digit[b] | behind) | _among(left, _TENS_H) & low | french
+
+    point = (c.starts[at + 1] - c.ends[at] == 1) & _POINT[c.data[c.ends[at]]] & _DIGIT[c.data[c.ends[at] - 1]] & _DIGIT[c.data[c.starts[at + 1]]] & ~text[at + 1]
+    joined = np.zeros(n - 1, bool)
+    joined[at] = near(at) & fits(at, at + 1) | point
+    link = at[at < n - 2]
+    link = link[_among(c.hashes[link + 1], _BETWEEN_H)]
+    link = link[near(link) & near(link + 1) & (_among(c.hashes[link], _TENS_H) | _among(c.hashes[link], _SCALES_H)) & fits(link, link + 2)]
     joined[link] = joined[link + 1] = True
     if not joined.any():
-        return c
+        return whole
     first = np.flatnonzero(np.concatenate([[True], ~joined]))
     sizes = np.diff(np.append(first, n))
     places = np.arange(n) - np.repeat(first, sizes)
     hashes = np.where(sizes > 1, words.mixed(np.add.reduceat(words.mixed(c.hashes + places.astype(np.uint64)), first)), c.hashes[first])
-    return replace(c, bounds=np.searchsorted(first, c.bounds), starts=c.starts[first], ends=c.ends[first + sizes - 1], hashes=hashes)
+    return Parsed(c.first, np.searchsorted(first, c.bounds), c.starts[first], c.ends[first + sizes - 1], hashes, c.data, number[first] | (sizes > 1))
 
 
 def _chunks(column: pa.Array):
     return map(_numbers_joined, words.chunks(column, _INSIDE, words.LOWER))
 
 
-def templates(c: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
+def templates(c: Parsed) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, slots) of a chunk's words as templates; slots: 0 for a plain word, 1 number, 2 name, 3 unit."""
     slots = np.zeros(len(c.hashes), np.uint8)
     if not len(c.hashes):
         return c.hashes, slots
     first = c.data[c.starts]
-    digits = np.cumsum(np.concatenate([[0], _DIGIT[c.data]]))
     # a capital within a sentence: the byte before the word's white space ends no sentence, and the word starts no text or line
     gap_from, gap_to = np.concatenate([[0], c.ends[:-1]]), c.starts
     ends = np.cumsum(np.concatenate([[0], _SENTENCE_END[c.data] | (c.data == 10)]))
@@ -172,18 +188,17 @@ def templates(c: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     two = (first >= 0xC2) & (first < 0xE0) & _UPPER_OF_TWO[(first.astype(np.int64) & 31) << 6 | (second & 63)]
     slots[(_UPPER[first] | two) & inner] = 2
     slots[_among(c.hashes, _UNIT_HASHES)] = 3
-    signs = np.cumsum(np.concatenate([[0], ~_INSIDE[c.data]]))  # only a number of several words holds one
-    slots[(digits[c.ends] > digits[c.starts]) | (signs[c.ends] > signs[c.starts]) | _among(c.hashes, _NUMBER_HASHES)] = 1
+    slots[c.numbers] = 1
     return np.choose(slots, [c.hashes, _NUM, _NAME, _UNIT]).astype(np.uint64), slots
 
 
-def windows(c: words.Chunk, width: int = WIDTH, known: bool = False) -> tuple[np.ndarray, ...]:
+def windows(c: Parsed, width: int = WIDTH, known: bool = False) -> tuple[np.ndarray, ...]:
     """(hashes, first words, lengths, texts, exact) of the windows of a chunk; and the words' slots.
 
     A window with enough plain words is hashed as a template. One with fewer is hashed by its exact words if known (the
     benchmark); a document's windows are all hashed by their exact words too, since what is a name depends on the place.
     """
-    hashes, slots = templates(c)
+    hashes, slots = c.shape
     found, bounds = words.shingles(hashes, c.bounds, width)
     rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     at = c.bounds[rows] + np.arange(len(found)) - bounds[rows]
@@ -220,7 +235,7 @@ def _slot_values(c: words.Chunk, slots: np.ndarray, at: int, size: int) -> list[
     return [f"{slots[i]}{value(i)}" for i in range(at, at + size) if slots[i]]
 
 
-def _rows(c: words.Chunk, ids: list, numbers: np.ndarray, keep: np.ndarray, found, at, size, rows, exact, slots) -> pa.RecordBatch:
+def _rows(c: Parsed, ids: list, numbers: np.ndarray, keep: np.ndarray, found, at, size, rows, exact, slots) -> pa.RecordBatch:
     keep = np.flatnonzero(keep)
     lists = [[] if exact[i] else _slot_values(c, slots, int(at[i]), int(size[i])) for i in keep]
     places = at[keep] - c.bounds[rows[keep]]
