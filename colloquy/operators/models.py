@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+import uuid
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.sources.storage import shared_dir
+
 
 def balanced(train: DataFrame, label: str) -> DataFrame:
     """train with weight n / (2 * n_of_the_row's_class)."""
@@ -24,6 +28,13 @@ def assembled(rows: DataFrame, *columns: str) -> DataFrame:
     return out.drop(*(f"__{c}" for c in arrays))
 
 
+def _regression(train: DataFrame, **params) -> LogisticRegressionModel:
+    """The model, read from what it was saved as: a fitted one holds the summary of its training and with it the session, which tasks can't get once it has tags."""
+    path = f"{shared_dir(train.sparkSession)}/regression-{uuid.uuid4().hex}"
+    LogisticRegression(weightCol="weight", maxIter=50, **params).fit(train).save(path)
+    return LogisticRegressionModel.load(path)
+
+
 def _scored(model, rows: DataFrame, out: str) -> DataFrame:
     done = model.transform(rows)
     return done.withColumn(out, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
@@ -31,7 +42,7 @@ def _scored(model, rows: DataFrame, out: str) -> DataFrame:
 
 def detector(train: DataFrame, rows: DataFrame, label: str, threshold: float = 0.5, regularisation: float = 0.01) -> DataFrame:
     """Balanced logistic regression over ``features``: rows with probability_1 and predicted."""
-    fit = LogisticRegression(labelCol=label, weightCol="weight", regParam=regularisation, maxIter=50).fit(balanced(train, label))
+    fit = _regression(balanced(train, label), labelCol=label, regParam=regularisation)
     return _scored(fit, rows, "probability_1").withColumn("predicted", (F.col("probability_1") >= threshold).cast("int"))
 
 
@@ -44,7 +55,7 @@ def forest(train: DataFrame, rows: DataFrame, label: str, trees: int = 300, seed
 def selector(train: DataFrame, rows: DataFrame, positive_weight: float = 3.0, regularisation: float = 0.01) -> DataFrame:
     """Candidate log-odds from ``features``, trained on is_gold with weight positive_weight for replies."""
     known = train.withColumns({"label": F.col("is_gold").cast("double"), "weight": F.when(F.col("is_gold"), positive_weight).otherwise(1.0)})
-    fit = LogisticRegression(labelCol="label", weightCol="weight", regParam=regularisation, maxIter=50).fit(known)
+    fit = _regression(known, labelCol="label", regParam=regularisation)
     p = F.least(F.greatest(F.col("p"), F.lit(1e-12)), F.lit(1 - 1e-12))
     return _scored(fit, rows, "p").withColumn("selector_logit", F.log(p / (1 - p))).drop("p")
 

@@ -11,6 +11,7 @@ from colloquy.operators import audit as Q
 from colloquy.operators import candidates as C
 from colloquy.operators import features as X
 from colloquy.operators import metrics as M
+from colloquy.operators import models as N
 from colloquy.operators import turns as U
 from colloquy.sources import io as S
 
@@ -566,3 +567,13 @@ def test_weights_of_grams_are_the_plain_ones(spark, monkeypatch):
         monkeypatch.setattr(X, "SMALL_VOCABULARY", most)
         got = {(r.id, r.gram): r.weight for r in X.tfidf(rows, "id", "text", F.col("id") < 5, most=6, high=3).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_models_score_in_a_session_with_tags(spark):
+    rows = N.assembled(spark.range(40).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 4 == 0).alias("is_gold"), F.array((F.col("id") % 2).cast("double"), (F.col("id") % 4).cast("double")).alias("v")), "v")
+    spark.addTag("tagged")
+    try:
+        assert all(r["predicted"] == r["y"] for r in N.detector(rows, rows, "y").collect())
+        assert all((r["selector_logit"] > 0) == r["is_gold"] for r in N.selector(rows.filter("is_gold or y = 1"), rows.filter("is_gold or y = 1")).collect())
+    finally:
+        spark.removeTag("tagged")
