@@ -9,10 +9,16 @@ ids are unique; of an utterance id that isn't, no reply is told.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+from colloquy.functions.blocks import allowed, lengths, meeting, signatures
 from colloquy.functions.similarity import length_allows, scored_texts, signature, signature_allows
 from colloquy.functions.text import normalise, percent, tags
 from colloquy.operators.audit import concentration, violations
@@ -23,7 +29,9 @@ from colloquy.sources.storage import written
 REASONABLE, TARGET_HIGH, CONTEXT1_HIGH, CONTEXT2_HIGH = 0.80, 0.95, 0.90, 0.80
 SHORT, WINDOW = 12, 8
 #: Ratio of neighbouring length classes.
-CLASS = 1.05
+CLASS = 1.2
+#: Rows and characters of a block on average, and (speaker, length class) pairs that every task may hold.
+BLOCK_ROWS, BLOCK_CHARACTERS, FEW_CLASSES = 1 << 14, 1 << 22, 20_000
 # Names of the levels of a match.
 LEVELS = {"exact": "LEVEL_A_EXACT", "high": "LEVEL_B_HIGH_CONFIDENCE", "ambiguous": "LEVEL_C_AMBIGUOUS", "none": "NO_MATCH"}
 
@@ -50,25 +58,71 @@ def _class(length: Column) -> Column:
     return F.floor(F.log(length.cast("double")) / math.log(CLASS)).cast("int")
 
 
-def token_block(targets: DataFrame, corpus: DataFrame, least: float = REASONABLE, signed: bool = False) -> DataFrame:
-    """Rows that share a token with a target and, if its speaker is known, the speaker, and whose length allows a match.
+def in_blocks(targets: DataFrame, corpus: DataFrame, run: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str, least: float = REASONABLE) -> DataFrame:
+    """What run makes of each block: targets (target_id, target_norm), and rows (utterance_id, text_norm) of their speaker, if known, of which some have a length that allows a match.
 
-    A similarity of least bounds the ratio of lengths, so pairs meet on (speaker, length class) and are made once each,
-    however many tokens they share: no token is a join key, and a frequent one makes no group of its own. A target is
-    sent to the classes that its length allows. signed: pairs that share a token but whose counts of characters rule out
-    a similarity of least are left out as well.
+    A similarity of least bounds the ratio of lengths, so rows are dealt by (speaker, length class), and a class by ids
+    into blocks of BLOCK_ROWS rows or BLOCK_CHARACTERS on average. A target is sent to all blocks of the classes that its
+    length allows, so it meets each row once.
     """
-    n = F.length("target_norm")
+    n, m = F.length("target_norm"), F.length("text_norm")
     bounds = [_class(F.greatest(F.floor(n * least / (2 - least)), F.lit(1))), _class(F.ceil(n * (2 - least) / least) + 1)]
-    left = targets.filter("target_norm <> ''").select("target_id", "speaker", n.alias("n"), _words("target_norm").alias("words"), *([signature(F.col("target_norm")).alias("counts")] if signed else []), F.explode(F.sequence(*bounds)).alias("class"))
-    m = F.length("text_norm")
-    right = corpus.filter("text_norm <> ''").select("utterance_id", F.col("speaker").alias("corpus_speaker"), m.alias("m"), _words("text_norm").alias("corpus_words"), *([signature(F.col("text_norm")).alias("corpus_counts")] if signed else []), _class(m).alias("class"))
-    match = (2 * F.least("n", "m") >= least * (F.col("n") + F.col("m"))) & F.arrays_overlap("words", "corpus_words")
-    if signed:
-        match = match & signature_allows(F.col("counts"), F.col("corpus_counts"), F.col("n"), F.col("m"), least)
-    known = left.filter("speaker is not null").join(right.withColumn("speaker", F.col("corpus_speaker")), ["class", "speaker"])
-    anyone = left.filter("speaker is null").join(right, "class")
-    return known.filter(match).select("target_id", "utterance_id").unionByName(anyone.filter(match).select("target_id", "utterance_id"))
+    left = targets.filter("target_norm <> ''").select("target_id", "target_norm", "speaker", F.explode(F.sequence(*bounds)).alias("class"))
+    right = corpus.filter("text_norm <> ''").select("utterance_id", "text_norm", F.coalesce("speaker", F.lit("")).alias("by"), F.col("speaker").isNotNull().alias("named"), _class(m).alias("class"))
+    key = ["class", "named", "by"]
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(m) / BLOCK_CHARACTERS))
+    sizes = written(right.groupBy(*key).agg(parts.cast("int").alias("parts")), "block-sizes")
+    right = right.join(F.broadcast(sizes) if sizes.count() <= FEW_CLASSES else sizes, key).withColumn("part", F.pmod(F.xxhash64("utterance_id"), "parts").cast("int")).drop("parts")
+    known = left.filter("speaker is not null").withColumns({"by": F.col("speaker"), "named": F.lit(True)}).join(sizes, key)
+    asked = known.unionByName(left.filter("speaker is null").join(sizes, "class"), allowMissingColumns=True).select("target_id", "target_norm", *key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # few bytes but much work, so they keep all partitions
+    dealt = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "part").groupBy(*key, "part")
+
+    def met(asked: pa.Table, held: pa.Table) -> Iterator[pa.RecordBatch]:
+        if asked.num_rows and held.num_rows:
+            yield from run(asked, held)
+
+    return dealt(asked).cogroup(dealt(right)).applyInArrow(_tables(met, schema), schema)
+
+
+def _tables(run, schema: str):
+    """run's batches as one table, empty if there are none."""
+    kind = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields])
+
+    def whole(asked: pa.Table, held: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(run(asked, held)), kind)
+
+    return whole
+
+
+def _texts(table: pa.Table, column: str) -> pa.Array:
+    return table[column].combine_chunks().cast(pa.string())
+
+
+def token_counts(targets: DataFrame, corpus: DataFrame, least: float = REASONABLE, signed: bool = False) -> DataFrame:
+    """target_id, pairs and, if signed, allowed: how many rows share a token with a target and, if its speaker is known, the speaker, and have a length that allows a match; of how many the counts of characters allow one. Targets without pairs are left out.
+
+    Pairs are counted where they meet, none is made.
+    """
+
+    def run(asked: pa.Table, held: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b = _texts(asked, "target_norm"), _texts(held, "text_norm")
+        pairs, kept = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        of_a, of_b, n, m = (signatures(a), signatures(b), lengths(a), lengths(b)) if signed else (None,) * 4
+        for i, rows in meeting(a, b, least):
+            pairs[i] = len(rows)
+            if signed:
+                kept[i] = allowed(of_a[i], of_b[rows], n[i] + m[rows], least).sum()
+        found = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([asked["target_id"].take(pa.array(found)).combine_chunks(), pa.array(pairs[found]), pa.array(kept[found])], ["target_id", "pairs", "allowed"])
+
+    met = in_blocks(targets, corpus, run, f"target_id {targets.schema['target_id'].dataType.simpleString()}, pairs long, allowed long", least)
+    return met.groupBy("target_id").agg(*(F.sum(c).alias(c) for c in ("pairs", "allowed")[: 1 + signed]))
+
+
+def inexact(targets: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Targets without a row in the exact block."""
+    return targets.join(corpus.filter("text_norm <> ''").select(F.col("text_norm").alias("target_norm")), "target_norm", "left_anti")
 
 
 def without_token_mates(targets: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -577,3 +577,21 @@ def test_models_score_in_a_session_with_tags(spark):
         assert all((r["selector_logit"] > 0) == r["is_gold"] for r in N.selector(rows.filter("is_gold or y = 1"), rows.filter("is_gold or y = 1")).collect())
     finally:
         spark.removeTag("tagged")
+
+
+def test_blocks_count_the_pairs_of_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_ROWS", 2)  # so that classes are cut into blocks
+    said = ["the cat sat", "the cat sat on", "cat the sat", "a dog ran off", "ña the cät sät", "", "the", "he", "tac eht tas", "cat " * 40, "cat " * 41]
+    lines = [(f"u{i}", [None, "a", "b"][i % 3], " ".join(t.split())) for i, t in enumerate(said * 3)]
+    asked = [(f"t{i}", [None, "a", "b", "z"][i % 4], " ".join(t.split())) for i, t in enumerate(said * 4)]
+    c = spark.createDataFrame(lines, "utterance_id string, speaker string, text_norm string")
+    t = spark.createDataFrame(asked, "target_id string, speaker string, target_norm string")
+    counts = lambda x: Counter(x)
+    want = {}
+    for tid, by, x in asked:
+        near = [y for _, s, y in lines if (by is None or s == by) and set(x.split()) & set(y.split()) and 2 * min(len(x), len(y)) >= 0.8 * (len(x) + len(y))]
+        if near:
+            want[tid] = (len(near), sum(2 * (counts(x) & counts(y)).total() >= 0.8 * (len(x) + len(y)) for y in near))
+    assert {r.target_id: (r.pairs, r.allowed) for r in L.token_counts(t, c, signed=True).collect()} == want
+    held = {y for *_, y in lines if y}
+    assert {r.target_id for r in L.inexact(t, c).collect()} == {tid for tid, _, x in asked if x not in held}
