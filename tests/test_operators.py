@@ -595,3 +595,31 @@ def test_blocks_count_the_pairs_of_plain_loops(spark, monkeypatch):
     assert {r.target_id: (r.pairs, r.allowed) for r in L.token_counts(t, c, signed=True).collect()} == want
     held = {y for *_, y in lines if y}
     assert {r.target_id for r in L.inexact(t, c).collect()} == {tid for tid, _, x in asked if x not in held}
+
+
+def test_texts_beside_each_other_are_compared_as_one_by_one():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from colloquy.functions.blocks import Characters, near
+    from colloquy.functions.similarity import common_subsequence, similarity
+
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdeñ") for _ in range(draw.randint(1, 6)))
+    held = [" ".join(word() for _ in range(draw.randint(1, 60))) for _ in range(60)] + ["a" * 64, "a" * 128, "a" * 130]
+    asked = [held[0], held[3][:-2] + "zz", "a" * 129, "b", "a" * 64]
+    texts = Characters(pa.array(held))
+    for a in asked:
+        assert texts.common(a, np.arange(len(held))).tolist() == [common_subsequence(a, b) for b in held]
+    got = {(i, int(k)): s for i, rows, sims in near(pa.array(asked), pa.array(held), 0.8) for k, s in zip(rows, sims, strict=True)}
+    assert got == {(i, k): similarity(a, b) for i, a in enumerate(asked) for k, b in enumerate(held) if set(a.split()) & set(b.split()) and similarity(a, b) >= 0.8}
+
+
+def test_exact_block_of_a_frequent_text(spark, monkeypatch):
+    monkeypatch.setattr(L, "SALT_ROWS", 3)
+    c = spark.createDataFrame([(f"u{i}", i, 0, "s", "often" if i < 10 else "once" if i == 10 else "") for i in range(12)], "utterance_id string, conversation_id int, order int, speaker string, text_norm string")
+    t = spark.createDataFrame([("a", "often"), ("b", "often"), ("c", "once"), ("d", ""), ("e", "none")], "target_id string, target_norm string")
+    got = sorted((r.target_id, r.utterance_id) for r in L.exact_block(t, c).collect())
+    assert got == sorted([(x, f"u{i}") for x in "ab" for i in range(10)] + [("c", "u10")])
