@@ -1,3 +1,4 @@
+import hashlib
 import random
 import string
 from difflib import SequenceMatcher
@@ -111,3 +112,10 @@ def test_neighbouring_lines_of_all_lengths_are_scored(spark, tmp_path):
     assert set(got) == {f"7|{i}" for i in range(6)}  # all neighbours, also those of 400 characters and more
     for i in (2, 4):
         assert got[f"7|{i}"] == round(SequenceMatcher(None, lines[i], lines[i + 1], autojunk=False).ratio(), 6)
+
+
+def test_buckets_are_the_hash_modulo(spark):
+    rows = spark.range(200).select("id", *(bucket(F.col("id"), "s", n).alias(f"n{n}") for n in (1, 2, 21, 1_000_000, 2**31 - 1))).collect()
+    for r in rows:
+        whole = int(hashlib.sha256(f"s|{r.id}".encode()).hexdigest()[:16], 16)
+        assert all(r[f"n{n}"] == whole % n for n in (1, 2, 21, 1_000_000, 2**31 - 1))
