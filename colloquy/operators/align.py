@@ -285,22 +285,24 @@ def aligned(targets: DataFrame, corpus: DataFrame, names: DataFrame | None = Non
     return out.join(said, "utterance_id", "left").select(*out.columns[:-1], "prev1", "prev2", "notes")
 
 
-def observed_reply(alignment: DataFrame, corpus: DataFrame) -> DataFrame:
+def observed_reply(alignment: DataFrame, corpus: DataFrame, text: bool = True) -> DataFrame:
     """The first later row of another speaker that is neither blank nor a note, or why there is none.
 
     Rows without text and notes are skipped before speakers are compared. A range join over the scene would be
     quadratic in long scenes; here, per row, the next row with text of another speaker comes from windows: speaker runs
-    over the rows with text, and the first row of the next run.
+    over the rows with text, and the first row of the next run. Texts don't take part in any of this: the replies' are
+    fetched at the end, if text.
     """
     norm = F.col("text_norm") if "text_norm" in corpus.columns else normalise(F.col("text"))
-    rows = scene_positions(corpus).withColumn("said", (norm != "") & (F.col("speaker") != "TRANSCRIPT_NOTE"))
+    said = ((norm != "") & (F.col("speaker") != "TRANSCRIPT_NOTE")).alias("said")
+    rows = scene_positions(corpus.select("conversation_id", "order", "utterance_id", "speaker", said))
     scene = Window.partitionBy("conversation_id").orderBy("position")
     later = scene.rowsBetween(1, Window.unboundedFollowing)
-    said = F.when(F.col("said"), F.struct("position", "utterance_id", "text", "speaker"))
+    said = F.when(F.col("said"), F.struct("position", "utterance_id", "speaker"))
     rows = rows.withColumns({"last": F.max("position").over(Window.partitionBy("conversation_id")), "texts_after": F.coalesce(F.sum(F.col("said").cast("long")).over(later), F.lit(0)), "next": F.first(said, ignorenulls=True).over(later)})
     valid = rows.filter("said").withColumn("__new", F.lag("speaker").over(scene))
     valid = valid.withColumn("__run", F.sum(F.when(F.col("__new").eqNullSafe(F.col("speaker")), 0).otherwise(1)).over(scene))
-    heads = valid.groupBy("conversation_id", "__run").agg(F.min(F.struct("position", "utterance_id", "text", "speaker")).alias("head"), F.count(F.lit(1)).alias("run_size"), F.max("position").alias("run_end"))
+    heads = valid.groupBy("conversation_id", "__run").agg(F.min(F.struct("position", "utterance_id", "speaker")).alias("head"), F.count(F.lit(1)).alias("run_size"), F.max("position").alias("run_end"))
     order = Window.partitionBy("conversation_id").orderBy("__run")
     heads = heads.withColumns({"after": F.lead("head").over(order)})
     run_of = valid.select("conversation_id", F.col("position").alias("__p"), "__run", F.row_number().over(Window.partitionBy("conversation_id", "__run").orderBy("position")).alias("place"))
@@ -312,7 +314,7 @@ def observed_reply(alignment: DataFrame, corpus: DataFrame) -> DataFrame:
     reply = F.when(direct, F.col("r.next")).otherwise(F.col("o.after"))
     same = F.when(F.col("r.next").isNull() | direct, 0).otherwise(F.col("o.run_size") - F.col("o.place") + 1)
     table = here.select("r.utterance_id", "r.conversation_id", "r.position", reply.alias("reply"), same.alias("skipped_same"), (F.col("r.last") - F.col("r.position") - F.col("r.texts_after")).alias("blank_after"))
-    unique = table.groupBy("utterance_id").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct("position", "reply", "skipped_same", "blank_after")).alias("t"))
+    unique = table.groupBy("utterance_id").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct("conversation_id", "position", "reply", "skipped_same", "blank_after")).alias("t"))
     out = alignment.join(unique, "utterance_id", "left")
     t = lambda f: F.col(f"t.{f}")
     reason = (
@@ -320,7 +322,12 @@ def observed_reply(alignment: DataFrame, corpus: DataFrame) -> DataFrame:
         .when((t("skipped_same") == 0) & (t("blank_after") > 0), "TRANSCRIPT_ONLY_AFTER_TARGET").when(t("skipped_same") > 0, "NO_DIFFERENT_SPEAKER_RESPONSE").otherwise("SCENE_END")
     )
     ok = reason.isNull()
-    return out.select(*alignment.columns, reason.alias("drop_reason"), *(F.when(ok, F.col(f"t.reply.{f}")).alias(f"response_{n}") for f, n in (("utterance_id", "id"), ("text", "text"), ("speaker", "speaker"))), F.when(ok, F.col("t.reply.position") - t("position")).alias("distance"), F.when(ok, t("skipped_same")).alias("skipped_same_speaker"))
+    reply = lambda f: F.when(ok, F.col(f"t.reply.{f}"))
+    found = out.select(*alignment.columns, reason.alias("drop_reason"), reply("utterance_id").alias("response_id"), reply("speaker").alias("response_speaker"), F.when(ok, F.col("t.reply.position") - t("position")).alias("distance"), F.when(ok, t("skipped_same")).alias("skipped_same_speaker"), F.when(ok, t("conversation_id")).alias("__scene"), reply("position").alias("__position"))
+    if not text:
+        return found.drop("__scene", "__position")
+    texts = scene_positions(corpus.select("conversation_id", "order", "text")).select(F.col("conversation_id").alias("__scene"), F.col("position").alias("__position"), F.col("text").alias("response_text"))
+    return found.join(texts, ["__scene", "__position"], "left").select(*alignment.columns, "drop_reason", "response_id", "response_text", "response_speaker", "distance", "skipped_same_speaker")
 
 
 def split_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -631,3 +631,11 @@ def test_fallback_counts_are_those_of_plain_loops(spark):
     got = {r.target_id: r.pairs for r in L.fallback_counts(spark.createDataFrame(asked, "target_id string, speaker string, target_norm string"), spark.createDataFrame(lines, "speaker string, text_norm string")).collect()}
     want = {t: sum((by is None or s == by) and 2 * min(len(x), len(y)) >= 0.8 * (len(x) + len(y)) for s, y in lines) for t, by, x in asked if 0 < len(x) <= 12}
     assert got == {t: n for t, n in want.items() if n}
+
+
+def test_replies_without_texts_shuffle_none(spark):
+    c = spark.createDataFrame([("s", i, f"s|{i}", "ab"[i % 2], f"line {i}") for i in range(6)], "conversation_id string, order int, utterance_id string, speaker string, text string")
+    asked = spark.createDataFrame([("s|0", "LEVEL_C_AMBIGUOUS"), ("s|5", "LEVEL_C_AMBIGUOUS")], "utterance_id string, alignment_type string")
+    whole, slim = L.observed_reply(asked, c), L.observed_reply(asked, c, text=False)
+    assert "response_text" not in slim.columns and {r.utterance_id: r.response_text for r in whole.collect()} == {"s|0": "line 1", "s|5": None}
+    assert sorted(map(str, slim.collect())) == sorted(map(str, whole.drop("response_text").collect()))
