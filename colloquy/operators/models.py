@@ -28,10 +28,15 @@ def assembled(rows: DataFrame, *columns: str) -> DataFrame:
     return out.drop(*(f"__{c}" for c in arrays))
 
 
+def gathered(train: DataFrame) -> DataFrame:
+    """train in no more partitions than tasks run at once. A fit shuffles gradients or split statistics of each partition in every step, so what it shuffles would grow with their number."""
+    return train.coalesce(max(2, train.sparkSession.sparkContext.defaultParallelism))
+
+
 def _regression(train: DataFrame, **params) -> LogisticRegressionModel:
     """The model, read from what it was saved as: a fitted one holds the summary of its training and with it the session, which tasks can't get once it has tags."""
     path = f"{shared_dir(train.sparkSession)}/regression-{uuid.uuid4().hex}"
-    LogisticRegression(weightCol="weight", maxIter=50, **params).fit(train).save(path)
+    LogisticRegression(weightCol="weight", maxIter=50, **params).fit(gathered(train)).save(path)
     return LogisticRegressionModel.load(path)
 
 
@@ -48,7 +53,7 @@ def detector(train: DataFrame, rows: DataFrame, label: str, threshold: float = 0
 
 def forest(train: DataFrame, rows: DataFrame, label: str, trees: int = 300, seed: int = 1) -> DataFrame:
     """Balanced random forest over ``features`` with square-root feature subsets."""
-    fit = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, featureSubsetStrategy="sqrt", seed=seed).fit(balanced(train, label))
+    fit = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, featureSubsetStrategy="sqrt", seed=seed).fit(gathered(balanced(train, label)))
     return _scored(fit, rows, "probability_1").withColumn("predicted", (F.col("probability_1") >= 0.5).cast("int"))
 
 

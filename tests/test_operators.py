@@ -639,3 +639,13 @@ def test_replies_without_texts_shuffle_none(spark):
     whole, slim = L.observed_reply(asked, c), L.observed_reply(asked, c, text=False)
     assert "response_text" not in slim.columns and {r.utterance_id: r.response_text for r in whole.collect()} == {"s|0": "line 1", "s|5": None}
     assert sorted(map(str, slim.collect())) == sorted(map(str, whole.drop("response_text").collect()))
+
+
+def test_a_fit_reads_no_more_partitions_than_tasks_run_at_once(spark, monkeypatch):
+    seen = []
+    for kind in (N.LogisticRegression, N.RandomForestClassifier):
+        monkeypatch.setattr(kind, "fit", lambda self, train, fit=kind.fit: seen.append(train.rdd.getNumPartitions()) or fit(self, train))
+    rows = N.assembled(spark.range(0, 40, 1, 20).select((F.col("id") % 2).cast("int").alias("y"), F.array((F.col("id") % 2).cast("double"), (F.col("id") % 4).cast("double")).alias("v")), "v")
+    for fit in (N.detector, lambda *a: N.forest(*a, trees=2)):
+        assert all(r["predicted"] == r["y"] for r in fit(rows, rows, "y").collect())
+    assert len(seen) == 2 and max(seen) <= spark.sparkContext.defaultParallelism
