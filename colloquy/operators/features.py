@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import lru_cache
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from colloquy.functions.text import last_lines, tokens
 from colloquy.sources.storage import written
@@ -58,16 +64,63 @@ def scaled(rows: DataFrame, vector: str, fitted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(table)).withColumn(vector, F.zip_with(vector, "__f", lambda x, f: (x - f["mean"]) / f["scale"])).drop("__f")
 
 
-def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
-    """Character n-grams within words that are padded by one space; a padded word shorter than n counts once."""
-    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+def gram_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+
+
+def _word_grams(word: str, low: int, high: int) -> tuple[str, ...]:
+    p = f" {word} "
+    return tuple(p[i : i + n] for n in range(low, min(high, max(len(p), low)) + 1) for i in range(max(1, len(p) - n + 1)))
+
+
+#: Grams of words that come back; long words are not held.
+_held_grams, HELD = lru_cache(maxsize=50_000)(_word_grams), 40
+
+
+def char_grams(words: list[str] | None, low: int = 2, high: int = 4) -> Counter:
+    """How often a text has each character n-gram within its words, which are padded by one space; a padded word shorter than n counts once."""
+    return Counter(chain.from_iterable((_held_grams if len(w) <= HELD else _word_grams)(w, low, high) for w in words or ()))
+
+
+#: Texts whose grams a task holds at once, and different grams whose sums it holds before it hands them on.
+PIECE, SUMS = 200, 500_000
+
+
+def _texts(batches):
+    """Batches in pieces, with the lists of their last column."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, PIECE):
+            part = batch.slice(lo, PIECE)
+            yield part, part.column(part.num_columns - 1).to_pylist()
+
+
+def _listed(per_row: list, kind: pa.DataType) -> pa.Array:
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in per_row])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(per_row) if isinstance(per_row[0], np.ndarray) else list(chain.from_iterable(per_row)), kind))
+
+
+def gram_totals(rows: DataFrame, text: str, low: int, high: int) -> DataFrame:
+    """gram, df, total: rows that have it and how often they do. Tasks add up first, so no text's grams become rows."""
+
+    def run(batches):
+        df, total = Counter(), Counter()
 
-    def grams(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        size = F.length(padded)
-        return F.flatten(F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.greatest(size, F.lit(low)))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(padded, i, n))))
+        def handed():
+            return pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array([total[g] for g in df], pa.int64())], ["gram", "df", "total"])
 
-    return F.flatten(F.transform(words, grams))
+        for _, lists in _texts(batches):
+            for words in lists:
+                counts = char_grams(words, low, high)
+                df.update(counts.keys())
+                for g, n in counts.items():
+                    total[g] += n
+            if len(df) > SUMS:
+                yield handed()
+                df, total = Counter(), Counter()
+        yield handed()
+
+    sums = rows.select(gram_words(F.col(text)).alias("__words")).mapInArrow(run, "gram string, df long, total long")
+    return sums.groupBy("gram").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -89,40 +142,86 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
 SMALL_VOCABULARY = 200_000
 
 
+def gram_weights(rows: DataFrame, text: str, train: Column, min_df: int, most: int, low: int, high: int) -> DataFrame:
+    """gram, idf as a written table: the grams of training rows with the largest total count, ties by the gram, and their smooth idf."""
+    known = rows.filter(train)
+    fitted = gram_totals(known, text, low, high).filter(F.col("df") >= min_df)
+    fitted = most_frequent(written(fitted, "gram-totals"), most)
+    n = known.agg(F.count(F.lit(1)).alias("n"))
+    return written(fitted.join(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "gram-weights")
+
+
+def _with_weights(rows: DataFrame, text: str, idf: list, low: int, high: int, named: bool) -> DataFrame:
+    """rows with grams (or their places in idf, which is in their order) and weights: two arrays, worked out where the text is."""
+    shared = rows.sparkSession.sparkContext.broadcast(({r["gram"]: k for k, r in enumerate(idf)}, np.array([r["idf"] for r in idf])))
+    kind, size = (pa.string(), StringType()) if named else (pa.int32(), IntegerType())
+
+    def run(batches):
+        places, idf = shared.value
+        names = list(places) if named else None
+        for part, lists in _texts(batches):
+            grams, weights = [], []
+            for words in lists:
+                known = sorted((k, n) for g, n in char_grams(words, low, high).items() if (k := places.get(g)) is not None)
+                k, n = np.array(known, np.int64).reshape(-1, 2).T
+                w = (1 + np.log(n)) * idf[k]
+                grams.append([names[i] for i in k] if named else k)
+                weights.append(w / np.sqrt((w * w).sum()) if len(w) else w)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], _listed(grams, kind), _listed(weights, pa.float64())], [*part.schema.names[:-1], "grams", "weights"])
+
+    fields = [*rows.schema, StructField("grams", ArrayType(size)), StructField("weights", ArrayType(DoubleType()))]
+    return rows.withColumn("__words", gram_words(F.col(text))).mapInArrow(run, StructType(fields))
+
+
 def tfidf(rows: DataFrame, key: str, text: str, train: Column, min_df: int = 2, most: int = 50_000, low: int = 2, high: int = 4) -> DataFrame:
     """key, gram, weight: sublinear tf times smooth idf, each row's weights of length 1. Vocabulary and idf are of training rows.
 
-    The vocabulary keeps the grams with the largest total count, ties by the gram. Texts are dealt by their key before
-    they become grams, so a text's grams are counted and weighed in the task that has it; a row of the written counts
-    holds all grams of a text. Only the grams' totals are shuffled, summed map-side, and a vocabulary of more than
-    SMALL_VOCABULARY grams meets the counts in a shuffle.
+    The vocabulary keeps the grams with the largest total count, ties by the gram. A text's grams are counted and weighed
+    in the task that has it, a few texts at a time, so what a task holds doesn't depend on its rows; only sums of grams
+    are shuffled. A vocabulary of more than SMALL_VOCABULARY grams meets the counts in a shuffle.
     """
-    said = rows.select(key, train.alias("__train"), F.col(text).alias("__text")).repartition(key)
-    counts = said.select(key, "__train", F.explode(char_grams(F.col("__text"), low, high)).alias("gram")).groupBy(key, "__train", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    counts = written(counts.groupBy(key, "__train").agg(F.collect_list(F.struct("gram", "tf")).alias("grams")), "gram-counts")
-    fitted = counts.filter("__train").select(F.explode("grams").alias("g")).groupBy("g.gram").agg(F.count(F.lit(1)).alias("df"), F.sum("g.tf").alias("total")).filter(F.col("df") >= min_df)
-    fitted = most_frequent(written(fitted, "gram-totals"), most)
-    n = rows.filter(train).agg(F.count(F.lit(1)).alias("n"))
-    idf = written(fitted.join(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "gram-weights")
-    known = F.broadcast(idf) if idf.count() <= SMALL_VOCABULARY else idf
-    held = counts.repartition(key).select(key, F.explode("grams").alias("g")).select(key, "g.gram", "g.tf")
-    raw = held.join(known, "gram").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    idf = gram_weights(rows, text, train, min_df, most, low, high)
+    said = rows.select(key, text).repartition(key)
+    if idf.count() <= SMALL_VOCABULARY:
+        done = _with_weights(said, text, idf.orderBy("gram").collect(), low, high, named=True)
+        return done.select(key, F.explode(F.arrays_zip("grams", "weights")).alias("g")).select(key, F.col("g.grams").alias("gram"), F.col("g.weights").alias("weight"))
+
+    def run(batches):
+        for part, lists in _texts(batches):
+            counts = [char_grams(words, low, high) for words in lists]
+            yield pa.RecordBatch.from_arrays([part.column(0), _listed([list(c) for c in counts], pa.string()), _listed([list(c.values()) for c in counts], pa.int32())], [key, "gram", "tf"])
+
+    kind = StructType([said.schema[key], StructField("gram", ArrayType(StringType())), StructField("tf", ArrayType(IntegerType()))])
+    held = said.select(key, gram_words(F.col(text)).alias("__words")).mapInArrow(run, kind).select(key, F.explode(F.arrays_zip("gram", "tf")).alias("g")).select(key, "g.*")
+    raw = held.join(idf, "gram").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "gram", (F.col("w") / norm).alias("weight"))
 
 
+def _vector(size: int, indices: str, values: str) -> Column:
+    return F.struct(F.lit(0).cast("byte").alias("type"), F.lit(max(1, size)).alias("size"), F.col(indices).alias("indices"), F.col(values).alias("values"))
+
+
+def as_vectors(rows: DataFrame, vector: str) -> DataFrame:
+    """rows as a written table whose column of structs is read as the MLlib vectors they are."""
+    return written(rows, "sparse-vectors", StructType([StructField(f.name, VectorUDT()) if f.name == vector else f for f in rows.schema]))
+
+
+def with_tfidf(rows: DataFrame, text: str, train: Column, vector: str, min_df: int = 2, most: int = 50_000, low: int = 2, high: int = 4) -> DataFrame:
+    """rows with the weights of ``tfidf`` as a sparse vector (a struct, see ``as_vectors``), whose dimensions are the grams in order. No gram is shuffled and no row lost: without known grams it is empty."""
+    if most > SMALL_VOCABULARY:
+        raise ValueError("a vector's vocabulary is held by every task")
+    idf = gram_weights(rows, text, train, min_df, most, low, high).orderBy("gram").collect()
+    return _with_weights(rows, text, idf, low, high, named=False).withColumn(vector, _vector(len(idf), "grams", "weights")).drop("grams", "weights")
+
+
 def sparse_vectors(weights: DataFrame, key: str) -> DataFrame:
     """key, vector: MLlib vectors of (key, gram, weight) rows. Their dimensions are the grams in order; a vocabulary is bounded, so its numbers are one small table."""
     grams = written(weights.select("gram").distinct(), "grams")
     numbered = grams.withColumn("at", F.row_number().over(Window.orderBy("gram")) - 1)
-    size = max(1, grams.count())
     per = weights.join(numbered, "gram").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("p"))
-    field = lambda f: F.transform("p", lambda x: x[f])
-    parts = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), field("at").alias("indices"), field("weight").alias("values"))
-    held = per.select(key, parts.alias("vector"))
-    # an MLlib vector is stored as this struct: written as one and read as the other
-    kind = StructType([held.schema[key], StructField("vector", VectorUDT())])
-    return written(held, "sparse-vectors", kind)
+    per = per.select(key, F.transform("p", lambda x: x["at"]).alias("at"), F.transform("p", lambda x: x["weight"]).alias("weight"))
+    return as_vectors(per.select(key, _vector(grams.count(), "at", "weight").alias("vector")), "vector")
 
 
 def hashed_text(rows: DataFrame, key: str, tokens_of: Column, dims: int = 64) -> DataFrame:

@@ -649,3 +649,16 @@ def test_a_fit_reads_no_more_partitions_than_tasks_run_at_once(spark, monkeypatc
     for fit in (N.detector, lambda *a: N.forest(*a, trees=2)):
         assert all(r["predicted"] == r["y"] for r in fit(rows, rows, "y").collect())
     assert len(seen) == 2 and max(seen) <= spark.sparkContext.defaultParallelism
+
+
+def test_grams_of_a_text_stay_in_its_task(spark, monkeypatch):
+    monkeypatch.setattr(X, "SUMS", 3)  # sums are handed on after each piece
+    texts = ["Ab ab cab", "abc é𝄞", "", None, "ca\u2003ca ca b", "abc " + "x" * 50, "zz"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    plain = lambda w, low: [p[i : i + n] for p in [f" {w} "] for n in range(low, min(4, max(low, len(p))) + 1) for i in range(max(1, len(p) - n + 1))]
+    for low in (2, 4):
+        per = [Counter(g for w in (t or "").lower().split() for g in plain(w, low)) for t in texts]
+        got = {r.gram: (r.df, r.total) for r in X.gram_totals(rows, "text", low, 4).collect()}
+        assert got == {g: (sum(g in c for c in per), sum(per, Counter())[g]) for g in sum(per, Counter())}
+    plan = X.tfidf(rows, "id", "text", F.col("id") < 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and "Join" not in plan
