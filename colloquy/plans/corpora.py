@@ -72,14 +72,11 @@ def sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.sequence_scores(t.select("source_index", lp.alias("logprobs"))).select("source_index", "total", "mean", "n"))
 
 
-def _recognition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets with fold, text_vector (TF-IDF of the detector's text) and audio (scaled); both fitted on all folds but 0."""
-    r = C.with_fold(records(spark, sf_dir)).withColumn("detector_text", T.lines_of(F.col("context_turns"))).drop("context_turns")
-    r = written(r, "records")
-    text = X.sparse_vectors(X.tfidf(r, "source_index", "detector_text", F.col("fold") != 0), "source_index").withColumnRenamed("vector", "text_vector")
-    heard = written(r.select("source_index", "fold").join(A.audio(spark, sf_dir), "source_index"), "audio")
-    audio = X.scaled(heard, "target_audio", X.scaler(heard.filter("fold <> 0"), "target_audio")).select("source_index", F.col("target_audio").alias("audio"))
-    return written(r.join(text, "source_index").join(audio, "source_index"), "recognition-rows")
+def _heard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets with fold, detector_text, audio (scaled; fitted on all folds but 0) and heard, which is null for those without a vector."""
+    r = C.with_fold(records(spark, sf_dir)).select("source_index", "fold", "target_label", T.lines_of(F.col("context_turns")).alias("detector_text"))
+    rows = written(r.join(A.audio(spark, sf_dir).withColumn("heard", F.lit(True)), "source_index", "left"), "heard-rows")
+    return X.scaled(rows, "target_audio", X.scaler(rows.filter("fold <> 0"), "target_audio")).withColumnRenamed("target_audio", "audio")
 
 
 def _recognised(fit, rows: DataFrame, *columns: str) -> DataFrame:
@@ -90,14 +87,15 @@ def _recognised(fit, rows: DataFrame, *columns: str) -> DataFrame:
 
 def detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognition by balanced logistic regression from text, and from text and audio: metrics of fold 0 and of the others."""
-    rows = _recognition_rows(spark, sf_dir)
+    rows = X.with_tfidf(_heard_rows(spark, sf_dir), "detector_text", F.col("fold") != 0, "text_vector").filter("heard").select("source_index", "fold", "target_label", "audio", "text_vector")
+    rows = X.as_vectors(rows, "text_vector")
     return _rounded(_recognised(N.detector, rows, "text_vector").unionByName(_recognised(N.detector, rows, "text_vector", "audio")))
 
 
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by random forests of 300 trees; the text is a vector of 64 hashed words there."""
-    rows = _recognition_rows(spark, sf_dir).withColumn("words", T.tokens(F.col("detector_text"), None))
-    rows = HashingTF(inputCol="words", outputCol="hashed", numFeatures=64).transform(rows)
+    rows = _heard_rows(spark, sf_dir).filter("heard").withColumn("words", T.tokens(F.col("detector_text"), None))
+    rows = written(HashingTF(inputCol="words", outputCol="hashed", numFeatures=64).transform(rows).select("source_index", "fold", "target_label", "audio", "hashed"), "forest-rows")
     return _rounded(_recognised(N.forest, rows, "hashed").unionByName(_recognised(N.forest, rows, "hashed", "audio")))
 
 

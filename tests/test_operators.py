@@ -662,3 +662,15 @@ def test_grams_of_a_text_stay_in_its_task(spark, monkeypatch):
         assert got == {g: (sum(g in c for c in per), sum(per, Counter())[g]) for g in sum(per, Counter())}
     plan = X.tfidf(rows, "id", "text", F.col("id") < 5)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Aggregate" not in plan and "Join" not in plan
+
+
+def test_vectors_of_texts_need_no_shuffle_and_lose_no_row(spark):
+    rows = spark.createDataFrame([(i, t, 7) for i, t in enumerate(["ab ab cab", "abc", "", None, "ca ca ca b", "zz"])], "id long, text string, more int")
+    made = X.with_tfidf(rows, "text", F.col("id") < 5, "v", most=6)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    weights = X.tfidf(rows, "id", "text", F.col("id") < 5, most=6)
+    want = {r.id: r.vector for r in X.sparse_vectors(weights, "id").collect()}
+    got = {r.id: r.v for r in X.as_vectors(made.filter("more = 7"), "v").collect()}
+    assert set(got) == set(range(6)) and {k for k, v in got.items() if v.numNonzeros()} == set(want)
+    for k, v in want.items():
+        assert got[k].size == v.size and list(got[k].indices) == list(v.indices) and list(got[k].values) == pytest.approx(list(v.values))
