@@ -119,3 +119,17 @@ def test_buckets_are_the_hash_modulo(spark):
     for r in rows:
         whole = int(hashlib.sha256(f"s|{r.id}".encode()).hexdigest()[:16], 16)
         assert all(r[f"n{n}"] == whole % n for n in (1, 2, 21, 1_000_000, 2**31 - 1))
+
+
+def test_matching_blocks_in_bits_are_those_of_the_standard_library(monkeypatch):
+    from colloquy.functions import similarity as Y
+
+    random.seed(11)
+    made = lambda n, of: "".join(random.choices(of, k=n))
+    pairs = [(made(random.randrange(1, 70), of), made(random.randrange(1, 70), of)) for of in ("ab", "abc ", "abcdefghij é𝄞", "a") for _ in range(60)]
+    pairs += [("ab" * 40, "ba" * 40), ("x" * 63, "x" * 64), ("abc", "xyz"), ("q", "aqa"), (made(900, "abcde "), made(1100, "abcde "))]
+    want = [SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs]
+    for long in (4096, 20):  # all in bits, and long ones by runs until their parts are short
+        monkeypatch.setattr(Y, "LONG", long)
+        assert [1.0 if a == b else 2 * Y._matched(a, b) / (len(a) + len(b)) for a, b in pairs] == want
+        assert [Y.similarity(a, b) for a, b in pairs] == want
