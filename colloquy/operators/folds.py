@@ -5,8 +5,9 @@ loss says which step's weights stay. A pass works out the gradients of all model
 their rows, Spark adds up those of the tasks, and the driver, which holds nothing but weights, takes a step. So rows may
 be many, while models are few and small (models x (inputs + 2) x HIDDEN numbers go to the driver in each step).
 
-Rows: fold, label (0 or 1), held_out, features (array of numbers of one length), as a written table, since each step
-reads it. A row with a null label or fold, or without features, is not learned from.
+Rows: fold, label (0 or 1), held_out, features (array of numbers of one length). Steps read them from a written table
+whose rows are blocks of up to BLOCK rows as bytes. A row with a null label or fold, or without features, is not learned
+from.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.sources.storage import written
+
 HIDDEN, STEPS, RATE, DECAY = 16, 30, 0.03, 1e-3
+#: Rows of a block.
+BLOCK = 2000
 
 
 @dataclass
@@ -46,25 +51,62 @@ class Model:
         a, b, c, d = self.parts(self.weights if w is None else w)
         return np.tanh((x[:, self.columns] - self.mean) / self.scale @ a + b) @ c + d
 
-    def sums(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Over rows of other folds: the loss' gradient, loss and weight of those learned from, loss and weight of those held out."""
-        a, b, c, d = self.parts(w)
-        z = (x[:, self.columns] - self.mean) / self.scale
-        h = np.tanh(z @ a + b)
-        out = h @ c + d
-        each = np.where(y == 1, self.positive, 1.0)
-        loss = each * (np.logaddexp(0, out) - y * out)
-        g = np.where(held, 0.0, each * (1 / (1 + np.exp(-np.clip(out, -500, 500))) - y))
-        dh = np.outer(g, c) * (1 - h * h)
-        gradient = np.concatenate([(z.T @ dh).reshape(-1), dh.sum(0), h.T @ g, [g.sum()]])
-        return np.concatenate([gradient, [loss[~held].sum(), each[~held].sum(), loss[held].sum(), each[held].sum()]])
 
+class Layers:
+    """The models of one set of columns side by side, with standardisation taken into their first layer, so that a block of rows passes all of them as one product of matrices.
+
+    Rows are taken from a centre (the models' first mean), so that sums over columns far from zero keep their digits.
+    """
+
+    def __init__(self, models: list[Model], weights: list[np.ndarray]) -> None:
+        self.columns, self.centre = models[0].columns, models[0].mean
+        a, b, c, d = zip(*(m.parts(w) for m, w in zip(models, weights, strict=True)))
+        self.a = np.concatenate([x / m.scale[:, None] for m, x in zip(models, a, strict=True)], 1)
+        self.b = np.concatenate([x - (m.mean - self.centre) / m.scale @ y for m, x, y in zip(models, b, a, strict=True)])
+        self.c, self.d = np.array(c), np.array(d)
+        self.folds, self.positive = np.array([m.fold for m in models]), np.array([m.positive for m in models])
+        self.shift, self.scale = np.array([m.mean - self.centre for m in models]), np.array([m.scale for m in models])
+
+    def sums(self, fold: np.ndarray, y: np.ndarray, held: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Per model, over rows of other folds: the loss' gradient, loss and weight of those learned from, loss and weight of those held out."""
+        z, k = x[:, self.columns] - self.centre, len(self.folds)
+        h = np.tanh(z @ self.a + self.b).reshape(len(x), k, HIDDEN)
+        out = np.einsum("nkh,kh->nk", h, self.c) + self.d
+        other, one = fold[:, None] != self.folds, y[:, None] == 1
+        each = np.where(one, self.positive, 1.0) * other
+        loss = each * (np.logaddexp(0, out) - np.where(one, out, 0.0))
+        g = each * ~held[:, None] * (1 / (1 + np.exp(-np.clip(out, -500, 500))) - one)
+        dc = np.einsum("nkh,nk->kh", h, g)
+        np.multiply(h, h, out=h)
+        np.subtract(1, h, out=h)
+        h *= g[:, :, None] * self.c
+        db = h.sum(0)
+        da = (z.T @ h.reshape(len(x), -1)).reshape(len(self.columns), k, HIDDEN).transpose(1, 0, 2)
+        da = (da - self.shift[:, :, None] * db[:, None, :]) / self.scale[:, :, None]
+        return np.concatenate([da.reshape(k, -1), db, dc, g.sum(0)[:, None], *(v[mine].sum(0)[:, None] for mine in (~held, held) for v in (loss, each))], 1)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Complete rows as a written table of blocks: labels, folds and whether rows are held out (int32) and features (float64) as bytes."""
+    rows = _complete(rows)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                x = part.column("features").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                ids = np.array([part.column(c).to_numpy(zero_copy_only=False).astype(np.int32) for c in ("fold", "label", "held_out")])
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["ids", "features"])
 
-def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """fold, label, held_out and features (rows x columns) of a batch of complete rows."""
-    lists = batch.column("features")
-    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return (*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "label", "held_out")), x.reshape(len(lists), -1))
+    return written(rows.mapInArrow(run, "ids binary, features binary"), "feature-blocks", **{"parquet.block.size": str(8 << 20)})
+
+
+def _arrays(batches):
+    """fold, label, held_out and features (rows x columns) of each block."""
+    for batch in batches:
+        for ids, x in zip(batch.column("ids"), batch.column("features"), strict=True):
+            fold, y, held = np.frombuffer(ids.as_buffer(), np.int32).reshape(3, -1)
+            yield fold, y, held == 1, np.frombuffer(x.as_buffer(), np.float64).reshape(len(y), -1)
 
 
 def _added(rows: DataFrame, run, key: str) -> dict[int, np.ndarray]:
@@ -82,20 +124,18 @@ def _complete(rows: DataFrame) -> DataFrame:
     return kept.select(F.col("fold").cast("int"), F.col("label").cast("int"), F.coalesce("held_out", F.lit(False)).alias("held_out"), F.col("features").cast("array<double>"))
 
 
-def moments(rows: DataFrame) -> dict[int, np.ndarray]:
+def moments(blocks: DataFrame) -> dict[int, np.ndarray]:
     """Per fold: rows, rows with label 1, and sums and squares of each column."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows:
-                fold, y, _, x = _arrays(batch)
-                for f in np.unique(fold).tolist():
-                    z = x[fold == f]
-                    total[f] = total.get(f, 0) + np.concatenate([[len(z), y[fold == f].sum()], z.sum(0), (z * z).sum(0)])
+        for fold, y, _, x in _arrays(batches):
+            for f in np.unique(fold).tolist():
+                z = x[fold == f]
+                total[f] = total.get(f, 0) + np.concatenate([[len(z), y[fold == f].sum()], z.sum(0), (z * z).sum(0)])
         yield _vectors("fold", total)
 
-    return _added(rows, run, "fold")
+    return _added(blocks, run, "fold")
 
 
 def started(per_fold: dict[int, np.ndarray], seeds: list[int], sets: dict[str, list[int]], positive: float | None) -> list[Model]:
@@ -122,21 +162,21 @@ def started(per_fold: dict[int, np.ndarray], seeds: list[int], sets: dict[str, l
 
 def fit(rows: DataFrame, seeds: list[int], sets: dict[str, list[int]], positive: float | None = None, steps: int = STEPS) -> list[Model]:
     """A model for each fold of rows, seed and named set of columns (by their places in features)."""
-    rows = _complete(rows)
+    rows = _blocks(rows)
     models = started(moments(rows), seeds, sets, positive)
+    places = [[k for k, m in enumerate(models) if m.name == name] for name in sets]
     now, first, second = ([f(m.weights) for m in models] for f in (np.copy, np.zeros_like, np.zeros_like))
     for step in range(steps + 1):
         shared = rows.sparkSession.sparkContext.broadcast((models, now))
 
         def run(batches):
             models, now = shared.value
+            layers = [Layers([models[k] for k in some], [now[k] for k in some]) for some in places]
             total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                if batch.num_rows:
-                    fold, y, held, x = _arrays(batch)
-                    for k, (m, w) in enumerate(zip(models, now, strict=True)):
-                        other = fold != m.fold
-                        total[k] = total.get(k, 0) + m.sums(x[other], y[other], held[other], w)
+            for block in _arrays(batches):
+                for some, layer in zip(places, layers, strict=True):
+                    for k, v in zip(some, layer.sums(*block), strict=True):
+                        total[k] = total.get(k, 0) + v
             yield _vectors("model", total)
 
         met = _added(rows, run, "model")

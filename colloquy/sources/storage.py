@@ -24,10 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
-    """df as a Parquet table that is read again (as schema, if given): worked out once, whoever reads it, and safe from lost executors."""
+def written(df: DataFrame, name: str, schema: StructType | None = None, **options: str) -> DataFrame:
+    """df as a Parquet table that is read again (as schema, if given): worked out once, whoever reads it, and safe from lost executors. options: of the writer."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 

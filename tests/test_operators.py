@@ -674,3 +674,17 @@ def test_vectors_of_texts_need_no_shuffle_and_lose_no_row(spark):
     assert set(got) == set(range(6)) and {k for k, v in got.items() if v.numNonzeros()} == set(want)
     for k, v in want.items():
         assert got[k].size == v.size and list(got[k].indices) == list(v.indices) and list(got[k].values) == pytest.approx(list(v.values))
+
+
+def test_networks_read_blocks_of_rows_as_bytes(spark, monkeypatch):
+    import numpy as np
+
+    from colloquy.operators import folds as K
+
+    monkeypatch.setattr(K, "BLOCK", 7)
+    x = np.random.default_rng(5).normal(size=(60, 3))
+    rows = lambda add: spark.createDataFrame([(i % 2, int(v[0] > 0), i % 5 == 0, (v + add).tolist()) for i, v in enumerate(x)], "fold int, label int, held_out boolean, features array<double>").coalesce(2)
+    blocks = [(np.frombuffer(r.ids, np.int32).reshape(3, -1), np.frombuffer(r.features).reshape(-1, 3)) for r in K._blocks(rows(0.0)).collect()]
+    assert max(ids.shape[1] for ids, _ in blocks) <= 7 and sorted(map(tuple, np.concatenate([f for _, f in blocks]).tolist())) == sorted(map(tuple, x.tolist()))
+    near, far = (K.fit(rows(add), [1], {"all": [0, 1, 2]}, steps=6) for add in (0.0, 1e5))
+    assert [(m.step, round(m.loss, 4)) for m in near] == [(m.step, round(m.loss, 4)) for m in far]
