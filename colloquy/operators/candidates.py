@@ -91,6 +91,9 @@ def candidate_sets(records: DataFrame, salt: str = SALT, *also: str) -> DataFram
     without four different texts have no candidates. One row per candidate: source_index, candidate_pos, candidate_id,
     is_gold, candidate_source_index, candidate_source_dialogue_id, candidate_source_label, candidate_text.
     """
+    # several steps read the records, which come from windows over all turns: without contexts they are written once
+    needed = ("source_index", "dialogue_id", "episode_id", "next_speaker", "target_label", "response", *also)
+    records = written(records.select(*needed), "candidate-records")
     # the third choice avoids two texts at most
     sets = nearest_texts(records, salt, *also).groupBy("source_index", "dialogue_id", "target_label").agg(
         F.min_by(F.struct("said", "b.pool_index"), F.when(F.col("same"), F.col("b"))).alias("like"),

@@ -224,11 +224,16 @@ def sparse_vectors(weights: DataFrame, key: str) -> DataFrame:
     return as_vectors(per.select(key, _vector(grams.count(), "at", "weight").alias("vector")), "vector")
 
 
-def hashed_text(rows: DataFrame, key: str, tokens_of: Column, dims: int = 64) -> DataFrame:
-    """key, vector: counts of hashed tokens in dims dimensions, of length 1 (zeros without tokens): a vector of fixed size where no encoder's is given."""
-    held = rows.select(key, F.coalesce(tokens_of, F.array().cast("array<string>")).alias("__w"))
+def with_hashed_text(rows: DataFrame, tokens_of: Column, dims: int = 64) -> DataFrame:
+    """rows with vector: counts of hashed tokens in dims dimensions, of length 1 (zeros without tokens): a vector of fixed size where no encoder's is given."""
+    held = rows.withColumn("__w", F.coalesce(tokens_of, F.array().cast("array<string>")))
     counted = HashingTF(inputCol="__w", outputCol="__c", numFeatures=dims).transform(held)
-    return Normalizer(inputCol="__c", outputCol="__v").transform(counted).select(key, vector_to_array("__v").alias("vector"))
+    return Normalizer(inputCol="__c", outputCol="__v").transform(counted).withColumn("vector", vector_to_array("__v")).drop("__w", "__c", "__v")
+
+
+def hashed_text(rows: DataFrame, key: str, tokens_of: Column, dims: int = 64) -> DataFrame:
+    """key, vector of ``with_hashed_text``."""
+    return with_hashed_text(rows, tokens_of, dims).select(key, "vector")
 
 
 def mean_pooled(rows: DataFrame, key: str, vector: str, weight: Column | None = None) -> DataFrame:

@@ -104,13 +104,13 @@ def selector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The text vector of a candidate stands in for an encoder's: hashed words of context and candidate, in 256 dimensions.
     """
-    t = tasks(spark, sf_dir)
-    heard = A.audio(spark, sf_dir)
-    heard = X.scaled(heard, "target_audio", X.scaler(heard.join(t.filter(~N.holdout(F.col("episode_id"), "head")).select("source_index").distinct(), "source_index", "left_semi"), "target_audio", 1e-6))
     words = F.concat(T.tokens(T.lines_of(F.col("context_turns")), None), F.transform(T.tokens(F.col("candidate_text"), None), lambda w: F.concat(F.lit("> "), w)))
-    rows = t.join(heard, "source_index").withColumns({"words": words, "status": T.status_vector(F.lit("oracle"), F.col("target_label"), F.col("target_label"))})
-    rows = Normalizer(inputCol="counts", outputCol="text_vector").transform(HashingTF(inputCol="words", outputCol="counts", numFeatures=256).transform(rows)).drop("words", "counts", "context_turns")
-    rows = N.assembled(written(rows, "selector-rows"), "text_vector", "target_audio", "status").withColumn("held_out", N.holdout(F.col("episode_id"), "head"))
+    t = tasks(spark, sf_dir).withColumns({"words": words, "status": T.status_vector(F.lit("oracle"), F.col("target_label"), F.col("target_label")), "held_out": N.holdout(F.col("episode_id"), "head")})
+    t = Normalizer(inputCol="counts", outputCol="text_vector").transform(HashingTF(inputCol="words", outputCol="counts", numFeatures=256).transform(t))
+    t = written(t.select("source_index", "fold", "sample_id", "candidate_pos", "is_gold", "held_out", "status", "text_vector"), "selector-tasks")
+    heard = A.audio(spark, sf_dir)
+    heard = X.scaled(heard, "target_audio", X.scaler(heard.join(t.filter("not held_out").select("source_index").distinct(), "source_index", "left_semi"), "target_audio", 1e-6))
+    rows = N.assembled(written(t.join(heard, "source_index"), "selector-rows"), "text_vector", "target_audio", "status")
     out = N.selector(rows.filter("not held_out"), rows)
     return _rounded(M.decisions(out, "fold", "sample_id", "held_out").groupBy("fold", "held_out").agg(F.avg("correct").alias("accuracy"), F.count(F.lit(1)).alias("n")))
 
@@ -118,28 +118,33 @@ def selector(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEEDS, DIMS = [11, 12, 13], 64
 
 
-def _with_vectors(rows: DataFrame, spark: SparkSession, sf_dir: str, key: str, words) -> DataFrame:
+def _with_vectors(rows: DataFrame, spark: SparkSession, sf_dir: str, words) -> DataFrame:
     """rows with features: a text vector of DIMS, then the audio vector of their turn."""
-    text = X.hashed_text(rows, key, words, DIMS)
+    rows = X.with_hashed_text(rows, words, DIMS)
     heard = A.audio(spark, sf_dir).select("source_index", F.col("target_audio").cast("array<double>").alias("__audio"))
-    return rows.join(text, key).join(heard, "source_index").withColumn("features", F.concat("vector", "__audio")).drop("vector", "__audio")
+    return rows.join(heard, "source_index").withColumn("features", F.concat("vector", "__audio")).drop("vector", "__audio")
 
 
 def fold_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognition of every turn, per seed, by models that did not learn from its fold: probabilities and labels from text and from text and audio."""
     r = C.with_fold(records(spark, sf_dir)).withColumns({"words": T.tokens(T.lines_of(F.col("context_turns")), None), "label": F.col("target_label"), "held_out": N.holdout(F.col("episode_id"), "head")})
-    rows = _with_vectors(r.select("source_index", "dialogue_id", "episode_id", "fold", "label", "held_out", "words"), spark, sf_dir, "source_index", F.col("words")).drop("words")
+    rows = _with_vectors(r.select("source_index", "dialogue_id", "episode_id", "fold", "label", "held_out", "words"), spark, sf_dir, F.col("words")).drop("words")
     rows = written(rows, "recognition-vectors")
     done = K.predicted(rows, K.fit(rows, SEEDS, {"text": list(range(DIMS)), "text_audio": list(range(2 * DIMS))}))
     p = lambda name: 1 / (1 + F.exp(-F.col(f"logit_{name}")))
     return done.select(F.lit("network").alias("method"), "fold", "seed", "source_index", "dialogue_id", "episode_id", F.col("label").alias("true_label"), *(x for n in ("text", "text_audio") for x in (F.round(p(n), 6).alias(f"{n}_probability"), (F.round(p(n), 6) >= 0.5).cast("int").alias(f"{n}_label"))))
 
 
-def _fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fold_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tasks(spark, sf_dir)
+    return written(t.select("source_index", "sample_id", "episode_id", "fold", "candidate_pos", "candidate_id", "is_gold", "context_turns", "candidate_text"), "fold-tasks")
+
+
+def _fold_scores(spark: SparkSession, sf_dir: str, t: DataFrame) -> DataFrame:
     """Candidate scores of all targets, per seed and condition, by models that did not learn from the target's fold."""
-    t = tasks(spark, sf_dir).withColumn("words", F.concat(T.tokens(T.lines_of(F.col("context_turns")), None), F.transform(T.tokens(F.col("candidate_text"), None), lambda w: F.concat(F.lit("> "), w))))
-    t = t.withColumns({"label": F.col("is_gold").cast("int"), "held_out": N.holdout(F.col("episode_id"), "head"), "pair": F.concat_ws("|", "sample_id", "candidate_id")})
-    rows = _with_vectors(t.select("source_index", "sample_id", "episode_id", "fold", "candidate_pos", "candidate_id", "is_gold", "label", "held_out", "pair", "words"), spark, sf_dir, "pair", F.col("words")).drop("words", "pair")
+    t = t.withColumn("words", F.concat(T.tokens(T.lines_of(F.col("context_turns")), None), F.transform(T.tokens(F.col("candidate_text"), None), lambda w: F.concat(F.lit("> "), w))))
+    t = t.withColumns({"label": F.col("is_gold").cast("int"), "held_out": N.holdout(F.col("episode_id"), "head")})
+    rows = _with_vectors(t.select("source_index", "sample_id", "episode_id", "fold", "candidate_pos", "candidate_id", "is_gold", "label", "held_out", "words"), spark, sf_dir, F.col("words")).drop("words")
     rows = written(rows, "candidate-vectors")
     models = K.fit(rows, SEEDS, {"text": list(range(DIMS)), "text_audio": list(range(2 * DIMS))}, positive=3.0)
     long = K.predicted(rows, models).withColumn("c", F.explode(F.array(*(F.struct(F.lit(n).alias("condition"), F.round(f"logit_{n}", 6).alias("selector_logit")) for n in ("text", "text_audio")))))
@@ -148,15 +153,15 @@ def _fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of selection per fold, seed and condition, of targets that the model did not learn from."""
-    d = M.decisions(_fold_scores(spark, sf_dir))
+    d = M.decisions(_fold_scores(spark, sf_dir, tasks(spark, sf_dir)))
     return _rounded(d.groupBy("method", "fold", "seed", "condition").agg(F.avg("correct").alias("accuracy"), F.count(F.lit(1)).alias("n")))
 
 
 def fold_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of complete runs over the scores of all folds and seeds."""
-    s = written(_fold_scores(spark, sf_dir), "fold-scores")
-    targets = C.candidate_sets(records(spark, sf_dir)).select("source_index").distinct().join(C.with_fold(records(spark, sf_dir)).select("source_index", "episode_id", "fold"), "source_index")
-    targets = written(targets, "targets")
+    t = _fold_tasks(spark, sf_dir)
+    s = written(_fold_scores(spark, sf_dir, t), "fold-scores")
+    targets = written(t.select("source_index", "episode_id", "fold").distinct(), "targets")
     per = targets.groupBy("fold").agg(F.count(F.lit(1)).alias("targets"))
     shared = targets.groupBy("episode_id").agg(F.count_distinct("fold").alias("k")).agg((F.max("k") > 1).alias("overlap"))  # one row
     size = s.groupBy("method", "fold", "seed").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("sample_id").alias("samples"))

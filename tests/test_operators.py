@@ -688,3 +688,14 @@ def test_networks_read_blocks_of_rows_as_bytes(spark, monkeypatch):
     assert max(ids.shape[1] for ids, _ in blocks) <= 7 and sorted(map(tuple, np.concatenate([f for _, f in blocks]).tolist())) == sorted(map(tuple, x.tolist()))
     near, far = (K.fit(rows(add), [1], {"all": [0, 1, 2]}, steps=6) for add in (0.0, 1e5))
     assert [(m.step, round(m.loss, 4)) for m in near] == [(m.step, round(m.loss, 4)) for m in far]
+
+
+def test_queries_look_for_candidates_once(spark, monkeypatch):
+    from colloquy.plans import corpora, selection
+
+    for module, name in ((selection, "outcome_consistency"), (selection, "score_audit"), (corpora, "fold_audit")):
+        found = []
+        with monkeypatch.context() as m:
+            m.setattr(C, "nearest_texts", lambda *a, find=C.nearest_texts, **k: found.append(a) or find(*a, **k))
+            getattr(module, name)(spark, "/root/testdata/sf0.001")
+        assert len(found) == 1, name
