@@ -699,3 +699,12 @@ def test_queries_look_for_candidates_once(spark, monkeypatch):
             m.setattr(C, "nearest_texts", lambda *a, find=C.nearest_texts, **k: found.append(a) or find(*a, **k))
             getattr(module, name)(spark, "/root/testdata/sf0.001")
         assert len(found) == 1, name
+
+
+def test_the_selectors_scaler_reads_written_tasks(spark, monkeypatch):
+    from colloquy.plans import corpora
+
+    plans = []
+    monkeypatch.setattr(X, "scaler", lambda rows, *a, fit=X.scaler: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or fit(rows, *a))
+    out = corpora.selector(spark, "/root/testdata/sf0.001").collect()
+    assert out and len(plans) == 1 and "Window" not in plans[0]
