@@ -708,3 +708,12 @@ def test_the_selectors_scaler_reads_written_tasks(spark, monkeypatch):
     monkeypatch.setattr(X, "scaler", lambda rows, *a, fit=X.scaler: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or fit(rows, *a))
     out = corpora.selector(spark, "/root/testdata/sf0.001").collect()
     assert out and len(plans) == 1 and "Window" not in plans[0]
+
+
+def test_verification_writes_no_tasks(spark, monkeypatch):
+    from colloquy.plans import selection
+
+    names = []
+    monkeypatch.setattr(selection.Q, "written", lambda df, name, *a: names.append(name) or df)
+    (row,) = selection.task_verification(spark, "/root/testdata/sf0.001").collect()
+    assert not names and row.checked > 0 and (row.text_differs, row.dialogue_differs, row.wrong_reply) == (0, 0, 0)
