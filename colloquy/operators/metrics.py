@@ -63,10 +63,9 @@ def outcomes(scores: DataFrame, predictions: DataFrame) -> DataFrame:
 
     A response without a recognition raises an error: both are made of the same observations.
     """
-    chosen = decisions(scores, "method", "fold", "seed", "source_index", "sample_id", "episode_id", "target_label", "condition")
-    both = chosen.groupBy("method", "fold", "seed", "source_index", "sample_id", "episode_id", "target_label").agg(
-        F.max(F.when(F.col("condition") == "text", F.col("correct"))).alias("response_text_correct"), F.max(F.when(F.col("condition") == "text_audio", F.col("correct"))).alias("response_text_audio_correct")
-    )
+    best = lambda c: F.max_by("is_gold", F.when(F.col("condition") == c, F.struct("selector_logit", -F.col("candidate_pos")))).cast("int")
+    keys = ("method", "fold", "seed", "source_index", "sample_id", "episode_id", "target_label")
+    both = scores.groupBy(*keys).agg(best("text").alias("response_text_correct"), best("text_audio").alias("response_text_audio_correct"))
     known = predictions.select("method", "fold", "seed", "source_index", "true_label", "text_label", "text_audio_label", F.lit(True).alias("__known"))
     out = both.join(known, ["method", "fold", "seed", "source_index"], "left")
     lost = F.raise_error(F.concat(F.lit("no recognition of turn "), F.col("source_index").cast("string"))).cast("boolean")

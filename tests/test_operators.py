@@ -717,3 +717,13 @@ def test_verification_writes_no_tasks(spark, monkeypatch):
     monkeypatch.setattr(selection.Q, "written", lambda df, name, *a: names.append(name) or df)
     (row,) = selection.task_verification(spark, "/root/testdata/sf0.001").collect()
     assert not names and row.checked > 0 and (row.text_differs, row.dialogue_differs, row.wrong_reply) == (0, 0, 0)
+
+
+def test_both_conditions_are_decided_in_one_aggregate(spark):
+    rows = [("m", 0, 1, 5, "t5", "E", 1, c, p, f"c{p}", p == 1, z) for c, zs in (("text", (0.5, 0.5)), ("text_audio", (0.1, 0.9))) for p, z in enumerate(zs)]
+    rows += [("m", 0, 1, 6, "t6", "E", 0, "text", 0, "c0", True, 0.2)]
+    s = spark.createDataFrame(rows, "method string, fold int, seed int, source_index long, sample_id string, episode_id string, target_label int, condition string, candidate_pos int, candidate_id string, is_gold boolean, selector_logit double")
+    p = spark.createDataFrame([("m", 0, 1, k, 1, 1, 0) for k in (5, 6)], "method string, fold int, seed int, source_index long, true_label int, text_label int, text_audio_label int")
+    out = M.outcomes(s, p)
+    assert {r.source_index: (r.response_text_correct, r.response_text_audio_correct) for r in out.collect()} == {5: (0, 1), 6: (1, None)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
