@@ -198,7 +198,8 @@ def bootstrap(statistics: DataFrame, resamples: int = 2000) -> DataFrame:
     """Percentile intervals of the six paired quantities over draws of episodes with replacement. One row per method and metric.
 
     statistics: the rows of episode_statistics. Draws are the same for all methods. Only sums per episode are resampled,
-    never rows: an episode's sums meet its weights once per block, and the products of both are added up as vectors.
+    never rows: an episode's sums meet its weights once per block, and tasks multiply both as matrices, so one vector of a task, method
+    and block is added up.
     Undefined draws are left out and counted; bounds are null if all are undefined.
     """
     spark = statistics.sparkSession
@@ -208,10 +209,22 @@ def bootstrap(statistics: DataFrame, resamples: int = 2000) -> DataFrame:
     if n < 2:
         raise ValueError("a cluster bootstrap takes two episodes or more")
     weights = resample_weights(spark, n, resamples)
-    times = lambda c: F.transform("weights", lambda w: (F.col(c) * w).cast("double"))
-    products = F.flatten(F.array(*map(times, SUMS)))  # sums in order, each with all replicates of the block
-    met = stats.join(episodes, "episode_id").join(weights, "number").select("method", "block", F.size("weights").alias("held"), array_to_vector(products).alias("v"))
-    total = met.groupBy("method", "block", "held").agg(Summarizer.sum(F.col("v")).alias("v")).withColumn("v", vector_to_array("v"))
+    met = stats.join(episodes, "episode_id").join(weights, "number").select("method", "block", "weights", F.array(*(F.col(c).cast("double") for c in SUMS)).alias("sums"))
+
+    def products(batches):
+        total: dict[tuple[str, int], np.ndarray] = {}  # sums x replicates of a block
+        for batch in batches:
+            method, block = batch.column("method").to_pylist(), batch.column("block").to_numpy()
+            held, drawn = batch.column("sums").flatten().to_numpy().reshape(-1, len(SUMS)), batch.column("weights")
+            for key in set(zip(method, block.tolist())):
+                mine = np.array([m == key[0] for m in method], bool) & (block == key[1])
+                w = drawn.filter(pa.array(mine)).flatten().to_numpy().reshape(int(mine.sum()), -1).astype(np.float64)
+                total[key] = total.get(key, 0) + held[mine].T @ w
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in total]), pa.array([k for _, k in total], pa.int64()), pa.array([v.shape[1] for v in total.values()], pa.int32()), pa.array([v.reshape(-1).tolist() for v in total.values()], pa.list_(pa.float64()))], ["method", "block", "held", "v"])
+
+    total = met.mapInArrow(products, "method string, block long, held int, v array<double>").withColumn("v", array_to_vector("v"))
+    total = total.groupBy("method", "block", "held").agg(Summarizer.sum(F.col("v")).alias("v")).withColumn("v", vector_to_array("v"))
     at = total.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("held") - 1)))
     sums = at.select("method", *(F.get("v", F.col("r") + F.col("held") * k).alias(c) for k, c in enumerate(SUMS)))  # one row per method and replicate
     c = F.col

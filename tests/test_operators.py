@@ -727,3 +727,10 @@ def test_both_conditions_are_decided_in_one_aggregate(spark):
     out = M.outcomes(s, p)
     assert {r.source_index: (r.response_text_correct, r.response_text_audio_correct) for r in out.collect()} == {5: (0, 1), 6: (1, None)}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_bootstrap_products_are_made_in_arrays(spark):
+    stats = spark.createDataFrame([(m, f"E{i}", *([i + 1] * len(M.SUMS))) for m in ("a", "b") for i in range(5)], "method string, episode_id string, " + ", ".join(f"{c} long" for c in M.SUMS))
+    out = M.bootstrap(stats, 150)
+    assert "flatten" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.valid == 150 and r.low <= r.high for r in out.collect())
