@@ -734,3 +734,77 @@ def test_bootstrap_products_are_made_in_arrays(spark):
     out = M.bootstrap(stats, 150)
     assert "flatten" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert all(r.valid == 150 and r.low <= r.high for r in out.collect())
+
+
+def test_shared_runs_rule_out_texts_that_cannot_be_alike():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from colloquy.functions.blocks import Characters, Runs
+    from colloquy.functions.similarity import similarity
+
+    draw = random.Random(7)
+    parts = "th er on an re he in ed nd ha at en es of or the and ñ 𝄞 ".split(" ")
+    said = [" ".join("".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(draw.randint(8, 30))) for _ in range(300)]
+    change = lambda t: "".join(c for c in t if draw.random() > 0.1)
+    said += [change(t) for t in said[:60]] + [t[len(t) // 3 :] + t[: len(t) // 3] for t in said[:20]] + ["", "a", "and " * 50, "and " * 49, said[0]]
+    runs, rows = Runs(Characters(pa.array(said))), np.arange(len(said))
+    asked = [change(t) for t in said[:40]] + ["and " * 51, "q", "zzzz the", said[0], said[-3] + "Ω"]
+    kept = [set(runs.allowed(a, rows, 0.8).tolist()) for a in asked]
+    near = [{k for k, t in enumerate(said) if similarity(a, t) >= 0.8} for a in asked]
+    assert all(few >= some for few, some in zip(kept, near, strict=True)) and sum(map(len, near)) > 80
+    long = [k for k, t in enumerate(said) if len(t) > 60]
+    assert sum(len(set(long) & few - some) for few, some in zip(kept[:40], near[:40], strict=True)) < 0.1 * 40 * len(long)
+
+
+def _tables_written(monkeypatch):
+    """Rows of each table that the alignment writes."""
+    from colloquy.plans import alignment as P
+
+    seen = {}
+    for module in (L, P):
+        monkeypatch.setattr(module, "written", lambda df, name, *a, written=module.written, **k: [out := written(df, name, *a, **k), seen.__setitem__(name, out.count())][0])
+    return seen
+
+
+def test_alignment_makes_no_row_of_a_pair(spark, monkeypatch):
+    import random
+
+    seen = _tables_written(monkeypatch)
+    monkeypatch.setattr(L, "MEET_ROWS", 16)  # so that rows and targets of a text are dealt over salts
+    monkeypatch.setattr(L, "MEET_PAIRS", 64)
+    draw = random.Random(3)
+    before = ["how are you my dear old friend today", "how are you my dear old friends today", "nothing at all to see in here", "..."]
+    corpus, targets = [], []
+    for scene in range(60):
+        lead = [draw.choice(before) for _ in range(2)]
+        said = "the same words are here again and again" if scene % 6 else "the same words are here again and agai"
+        corpus += [(str(scene), i, draw.choice("ab"), t) for i, t in enumerate([*lead, said])]
+        targets.append((f"t{scene:02d}", draw.choice([said, said, said + "x"]), draw.choice(["a", "b", None]), [draw.choice(before) for _ in range(draw.randint(0, 2))], None, None))
+    targets = [(*t[:4], [draw.choice(["a", "b", None]) for _ in t[3]], None) for t in targets]
+    got = {r.target_id: (r.alignment_type, r.utterance_id, r.evidence, r.target_sim, r.context1, r.context2, r.num_candidates, r.num_high) for r in L.aligned(spark.createDataFrame(targets, TARGET), lines(spark, corpus)).collect()}
+    assert got == plain_alignment(targets, corpus)
+    assert sum(v[6] for v in got.values()) > 1000 and seen["frequent-texts"] and max(seen.values()) <= len(corpus)
+
+
+def test_decisions_make_no_row_of_a_pair(spark, monkeypatch, tmp_path):
+    import random
+
+    import duckdb
+
+    from colloquy.plans import alignment as P
+
+    seen = _tables_written(monkeypatch)
+    monkeypatch.setattr(P, "DECISION_ROWS", 64)
+    monkeypatch.setattr(L, "MEET_PAIRS", 512)
+    draw = random.Random(8)
+    texts = ["\n".join(draw.choice(["the same old line.", "a line of words", "more words.", f"own line {k}-{i}."]) for i in range(draw.randint(1, 12))) for k in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in P.alignment_decisions(spark, str(tmp_path)).collect())
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = sorted(con.execute(P.ORACLES["alignment_decisions"]).fetchall())
+    assert got == want and len({r[1] for r in got}) >= 3
+    assert sum(r[8] for r in got) > 20_000 and seen["frequent-texts"] and max(seen.values()) <= sum(len(t.split("\n")) for t in texts)
