@@ -750,7 +750,7 @@ def test_shared_runs_rule_out_texts_that_cannot_be_alike():
     said = [" ".join("".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(draw.randint(8, 30))) for _ in range(300)]
     change = lambda t: "".join(c for c in t if draw.random() > 0.1)
     said += [change(t) for t in said[:60]] + [t[len(t) // 3 :] + t[: len(t) // 3] for t in said[:20]] + ["", "a", "and " * 50, "and " * 49, said[0]]
-    runs, rows = Runs(Characters(pa.array(said))), np.arange(len(said))
+    runs, rows = Runs(Characters(pa.array(said)), 300), np.arange(len(said))
     asked = [change(t) for t in said[:40]] + ["and " * 51, "q", "zzzz the", said[0], said[-3] + "Ω"]
     kept = [set(runs.allowed(a, rows, 0.8).tolist()) for a in asked]
     near = [{k for k, t in enumerate(said) if similarity(a, t) >= 0.8} for a in asked]
