@@ -808,3 +808,15 @@ def test_decisions_make_no_row_of_a_pair(spark, monkeypatch, tmp_path):
         want = sorted(con.execute(P.ORACLES["alignment_decisions"]).fetchall())
     assert got == want and len({r[1] for r in got}) >= 3
     assert sum(r[8] for r in got) > 20_000 and seen["frequent-texts"] and max(seen.values()) <= sum(len(t.split("\n")) for t in texts)
+
+
+def test_reports_normalise_the_corpus_once(spark, monkeypatch, tmp_path):
+    from colloquy.plans import alignment as P
+
+    seen = []
+    monkeypatch.setattr(L, "normalise", lambda text, *a, normalise=L.normalise, **k: seen.append(str(text)) or normalise(text, *a, **k))
+    spark.createDataFrame([(k, "one line here.\nanother line\nmore lines here!") for k in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (P.decision_report, P.alignment_report):
+        seen.clear()
+        assert query(spark, str(tmp_path)).first()["targets"] > 0
+        assert sum(t == str(F.col("text")) for t in seen) == 2  # with and without apostrophes
